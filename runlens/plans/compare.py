@@ -47,12 +47,24 @@ def duckdb_connect(sf_dir: str):
     return con
 
 
+_SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                  "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "timestamp_ntz": "TIMESTAMP",
+                  "timestamp": "TIMESTAMP WITH TIME ZONE", "date": "DATE"}
+
+
+def _type_pairs(spark_df, cur):
+    s = {f.name: _SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in spark_df.schema}
+    d = {c[0]: str(c[1]) for c in cur.description}
+    return {k: (s[k], d.get(k)) for k in s if s[k] != d.get(k)}
+
+
 def compare(spark_df, con, sql: str) -> dict:
     s_cols = spark_df.columns
     s_rows = [tuple(r) for r in spark_df.collect()]
     cur = con.execute(sql)
     d_cols = [c[0] for c in cur.description]
     d_rows = cur.fetchall()
+    bad_types = _type_pairs(spark_df, cur)
     res = {"spark_rows": len(s_rows), "oracle_rows": len(d_rows),
            "columns_match": sorted(s_cols) == sorted(d_cols)}
     if not res["columns_match"]:
@@ -61,6 +73,8 @@ def compare(spark_df, con, sql: str) -> dict:
         return res
     a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
     res["match"] = a == b
+    if bad_types:
+        res["type_mismatch"] = bad_types
     if not res["match"]:
         sa, sb = set(a), set(b)
         res["only_spark"] = [x for x in a if x not in sb][:3]
