@@ -34,3 +34,5 @@ PATHS = """paths AS (
               ELSE printf('vanilla_L%d_A0p%d_T%d', l_linenumber, l_suppkey % 9 + 1, l_partkey % 20 + 1) END
          || '/checkpoint-' || CAST((l_orderkey % 4 + 1) * 1325 AS VARCHAR) AS path
   FROM lineitem)"""
+
+ELEMS_SQL = """elems AS (SELECT vec_id, label, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS pos, unnest(vec) AS v FROM vectors)"""
