@@ -137,28 +137,47 @@ def regroup_choices(df: DataFrame, key: str, choice: str, value: str, name: str
     return g.select(key, F.transform("_s", lambda s: s[value]).alias(name))
 
 
-def vocabulary(words: DataFrame, word: str = "word", size: int = 5000) -> DataFrame:
+def doc_word_counts(words: DataFrame, doc: str = "doc_id", word: str = "word") -> DataFrame:
+    """Occurrences of each word in each document (partial aggregate per task)."""
+    # The explicit not-null filter matches the one Catalyst infers for the
+    # vocabulary join, so both consumers share one shuffle (ReusedExchange).
+    return words.where(F.col(word).isNotNull()).groupBy(doc, word).agg(F.count(F.lit(1)).alias("n"))
+
+
+def word_frequencies(words: DataFrame, word: str = "word") -> DataFrame:
+    """Corpus frequency of every word (partial aggregate before the shuffle)."""
+    return words.groupBy(word).agg(F.count(F.lit(1)).alias("freq"))
+
+
+def vocabulary(freq: DataFrame, word: str = "word", size: int = 5000) -> DataFrame:
     """The ``size`` most frequent words (count desc, word asc) with ids
-    from FIRST_WORD_ID; a bounded top-k, so the result may be broadcast."""
-    counts = words.groupBy(word).agg(F.count(F.lit(1)).alias("freq"))
-    top = counts.orderBy(F.col("freq").desc(), F.col(word)).limit(size)
+    from FIRST_WORD_ID, from a (word, freq) frame; a bounded top-k, so the
+    result may be broadcast."""
+    top = freq.orderBy(F.col("freq").desc(), F.col(word)).limit(size)
     w = Window.orderBy(F.col("freq").desc(), F.col(word))  # at most `size` rows
     return top.withColumn("word_id", (F.row_number().over(w) + FIRST_WORD_ID - 1).cast("int"))
 
 
-def bag_of_words(words: DataFrame, vocab: DataFrame, doc: str = "doc_id", word: str = "word") -> DataFrame:
-    """Per-document counts of vocabulary words."""
-    return (words.join(F.broadcast(vocab.select(word)), word)
-            .groupBy(doc, word).agg(F.count(F.lit(1)).alias("n")))
+def frequencies_from_counts(counts: DataFrame, word: str = "word") -> DataFrame:
+    return counts.groupBy(word).agg(F.sum("n").alias("freq"))
+
+
+def bag_of_words(counts: DataFrame, vocab: DataFrame, word: str = "word") -> DataFrame:
+    """Per-document counts of vocabulary words; the per-document counts
+    feed both the vocabulary and this join, so the text is tokenised once."""
+    return counts.join(F.broadcast(vocab.select(word)), word)
 
 
-def encode_fixed_length(docs: DataFrame, words: DataFrame, vocab: DataFrame, max_length: int,
+def encode_fixed_length(docs: DataFrame, tokens: str, vocab: DataFrame, max_length: int,
                         doc: str = "doc_id") -> DataFrame:
-    """The first ``max_length`` word ids of every document, padded with
-    PAD_ID, plus the attention mask. Positions beyond ``max_length`` are
-    dropped before the regroup, so each group holds at most max_length ids."""
-    head = words.where(F.col("pos") < max_length).join(
-        F.broadcast(vocab.select("word", "word_id")), "word", "left")
+    """The first ``max_length`` word ids of every document (UNK_ID for
+    words outside the vocabulary), padded with PAD_ID, plus the attention
+    mask. Token arrays are cut to ``max_length`` before they are exploded, so
+    the broadcast vocabulary join and the regroup see at most max_length
+    rows per document. (A map lookup per token is not used: Spark map
+    lookups scan the keys linearly.)"""
+    head = docs.select(doc, F.posexplode(F.slice(F.col(tokens), 1, max_length)).alias("pos", "word"))
+    head = head.join(F.broadcast(vocab.select("word", "word_id")), "word", "left")
     ids = head.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(
         F.col("pos"), F.coalesce(F.col("word_id"), F.lit(UNK_ID)).alias("id")))).alias("_s"))
     ids = ids.select(doc, F.transform("_s", lambda s: s["id"]).alias("_ids"))

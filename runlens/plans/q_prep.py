@@ -189,10 +189,10 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_tokens,
   CAST(coalesce(n, 0) AS INTEGER) AS mask_sum
 FROM documents d LEFT JOIN agg ON d.doc_id = agg.doc_id""")
 def p12(spark, d):
-    w = B.words(spark, d)
-    vocab = P.vocabulary(w, size=VOCAB_SIZE)
-    docs = read_table(spark, d, "documents")
-    enc = P.encode_fixed_length(docs, w, vocab, MAX_LENGTH)
+    vocab = P.vocabulary(P.word_frequencies(B.words(spark, d)), size=VOCAB_SIZE)
+    docs = read_table(spark, d, "documents").select(
+        "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(B.WORD_PATTERN), 0).alias("tokens"))
+    enc = P.encode_fixed_length(docs, "tokens", vocab, MAX_LENGTH)
     return enc.select("doc_id", "n_tokens", F.array_join("input_ids", ",").alias("input_ids"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
 
@@ -218,8 +218,8 @@ def p14(spark, d):
 @query("p15_bow_counts", f"""WITH {_VOCAB_SQL}
 SELECT w.doc_id, w.word, count(*) AS n FROM words w JOIN vocab v ON v.word = w.word GROUP BY w.doc_id, w.word""")
 def p15(spark, d):
-    w = B.words(spark, d)
-    return P.bag_of_words(w, P.vocabulary(w, size=VOCAB_SIZE))
+    counts = P.doc_word_counts(B.words(spark, d))
+    return P.bag_of_words(counts, P.vocabulary(P.frequencies_from_counts(counts), size=VOCAB_SIZE))
 
 
 @query("p16_sliding_chunks", rf"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM documents),

@@ -60,26 +60,34 @@ def training_curves(states: DataFrame, run: str = "run_name", step: str = "check
 
 
 # S05 catalog: run directory names of the three families and their checkpoints.
-CHECKPOINT_PATTERN = (r"^.*/(vanilla|pkd_skip|pkd_last)_L([0-9]+)"
-                      r"(?:_A([0-9]+p[0-9]+)_T([0-9]+)|_B([0-9]+))/checkpoint-([0-9]+)$")
+RUN_DIR_PATTERN = r"^(vanilla|pkd_skip|pkd_last)_L([0-9]+)(?:_A([0-9]+p[0-9]+)_T([0-9]+)|_B([0-9]+))$"
+CHECKPOINT_DIR_PATTERN = r"^checkpoint-[0-9]+$"
 STEPS_PER_EPOCH = 1325
 
 
 def checkpoint_catalog(paths: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:
     """(catalog, rejects). Parses family, layers, alpha, temperature, beta
-    and step out of checkpoint paths; names that do not parse go to rejects."""
-    g = lambda i: F.regexp_extract(F.col(path), CHECKPOINT_PATTERN, i)
-    ok = F.col(path).rlike(CHECKPOINT_PATTERN)
-    parsed = paths.select(
-        "*",
-        g(1).alias("strategy"),
-        g(2).try_cast("int").alias("layers"),
-        F.nullif(F.replace(g(3), F.lit("p"), F.lit(".")), F.lit("")).try_cast("double").alias("alpha"),
-        F.nullif(g(4), F.lit("")).try_cast("double").alias("temperature"),
-        F.nullif(g(5), F.lit("")).try_cast("double").alias("beta"),
-        g(6).try_cast("int").alias("step"),
+    and step out of ``.../<run dir>/checkpoint-<step>`` paths; names that do
+    not parse go to rejects. One anchored match validates the short directory
+    names; the fields are then cut out with plain string functions."""
+    parts = F.split(F.col(path), "/")
+    run_dir, leaf = F.element_at(parts, -2), F.element_at(parts, -1)
+    ok = (F.size(parts) >= 2) & run_dir.rlike(RUN_DIR_PATTERN) & leaf.rlike(CHECKPOINT_DIR_PATTERN)
+    x = paths.where(ok).withColumns({"_run": run_dir, "_leaf": leaf})
+    toks = F.split("_run", "_")
+    vanilla = F.startswith(F.col("_run"), F.lit("vanilla_"))
+    off = F.when(vanilla, 1).otherwise(2)           # tokens after the family name
+    field = lambda i: F.substr(F.get(toks, off + i), F.lit(2))  # noqa: E731  drop the L/A/T/B tag
+    parsed = x.select(
+        *paths.columns,
+        F.when(vanilla, "vanilla").otherwise(F.concat_ws("_", F.get(toks, 0), F.get(toks, 1))).alias("strategy"),
+        field(0).try_cast("int").alias("layers"),
+        F.when(vanilla, F.replace(field(1), F.lit("p"), F.lit("."))).try_cast("double").alias("alpha"),
+        F.when(vanilla, field(2)).try_cast("double").alias("temperature"),
+        F.when(~vanilla, field(1)).try_cast("double").alias("beta"),
+        F.substring_index("_leaf", "-", -1).try_cast("int").alias("step"),
     ).withColumn("epoch", F.expr(f"step div {STEPS_PER_EPOCH}").cast("int"))
-    return parsed.where(ok), paths.where(~ok)
+    return parsed, paths.where(~ok)
 
 
 def append_results(df: DataFrame, path: str, keys: Sequence[str]) -> None:
