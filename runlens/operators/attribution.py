@@ -53,13 +53,40 @@ def word_scores(words: DataFrame) -> DataFrame:
     return words.withColumn("score", raw)
 
 
+def token_scores(tokens) -> Column:
+    """The per-token scores of ``word_scores`` for a whole token array."""
+    t = F.col(tokens) if isinstance(tokens, str) else tokens
+    return F.transform(t, lambda w, i: ((i * 31 + F.length(w) * 17) % 21 - 10) / F.lit(10.0))
+
+
+def highlight_array(tokens, scores, threshold: float = 0.1) -> Column:
+    """V10 + V11 on one example's arrays: max-abs normalise the scores and keep
+    (pos, 'token(+0.00)') for tokens above ``threshold`` in magnitude. All work
+    is inside the row, so no shuffle is needed."""
+    t = F.col(tokens) if isinstance(tokens, str) else tokens
+    norm = V.maxabs_normalize(scores)
+    z = F.transform(F.arrays_zip(t.alias("w"), norm.alias("n")),
+                    lambda e, i: F.struct(i.alias("pos"), e["w"].alias("w"), e["n"].alias("n")))
+    keep = F.filter(z, lambda e: (e["n"] > threshold) | (e["n"] < -threshold))
+    return F.transform(keep, lambda e: F.struct(e["pos"].alias("pos"), signed_label(e["w"], e["n"]).alias("highlight")))
+
+
+def signed_label(token: Column, value: Column) -> Column:
+    """'token(+0.30)': the value rounded to 2 places with an explicit sign,
+    for |value| <= 1 (normalised scores). Built with concat and a decimal
+    cast, which is far cheaper per row than format_string."""
+    r = F.round(value, 2)
+    sign = F.when(r < 0, F.lit("-")).otherwise(F.lit("+"))
+    return F.concat(token, F.lit("("), sign, F.abs(r).cast("decimal(3,2)").cast("string"), F.lit(")"))
+
+
 def highlight(df: DataFrame, doc: str, token: str, score: str, threshold: float = 0.1) -> DataFrame:
     """V10 + V11: max-abs normalise scores per document, keep tokens whose
     normalised score is above ``threshold`` in magnitude, sign-formatted."""
     m = df.groupBy(doc).agg((F.max(F.abs(score)) + F.lit(V.MAXABS_EPS)).alias("_m"))
     n = df.join(m, doc).withColumn("_n", F.col(score) / F.col("_m"))
     n = n.where((F.col("_n") > threshold) | (F.col("_n") < -threshold))
-    return n.select(doc, "pos", F.format_string("%s(%+.2f)", F.col(token), F.round("_n", 2)).alias("highlight"))
+    return n.select(doc, "pos", signed_label(F.col(token), F.col("_n")).alias("highlight"))
 
 
 def wordpiece_tokens(text) -> Column:

@@ -47,10 +47,14 @@ def s02(spark, d):
                                     F.count_if(F.col("lang") == "en").alias("n_en"))
 
 
+LOG_CHUNK = 256
+
+
 def _trainer_states(spark, d):
-    """Trainer-state documents derived from events: one per (user, week)
-    checkpoint with a heterogeneous log_history array (fields absent rather
-    than null, like the JSON a trainer writes)."""
+    """Trainer-state documents derived from events: per (user, week)
+    checkpoint, documents of at most LOG_CHUNK log entries (so no document
+    grows with a hot user) with a heterogeneous log_history array (fields
+    absent rather than null, like the JSON a trainer writes)."""
     e = read_table(spark, d, "events")
     k = F.get_json_object("props", "$.k").cast("double")
     entry = F.struct(
@@ -62,7 +66,8 @@ def _trainer_states(spark, d):
         F.when(F.col("event_type") == "error", F.col("value")).alias("eval_loss"))
     week = F.floor((F.dayofmonth("ts") - 1) / 7)
     return e.groupBy(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("run_name"),
-                     ((week + 1) * 100).cast("int").alias("checkpoint_step")) \
+                     ((week + 1) * 100).cast("int").alias("checkpoint_step"),
+                     F.floor(F.col("event_id") / LOG_CHUNK).alias("part")) \
         .agg(F.collect_list(entry).alias("log_history"))
 
 
@@ -80,7 +85,7 @@ def s03(spark, d):
     states.write.json(path)  # JSON writer omits null fields
     schema = T.StructType([
         T.StructField("run_name", T.StringType()), T.StructField("checkpoint_step", T.IntegerType()),
-        T.StructField("log_history", T.ArrayType(T.StructType([
+        T.StructField("part", T.LongType()), T.StructField("log_history", T.ArrayType(T.StructType([
             T.StructField("step", T.LongType()), T.StructField("epoch", T.DoubleType()),
             T.StructField("loss", T.DoubleType()), T.StructField("learning_rate", T.DoubleType()),
             T.StructField("grad_norm", T.DoubleType()), T.StructField("eval_loss", T.DoubleType())])))])

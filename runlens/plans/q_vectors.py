@@ -339,8 +339,10 @@ wn AS (SELECT ws.*, score / (max(abs(score)) OVER (PARTITION BY doc_id) + CAST(1
 @query("v11_highlight", f"""WITH {_WORD_SCORE_SQL}
 SELECT doc_id, pos, printf('%s(%+.2f)', word, round(norm, 2)) AS highlight FROM wn WHERE norm > 0.1 OR norm < -0.1""")
 def v11(spark, d):
-    w = AT.word_scores(B.words(spark, d))
-    return AT.highlight(w, "doc_id", "word", "score", threshold=0.1)
+    docs = read_table(spark, d, "documents").select(
+        "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(B.WORD_PATTERN), 0).alias("tokens"))
+    h = docs.select("doc_id", F.explode(AT.highlight_array("tokens", AT.token_scores("tokens"), 0.1)).alias("h"))
+    return h.select("doc_id", F.col("h.pos").alias("pos"), F.col("h.highlight").alias("highlight"))
 
 
 _V12_TOKENS = r"""toks AS (SELECT doc_id, list_concat(['[CLS]'], flatten(list_transform(
