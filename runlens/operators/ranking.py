@@ -66,6 +66,26 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def _tagged_range_sorted(df: DataFrame, keys: Sequence[Column], mono: bool = True) -> DataFrame:
+    """Rows range-partitioned and sorted on ``keys``, tagged with their task
+    number (and a per-task increasing id), materialised with a reliable
+    checkpoint in the shared ``spark.checkpoint.dir``.
+
+    The positional operators read these rows twice (per-task summary, then
+    the rows themselves). Range boundaries come from sampling seeded by RDD
+    ids, so two evaluations of the same plan may cut the key range
+    differently; the checkpoint fixes one partitioning for both reads and for
+    any recomputation after an executor loss."""
+    from runlens.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_task", F.spark_partition_id())
+    if mono:
+        tagged = tagged.withColumn("_mono", F.monotonically_increasing_id())
+    return tagged.checkpoint(eager=True)
+
+
 def global_index(df: DataFrame, order: Sequence[str | Column], partition_by: Sequence[str] = (),
                  name: str = "idx") -> DataFrame:
     """0-based consecutive index in the total order ``order`` restarting per
@@ -76,9 +96,7 @@ def global_index(df: DataFrame, order: Sequence[str | Column], partition_by: Seq
     each block its offset. The order must be total (include a unique key).
     """
     keys = _cols([*partition_by, *order])
-    tagged = (df.orderBy(*keys)
-              .withColumn("_task", F.spark_partition_id())
-              .withColumn("_mono", F.monotonically_increasing_id()))
+    tagged = _tagged_range_sorted(df, keys)
     blocks = tagged.groupBy("_task", *partition_by).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
     w = Window.partitionBy(*partition_by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,3 +106,62 @@ def global_index(df: DataFrame, order: Sequence[str | Column], partition_by: Seq
                       ["_task", *partition_by])
     return out.withColumn(name, F.col("_offset") + F.col("_mono") - F.col("_first")).drop(
         "_task", "_mono", "_offset", "_first")
+
+
+def running_max_before(df: DataFrame, group: str, order: Sequence[str], value: str,
+                       name: str = "prev_best") -> DataFrame:
+    """Maximum of ``value`` over all earlier rows of the same group in the total
+    order ``order`` (null for a group's first row), without a per-group window.
+
+    A segmented scan: rows are range-partitioned and sorted on (group, order),
+    so a hot group spans many tasks. Only the first group of a task can have
+    rows in earlier tasks, so a table of at most (number of tasks) rows gives
+    every task its carry: the maximum its first group reached before. Each task
+    then scans its rows in order (pandas cumulative maximum per group over Arrow
+    batches), seeded with that carry."""
+    import numpy as np
+    import pandas as pd
+
+    keys = [F.col(group), *[F.col(c) for c in order]]
+    tagged = _tagged_range_sorted(df, keys, mono=False)
+    summary = tagged.groupBy("_task").agg(
+        F.min(group).alias("_first"), F.max(F.struct(F.col(group).alias("g"), F.col(value).alias("v"))).alias("_last"))
+    earlier = summary.select(F.col("_task").alias("_t2"), F.col("_last.g").alias("_first"),
+                             F.col("_last.v").alias("_v"))
+    carry = (summary.select("_task", "_first").join(earlier, "_first")
+             .where(F.col("_t2") < F.col("_task"))
+             .groupBy("_task", "_first").agg(F.max("_v").alias("_carry")))
+    seeded = tagged.join(F.broadcast(carry.withColumnRenamed("_first", "_carry_group")), "_task", "left")
+
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    cols = list(df.columns)
+    out_schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
+
+    def scan(batches):
+        state_g, state_m = None, None
+        started = False
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            if not started:
+                started = True
+                if pd.notna(pdf["_carry"].iloc[0]):
+                    state_g, state_m = pdf["_carry_group"].iloc[0], float(pdf["_carry"].iloc[0])
+            g = pdf[group]
+            v = pdf[value].astype("float64")
+            cm = v.groupby(g, sort=False).cummax()
+            prev = cm.groupby(g, sort=False).shift(1)
+            if state_g is not None:
+                same = (g == state_g).to_numpy()
+                prev = prev.where(~same, np.fmax(prev.to_numpy(), state_m))
+            last_g = g.iloc[-1]
+            last_m = float(cm[g == last_g].iloc[-1])
+            if state_g is not None and last_g == state_g:
+                last_m = float(np.fmax(last_m, state_m))
+            state_g, state_m = last_g, last_m
+            out = pdf[cols].copy()
+            out[name] = prev.astype("float64")
+            yield out
+
+    return seeded.mapInPandas(scan, out_schema)

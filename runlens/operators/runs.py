@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.operators.ranking import best_per_group, global_index, last_two_per_group, top_n
+from runlens.operators.ranking import best_per_group, global_index, last_two_per_group, running_max_before, top_n
 
 # Fixed values of the analysis rules (must equal the reference's behaviour).
 CONVERGENCE_THRESHOLD = 0.001
@@ -120,12 +120,11 @@ def smallest_matching(best_by_size: DataFrame, baseline: Column, size: str = "si
         ((F.lit(teacher_layers) - F.col("smallest_size")) / F.lit(teacher_layers) * 100).alias("compression_pct"))
 
 
-def running_best(df: DataFrame, partition: Sequence[str], order: Sequence[str], metric: str) -> DataFrame:
-    """Running champion; a row replaces the champion only when strictly better."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.max(metric).over(w)
-    return df.select("*", prev.alias("prev_best"),
-                     (prev.isNull() | (F.col(metric) > prev)).alias("is_new_best"))
+def running_best(df: DataFrame, partition: str, order: Sequence[str], metric: str) -> DataFrame:
+    """Running champion; a row replaces the champion only when strictly
+    better than every earlier row of its run (segmented scan, no per-run window)."""
+    out = running_max_before(df, partition, order, metric, "prev_best")
+    return out.withColumn("is_new_best", F.col("prev_best").isNull() | (F.col(metric) > F.col("prev_best")))
 
 
 # ------------------------------------------------------------ windows (W)
@@ -183,13 +182,17 @@ def adaptive_top_n(df: DataFrame, metric: str, tiebreak: str, lo: int = 3, hi: i
 
 
 def chain_degradation(df: DataFrame, chain: str, order: Sequence[str], metric: str) -> DataFrame:
-    """Change of the metric from the previous stage and from the root."""
-    w = Window.partitionBy(chain).orderBy(*order)
-    return df.select("*",
-                     F.row_number().over(w).alias("stage"),
-                     (F.col(metric) - F.lag(metric).over(w)).alias("delta_prev"),
-                     (F.col(metric) - F.first(metric).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                     .alias("delta_root"))
+    """Change of the metric from the previous stage and from the root.
+
+    Stages are numbered by ``global_index`` (no per-chain window); the previous
+    stage and the root are equi-joins on (chain, stage), a unique key."""
+    idx = global_index(df, list(order), partition_by=[chain], name="_i")
+    prev = idx.select(chain, (F.col("_i") + 1).alias("_i"), F.col(metric).alias("_prev"))
+    root = idx.where(F.col("_i") == 0).select(chain, F.col(metric).alias("_root"))
+    j = idx.join(prev, [chain, "_i"], "left").join(root, chain)
+    return j.select(*df.columns, (F.col("_i") + 1).cast("int").alias("stage"),
+                    (F.col(metric) - F.col("_prev")).alias("delta_prev"),
+                    (F.col(metric) - F.col("_root")).alias("delta_root"))
 
 
 # ------------------------------------------------------------- joins (J)

@@ -190,7 +190,7 @@ SELECT ord, run_name, epoch, metric,
   coalesce(metric > max(metric) OVER (PARTITION BY run_name ORDER BY epoch, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_new_best
 FROM runs""")
 def a15(spark, d):
-    out = R.running_best(B.runs(spark, d), ["run_name"], ["epoch", "ord"], "metric")
+    out = R.running_best(B.runs(spark, d), "run_name", ["epoch", "ord"], "metric")
     return out.select("ord", "run_name", "epoch", "metric", "prev_best", "is_new_best")
 
 

@@ -77,3 +77,28 @@ def test_checkpoint_catalog_parses_and_rejects(spark):
     assert rows["vanilla"].alpha == 0.5 and rows["vanilla"].temperature == 10.0 and rows["vanilla"].epoch == 2
     assert rows["pkd_last"].beta == 500.0 and rows["pkd_last"].layers == 4 and rows["pkd_last"].epoch == 4
     assert rej.count() == 1
+
+
+def _hot_frame(spark):
+    # One group holds 60 % of the rows and spans many tasks; 997 small groups.
+    return spark.range(60000).select(
+        F.when(F.col("id") < 36000, F.lit("hot")).otherwise(
+            F.concat(F.lit("g"), (F.col("id") % 997).cast("string"))).alias("g"),
+        F.col("id").alias("o"), ((F.col("id") * 7919) % 100003).cast("double").alias("v")).repartition(7)
+
+
+def test_positional_operators_match_windows_on_hot_group(spark):
+    from pyspark.sql import Window
+
+    from runlens.operators.ranking import global_index, running_max_before
+    df = _hot_frame(spark)
+    w = Window.partitionBy("g").orderBy("o")
+    a = running_max_before(df, "g", ["o"], "v")
+    b = df.withColumn("prev_best", F.max("v").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    gi = global_index(df, ["o"], partition_by=["g"], name="i")
+    rb = df.withColumn("i", F.row_number().over(w) - 1)
+    assert gi.exceptAll(rb).count() == 0 and rb.exceptAll(gi).count() == 0
+    g0 = global_index(df, [F.col("v").desc(), F.col("o")], name="i")
+    r0 = df.withColumn("i", F.row_number().over(Window.orderBy(F.col("v").desc(), "o")) - 1)
+    assert g0.exceptAll(r0).count() == 0
