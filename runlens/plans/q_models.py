@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from runlens.operators import knn as KNN
 from runlens.operators import models as MD
 from runlens.operators import prep as P
 from runlens.plans.registry import query
@@ -99,3 +100,18 @@ def m07(spark, d):
         F.count(F.lit(1)).cast("double").alias("size"), F.avg("n_chars").alias("avg_length"),
         F.avg("toxic").alias("toxic_share"), F.avg("quality").alias("gain"))
     return MD.ols_drivers(g, ["size", "avg_length", "toxic_share"], "gain")
+
+
+@query("m03_knn", f"""WITH {VECTORS},
+test AS (SELECT * FROM vectors WHERE vec_id % 4 = 0), train AS (SELECT * FROM vectors WHERE vec_id % 4 <> 0),
+d AS (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label AS tlabel, list_distance(q.vec, t.vec) AS dist FROM test q, train t),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS r FROM d) WHERE r <= 5),
+votes AS (SELECT qid, tlabel, count(*) AS c FROM nn GROUP BY qid, tlabel),
+pick AS (SELECT qid, tlabel FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, tlabel) AS r FROM votes) WHERE r = 1)
+SELECT t.vec_id, t.label, CAST(p.tlabel AS INTEGER) AS pred FROM test t JOIN pick p ON p.qid = t.vec_id""")
+def m03(spark, d):
+    v = B.vectors(spark, d)
+    test = v.where(F.col("vec_id") % 4 == 0)
+    train = v.where(F.col("vec_id") % 4 != 0)
+    pred = KNN.knn_classify(test, train, "vec_id", "vec", "label", k=5)
+    return test.select("vec_id", "label").join(pred, "vec_id")

@@ -88,3 +88,24 @@ def test_t_distribution():
     assert abs(t_cdf(0.0, 5) - 0.5) < 1e-15
     assert abs(t_ppf(0.995, 30) - 2.749995653567) < 1e-8
     assert math.isclose(t_cdf(t_ppf(0.9, 3), 3), 0.9, rel_tol=1e-12)
+
+
+def test_knn_blocks_agree_with_brute_force(spark, sf_dir):
+    import numpy as np
+
+    from runlens.operators.knn import knn_classify
+    from runlens.sources.bindings import vectors
+    v = vectors(spark, sf_dir)
+    test = v.where(F.col("vec_id") % 4 == 0)
+    train = v.where(F.col("vec_id") % 4 != 0)
+    many = {r.vec_id: r.pred for r in knn_classify(test, train, "vec_id", "vec", "label", k=5, block_rows=37).collect()}
+    one = {r.vec_id: r.pred for r in knn_classify(test, train, "vec_id", "vec", "label", k=5).collect()}
+    assert many == one and len(one) == test.count()
+    tr = train.orderBy("vec_id").collect()
+    t_vec = np.array([r.vec for r in tr])
+    t_lab = np.array([r.label for r in tr])
+    for r in test.collect():
+        d = np.sqrt(((t_vec - np.array(r.vec)) ** 2).sum(axis=1))
+        nn = np.lexsort((np.arange(len(d)), d))[:5]
+        counts = np.bincount(t_lab[nn])
+        assert one[r.vec_id] == int(np.argmax(counts))
