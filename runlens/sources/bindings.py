@@ -19,19 +19,29 @@ from runlens.sources.tables import read_table
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runs(spark: SparkSession, sf_dir: str, skew_safe: bool = False) -> DataFrame:
     """Result table: one row per (run, epoch) evaluation.
 
     run_name <- customer of the order, epoch <- position of the order within
     the customer's orders by date, metric <- total price, alpha <- priority,
     temperature <- status, ord <- order key (unique, the file-order tie-break).
+
+    A real results table carries its epochs; this adapter derives them. The
+    default numbers them with a per-customer window (customers have at most a
+    few dozen orders); ``skew_safe=True`` uses ``global_index`` instead, which
+    spreads a customer holding a large share of the orders over many tasks.
     """
     o = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    if skew_safe:
+        from runlens.operators.ranking import global_index
+        o = global_index(o, ["o_orderdate", "o_orderkey"], partition_by=["o_custkey"], name="_i")
+        epoch = F.col("_i") + 1
+    else:
+        epoch = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     return o.select(
         F.concat(F.lit("run_"), F.col("o_custkey").cast("string")).alias("run_name"),
-        F.row_number().over(w).cast("int").alias("epoch"),
+        epoch.cast("int").alias("epoch"),
         F.col("o_totalprice").alias("metric"),
         F.col("o_orderpriority").alias("alpha"),
         F.col("o_orderstatus").alias("temperature"),

@@ -102,3 +102,9 @@ def test_positional_operators_match_windows_on_hot_group(spark):
     g0 = global_index(df, [F.col("v").desc(), F.col("o")], name="i")
     r0 = df.withColumn("i", F.row_number().over(Window.orderBy(F.col("v").desc(), "o")) - 1)
     assert g0.exceptAll(r0).count() == 0
+
+
+def test_runs_binding_skew_safe_equals_window(spark, sf_dir):
+    from runlens.sources.bindings import runs
+    a, b = runs(spark, sf_dir), runs(spark, sf_dir, skew_safe=True)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
