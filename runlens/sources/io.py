@@ -29,7 +29,8 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = Tru
 
 def read_delimited(spark: SparkSession, path: str, schema: StructType, sep: str = ",", header: bool = True) -> DataFrame:
     """CSV scan with header, doubled quotes, embedded separators and line
-    breaks, under an explicit schema."""
+    breaks, under an explicit schema. Empty fields read as null, like
+    ``pandas.read_csv``."""
     return (spark.read.schema(schema).options(**_CSV_READ).option("sep", sep)
             .option("header", str(header).lower()).csv(path))
 
