@@ -14,7 +14,6 @@ from runlens.functions import vec as V
 
 # Fixed token rules of the reference's filter.
 WORD_OR_SYMBOL = r"[\p{L}\p{N}_]+|[^\t\n\x0B\f\r \p{Z}\p{L}\p{N}_]"
-PUNCT_ONLY = r"^[.,;:!?()\[\]{}\"'\-/]+$"
 DIGIT = r"^\p{Nd}$"
 PIECE_SPLIT = 8  # words longer than this are split into a head and a ## piece
 PIECE_HEAD = 6
@@ -46,17 +45,38 @@ def group_mean_std(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], d
     return df.groupBy(*keys).agg(*aggs)
 
 
+def _score(pos: Column, word: Column) -> Column:
+    return ((pos * 31 + F.length(word) * 17) % 21 - 10) / F.lit(10.0)
+
+
 def word_scores(words: DataFrame) -> DataFrame:
     """A deterministic per-token score in [-1, 1] for document words, used as
     the stored attribution of each token."""
-    raw = ((F.col("pos") * 31 + F.length("word") * 17) % 21 - 10) / F.lit(10.0)
-    return words.withColumn("score", raw)
+    return words.withColumn("score", _score(F.col("pos"), F.col("word")))
+
+
+def highlight_words(docs: DataFrame, key: str, tokens: str, threshold: float = 0.1) -> DataFrame:
+    """V10 + V11 per document without a shuffle: the max |score| of each
+    document is taken inside its row, then the tokens are exploded and
+    normalised, filtered and labelled by generated code (no per-token lambda)."""
+    t = F.col(tokens)
+    m = F.array_max(F.transform(token_scores(tokens), lambda x: F.abs(x))) + F.lit(V.MAXABS_EPS)
+    # The maximum travels inside the exploded structs (array_repeat evaluates it
+    # once per document); a separate column would be recomputed per token.
+    # posexplode_outer + not-null filter: a plain posexplode makes Catalyst add
+    # an inferred filter that evaluates the tokeniser twice more.
+    z = F.arrays_zip(t.alias("word"), F.array_repeat(m, F.size(t)).alias("m"))
+    x = docs.select(key, F.posexplode_outer(z).alias("pos", "e")).where(F.col("e").isNotNull())
+    n = _score(F.col("pos"), F.col("e.word")) / F.col("e.m")
+    x = x.select(key, "pos", F.col("e.word").alias("word"), n.alias("_n"))
+    return x.where((F.col("_n") > threshold) | (F.col("_n") < -threshold)).select(
+        key, "pos", signed_label(F.col("word"), F.col("_n")).alias("highlight"))
 
 
 def token_scores(tokens) -> Column:
     """The per-token scores of ``word_scores`` for a whole token array."""
     t = F.col(tokens) if isinstance(tokens, str) else tokens
-    return F.transform(t, lambda w, i: ((i * 31 + F.length(w) * 17) % 21 - 10) / F.lit(10.0))
+    return F.transform(t, lambda w, i: _score(i, w))
 
 
 def highlight_array(tokens, scores, threshold: float = 0.1) -> Column:
@@ -104,8 +124,11 @@ def filter_tokens(df: DataFrame, token: str) -> DataFrame:
     """Drop special tokens, ## pieces, single non-digit characters and
     pure punctuation; rows keep their original positions (scores stay aligned)."""
     t = F.col(token)
+    # Pure punctuation: nothing is left after deleting the punctuation
+    # characters (translate, no regex per token); non-empty tokens only.
+    punct_only = (F.length(t) > 0) & (F.translate(t, V.PUNCTUATION, "") == "")
     keep = (~t.isin(*V.SPECIAL_TOKENS) & ~t.startswith("##")
-            & ~((F.length(t) == 1) & ~t.rlike(DIGIT)) & ~t.rlike(PUNCT_ONLY))
+            & ~((F.length(t) == 1) & ~t.rlike(DIGIT)) & ~punct_only)
     return df.where(keep)
 
 

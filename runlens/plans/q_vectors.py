@@ -341,8 +341,7 @@ SELECT doc_id, pos, printf('%s(%+.2f)', word, round(norm, 2)) AS highlight FROM
 def v11(spark, d):
     docs = read_table(spark, d, "documents").select(
         "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(B.WORD_PATTERN), 0).alias("tokens"))
-    h = docs.select("doc_id", F.explode(AT.highlight_array("tokens", AT.token_scores("tokens"), 0.1)).alias("h"))
-    return h.select("doc_id", F.col("h.pos").alias("pos"), F.col("h.highlight").alias("highlight"))
+    return AT.highlight_words(docs, "doc_id", "tokens", threshold=0.1)
 
 
 _V12_TOKENS = r"""toks AS (SELECT doc_id, list_concat(['[CLS]'], flatten(list_transform(

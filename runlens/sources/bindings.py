@@ -93,7 +93,10 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per word occurrence: doc_id, lang, source, pos (0-based), word."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     toks = F.regexp_extract_all(F.lower(F.col("text")), F.lit(WORD_PATTERN), 0)
-    return d.select("doc_id", "lang", "source", F.posexplode(toks).alias("pos", "word"))
+    # posexplode_outer + not-null filter: a plain posexplode lets Catalyst infer
+    # a size(tokens) > 0 filter below it that runs the tokeniser twice more.
+    out = d.select("doc_id", "lang", "source", F.posexplode_outer(toks).alias("pos", "word"))
+    return out.where(F.col("word").isNotNull())
 
 
 def checkpoint_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
