@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import vec as V
+from runlens.functions.arrays import posexplode_rows
 
 # Fixed token rules of the reference's filter.
 WORD_OR_SYMBOL = r"[\p{L}\p{N}_]+|[^\t\n\x0B\f\r \p{Z}\p{L}\p{N}_]"
@@ -136,7 +137,7 @@ def attributions_linear(df: DataFrame, col: str, weights: Sequence[float], key:
     """Input x gradient and integrated gradients of sigmoid(w . x), long form."""
     ixg, ig, _ = V.integrated_gradients(col, weights)
     z = df.select(key, F.arrays_zip(ixg.alias("input_x_gradient"), ig.alias("integrated_gradient")).alias("z"))
-    out = z.select(key, F.posexplode("z").alias("pos", "a"))
+    out = posexplode_rows(z, [key], "z", "pos", "a")
     return out.select(key, "pos", F.col("a.input_x_gradient").alias("input_x_gradient"),
                       F.col("a.integrated_gradient").alias("integrated_gradient"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import vec as V
+from runlens.functions.arrays import posexplode_rows
 
 LAYER_STRATEGIES = ["skip", "last"]
 
@@ -81,7 +82,7 @@ def classification_report(pred: DataFrame) -> DataFrame:
 def mean_vector(df: DataFrame, keys: Sequence[str], arr: str) -> DataFrame:
     """Element-wise mean vector per group in long form (keys, pos, mean);
     a partial aggregate per (group, position) before the shuffle."""
-    long = df.select(*keys, F.posexplode(arr).alias("pos", "x"))
+    long = posexplode_rows(df, keys, arr, "pos", "x")
     return long.groupBy(*keys, "pos").agg(F.avg("x").alias("mean"))
 
 
@@ -133,11 +134,11 @@ def patient_loss_from_vectors(v: DataFrame, teacher_layers: int, student_layers:
     """V07 on the vectors binding: teacher states are row i reshaped to
     teacher_layers x dim, student states the first student_layers x dim values
     of row i + 1."""
-    teacher = v.select(F.col("vec_id").alias("ex"),
-                       F.posexplode(V.reshape("vec", teacher_layers, dim)).alias("t_idx", "t_state"))
-    student = v.select((F.col("vec_id") - 1).alias("ex"),
-                       F.posexplode(V.reshape(F.slice("vec", 1, student_layers * dim), student_layers, dim))
-                       .alias("s_idx", "s_state"))
+    teacher = posexplode_rows(v, [F.col("vec_id").alias("ex")], V.reshape("vec", teacher_layers, dim),
+                              "t_idx", "t_state")
+    student = posexplode_rows(v, [(F.col("vec_id") - 1).alias("ex")],
+                              V.reshape(F.slice("vec", 1, student_layers * dim), student_layers, dim),
+                              "s_idx", "s_state")
     sizes = v.sparkSession.range(1).select(F.lit(student_layers).alias("student_layers"))
     mapping = layer_map(sizes, "student_layers", teacher_layers).drop("student_layers")
     return patient_loss(student, teacher, mapping)

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.functions.arrays import posexplode_rows
 from runlens.functions.text import parse_label
 from runlens.operators.ranking import global_index
 
@@ -176,7 +177,7 @@ def encode_fixed_length(docs: DataFrame, tokens: str, vocab: DataFrame, max_leng
     the broadcast vocabulary join and the regroup see at most max_length
     rows per document. (A map lookup per token is not used: Spark map
     lookups scan the keys linearly.)"""
-    head = docs.select(doc, F.posexplode(F.slice(F.col(tokens), 1, max_length)).alias("pos", "word"))
+    head = posexplode_rows(docs, [doc], F.slice(F.col(tokens), 1, max_length), "pos", "word")
     head = head.join(F.broadcast(vocab.select("word", "word_id")), "word", "left")
     ids = head.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(
         F.col("pos"), F.coalesce(F.col("word_id"), F.lit(UNK_ID)).alias("id")))).alias("_s"))
@@ -203,7 +204,8 @@ def sliding_chunks(df: DataFrame, key: str, tokens: str, size: int, stride: int,
     covered (or only the first window)."""
     n = F.size(tokens)
     n_chunks = F.lit(1) if first_only else 1 + F.ceil(F.greatest(n - size, F.lit(0)) / F.lit(stride)).cast("int")
-    x = df.where(n > 0).select(key, tokens, F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk_no"))
+    starts = F.when(n > 0, F.sequence(F.lit(0), n_chunks - 1))  # no chunk for an empty text
+    x = posexplode_rows(df, [key, tokens], starts, "_p", "chunk_no").drop("_p")
     start = F.col("chunk_no") * stride
     part = F.slice(tokens, start + 1, F.lit(size))
     return x.select(key, "chunk_no", start.alias("start"), F.size(part).alias("n_words"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from runlens.functions.arrays import explode_rows
 from runlens.operators import runs as R
 from runlens.operators.ranking import best_per_group
 from runlens.plans.registry import query
@@ -297,8 +298,8 @@ def j03(spark, d):
     runs = B.runs(spark, d)
     key = F.concat(F.col("run_name"), F.lit("_epoch"), F.col("epoch").cast("string"))
     base = F.concat(F.lit("/ckpt/"), key)
-    catalog = runs.select(key.alias("model_key"), "alpha", "temperature", "epoch", F.explode(F.array_compact(
-        F.array(base, F.when(F.col("ord") % 3 == 0, F.concat(base, F.lit("/copy")))))).alias("model_path"))
+    catalog = explode_rows(runs, [key.alias("model_key"), "alpha", "temperature", "epoch"], F.array_compact(
+        F.array(base, F.when(F.col("ord") % 3 == 0, F.concat(base, F.lit("/copy"))))), "model_path")
     first_hit = catalog.groupBy("model_key").agg(F.min("model_path").alias("model_path"))
     best = R.best_per(runs, ["run_name"]).select(key.alias("model_key"))
     students = best.join(first_hit, "model_key").select(F.lit("student").alias("model_type"), "model_key", "model_path")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runlens.functions import vec as V
+from runlens.functions.arrays import explode_rows, posexplode_rows
 from runlens.operators import metrics as M
 from runlens.operators import attribution as AT
 from runlens.plans.registry import query
@@ -34,7 +35,7 @@ ELEMS = VECTORS + ",\n" + ELEMS_ONLY
 
 
 def _long(df, keys, arr, pos="pos", val="value"):
-    return df.select(*keys, F.posexplode(arr).alias(pos, val))
+    return posexplode_rows(df, keys, arr, pos, val)
 
 
 # ------------------------------------------------------------ V01-V08
@@ -60,7 +61,7 @@ def v02(spark, d):
     v = B.vectors(spark, d).select("vec_id", F.slice("vec", 1, 5).alias("l"))
     z = v.select("vec_id", F.arrays_zip(V.softmax("l", KD_TEMPERATURE).alias("prob"),
                                         V.log_softmax("l", KD_TEMPERATURE).alias("log_prob")).alias("z"))
-    out = z.select("vec_id", F.posexplode("z").alias("k", "pl"))
+    out = posexplode_rows(z, ["vec_id"], "z", "k", "pl")
     return out.select("vec_id", "k", r6(F.col("pl.prob")).alias("prob"), r6(F.col("pl.log_prob")).alias("log_prob"))
 
 
@@ -256,7 +257,7 @@ SELECT vec_id, CAST(r AS INTEGER) AS rank, pos FROM (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, pos) AS r FROM elems) WHERE r <= 10""")
 def v13(spark, d):
     v = B.vectors(spark, d)
-    out = v.select("vec_id", F.posexplode(V.topk_positions("vec", TOPK)).alias("rank", "pos"))
+    out = posexplode_rows(v, ["vec_id"], V.topk_positions("vec", TOPK), "rank", "pos")
     return out.withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
@@ -273,7 +274,7 @@ SELECT u.example_id, u.pos, CASE WHEN abs(te.v) > abs(se.v) THEN te.v ELSE se.v
 FROM u JOIN te ON te.example_id = u.example_id AND te.pos = u.pos JOIN se ON se.example_id = u.example_id AND se.pos = u.pos""")
 def v15(spark, d):
     p = B.vector_pairs(spark, d)
-    out = p.select("example_id", F.explode(V.union_topk_values("t_vec", "s_vec", TOPK)).alias("u"))
+    out = explode_rows(p, ["example_id"], V.union_topk_values("t_vec", "s_vec", TOPK), "u")
     return out.select("example_id", F.col("u.pos").alias("pos"), F.col("u.value").alias("value"))
 
 
@@ -357,7 +358,7 @@ WHERE token NOT IN ('[CLS]', '[SEP]', '[PAD]', '[UNK]') AND NOT starts_with(toke
   AND NOT regexp_matches(token, '^[.,;:!?()\[\]{}"''\-/]+$')""")
 def v12(spark, d):
     docs = read_table(spark, d, "documents").select("doc_id", "text")
-    toks = docs.select("doc_id", F.posexplode(AT.wordpiece_tokens("text")).alias("pos", "token"))
+    toks = posexplode_rows(docs, ["doc_id"], AT.wordpiece_tokens("text"), "pos", "token")
     return AT.filter_tokens(toks, "token")
 
 
@@ -368,7 +369,7 @@ def v18(spark, d):
     p = B.vector_pairs(spark, d)
     z = p.select("example_id", F.arrays_zip(F.slice("t_vec", 1, 48).alias("t_val"),
                                             F.slice("s_vec", 1, 48).alias("s_val")).alias("z"))
-    out = z.select("example_id", F.posexplode("z").alias("pos", "e"))
+    out = posexplode_rows(z, ["example_id"], "z", "pos", "e")
     return out.select("example_id", "pos", F.col("e.t_val").alias("t_val"), F.col("e.s_val").alias("s_val"))
 
 
@@ -416,7 +417,7 @@ SELECT (SELECT round(avg(mp), 6) FROM (SELECT max(prob) AS mp FROM sm GROUP BY v
 def v22(spark, d):
     v = B.vectors(spark, d)
     mp = v.select(F.avg(F.array_max(V.softmax(F.slice("vec", 1, N_CLASSES)))).alias("mean_max_prob"))
-    ma = v.select(F.explode("vec").alias("x")).select(F.avg(F.abs("x")).alias("mean_abs_attribution"))
+    ma = explode_rows(v, [], "vec", "x").select(F.avg(F.abs("x")).alias("mean_abs_attribution"))
     return mp.select(r6(F.col("mean_max_prob")).alias("mean_max_prob"),
                      r6(ma.select("mean_abs_attribution").scalar()).alias("mean_abs_attribution"))
 
