@@ -18,6 +18,18 @@ from pyspark.sql import SparkSession
 BROADCAST_THRESHOLD = str(32 * 1024 * 1024)
 
 
+def _driver_memory() -> str:
+    """RUNLENS_DRIVER_MEMORY, else 60 % of physical memory capped at 16 GB
+    (local mode runs every executor thread inside the driver JVM)."""
+    if os.environ.get("RUNLENS_DRIVER_MEMORY"):
+        return os.environ["RUNLENS_DRIVER_MEMORY"]
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        return f"{max(1, min(16, int(total * 0.6 / 2**30)))}g"
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "runlens") -> SparkSession:
     master = master or os.environ.get("RUNLENS_MASTER", "local[8]")
@@ -34,7 +46,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.autoBroadcastJoinThreshold", BROADCAST_THRESHOLD)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("RUNLENS_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", _driver_memory())
         .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
         # Whole-stage methods above the JIT's 8000-byte limit would run
         # interpreted (4x slower on the wide string projections here); fall
