@@ -126,8 +126,9 @@ def filter_tokens(df: DataFrame, token: str) -> DataFrame:
     pure punctuation; rows keep their original positions (scores stay aligned)."""
     t = F.col(token)
     # Pure punctuation: nothing is left after deleting the punctuation
-    # characters (translate, no regex per token); non-empty tokens only.
-    punct_only = (F.length(t) > 0) & (F.translate(t, V.PUNCTUATION, "") == "")
+    # characters (translate, no regex per token). Like Python's all() over an
+    # empty string, an empty token counts as punctuation and is dropped.
+    punct_only = F.translate(t, V.PUNCTUATION, "") == ""
     keep = (~t.isin(*V.SPECIAL_TOKENS) & ~t.startswith("##")
             & ~((F.length(t) == 1) & ~t.rlike(DIGIT)) & ~punct_only)
     return df.where(keep)

@@ -355,7 +355,7 @@ tl AS (SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unn
 SELECT doc_id, pos, token FROM tl
 WHERE token NOT IN ('[CLS]', '[SEP]', '[PAD]', '[UNK]') AND NOT starts_with(token, '##')
   AND NOT (length(token) = 1 AND NOT regexp_matches(token, '^\p{Nd}$'))
-  AND NOT regexp_matches(token, '^[.,;:!?()\[\]{}"''\-/]+$')""")
+  AND NOT regexp_matches(token, '^[.,;:!?()\[\]{}"''\-/]*$')""")
 def v12(spark, d):
     docs = read_table(spark, d, "documents").select("doc_id", "text")
     toks = posexplode_rows(docs, ["doc_id"], AT.wordpiece_tokens("text"), "pos", "token")

@@ -109,3 +109,10 @@ def test_knn_blocks_agree_with_brute_force(spark, sf_dir):
         nn = np.lexsort((np.arange(len(d)), d))[:5]
         counts = np.bincount(t_lab[nn])
         assert one[r.vec_id] == int(np.argmax(counts))
+
+
+def test_token_filter_edge_cases(spark):
+    toks = ["", "--", "a", "7", "(x)", "ok", "[PAD]", "##ing", "é"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(toks)], "pos int, token string")
+    kept = [r.token for r in AT.filter_tokens(df, "token").orderBy("pos").collect()]
+    assert kept == ["7", "(x)", "ok"]
