@@ -104,7 +104,9 @@ def layer_map(sizes: DataFrame, size_col: str, teacher_layers: int,
               strategies: Sequence[str] = LAYER_STRATEGIES) -> DataFrame:
     """Student layer i -> teacher layer for the first S = size - 1 student
     layers: skip t = 2i + 1; last t = Nt - S - 1 + i; pairs with t >= Nt stop."""
-    s = F.col(size_col) - 1
+    unknown = set(strategies) - set(LAYER_STRATEGIES)
+    if unknown:
+        raise ValueError(f"unknown layer strategy {sorted(unknown)}; expected {LAYER_STRATEGIES}")
     x = sizes.select(F.col(size_col).alias("student_layers"),
                      F.explode(F.array(*[F.lit(v) for v in strategies])).alias("strategy"))
     x = x.select("strategy", "student_layers",
@@ -112,7 +114,6 @@ def layer_map(sizes: DataFrame, size_col: str, teacher_layers: int,
     x = x.where(F.col("s_idx") < F.col("student_layers") - 1)
     t = (F.when(F.col("strategy") == "skip", 2 * F.col("s_idx") + 1)
          .otherwise(F.lit(teacher_layers) - (F.col("student_layers") - 1) - 1 + F.col("s_idx")))
-    del s
     return x.select("strategy", "student_layers", F.col("s_idx").cast("int").alias("s_idx"),
                     t.cast("int").alias("t_idx")).where((F.col("t_idx") < teacher_layers) & (F.col("t_idx") >= 0))
 
