@@ -42,23 +42,21 @@ def best_per_group(df: DataFrame, keys: Sequence[str], metric: str, tiebreak: st
 
 
 def last_two_per_group(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
-    """Per group: row count, last ``value`` and second-last ``value`` in ``order``.
-
-    Output columns: key, n_rows, last_<order...>, last_value, prev_value (null
-    when the group has one row)."""
-    ordered = F.struct(*[F.col(c) for c in order], F.col(value).alias("_v"))
-    last = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), F.max(ordered).alias("_last"))
-    before = (df.join(last.select(key, "_last"), key)
-              .where(F.struct(*[F.col(c) for c in order]) <
-                     F.struct(*[F.col(f"_last.{c}") for c in order]))
-              .groupBy(key).agg(F.max(ordered).alias("_prev")))
-    out = last.join(before, key, "left")
-    return out.select(
-        key, "n_rows",
-        *[F.col(f"_last.{c}").alias(f"last_{c}") for c in order],
-        F.col("_last._v").alias("last_value"),
-        F.col("_prev._v").alias("prev_value"),
-    )
+    """Per group: the last and second-last ``value`` in ``order`` (descending
+    rank 1 and 2).
+
+    ``row_number() <= 2`` lets Spark place a partial WindowGroupLimit before
+    the shuffle, so each task forwards at most two rows per group (a hot group
+    costs two rows per task), and the final limit and the pivot to one row run
+    after a single exchange. Output: key, n_top (1 or 2), last_<order...>,
+    last_value, prev_value (null when the group has one row)."""
+    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
+    top = df.select(key, *order, value, F.row_number().over(w).alias("_rn")).where(F.col("_rn") <= 2)
+    at = lambda r, c: F.max(F.when(F.col("_rn") == r, F.col(c)))
+    return top.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_top"),
+        *[at(1, c).alias(f"last_{c}") for c in order],
+        at(1, value).alias("last_value"), at(2, value).alias("prev_value"))
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

@@ -136,7 +136,7 @@ def convergence_status(df: DataFrame, run: str = "run_name", epoch: str = "epoch
 
     delta > t -> improving; |delta| < t -> converged; otherwise overfitting
     (so delta == +t exactly is overfitting). Double arithmetic throughout."""
-    lt = last_two_per_group(df, run, [epoch, ord_col], metric).where(F.col("n_rows") >= 2)
+    lt = last_two_per_group(df, run, [epoch, ord_col], metric).where(F.col("n_top") >= 2)
     delta = F.col("last_value") - F.col("prev_value")
     status = (F.when(delta > threshold, STATUS_IMPROVING)
               .when(F.abs(delta) < threshold, STATUS_CONVERGED)
