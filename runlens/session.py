@@ -52,6 +52,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         # interpreted (4x slower on the wide string projections here); fall
         # back to per-operator code for those instead.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # Positional operators checkpoint their range-sorted input; remove those
+        # files once the checkpointed data is no longer referenced.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
