@@ -57,3 +57,15 @@ def test_no_query_plans_cartesian_or_nested_loop_joins(spark, sf_dir):
     for name, fn in queries.items():
         plan = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_report_written_in_order(spark, sf_dir):
+    from runlens.plans import report as REP
+    from runlens.sources.bindings import runs
+    lines = REP.report_lines(runs(spark, sf_dir))
+    path = scratch_path(spark, "test-report")
+    REP.write_report(lines, path)
+    written = [r.value for r in spark.read.text(path).collect()]
+    expected = [r.line for r in lines.orderBy("section_no", "ord").collect()]
+    assert written == expected
+    assert written[0].startswith("Total evaluations: ") and any(w.startswith("1. run_") for w in written)
