@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, mixing, shards
+from runlens.llm import chat, mixing, packing, shards, tokenfile
 from runlens.llm.common import materialise, word_count
+from runlens.session import scratch_path
 from runlens.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +135,15 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.interleave(read_table(spark, sf_dir, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = tokenfile.write_token_files(read_table(spark, sf_dir, "documents"), scratch_path(spark, "token-files"),
+                                        public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenfile.read_checksums(index)
+
+
+@query("op9_cutting_stock")
+def op9_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, end_id=2)
