@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, mixing, packing, shards, tokenfile
+from runlens.llm import chat, mixing, packing, shards, tokenfile, vafile
 from runlens.llm.common import materialise, word_count
 from runlens.session import scratch_path
 from runlens.sources.tables import read_table
@@ -147,3 +147,19 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_cutting_stock")
 def op9_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, end_id=2)
+
+
+@query("op2_va_topk", r"""
+WITH valid AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM valid q JOIN valid c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+""")
+def op2_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return vafile.top_k(vectors, F.col("vec_id") % 20 == 0, 20)
