@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, mixing, packing, shards, tokenfile, vafile
+from runlens.llm import chat, mixing, oddsketch, packing, shards, tokenfile, vafile
 from runlens.llm.common import materialise, word_count
 from runlens.session import scratch_path
 from runlens.sources.tables import read_table
@@ -163,3 +163,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 def op2_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return vafile.top_k(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op7_odd_sketches")
+def op7_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=85)
