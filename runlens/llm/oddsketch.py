@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import column, materialise
+from runlens.llm.common import column, materialise, ship
 from runlens.llm.components import connected_components
 
 #: Chance that a pair at the threshold shares no band.
@@ -199,6 +199,7 @@ def _cells(members: DataFrame, key: str, counts: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
+    ship(docs.sparkSession)
     texts = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import column, materialise
+from runlens.llm.common import column, materialise, ship
 from runlens.llm.tokens import crc32_u4, encoder
 
 #: Tokens by which lengths are classed: the padding of a piece is below it.
@@ -152,6 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, i
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids
     as little-endian unsigned 32-bit integers, if kept): one row per piece."""
     spark = docs.sparkSession
+    ship(spark)
     pieces = cut_pieces(docs, tokenizer, length, end_id, id_col, text_col, keep_ids)
     pieces = pieces.withColumns({
         "class": F.ceil(F.col("length") / QUANTUM).cast("int"),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, mixing, oddsketch, packing, shards, tokenfile, vafile
+from runlens.llm import chat, mixing, oddsketch, packing, perplexity, shards, tokenfile, vafile
 from runlens.llm.common import materialise, word_count
 from runlens.session import scratch_path
 from runlens.sources.tables import read_table
@@ -168,3 +168,9 @@ def op2_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_odd_sketches")
 def op7_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oddsketch.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+@query("op3_kneser_ney_bands")
+def op3_kneser_ney_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = perplexity.quality(read_table(spark, sf_dir, "documents"))
+    return rated.select("doc_id", *perplexity.BASE, "base_failed", "kept", "perplexity", "lower_band", "upper_band")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import column, materialise
+from runlens.llm.common import column, materialise, ship
 from runlens.llm.tokens import crc32_u4, encoder
 
 #: Sequences per record batch.
@@ -124,6 +124,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, length: int =
 
     ``at`` is the place in the file's stream, ``start`` in the whole stream.
     """
+    ship(docs.sparkSession)
     rows = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()

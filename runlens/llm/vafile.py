@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import column, materialise
+from runlens.llm.common import column, materialise, ship
 
 #: Cells per component.
 CELLS = 32
@@ -106,6 +106,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
           scale: int = 64, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of all other rows."""
     spark = vectors.sparkSession
+    ship(spark)
     rows = vectors.select(column(vectors, id_col).cast("long").alias("id"), is_query.alias("q"),
                           integer_components(column(vectors, vector_col), scale).alias("v"))
     rows = materialise(rows.where("v is not null and id is not null").withColumn("dim", F.size("v")), "va-vectors")
