@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, mixing, oddsketch, packing, perplexity, shards, tokenfile, vafile
+from runlens.llm import chat, langid, mixing, oddsketch, packing, perplexity, shards, tokenfile, vafile
 from runlens.llm.common import materialise, word_count
 from runlens.session import scratch_path
 from runlens.sources.tables import read_table
@@ -174,3 +174,10 @@ def op7_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_kneser_ney_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = perplexity.quality(read_table(spark, sf_dir, "documents"))
     return rated.select("doc_id", *perplexity.BASE, "base_failed", "kept", "perplexity", "lower_band", "upper_band")
+
+
+@query("op5_ftrl_languages")
+def op5_ftrl_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
