@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, langid, mixing, oddsketch, packing, perplexity, shards, tokenfile, vafile
+from runlens.llm import chat, langid, mixing, oddsketch, packing, perplexity, pii, shards, tokenfile, vafile
 from runlens.llm.common import materialise, word_count
 from runlens.session import scratch_path
 from runlens.sources.tables import read_table
@@ -181,3 +181,18 @@ def op5_ftrl_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.identify(docs)
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_lstm_crf_pii")
+def op8_lstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii_spans", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined(base), 256).alias("base_sha256"),
+                        joined(F.col("pii_spans")).alias("spans"))
