@@ -37,10 +37,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import column, materialise, ship
+from runlens.llm.common import column, group_key, materialise, ship, without
 from runlens.llm.components import connected_components
 
 #: Chance that a pair at the threshold shares no band.
@@ -197,10 +197,15 @@ def _cells(members: DataFrame, key: str, counts: DataFrame) -> DataFrame:
     return rows.withColumn("cell", F.explode(F.when(blocks > 1, pair).otherwise(F.array(F.xxhash64(key)))))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+                    row_key: Column | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
+
+    ``row_key``, a string that tells rows apart, is carried along as row_key.
+    """
     ship(docs.sparkSession)
-    texts = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
+    texts = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).cast("string").alias("text"),
+                        (F.lit(None) if row_key is None else row_key).cast("string").alias("row_key"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,11 +220,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                 keys.append(bands)
                 sketch.append(odd)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "node", "keys", "sketch"])
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(n, pa.int64()), pa.array(node, pa.binary()),
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                names=["doc_id", "row_key", "n_shingles", "node", "keys", "sketch"])
 
     signed = materialise(texts.mapInArrow(
-        sign, f"doc_id {id_type}, n_shingles long, node binary, keys array<long>, sketch binary"), "dup-signatures")
+        sign, f"doc_id {id_type}, row_key string, n_shingles long, node binary, keys array<long>, sketch binary"), "dup-signatures")
     # copies are one node
     nodes = materialise(signed.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "dup-nodes")
@@ -262,7 +268,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                 [batch.column("doc_id").take(pa.array(keep, pa.int32())), pa.array([xxhash.xxh3_128_digest(s) for s in full], pa.binary()),
                  pa.array(full, pa.binary())], names=["doc_id", "node", "values"])
 
-    full = texts.withColumn("p", place).mapInArrow(sets, f"doc_id {id_type}, node binary, values binary")
+    full = texts.select("doc_id", "text", place.alias("p")).mapInArrow(sets, f"doc_id {id_type}, node binary, values binary")
     groups = coarse.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     cells = _cells(coarse.select("root", "node", "doc_id"), "root", groups).select("cell", "node", F.col("doc_id").alias("first_id"))
     compared = cells.join(full, (cells["node"] == full["node"]) & cells["first_id"].eqNullSafe(full["doc_id"])).select(
@@ -282,6 +288,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     roots = nodes.select("node", "doc_id").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = roots.join(smallest, "root").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+    out = signed.select("doc_id", "row_key", "n_shingles", "node").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
+                      *([] if row_key is None else ["row_key"]))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one document of each component, once."""
+    key = F.concat_ws(":", group_key(column(docs, id_col)), F.xxhash64(column(docs, text_col)).cast("string"))
+    kept = near_duplicates(docs, words, percent, id_col, text_col, key).where("kept").select(F.col("row_key").alias("_row_key")).distinct()
+    keep = without(docs, ("_row_key",))
+    rows = docs.select(*[column(docs, c) for c in keep], key.alias("_row_key"))
+    return rows.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*[column(rows, c) for c in keep])
