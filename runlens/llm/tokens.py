@@ -5,7 +5,8 @@ white space. The pre-tokenizers of both supported kinds (byte-level with a
 leading space, and words with white space dropped) always cut there, so the ids
 of the parts, encoded alone, joined, are the ids of the whole text. Parts are
 kept in a bounded cache of two generations; ids come from the ``tokenizers``
-library only.
+library only. A part of plain letters is one pre-token, so the tokenizer's model
+is asked for it directly, if probes show that it agrees with the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -21,45 +22,27 @@ import numpy as np
 _EXOTIC = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎    　​﻿" + "".join(
     map(chr, range(0x2000, 0x200B)))
 _SAFE = re.compile(rf"(?<=[^ \n{_EXOTIC}])(?=[ \n][^ \n{_EXOTIC}])")
-#: Parts per generation: a full one becomes the old one, which is asked once more before it goes.
-CACHE = 500_000
+_RUNS = ("  ", " \n", "\n ", "\n\n")
+#: Parts per generation of the cache: a full one becomes the old one, which is asked once more before it goes.
+CACHE = 700_000
 #: Longer parts are not kept.
 CACHED_CHARS = 64
 
 
-class _Parts:
-    """Part -> little-endian ids, for parts that follow ``lead``."""
+#: Words that the model must encode as the tokenizer does before it is asked directly.
+PROBES = ("a", "I", "the", "The", "UPPER", "camelCase", "Überall", "straße", "élan", "ÉCOLE", "ñandú", "ciónes", "œuvre", "żółw", "xqzjvw" * 4)
 
-    def __init__(self, encode, lead: str):
-        self.encode, self.lead = encode, lead
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
-    def get(self, parts: list[str]) -> list[bytes]:
-        found = list(map(self.new.get, parts))
-        if None not in found:
-            return found
-        if len(self.new) >= CACHE:
-            self.new, self.old = {}, self.new
-            found = list(map(self.new.get, parts))
-        extra = self._learn({p for p, ids in zip(parts, found, strict=True) if ids is None})
-        return [extra[p] if ids is None else ids for p, ids in zip(parts, found, strict=True)]
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        got = {p: ids for p in missing if (ids := self.old.get(p)) is not None}
-        # letters and a comma or full stop behind them are cut apart anyway
-        stems = {p: p[:-1] for p in missing if p not in got and p[-1:] in (",", ".") and p[:-1].isalpha() and max(p) < "ɐ"}
-        whole = [p for p in {stems.get(p, p) for p in missing if p not in got} if p not in self.new and p not in got]
-        ids = dict(zip(whole, self.encode([self.lead + p for p in whole]), strict=True))
-        marks = dict(zip(",.", self.encode([",", "."]), strict=True)) if stems else {}
-        for p, s in stems.items():
-            got[p] = (ids.get(s) or got.get(s) or self.new[s]) + marks[p[-1]]
-        got |= ids
-        self.new |= {p: v for p, v in got.items() if len(p) <= CACHED_CHARS}
-        return got
+def _byte_letters() -> str:
+    """The letters by which byte-level models write the bytes 0 to 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return "".join(chr(b) if b in plain else chr(next(other)) for b in range(256))
 
 
 class Encoder:
+    """Parts are words behind a space, written without it, or behind a newline, written with it."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -67,36 +50,64 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         #: two bytes hold the ids of a vocabulary of up to 65,536
         self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._line, self._word = _Parts(self._ids, ""), _Parts(self._ids, " ")
-        self._newline = self._ids(["\n"])[0]
+        self._kind = "H" if self.dtype.itemsize == 2 else "I"
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._marks = dict(zip(",.", self._ids([",", "."]), strict=True))
+        self._model, self._letters, self._direct = self._tokenizer.model, _byte_letters(), None
+        whole = self._ids([f" {w}" for w in PROBES])
+        for form in ((" ", False), (" ", True), ("", False), ("", True)):
+            if [self._of_model(w, *form) for w in PROBES] == whole:
+                self._direct = form
+                break
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        kind = "H" if self.dtype.itemsize == 2 else "I"
-        return [array(kind, e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self._kind, e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_model(self, word: str, lead: str, lower: bool) -> bytes:
+        raw = lead + (word.lower() if lower else word)
+        return array(self._kind, [t.id for t in self._model.tokenize(raw.encode().decode("latin-1").translate(self._letters))]).tobytes()
+
+    def _words(self, parts: list[str]) -> dict[str, bytes]:
+        direct = [p for p in parts if self._direct and p.isalpha() and max(p) < "\u0250" and p.lower().isalpha()]
+        got = {p: self._of_model(p, *self._direct) for p in direct}
+        rest = [p for p in parts if p not in got]
+        got |= zip(rest, self._ids([p if p[0] == "\n" else " " + p for p in rest]), strict=True)
+        return got
 
     def __call__(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian integers of ``dtype``; null is empty."""
         if not text:
             return b""
-        lines = [line.split(" ") for line in text.split("\n")]
-        if any("" in parts for parts in lines) or any(c in text for c in _EXOTIC):
-            return self._uneven(text)
-        heads = self._line.get([parts[0] for parts in lines])
-        words = iter(self._word.get(list(chain.from_iterable(parts[1:] for parts in lines))))
-        out = [heads[0], *(next(words) for _ in lines[0][1:])]
-        for head, parts in zip(heads[1:], lines[1:], strict=True):
-            out += (self._newline, head, *(next(words) for _ in parts[1:]))
-        return b"".join(out)
-
-    def _uneven(self, text: str) -> bytes:
-        """A text with other white space or runs of it, cut at its safe places only."""
-        first, *rest = _SAFE.split(text)
-        words = iter(self._word.get([p[1:] for p in rest if p[0] == " "]))
-        heads = iter(self._line.get([first, *(p[1:] for p in rest if p[0] == "\n")]))
-        out = [next(heads)]
-        for p in rest:
-            out += (next(words),) if p[0] == " " else (self._newline, next(heads))
-        return b"".join(out)
+        if text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS) or any(c in text for c in _EXOTIC):
+            # other white space or runs of it: cut at the safe places only
+            first, *parts = _SAFE.split(text)
+            parts = [p[1:] if p[0] == " " else p for p in parts]
+        else:
+            first, *parts = text.replace("\n", " \n").split(" ")
+        if len(self._new) > CACHE:
+            self._new, self._old = {}, self._new
+        ids = list(map(self._new.get, parts))
+        if None in ids:
+            at = [i for i, known in enumerate(ids) if known is None]
+            got = self._learn({parts[i] for i in at})
+            for i in at:
+                ids[i] = got[parts[i]]
+        return self._ids([first])[0] + b"".join(ids)
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """The ids of parts; all but long parts are kept."""
+        got = {p: ids for p in missing if (ids := self._old.get(p)) is not None}
+        # letters and a comma or full stop behind them are cut apart anyway
+        stems = {p: p[:-1] for p in missing if p not in got and p[-1:] in self._marks and p[:-1].isalpha() and max(p) < "\u0250"}
+        known = {s: ids for s in stems.values() if (ids := self._new.get(s) or self._old.get(s))}
+        fresh = {stems.get(p, p) for p in missing if p not in got} - known.keys()
+        fresh = [p for p in fresh if p not in got]
+        got |= self._words(fresh)
+        for p, s in stems.items():
+            got[p] = (known.get(s) or got[s]) + self._marks[p[-1]]
+        self._new |= {p: ids for p, ids in got.items() if len(p) <= CACHED_CHARS}
+        return got
 
 
 _ENCODERS: dict[str, Encoder] = {}
