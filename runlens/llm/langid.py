@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from runlens.llm.common import column, ship, without
+from runlens.llm.common import column, free, ship, without
 from runlens.llm.mixing import seeded_order
 
 FEATURES = 1 << 16
@@ -205,14 +205,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = spark.sparkContext.broadcast(train(docs.select(
         column(docs, id_col).alias("doc_id"), column(docs, text_col).cast("string").alias("text"), column(docs, lang_col).alias("lang"))))
     kept = docs.select(*[column(docs, c) for c in without(docs, ("lang_pred", "score"))])
+    held = free(docs, "_text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.value.predict(t.as_py()) for t in batch.column("_text")]
-            plain = batch.drop_columns(["_text"])
+            found = [model.value.predict(t.as_py()) for t in batch.column(held)]
+            plain = batch.drop_columns([held])
             yield pa.RecordBatch.from_arrays(
                 [*plain.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=[*plain.schema.names, "lang_pred", "score"])
 
     schema = StructType([*kept.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
-    return kept.withColumn("_text", column(docs, text_col).cast("string")).mapInArrow(predict, schema)
+    return kept.withColumn(held, column(docs, text_col).cast("string")).mapInArrow(predict, schema)

@@ -31,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import column, group_key, materialise, without, word_count
+from runlens.llm.common import column, free, group_key, materialise, without, word_count
 
 OUTPUT = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 #: Hex digits of the hash that form a bucket: 4096 buckets per source.
@@ -99,29 +99,27 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epoch
     ``size_col`` names a column that holds the sizes already.
     """
     size = column(docs, size_col).cast("long") if size_col else word_count(column(docs, text_col))
-    source = column(docs, source_col)
-    sized = docs.select(
-        *[column(docs, c) for c in without(docs, (*OUTPUT, "_key", "_h"))],
-        F.coalesce(size, F.lit(0)).alias("mix_size"), group_key(source).alias("_key"),
-        seeded_order(column(docs, id_col), seed).alias("_h"))
-    slim = materialise(docs.select(
-        group_key(source).alias("key"), source.cast("string").alias("source"),
-        F.coalesce(size, F.lit(0)).alias("size"), seeded_order(column(docs, id_col), seed).alias("h")), "mix-sizes")
+    size, source = F.coalesce(size, F.lit(0)), column(docs, source_col)
+    key, h = group_key(source), seeded_order(column(docs, id_col), seed)
+    slim = materialise(docs.select(key.alias("key"), source.cast("string").alias("source"), size.alias("size"), h.alias("h")), "mix-sizes")
     plan = materialise(_plan(slim, weights, max_epochs, share), "mix-plan")  # one row per source: Catalyst sees its size
-    plan = plan.select(*[F.col(c).alias(f"_plan_{c}") for c in plan.columns])
-    first = F.struct(F.col("_h").alias("h"), F.col("mix_size").alias("s")) <= F.struct(
-        F.col("_plan_cut_h").alias("h"), F.col("_plan_cut_size").cast("long").alias("s"))
-    extra = F.when(F.col("_plan_cut_h").isNotNull() & first, 1).otherwise(0)
-    out = sized.join(plan, F.col("_key") == F.col("_plan_key"), "left")
+
+    keep = without(docs, OUTPUT)
+    key_name, h_name, plan_name = (free(docs, n) for n in ("_key", "_h", "_plan"))
+    sized = docs.select(*[column(docs, c) for c in keep], size.alias("mix_size"), key.alias(key_name), h.alias(h_name))
+    plan = plan.select(F.col("key").alias(key_name), F.struct(*[c for c in plan.columns if c != "key"]).alias(plan_name))
+    out = sized.join(plan, key_name, "left")
+    chosen = F.col(plan_name)
+    first = F.struct(F.col(h_name).alias("h"), F.col("mix_size").alias("s")) <= F.struct(
+        chosen["cut_h"].alias("h"), chosen["cut_size"].cast("long").alias("s"))
+    extra = F.when(chosen["cut_h"].isNotNull() & first, 1).otherwise(0)
     return out.select(
-        *[column(sized, c) for c in sized.columns if c not in ("_key", "_h")],
-        F.col("_plan_source_size").alias("mix_source_size"), F.col("_plan_target").alias("mix_target"),
-        (F.col("_plan_whole") + extra).cast("long").alias("mix_copies"))
+        *[column(out, c) for c in keep], "mix_size", chosen["source_size"].alias("mix_source_size"),
+        chosen["target"].alias("mix_target"), (chosen["whole"] + extra).cast("long").alias("mix_copies"))
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:
     """The mixture itself: each row as often as mix_copies says (never for 0)."""
-    keep = without(mixed, (*OUTPUT, "_copy"))
-    copies = mixed.where(F.col("mix_copies") > 0)
-    return copies.select(*[column(copies, c) for c in keep],
-                         F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("_copy")).drop("_copy")
+    copies, name = mixed.where(F.col("mix_copies") > 0), free(mixed, "_copy")
+    return copies.withColumn(name, F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(
+        *[column(copies, c) for c in without(mixed, OUTPUT)])

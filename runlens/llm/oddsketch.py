@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import column, group_key, materialise, ship, without
+from runlens.llm.common import column, free, group_key, materialise, ship
 from runlens.llm.components import connected_components
 
 #: Chance that a pair at the threshold shares no band.
@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component, once."""
     key = F.concat_ws(":", group_key(column(docs, id_col)), F.xxhash64(column(docs, text_col)).cast("string"))
-    kept = near_duplicates(docs, words, percent, id_col, text_col, key).where("kept").select(F.col("row_key").alias("_row_key")).distinct()
-    keep = without(docs, ("_row_key",))
-    rows = docs.select(*[column(docs, c) for c in keep], key.alias("_row_key"))
-    return rows.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*[column(rows, c) for c in keep])
+    name = free(docs, "_row_key")
+    kept = near_duplicates(docs, words, percent, id_col, text_col, key).where("kept").select(F.col("row_key").alias(name)).distinct()
+    rows = docs.withColumn(name, key)
+    return rows.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
