@@ -117,25 +117,24 @@ class Tagger:
         np.add.at(grad["embed"], codes, d_x)
         return float((total - gold).sum()) / n, {name: g / n for name, g in grad.items()}
 
-    def fit(self, codes: np.ndarray, tags: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 13) -> list[float]:
-        """Adam on the CRF's negative log likelihood; the mean loss of each epoch."""
-        rng, losses, t = np.random.default_rng(seed), [], 0
+    def fit(self, codes: np.ndarray, tags: np.ndarray, steps: int = 400, batch: int = 64, rate: float = 0.02, seed: int = 13) -> list[float]:
+        """Adam on the CRF's negative log likelihood, the rate falling to zero; the loss of each step."""
+        rng, losses = np.random.default_rng(seed), []
         m, v = ({name: np.zeros(x.shape) for name, x in self.p.items()} for _ in range(2))
-        for epoch in range(epochs):
-            order, lost = rng.permutation(len(codes)), []
-            for at in range(0, len(order), batch):
-                part = order[at:at + batch]
-                loss, grad = self._step(codes[part], tags[part])
-                lost.append(loss)
-                t += 1
-                size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-                for name, g in grad.items():
-                    g = g * min(1.0, 5.0 / max(size, 1e-9))
-                    m[name] += 0.1 * (g - m[name])
-                    v[name] += 0.001 * (g * g - v[name])
-                    step = rate * 0.7**epoch * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.999**t)) + 1e-8)
-                    self.p[name] = (self.p[name] - step).astype(np.float32)
-            losses.append(float(np.mean(lost)))
+        order = np.empty(0, np.int64)
+        for t in range(1, steps + 1):
+            if len(order) < min(batch, len(codes)):
+                order = np.concatenate([order, rng.permutation(len(codes))])
+            part, order = order[:batch], order[batch:]
+            loss, grad = self._step(codes[part], tags[part])
+            losses.append(loss)
+            size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+            for name, g in grad.items():
+                g = g * min(1.0, 5.0 / max(size, 1e-9))
+                m[name] += 0.1 * (g - m[name])
+                v[name] += 0.01 * (g * g - v[name])
+                step = rate * (1 - (t - 1) / steps) * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.99**t)) + 1e-8)
+                self.p[name] = (self.p[name] - step).astype(np.float32)
         return losses
 
     def decode(self, e: np.ndarray, length: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -6,8 +6,9 @@ corpus: in a bounded sample of windows, at most ``SAMPLE`` per kind in seeded
 hash order, the base spans are the labels; each window is also learned in a
 variant in which its spans are written in ways the patterns don't accept (other
 separators, no country code, spaces around the @), and windows with digits but no
-span are learned as they are. The model adds spans that overlap no base span and
-whose every character it is sure of (``SURE``).
+span are learned as they are. The model adds spans that overlap no base span,
+whose every character it is sure of (``SURE``), that are not part of a longer
+word or number, and whose digits pass the checks of their kind.
 
 Texts are read in windows of ``WINDOW`` characters that overlap by half. All
 labelled spans, variants included, have a digit or an @; windows without either
@@ -153,7 +154,7 @@ def _rewritten(text: str, spans: list[Span], rng: np.random.Generator) -> tuple[
     return out + text[at:], moved
 
 
-def learn(windows: list[tuple[str, list[Span]]], seed: int = 5, epochs: int = 6) -> Tagger | None:
+def learn(windows: list[tuple[str, list[Span]]], seed: int = 5, steps: int = 400) -> Tagger | None:
     """A tagger from windows with non-overlapping labelled spans; None without a span."""
     if not any(spans for _, spans in windows):
         return None
@@ -163,7 +164,7 @@ def learn(windows: list[tuple[str, list[Span]]], seed: int = 5, epochs: int = 6)
         if spans:
             rows.append(_examples(*_rewritten(text, spans, rng), rng))
     tagger = Tagger(SYMBOLS, LABELS)
-    tagger.fit(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), epochs)
+    tagger.fit(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), steps)
     return tagger
 
 
@@ -187,6 +188,21 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def plausible(text: str, span: Span) -> bool:
+    """Whether a span of the model stands alone and has what its kind needs."""
+    start, kind, end = span
+    if text[start - 1:start].isalnum() or text[end:end + 1].isalnum():
+        return False
+    inner = text[start:end]
+    numbers = re.findall("[0-9]+", inner)
+    digits = "".join(numbers)
+    if kind == 0:
+        return "." in inner.partition("@")[2]
+    if kind == 1:
+        return len(numbers) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in numbers)
+    return 14 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 10 <= len(digits) <= 15
+
+
 def model_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
     """Spans that the model is sure of, per text."""
     found: list[list[Span]] = [[] for _ in texts]
@@ -226,8 +242,9 @@ def model_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
                     end = t + 1
                     while end < len(tags) and tags[end] == tags[t] + 1:
                         end += 1
-                    if sure[t:end].min() >= SURE:
-                        found[i].append((a + t, (int(tags[t]) - 1) // 2, a + end))
+                    span = (a + t, (int(tags[t]) - 1) // 2, a + end)
+                    if sure[t:end].min() >= SURE and plausible(texts[i], span):
+                        found[i].append(span)
                     t = end
                 else:
                     t += 1
