@@ -61,14 +61,19 @@ def parse_label(c) -> tuple[Column, Column]:
     """Label text -> (label bigint, quarantine reason).
 
     ``int(float(s))`` semantics: surrounding blanks allowed, truncation toward
-    zero; null/blank/non-numeric/non-finite values get a reason instead."""
+    zero; null/blank/non-numeric/non-finite values and those beyond 64 bits get a
+    reason instead."""
     s = py_strip(_c(c))
-    d = s.try_cast("double")
+    # a decimal number, infinity or nan: casts alone would also take suffixes such as 3.0f
+    number = s.rlike(r"^[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+)?$|^(?i)[+-]?(inf|infinity|nan)$")
+    d = F.when(number, F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
     label = d.try_cast("bigint")
+    finite = ~F.isnan(d) & (F.abs(d) < float("inf"))
     reason = (F.when(_c(c).isNull(), "missing")
               .when(s == "", "blank")
               .when(d.isNull(), "not_a_number")
-              .when(label.isNull(), "not_finite"))
+              .when(~finite, "not_finite")
+              .when(label.isNull(), "out_of_range"))
     return F.when(reason.isNull(), label), reason
 
 

@@ -111,19 +111,17 @@ def cosine(a, b) -> Column:
 
 def pearson(a, b) -> Column:
     """Pearson correlation of two equal-length vectors; null when either is
-    constant. One pass accumulates the raw moments."""
+    constant or empty. Means first, then products of the centred values."""
     a, b = _c(a), _c(b)
-    zero = F.lit(0.0)
-    acc0 = F.struct(zero.alias("sx"), zero.alias("sy"), zero.alias("sxx"), zero.alias("syy"), zero.alias("sxy"))
-    m = F.aggregate(F.arrays_zip(a.alias("x"), b.alias("y")), acc0, lambda acc, e: F.struct(
-        (acc["sx"] + e["x"]).alias("sx"), (acc["sy"] + e["y"]).alias("sy"),
-        (acc["sxx"] + e["x"] * e["x"]).alias("sxx"), (acc["syy"] + e["y"] * e["y"]).alias("syy"),
-        (acc["sxy"] + e["x"] * e["y"]).alias("sxy")))
-    n = F.size(a).cast("double")
-    cov = m["sxy"] - m["sx"] * m["sy"] / n
-    vx = m["sxx"] - m["sx"] * m["sx"] / n
-    vy = m["syy"] - m["sy"] * m["sy"] / n
-    return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+    zero, n = F.lit(0.0), F.size(a).cast("double")
+    varies = lambda v: F.array_max(v) > F.array_min(v)
+    centred = lambda v: F.transform(F.arrays_zip(v.alias("x"), F.array_repeat(vsum(v) / n, F.size(v)).alias("m")),
+                                    lambda e: e["x"] - e["m"])
+    acc0 = F.struct(zero.alias("xx"), zero.alias("yy"), zero.alias("xy"))
+    m = F.aggregate(F.arrays_zip(centred(a).alias("x"), centred(b).alias("y")), acc0, lambda acc, e: F.struct(
+        (acc["xx"] + e["x"] * e["x"]).alias("xx"), (acc["yy"] + e["y"] * e["y"]).alias("yy"),
+        (acc["xy"] + e["x"] * e["y"]).alias("xy")))
+    return F.when(varies(a) & varies(b), F.try_divide(m["xy"], F.sqrt(m["xx"]) * F.sqrt(m["yy"])))
 
 
 def topk_positions(a, k: int) -> Column:

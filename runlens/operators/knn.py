@@ -1,73 +1,72 @@
 """Exact k-nearest-neighbour classification (Euclidean, uniform vote).
 
-The training rows are cut into blocks of at most ``block_rows`` rows (numbered
-with ``global_index``); each block is broadcast — its size is bounded by the
-parameter, not by the data — and the query rows are scored against it in
-Arrow batches with numpy inside ``mapInPandas``. Every task emits only the k
-best candidates of each query for that block, so no pair rows are formed; the
-per-query candidates (k per block) are merged and voted with aggregates.
-Neighbour ties go to the earlier training key, vote ties to the smaller label.
+Queries and training rows are packed into blocks of bounded size by a hash of
+the key; every query block meets every training block in a task of its own, which
+keeps the k best rows of that block per query. Ranks and votes are merged by a
+window limit and aggregates, so no row of either side passes through the driver
+and no pair is ever a row. Neighbour ties go to the smaller training key, vote
+ties to the smaller label. Rows with a null key, label or vector take no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.operators.ranking import global_index
-
-QUERY_BATCH = 256   # queries scored together against a block (bounds numpy memory)
+QUERY_BATCH = 128   # queries scored together against a block (bounds numpy memory)
 
 
-def _block_candidates(queries: DataFrame, block: pd.DataFrame, key: str, vec: str, label: str, k: int) -> DataFrame:
-    spark = queries.sparkSession
-    t_keys = block[key].to_numpy()
-    t_labels = block[label].to_numpy()
-    t_vecs = np.stack(block[vec].to_numpy()).astype("float64")
-    bc = spark.sparkContext.broadcast((t_keys, t_labels, t_vecs))
-    kk = min(k, len(t_keys))
-    margin = min(len(t_keys), kk + 16)
+def _blocks(df: DataFrame, key: str, vec: str, label: str | None, rows_per_block: int, name: str) -> tuple[DataFrame, int]:
+    """Rows of (name, keys, labels, vectors), packed; and how many blocks there are."""
+    rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(vec).cast("array<double>").alias("v"),
+                     (F.col(label) if label else F.lit(0)).cast("bigint").alias("l")).dropna()
+    n = max(1, -(-rows.count() // rows_per_block))
 
-    def score(batches):
-        keys_, labels_, train = bc.value
-        t_sq = (train * train).sum(axis=1)
-        for pdf in batches:
-            for start in range(0, len(pdf), QUERY_BATCH):
-                part = pdf.iloc[start:start + QUERY_BATCH]
-                q = np.stack(part[vec].to_numpy()).astype("float64")
-                approx = (q * q).sum(axis=1)[:, None] + t_sq[None, :] - 2.0 * q @ train.T
-                cand = np.argpartition(approx, margin - 1, axis=1)[:, :margin]
-                # exact distances for the candidates, ties to the smaller training key
-                diff = q[:, None, :] - train[cand]
-                exact = np.sqrt((diff * diff).sum(axis=2))
-                order = np.lexsort((keys_[cand], exact), axis=1)[:, :kk]
-                rows = np.arange(len(part))[:, None]
-                best = cand[rows, order]
-                yield pd.DataFrame({
-                    "query_key": np.repeat(part[key].to_numpy(), kk),
-                    "dist": exact[rows, order].ravel(),
-                    "train_key": keys_[best].ravel(),
-                    "train_label": labels_[best].ravel().astype("int64"),
-                })
+    def pack(at: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({name: [at[0]], f"{name}_k": [part["k"].to_numpy(np.int64).tobytes()],
+                             f"{name}_l": [part["l"].to_numpy(np.int64).tobytes()],
+                             f"{name}_v": [np.array(part["v"].tolist(), float).tobytes()]})
 
-    schema = "query_key bigint, dist double, train_key bigint, train_label bigint"
-    return queries.select(key, vec).mapInPandas(score, schema)
+    schema = f"{name} int, {name}_k binary, {name}_l binary, {name}_v binary"
+    return rows.withColumn(name, F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")).groupBy(name).applyInPandas(pack, schema), n
 
 
 def knn_classify(queries: DataFrame, train: DataFrame, key: str, vec: str, label: str, k: int = 5,
-                 block_rows: int = 50_000) -> DataFrame:
+                 block_rows: int = 8192) -> DataFrame:
     """Predicted label per query row: (key, pred)."""
-    blocks = global_index(train.select(key, label, vec), [F.col(key)], name="_i") \
-        .withColumn("_block", F.floor(F.col("_i") / block_rows))
-    n_blocks = blocks.select(F.max("_block")).first()[0]
-    cands = None
-    for b in range(0 if n_blocks is None else int(n_blocks) + 1):
-        # one bounded block (<= block_rows rows) at a time
-        block = blocks.where(F.col("_block") == b).select(key, label, vec).toPandas()
-        c = _block_candidates(queries, block, key, vec, label, k)
-        cands = c if cands is None else cands.unionByName(c)
+    asked, n_asked = _blocks(queries, key, vec, None, block_rows, "q")
+    known, n_known = _blocks(train, key, vec, label, block_rows, "t")
+    meet = known.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))).join(asked, "q")
+    meet = meet.repartition(max(1, n_asked * n_known), "q", "t")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m in batch.to_pylist():
+                q_keys, t_keys, t_labels = (np.frombuffer(m[c], np.int64) for c in ("q_k", "t_k", "t_l"))
+                q_vecs = np.frombuffer(m["q_v"]).reshape(len(q_keys), -1)
+                t_vecs = np.frombuffer(m["t_v"]).reshape(len(t_keys), -1)
+                t_sq, kk = (t_vecs * t_vecs).sum(axis=1), min(k, len(t_keys))
+                out: list[tuple[np.ndarray, ...]] = []
+                for at in range(0, len(q_keys), QUERY_BATCH):
+                    q = q_vecs[at:at + QUERY_BATCH]
+                    q_sq = (q * q).sum(axis=1)[:, None]
+                    near = q_sq + t_sq - 2.0 * q @ t_vecs.T
+                    # all rows that rounding may hide behind the k-th are measured exactly, ties included
+                    limit = np.partition(near, kk - 1, axis=1)[:, kk - 1] + 1e-9 * (q_sq[:, 0] + t_sq.max())
+                    for i in range(len(q)):
+                        rows = np.flatnonzero(near[i] <= limit[i])
+                        dist = np.sqrt(((t_vecs[rows] - q[i]) ** 2).sum(axis=1))
+                        best = np.lexsort((t_keys[rows], dist))[:kk]
+                        out.append((np.full(kk, q_keys[at + i]), dist[best], t_keys[rows[best]], t_labels[rows[best]]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)],
+                                                 names=["query_key", "dist", "train_key", "train_label"])
+
+    cands = meet.mapInArrow(score, "query_key bigint, dist double, train_key bigint, train_label bigint")
     w = Window.partitionBy("query_key").orderBy("dist", "train_key")  # k candidates per block per query
     nn = cands.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     votes = nn.groupBy("query_key", "train_label").agg(F.count(F.lit(1)).alias("_c"))

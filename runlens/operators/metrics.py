@@ -51,13 +51,14 @@ def per_class_prf(pred: DataFrame) -> DataFrame:
     return out.withColumn("f1", f1)
 
 
-def confusion_long(pred: DataFrame, classes: Sequence[int]) -> DataFrame:
-    """Zero-filled confusion matrix in long form over the given classes
-    (a generated classes x classes frame, left-joined with the counts)."""
-    lits = F.array(*[F.lit(int(c)) for c in classes])
-    grid = (pred.sparkSession.range(1).select(F.explode(lits).alias("label"))
-            .select("label", F.explode(lits).alias("pred")))
+def confusion_long(pred: DataFrame, classes: Sequence[int] | None = None) -> DataFrame:
+    """Zero-filled confusion matrix in long form over the labels that occur
+    (as label or prediction) and ``classes``: classes x classes rows."""
     cc = confusion_counts(pred)
+    occur = cc.agg(F.collect_set("label").alias("a"), F.collect_set("pred").alias("b"))  # as many values as classes
+    more = F.array(*[F.lit(int(c)) for c in classes or ()]).cast("array<int>")
+    every = F.array_distinct(F.concat(F.col("a").cast("array<int>"), F.col("b").cast("array<int>"), more))
+    grid = occur.select(every.alias("c")).select("c", F.explode("c").alias("label")).select("label", F.explode("c").alias("pred"))
     return grid.join(cc, ["label", "pred"], "left").select("label", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -52,13 +52,14 @@ def evaluate(pred: DataFrame, label: str, model: str) -> DataFrame:
 
 
 def bow_baseline(train: DataFrame, test: DataFrame, text: str, label: str, vocab_size: int = 5000,
-                 max_iter: int = 100) -> DataFrame:
+                 c: float = 1.0, max_iter: int = 1000) -> DataFrame:
     """Tokenise -> count vectors over the top ``vocab_size`` words ->
-    logistic regression, as one Spark ML pipeline."""
+    logistic regression (penalty as in ``fit_logistic``), as one pipeline."""
+    n = train.count()
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=WORD_PATTERN, gaps=False, toLowercase=True),
         CountVectorizer(inputCol="_words", outputCol="_bow", vocabSize=vocab_size),
-        LogisticRegression(featuresCol="_bow", labelCol=label, maxIter=max_iter, regParam=0.01),
+        LogisticRegression(featuresCol="_bow", labelCol=label, maxIter=max_iter, regParam=1.0 / (c * max(n, 1))),
     ])
     return pipe.fit(train).transform(test)
 

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from runlens.functions.arrays import posexplode_rows
 from runlens.functions.text import parse_label
-from runlens.operators.ranking import global_index
+from runlens.operators.ranking import global_index, null_safe_join
 
 PAD_ID = 0
 UNK_ID = 1
 FIRST_WORD_ID = 2
 LABEL_MIN, LABEL_MAX = 0, 4
+#: Hex digits of the hash that form a bucket of a class.
+SPLIT_PREFIX = 3
 
 
 def drop_nulls(df: DataFrame, subset: Sequence[str] | None = None, how: str = "any") -> tuple[DataFrame, DataFrame]:
@@ -36,9 +38,16 @@ def drop_nulls(df: DataFrame, subset: Sequence[str] | None = None, how: str = "a
     return df.where(ok), report
 
 
-def parse_labels(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``label`` (bigint) and ``reason`` (null when parsed)."""
+def parse_labels(df: DataFrame, text_col: str, strict: bool = False, where: Sequence[str] = ()) -> DataFrame:
+    """Adds ``label`` (bigint) and ``reason`` (null when parsed).
+
+    ``strict`` fails the job at a bad label and names it with the values of the
+    columns ``where`` (its split and row, say)."""
     label, reason = parse_label(text_col)
+    if strict:
+        at = [F.concat(F.lit(f", {c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in where]
+        said = F.concat(F.lit("bad label "), F.coalesce(F.col(text_col), F.lit("null")), F.lit(": "), reason, *at)
+        label = F.when(reason.isNull(), label).otherwise(F.raise_error(said).cast("bigint"))
     return df.withColumns({"label": label, "reason": reason})
 
 
@@ -80,29 +89,42 @@ def stratified_split(df: DataFrame, label: str, key: str, test_frac: float = 0.1
     """Exact stratified split: test = ceil(test_frac * n) rows allocated to
     classes by largest remainder, then dev = ceil(dev_frac * rest) the same way
     over the remaining rows, train the rest. Members are the first rows of each
-    class in md5(seed:key) order, numbered without a per-class window.
+    class in md5(seed:key) order. Counts per (class, first hash digits) tell for
+    all rows of a bucket where they fall, unless a quota ends inside the bucket;
+    only the rows of those buckets, two per class, are numbered. Rows are
+    neither sorted nor checkpointed.
 
     The class-count table has one row per class (the label domain), so the
-    quota windows run over a bounded frame and the quota table is broadcast."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    quota windows run over a bounded frame. The null class is a class."""
+    hashed = df.withColumn("_h", seeded_key(key, seed))
+    hashed = hashed.withColumn("_b", F.coalesce(F.substring("_h", 1, SPLIT_PREFIX), F.lit("")))
+    buckets = hashed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_in"))
+    counts = buckets.groupBy(label).agg(F.sum("_in").alias("_n"))
     q = _quotas(counts, label, "_n", test_frac, "_q_test")
     if dev_frac is not None:
         q = q.withColumn("_n_rest", F.col("_n") - F.col("_q_test"))
         q = _quotas(q, label, "_n_rest", dev_frac, "_q_dev")
     else:
         q = q.withColumn("_q_dev", F.lit(0).cast("bigint"))
-    ranked = global_index(df, [seeded_key(key, seed), F.col(key)], partition_by=[label], name="_r")
-    j = ranked.join(F.broadcast(q.select(label, "_q_test", "_q_dev")), label)
-    split = (F.when(F.col("_r") < F.col("_q_test"), "test")
-             .when(F.col("_r") < F.col("_q_test") + F.col("_q_dev"), "dev").otherwise("train"))
-    return j.withColumn(split_col, split).drop("_r", "_q_test", "_q_dev")
+    before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = buckets.withColumn("_from", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    test_end, dev_end = F.col("_q_test"), F.col("_q_test") + F.col("_q_dev")
+    inside = lambda end: (F.col("_from") < end) & (end < F.col("_from") + F.col("_in"))
+    starts = null_safe_join(starts, q.select(label, "_q_test", "_q_dev"), [label]).withColumn(
+        "_edge", inside(test_end) | inside(dev_end))
+    placed = null_safe_join(hashed, starts, [label, "_b"])
+    number = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)) - 1
+    edge = placed.where("_edge").withColumn("_r", F.col("_from") + number)
+    rest = placed.where("not _edge").withColumn("_r", F.col("_from").cast("long"))
+    split = (F.when(F.col("_r") < test_end, "test").when(F.col("_r") < dev_end, "dev").otherwise("train"))
+    return rest.unionByName(edge).withColumn(split_col, split).select(*df.columns, split_col)
 
 
 def split_summary(df: DataFrame, split: str = "split", label: str = "label") -> DataFrame:
     """Rows and normalised class share per split."""
     c = df.groupBy(split, label).agg(F.count(F.lit(1)).alias("n"))
     tot = c.groupBy(split).agg(F.sum("n").alias("_tot"))
-    return c.join(tot, split).withColumn("share", F.col("n") / F.col("_tot")).drop("_tot")
+    return null_safe_join(c, tot, [split]).withColumn("share", F.col("n") / F.col("_tot")).drop("_tot")
 
 
 def row_index(df: DataFrame, partition_by: Sequence[str], order: Sequence[str], name: str = "index") -> DataFrame:

@@ -1,13 +1,15 @@
 """Argmax, top-n and positional indexing without single-task windows.
 
-* ``best_per_group`` is a hash aggregate of ``max(struct(...))``: the partial
-  aggregate runs before the shuffle, so a group holding a third of all rows
-  costs one buffered struct per task, not a sort of the whole group.
-* ``last_two_per_group`` finds the last and second-last row of every group with
-  two such aggregates (no per-group sort).
+* ``best_per_group`` aggregates ``max(struct(...))``: the partial aggregate runs
+  before the shuffle (Spark sorts each task's rows for a struct buffer), so a
+  group holding a third of all rows sends one struct per task.
+* ``last_two_per_group`` keeps two rows per group with a window limit that Spark
+  also places before the shuffle.
 * ``global_index`` numbers rows 0..n-1 in a total order (optionally restarting
   per group) from a range-partitioned sort plus per-task offsets, so neither a
   global order nor a hot group funnels into one task.
+
+Null groups are groups like any other; joins on group keys are null-safe.
 """
 
 from __future__ import annotations
@@ -22,10 +24,37 @@ def _cols(xs: Sequence[str | Column]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def has_value(c: Column) -> Column:
+    """Neither null nor NaN."""
+    return c.isNotNull() & ~F.isnan(c.cast("double"))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null; the keys appear once."""
+    if not keys:
+        raise ValueError("no keys")
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(right[f"_right_{k}"])
+    return left.join(right, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the first by ``order``, then by the other columns."""
+    rest = [c for c in df.columns if c not in keys]
+    lead = [c for c in order if c in rest]
+    first = F.min(F.struct(*[F.col(c) for c in lead], *[F.col(c) for c in rest if c not in lead]) if rest else F.lit(1)).alias("_first")
+    out = df.groupBy(*keys).agg(first)
+    return out.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
+
+
 def best_per_group(df: DataFrame, keys: Sequence[str], metric: str, tiebreak: str,
                    descending: bool = True, carry: Sequence[str] | None = None) -> DataFrame:
     """Row with the highest (or lowest) ``metric`` per group; on ties the row with
-    the smallest ``tiebreak`` wins (first row in file order)."""
+    the smallest ``tiebreak`` wins (first row in file order). Null and NaN
+    metrics can't win; a group that has nothing else gives no row."""
+    df = df.where(has_value(F.col(metric)))
     carry = [c for c in (carry if carry is not None else df.columns) if c not in keys]
     m = F.col(metric) if descending else -F.col(metric)
     rest = [c for c in carry if c not in (metric, tiebreak)]
@@ -99,9 +128,8 @@ def global_index(df: DataFrame, order: Sequence[str | Column], partition_by: Seq
         F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
     w = Window.partitionBy(*partition_by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    out = tagged.join(F.broadcast(blocks.select("_task", *partition_by, "_offset", "_first"))
-                      if not partition_by else blocks.select("_task", *partition_by, "_offset", "_first"),
-                      ["_task", *partition_by])
+    blocks = blocks.select("_task", *partition_by, "_offset", "_first")
+    out = null_safe_join(tagged, blocks if partition_by else F.broadcast(blocks), ["_task", *partition_by])
     return out.withColumn(name, F.col("_offset") + F.col("_mono") - F.col("_first")).drop(
         "_task", "_mono", "_offset", "_first")
 
@@ -112,54 +140,16 @@ def running_max_before(df: DataFrame, group: str, order: Sequence[str], value: s
     order ``order`` (null for a group's first row), without a per-group window.
 
     A segmented scan: rows are range-partitioned and sorted on (group, order),
-    so a hot group spans many tasks. Only the first group of a task can have
-    rows in earlier tasks, so a table of at most (number of tasks) rows gives
-    every task its carry: the maximum its first group reached before. Each task
-    then scans its rows in order (pandas cumulative maximum per group over Arrow
-    batches), seeded with that carry."""
-    import numpy as np
-    import pandas as pd
-
+    so a hot group spans many tasks. A table of one maximum per (task, group),
+    run over the tasks of a group, gives each block what the group reached
+    before; inside a block a window over (task, group) does. Null and NaN values
+    raise no maximum; the null group is a group."""
     keys = [F.col(group), *[F.col(c) for c in order]]
     tagged = _tagged_range_sorted(df, keys, mono=False)
-    summary = tagged.groupBy("_task").agg(
-        F.min(group).alias("_first"), F.max(F.struct(F.col(group).alias("g"), F.col(value).alias("v"))).alias("_last"))
-    earlier = summary.select(F.col("_task").alias("_t2"), F.col("_last.g").alias("_first"),
-                             F.col("_last.v").alias("_v"))
-    carry = (summary.select("_task", "_first").join(earlier, "_first")
-             .where(F.col("_t2") < F.col("_task"))
-             .groupBy("_task", "_first").agg(F.max("_v").alias("_carry")))
-    seeded = tagged.join(F.broadcast(carry.withColumnRenamed("_first", "_carry_group")), "_task", "left")
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    cols = list(df.columns)
-    out_schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
-
-    def scan(batches):
-        state_g, state_m = None, None
-        started = False
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if not started:
-                started = True
-                if pd.notna(pdf["_carry"].iloc[0]):
-                    state_g, state_m = pdf["_carry_group"].iloc[0], float(pdf["_carry"].iloc[0])
-            g = pdf[group]
-            v = pdf[value].astype("float64")
-            cm = v.groupby(g, sort=False).cummax()
-            prev = cm.groupby(g, sort=False).shift(1)
-            if state_g is not None:
-                same = (g == state_g).to_numpy()
-                prev = prev.where(~same, np.fmax(prev.to_numpy(), state_m))
-            last_g = g.iloc[-1]
-            last_m = float(cm[g == last_g].iloc[-1])
-            if state_g is not None and last_g == state_g:
-                last_m = float(np.fmax(last_m, state_m))
-            state_g, state_m = last_g, last_m
-            out = pdf[cols].copy()
-            out[name] = prev.astype("float64")
-            yield out
-
-    return seeded.mapInPandas(scan, out_schema)
+    value_ = F.when(has_value(F.col(value)), F.col(value))
+    before = Window.partitionBy(group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = tagged.groupBy("_task", group).agg(F.max(value_).alias("_max")).select(
+        "_task", group, F.max("_max").over(before).alias("_carry"))
+    inside = Window.partitionBy("_task", group).orderBy(*[F.col(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    seeded = null_safe_join(tagged, blocks, ["_task", group])
+    return seeded.withColumn(name, F.greatest("_carry", F.max(value_).over(inside)).cast(df.schema[value].dataType)).drop("_task", "_carry")

@@ -13,7 +13,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.operators.ranking import best_per_group, global_index, last_two_per_group, running_max_before, top_n
+from runlens.operators.ranking import (
+    best_per_group,
+    global_index,
+    has_value,
+    last_two_per_group,
+    null_safe_join,
+    running_max_before,
+    top_n,
+)
 
 # Fixed values of the analysis rules (must equal the reference's behaviour).
 CONVERGENCE_THRESHOLD = 0.001
@@ -99,10 +107,15 @@ def param_effect(df: DataFrame, params: Sequence[str], metric: str = "metric",
     return out
 
 
+def occurring(df: DataFrame, column: str) -> list:
+    """The values of a hyperparameter column, in order: one small job."""
+    return sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
+
+
 def pivot_agg(df: DataFrame, index: str, column: str, values: Sequence, metric: str,
               agg: str = "avg", names: Mapping | None = None) -> DataFrame:
-    """``groupBy(index).pivot(column, values)`` with an explicit value
-    list (no extra distinct job), aggregated by ``agg``."""
+    """``groupBy(index).pivot(column, values)`` aggregated by ``agg``;
+    ``values`` are those that occur (``occurring``), so none is lost."""
     g = df.groupBy(index).pivot(column, list(values))
     out = getattr(g, {"avg": "avg", "mean": "avg", "max": "max", "min": "min", "sum": "sum"}[agg])(metric)
     if names:
@@ -124,7 +137,8 @@ def running_best(df: DataFrame, partition: str, order: Sequence[str], metric: st
     """Running champion; a row replaces the champion only when strictly
     better than every earlier row of its run (segmented scan, no per-run window)."""
     out = running_max_before(df, partition, order, metric, "prev_best")
-    return out.withColumn("is_new_best", F.col("prev_best").isNull() | (F.col(metric) > F.col("prev_best")))
+    better = F.col("prev_best").isNull() | (F.col(metric) > F.col("prev_best"))
+    return out.withColumn("is_new_best", has_value(F.col(metric)) & better)
 
 
 # ------------------------------------------------------------ windows (W)
@@ -189,7 +203,7 @@ def chain_degradation(df: DataFrame, chain: str, order: Sequence[str], metric: s
     idx = global_index(df, list(order), partition_by=[chain], name="_i")
     prev = idx.select(chain, (F.col("_i") + 1).alias("_i"), F.col(metric).alias("_prev"))
     root = idx.where(F.col("_i") == 0).select(chain, F.col(metric).alias("_root"))
-    j = idx.join(prev, [chain, "_i"], "left").join(root, chain)
+    j = null_safe_join(null_safe_join(idx, prev, [chain, "_i"], "left"), root, [chain])
     return j.select(*df.columns, (F.col("_i") + 1).cast("int").alias("stage"),
                     (F.col(metric) - F.col("_prev")).alias("delta_prev"),
                     (F.col(metric) - F.col("_root")).alias("delta_root"))

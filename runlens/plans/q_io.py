@@ -115,17 +115,22 @@ SELECT l_orderkey, l_linenumber, l_partkey, path, m.strategy AS strategy, TRY_CA
   TRY_CAST(nullif(m.b, '') AS DOUBLE) AS beta, TRY_CAST(m.step AS INTEGER) AS step,
   CAST(TRY_CAST(m.step AS INTEGER) // 1325 AS INTEGER) AS epoch FROM p""")
 def s05(spark, d):
-    catalog, _rejects = IO.checkpoint_catalog(B.checkpoint_paths(spark, d))
-    return catalog
+    return IO.checkpoint_catalog(B.checkpoint_paths(spark, d))[0]
+
+
+@query("s05_catalog_rejects", rf"""WITH {PATHS}
+SELECT * FROM paths WHERE NOT coalesce(regexp_matches(path, '^.*/(vanilla|pkd_skip|pkd_last)_L([0-9]+)(?:_A([0-9]+p[0-9]+)_T([0-9]+)|_B([0-9]+))/checkpoint-([0-9]+)$'), false)""")
+def s05_rejects(spark, d):
+    return IO.checkpoint_catalog(B.checkpoint_paths(spark, d))[1]
 
 
 @query("s06_append_results", f"WITH {RUNS} SELECT run_name, epoch, metric, ord FROM runs")
 def s06(spark, d):
     runs = B.runs(spark, d).select("run_name", "epoch", "metric", "ord")
     path = scratch_path(spark, "s06-results")
-    IO.append_results(runs.where(F.col("epoch") % 2 == 1), path, ["run_name", "epoch"])
-    IO.append_results(runs, path, ["run_name", "epoch"])   # only the even epochs are new
-    IO.append_results(runs, path, ["run_name", "epoch"])   # a re-run appends nothing
+    IO.append_results(runs.where(F.col("epoch") % 2 == 1), path, ["run_name", "epoch"], ["ord"])
+    IO.append_results(runs, path, ["run_name", "epoch"], ["ord"])   # only the even epochs are new
+    IO.append_results(runs, path, ["run_name", "epoch"], ["ord"])   # a re-run appends nothing
     return spark.read.parquet(path)
 
 
@@ -150,24 +155,34 @@ def s08(spark, d):
 
 @query("s09_report_lines", f"""WITH {RUNS},
 best_run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_name ORDER BY metric DESC, ord) AS rn FROM runs) WHERE rn = 1),
-top AS (SELECT *, CAST(row_number() OVER (ORDER BY metric DESC, ord) AS INTEGER) AS o FROM best_run ORDER BY metric DESC, ord LIMIT 10),
+best_epoch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY metric DESC, ord) AS rn FROM runs) WHERE rn = 1),
 best AS (SELECT * FROM runs ORDER BY metric DESC, ord LIMIT 1),
-eff AS (SELECT alpha, avg(metric) AS m FROM runs GROUP BY alpha),
+per_run AS (SELECT *, CAST(row_number() OVER (ORDER BY metric DESC, ord) AS INTEGER) AS o FROM best_run),
+every AS (SELECT *, CAST(row_number() OVER (ORDER BY metric DESC, ord) AS INTEGER) AS o FROM runs),
+alphas AS (SELECT alpha, avg(metric) AS m FROM runs GROUP BY alpha),
+temps AS (SELECT temperature, avg(metric) AS m FROM runs GROUP BY temperature),
 r AS (SELECT *, row_number() OVER (PARTITION BY run_name ORDER BY epoch DESC, ord DESC) AS rn FROM runs),
-conv AS (SELECT CASE WHEN a.metric - b.metric > CAST(0.001 AS DOUBLE) THEN 'Still improving'
-       WHEN abs(a.metric - b.metric) < CAST(0.001 AS DOUBLE) THEN 'Converged' ELSE 'Overfitting' END AS status
+conv AS (SELECT a.run_name, b.metric AS prev, a.metric AS last, a.metric - b.metric AS delta,
+  CASE WHEN a.metric - b.metric > CAST(0.001 AS DOUBLE) THEN 'Still improving'
+       WHEN abs(a.metric - b.metric) < CAST(0.001 AS DOUBLE) THEN 'Converged' ELSE 'Overfitting' END AS status,
+  CAST(row_number() OVER (ORDER BY a.run_name) AS INTEGER) AS o
   FROM r a JOIN r b ON a.run_name = b.run_name AND b.rn = 2 WHERE a.rn = 1),
 convc AS (SELECT status, count(*) AS c FROM conv GROUP BY status)
 SELECT 1 AS section_no, 'overview' AS section, 0 AS ord, printf('Total evaluations: %d', (SELECT count(*) FROM runs)) AS line
 UNION ALL SELECT 1, 'overview', 1, printf('Runs: %d', (SELECT count(DISTINCT run_name) FROM runs))
 UNION ALL SELECT 1, 'overview', 2, printf('Best metric: %s (%s, epoch %d)', printf('%.4f', round(metric, 4)), run_name, epoch) FROM best
-UNION ALL SELECT 2, 'best_per_run', o, printf('%d. %s epoch %d: %s', o, run_name, epoch, printf('%.4f', round(metric, 4))) FROM top
-UNION ALL SELECT 3, 'param_effect', CAST(row_number() OVER (ORDER BY m DESC, alpha) AS INTEGER), printf('alpha=%s: %s', alpha, printf('%.4f', round(m, 4))) FROM eff
-UNION ALL SELECT 4, 'convergence', CAST(row_number() OVER (ORDER BY status) AS INTEGER), printf('%s: %d', status, c) FROM convc""")
+UNION ALL SELECT 2, 'best_per_run', o, printf('%d. %s epoch %d: %s', o, run_name, epoch, printf('%.4f', round(metric, 4))) FROM per_run
+UNION ALL SELECT 3, 'best_per_epoch', epoch, printf('epoch %d: %s alpha=%s temperature=%s: %s', epoch, run_name, alpha, temperature, printf('%.4f', round(metric, 4))) FROM best_epoch
+UNION ALL SELECT 4, 'alpha_effect', CAST(row_number() OVER (ORDER BY m DESC, alpha) AS INTEGER), printf('alpha=%s: %s', alpha, printf('%.4f', round(m, 4))) FROM alphas
+UNION ALL SELECT 5, 'temperature_effect', CAST(row_number() OVER (ORDER BY m DESC, temperature) AS INTEGER), printf('temperature=%s: %s', temperature, printf('%.4f', round(m, 4))) FROM temps
+UNION ALL SELECT 6, 'all_evaluations', o, printf('%d. %s epoch %d alpha=%s temperature=%s: %s', o, run_name, epoch, alpha, temperature, printf('%.4f', round(metric, 4))) FROM every
+UNION ALL SELECT 7, 'convergence', o, printf('%s: %s -> %s, change %s (%s)', run_name, printf('%.4f', round(prev, 4)), printf('%.4f', round(last, 4)), printf('%.4f', round(delta, 4)), status) FROM conv
+UNION ALL SELECT 8, 'convergence_summary', CAST(row_number() OVER (ORDER BY status) AS INTEGER), printf('%s: %d', status, c) FROM convc""")
 def s09(spark, d):
-    lines = REP.report_lines(B.runs(spark, d))
-    path = scratch_path(spark, "s09-report")
-    REP.write_report(lines, path)
+    path = scratch_path(spark, "s09-lines")
+    REP.report_lines(B.runs(spark, d)).write.parquet(path)  # computed once, for the report and for the result
+    lines = spark.read.parquet(path)
+    REP.write_report(lines, scratch_path(spark, "s09-report"))
     return lines
 
 

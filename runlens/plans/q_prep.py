@@ -232,7 +232,7 @@ def p16(spark, d):
     return P.sliding_chunks(docs, "doc_id", "w", CHUNK, STRIDE)
 
 
-# Per-dataset configuration: text column, label column, maximum characters, class weight.
+# Per-dataset configuration: text column, label column, maximum tokens of the encoder (P12 applies it), class weight.
 DATASETS = {
     "documents": ("text", "lang", 512, 1.0),
     "pages": ("html", None, 1024, 0.5),
@@ -241,15 +241,15 @@ DATASETS = {
 _ID = {"documents": "doc_id", "pages": "page_id", "benchmark": "item_id"}
 
 
-@query("p17_dataset_union", """SELECT 'documents' AS dataset, doc_id AS record_id, substr(text, 1, 512) AS text, lang AS label, CAST(1.0 AS DOUBLE) AS class_weight FROM documents
-UNION ALL SELECT 'pages', page_id, substr(html, 1, 1024), NULL, CAST(0.5 AS DOUBLE) FROM pages
-UNION ALL SELECT 'benchmark', item_id, substr(text, 1, 256), NULL, CAST(2.0 AS DOUBLE) FROM benchmark""")
+@query("p17_dataset_union", """SELECT 'documents' AS dataset, doc_id AS record_id, text, 512 AS max_length, lang AS label, CAST(1.0 AS DOUBLE) AS class_weight FROM documents
+UNION ALL SELECT 'pages', page_id, html, 1024, NULL, CAST(0.5 AS DOUBLE) FROM pages
+UNION ALL SELECT 'benchmark', item_id, text, 256, NULL, CAST(2.0 AS DOUBLE) FROM benchmark""")
 def p17(spark, d):
     out = None
-    for name, (text, label, max_chars, weight) in DATASETS.items():
+    for name, (text, label, max_length, weight) in DATASETS.items():
         t = read_table(spark, d, name)
         part = t.select(F.lit(name).alias("dataset"), F.col(_ID[name]).alias("record_id"),
-                        F.substring(text, 1, max_chars).alias("text"),
+                        F.col(text).alias("text"), F.lit(max_length).alias("max_length"),
                         (F.col(label) if label else F.lit(None).cast("string")).alias("label"),
                         F.lit(weight).alias("class_weight"))
         out = part if out is None else out.unionByName(part)

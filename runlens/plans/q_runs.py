@@ -113,16 +113,18 @@ _A05_COLS = ", ".join(f"round(avg(metric) FILTER (WHERE alpha = '{p}'), 6) AS {c
 SELECT temperature, {_A05_COLS} FROM best GROUP BY temperature""")
 def a05(spark, d):
     best = R.best_per(B.runs(spark, d), ["run_name"])
-    out = R.pivot_agg(best, "temperature", "alpha", PRIORITIES, "metric", "avg", PRIORITY_COLS)
-    return out.select("temperature", *[r6(F.col(c)).alias(c) for c in PRIORITY_COLS.values()])
+    names = {p: "a_" + p.split("-")[0] for p in R.occurring(read_table(spark, d, "orders"), "o_orderpriority")}
+    out = R.pivot_agg(best, "temperature", "alpha", list(names), "metric", "avg", names)
+    return out.select("temperature", *[r6(F.col(c)).alias(c) for c in names.values()])
 
 
 @query("a06_pivot_max", f"""WITH {STRATEGIES}
 SELECT size, max(metric) FILTER (WHERE beta = 'F') AS beta_F, max(metric) FILTER (WHERE beta = 'O') AS beta_O
 FROM strategies GROUP BY size""")
 def a06(spark, d):
-    return R.pivot_agg(B.strategies(spark, d), "size", "beta", ["F", "O"], "metric", "max",
-                       {"F": "beta_F", "O": "beta_O"})
+    s = B.strategies(spark, d)
+    betas = R.occurring(s, "beta")
+    return R.pivot_agg(s, "size", "beta", betas, "metric", "max", {b: f"beta_{b}" for b in betas})
 
 
 def _best_by_size(spark, d, strategy, beta=None):

@@ -25,7 +25,6 @@ def r6(c):
 
 
 N_CLASSES = 10
-CLASSES = list(range(N_CLASSES))
 KD_TEMPERATURE = 2.0
 TOPK = 10
 DIM = 64
@@ -194,12 +193,12 @@ def a10(spark, d):
 
 
 @query("a11_confusion_matrix", f"""WITH {_PRED_SQL},
-cls AS (SELECT CAST(i AS INTEGER) AS c FROM range(0, 10) AS r(i))
+cls AS (SELECT label AS c FROM pred UNION SELECT pred FROM pred)
 SELECT a.c AS label, b.c AS pred, count(p.vec_id) AS n
 FROM cls a CROSS JOIN cls b LEFT JOIN pred p ON p.label = a.c AND p.pred = b.c GROUP BY a.c, b.c""")
 def a11(spark, d):
     p = M.predictions(B.vectors(spark, d), F.slice("vec", 1, N_CLASSES))
-    return M.confusion_long(p, CLASSES)
+    return M.confusion_long(p)
 
 
 @query("a12_classification_report", f"""WITH {_PRF_SQL},

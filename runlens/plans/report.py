@@ -1,53 +1,71 @@
 """The text report of a results table as a long DataFrame of
 (section_no, section, ord, line), formatted with built-in expressions.
-``write_report`` writes it as one text table in report order."""
+``write_report`` writes it as text files in report order.
+
+Every run, epoch and evaluation is listed; lines of sections that grow with the
+table are numbered by ``global_index``, without a single-task window.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.operators import runs as R
-
-TOP_RUNS = 10
+from runlens.operators.ranking import global_index
 
 
-def _fmt4(c):
+def _fmt4(c) -> Column:
     return F.format_string("%.4f", F.round(c, 4))
 
 
-def report_lines(runs: DataFrame, top: int = TOP_RUNS) -> DataFrame:
+def _section(df: DataFrame, no: int, name: str, order: Column, line: Column) -> DataFrame:
+    return df.select(F.lit(no).alias("section_no"), F.lit(name).alias("section"), order.cast("int").alias("ord"), line.alias("line"))
+
+
+def _effect(runs: DataFrame, param: str, no: int) -> DataFrame:
+    eff = runs.groupBy(param).agg(F.avg("metric").alias("m"))
+    place = F.row_number().over(Window.orderBy(F.col("m").desc(), param))  # one row per value of a hyperparameter
+    return _section(eff, no, f"{param}_effect", place, F.format_string(f"{param}=%s: %s", F.col(param), _fmt4(F.col("m"))))
+
+
+def report_lines(runs: DataFrame) -> DataFrame:
     n = runs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("run_name").alias("k"))
-    best = R.best_overall(runs)
     overview = n.select(F.explode(F.array(
         F.struct(F.lit(0).alias("ord"), F.format_string("Total evaluations: %d", "n").alias("line")),
         F.struct(F.lit(1).alias("ord"), F.format_string("Runs: %d", "k").alias("line")))).alias("s")).select("s.*")
-    best_line = best.select(F.lit(2).alias("ord"), F.format_string(
-        "Best metric: %s (%s, epoch %d)", _fmt4(F.col("metric")), F.col("run_name"), F.col("epoch")).alias("line"))
-    sec1 = overview.unionByName(best_line).withColumns({"section_no": F.lit(1), "section": F.lit("overview")})
-
-    per_run = R.best_per(runs, ["run_name"])
-    head = per_run.orderBy(F.col("metric").desc(), "ord").limit(top)
-    w = Window.orderBy(F.col("metric").desc(), "ord")  # at most `top` rows
-    sec2 = head.select(F.row_number().over(w).alias("ord"), "run_name", "epoch", "metric").select(
-        "ord", F.format_string("%d. %s epoch %d: %s", "ord", "run_name", "epoch", _fmt4(F.col("metric"))).alias("line"),
-    ).withColumns({"section_no": F.lit(2), "section": F.lit("best_per_run")})
-
-    eff = runs.groupBy("alpha").agg(F.avg("metric").alias("m"))
-    w3 = Window.orderBy(F.col("m").desc(), "alpha")  # one row per alpha value
-    sec3 = eff.select(F.row_number().over(w3).alias("ord"),
-                      F.format_string("alpha=%s: %s", "alpha", _fmt4(F.col("m"))).alias("line")) \
-        .withColumns({"section_no": F.lit(3), "section": F.lit("param_effect")})
-
-    conv = R.convergence_status(runs).groupBy("status").count()
-    w4 = Window.orderBy("status")  # at most three statuses
-    sec4 = conv.select(F.row_number().over(w4).alias("ord"),
-                       F.format_string("%s: %d", "status", "count").alias("line")) \
-        .withColumns({"section_no": F.lit(4), "section": F.lit("convergence")})
-    out = sec1.unionByName(sec2).unionByName(sec3).unionByName(sec4)
-    return out.select(F.col("section_no").cast("int").alias("section_no"), "section",
-                      F.col("ord").cast("int").alias("ord"), "line")
+    best = F.format_string("Best metric: %s (%s, epoch %d)", _fmt4(F.col("metric")), F.col("run_name"), F.col("epoch"))
+    by_metric = [F.col("metric").desc(), F.col("ord")]
+    per_run = global_index(R.best_per(runs, ["run_name"]), by_metric, name="_i").withColumn("_i", F.col("_i") + 1)
+    every = global_index(runs, by_metric, name="_i").withColumn("_i", F.col("_i") + 1)
+    status = R.convergence_status(runs)
+    conv = global_index(status, ["run_name"], name="_i").withColumn("_i", F.col("_i") + 1)
+    counts = status.groupBy("status").count()
+    sections = [
+        _section(overview, 1, "overview", F.col("ord"), F.col("line")),
+        _section(R.best_overall(runs), 1, "overview", F.lit(2), best),
+        _section(per_run, 2, "best_per_run", F.col("_i"), F.format_string(
+            "%d. %s epoch %d: %s", F.col("_i"), F.col("run_name"), F.col("epoch"), _fmt4(F.col("metric")))),
+        _section(R.best_per(runs, ["epoch"]), 3, "best_per_epoch", F.col("epoch"), F.format_string(
+            "epoch %d: %s alpha=%s temperature=%s: %s", F.col("epoch"), F.col("run_name"), F.col("alpha"), F.col("temperature"),
+            _fmt4(F.col("metric")))),
+        _effect(runs, "alpha", 4),
+        _effect(runs, "temperature", 5),
+        _section(every, 6, "all_evaluations", F.col("_i"), F.format_string(
+            "%d. %s epoch %d alpha=%s temperature=%s: %s", F.col("_i"), F.col("run_name"), F.col("epoch"), F.col("alpha"),
+            F.col("temperature"), _fmt4(F.col("metric")))),
+        _section(conv, 7, "convergence", F.col("_i"), F.format_string(
+            "%s: %s -> %s, change %s (%s)", F.col("run_name"), _fmt4(F.col("prev_metric")), _fmt4(F.col("last_metric")),
+            _fmt4(F.col("delta")), F.col("status"))),
+        _section(counts, 8, "convergence_summary", F.row_number().over(Window.orderBy("status")),  # at most three statuses
+                 F.format_string("%s: %d", F.col("status"), F.col("count"))),
+    ]
+    out = sections[0]
+    for s in sections[1:]:
+        out = out.unionByName(s)
+    return out
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    lines.orderBy("section_no", "ord").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """Text files whose names sort in report order."""
+    lines.orderBy("section_no", "ord").select("line").write.mode("overwrite").text(path)

@@ -7,7 +7,9 @@ coalescing, skew-join splitting, runtime broadcast conversion), ANSI on
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -66,12 +68,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared file system folder and is used
-    as is. Only when it is unset (local tests) a private folder is created.
+    as is. Only when it is unset and all tasks run in this process (local tests)
+    a private folder is created; on a cluster executors could not share it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="runlens-ckpt-")
+        atexit.register(shutil.rmtree, current, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from runlens.operators.ranking import first_per_key
+
 # RFC-4180 style quoting: quotes doubled, fields with separators, quotes or
 # line breaks quoted, whitespace kept as is.
 _CSV_WRITE = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
               "ignoreTrailingWhiteSpace": "false", "lineSep": "\n"}
-_CSV_READ = {"quote": '"', "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false",
+_CSV_READ = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
              "ignoreTrailingWhiteSpace": "false", "mode": "FAILFAST"}
 
 
@@ -27,11 +29,13 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = Tru
      .option("emptyValue", '""').csv(path))
 
 
-def read_delimited(spark: SparkSession, path: str, schema: StructType, sep: str = ",", header: bool = True) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, schema: StructType, sep: str = ",", header: bool = True,
+                   multi_line: bool = True) -> DataFrame:
     """CSV scan with header, doubled quotes, embedded separators and line
     breaks, under an explicit schema. Empty fields read as null, like
-    ``pandas.read_csv``."""
-    return (spark.read.schema(schema).options(**_CSV_READ).option("sep", sep)
+    ``pandas.read_csv``. ``multi_line`` admits line breaks in fields, at one task
+    per file; without it files are split."""
+    return (spark.read.schema(schema).options(**_CSV_READ).option("sep", sep).option("multiLine", str(multi_line).lower())
             .option("header", str(header).lower()).csv(path))
 
 
@@ -72,8 +76,8 @@ def checkpoint_catalog(paths: DataFrame, path: str = "path") -> tuple[DataFrame,
     not parse go to rejects. One anchored match validates the short directory
     names; the fields are then cut out with plain string functions."""
     parts = F.split(F.col(path), "/")
-    run_dir, leaf = F.element_at(parts, -2), F.element_at(parts, -1)
-    ok = (F.size(parts) >= 2) & run_dir.rlike(RUN_DIR_PATTERN) & leaf.rlike(CHECKPOINT_DIR_PATTERN)
+    run_dir, leaf = F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1))
+    ok = F.coalesce((F.size(parts) >= 2) & run_dir.rlike(RUN_DIR_PATTERN) & leaf.rlike(CHECKPOINT_DIR_PATTERN), F.lit(False))
     x = paths.where(ok).withColumns({"_run": run_dir, "_leaf": leaf})
     toks = F.split("_run", "_")
     vanilla = F.startswith(F.col("_run"), F.lit("vanilla_"))
@@ -91,14 +95,22 @@ def checkpoint_catalog(paths: DataFrame, path: str = "path") -> tuple[DataFrame,
     return parsed, paths.where(~ok)
 
 
-def append_results(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+def new_rows(df: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The first row per key (by ``order``) of those keys that ``existing`` lacks; null keys are keys."""
+    rows, known = first_per_key(df, keys, order), existing.select(*[F.col(k).alias(f"_old_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(known[f"_old_{k}"])
+    return rows.join(known, same, "left_anti")
+
+
+def append_results(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = ()) -> None:
     """S06 + J01: append only rows whose keys are not yet in the table at
-    ``path`` (created on first use). Re-running the same batch appends
-    nothing, so a crashed evaluation can simply be restarted."""
-    spark = df.sparkSession
-    existing = optional_source(spark, path, df.schema)
-    new = df.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
-    new.write.mode("append").parquet(path)
+    ``path`` (created on first use); of several rows of one key the first by
+    ``order`` is kept. Re-running the same batch appends nothing, so a crashed
+    evaluation can simply be restarted."""
+    existing = optional_source(df.sparkSession, path, df.schema)
+    new_rows(df, existing, keys, order).write.mode("append").parquet(path)
 
 
 def write_documents(df: DataFrame, path: str, partition_by: str, mode: str = "error") -> None:

@@ -15,12 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from runlens.sources.io import optional_source
+from runlens.sources.io import new_rows, optional_source
 
 
 def ingest_once(spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir: str,
                 schema: StructType, keys: Sequence[str], fmt: str = "parquet",
-                max_files_per_trigger: int | None = None) -> None:
+                max_files_per_trigger: int | None = None, order: Sequence[str] = ()) -> None:
     """Process every file that arrived since the last run, then stop
     (``trigger(availableNow=True)``)."""
     reader = spark.readStream.schema(schema).format(fmt)
@@ -30,8 +30,7 @@ def ingest_once(spark: SparkSession, input_dir: str, output_dir: str, checkpoint
 
     def append_new(batch: DataFrame, batch_id: int) -> None:
         stored = optional_source(batch.sparkSession, output_dir, schema)
-        new = batch.dropDuplicates(list(keys)).join(stored.select(*keys), list(keys), "left_anti")
-        new.write.mode("append").parquet(output_dir)
+        new_rows(batch, stored, keys, order).write.mode("append").parquet(output_dir)
 
     q = (stream.writeStream.foreachBatch(append_new)
          .option("checkpointLocation", checkpoint_dir)
