@@ -34,21 +34,28 @@ def confusion_counts(pred: DataFrame) -> DataFrame:
     return pred.groupBy("label", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _class_counts(pred: DataFrame) -> DataFrame:
+    """Per class: true positives, predictions and support, from one pass: each
+    cell of the confusion table counts for its label and for its prediction."""
+    n, hit = F.col("n"), F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)
+    cells = confusion_counts(pred).select(F.explode(F.array(
+        F.struct(F.col("label").cast("int").alias("class"), hit.alias("tp"), F.lit(0).cast("bigint").alias("n_pred"), n.alias("support")),
+        F.struct(F.col("pred").cast("int").alias("class"), F.lit(0).cast("bigint").alias("tp"), n.alias("n_pred"),
+                 F.lit(0).cast("bigint").alias("support")))).alias("c")).select("c.*")
+    return cells.where("class is not null").groupBy("class").agg(
+        F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"), F.sum("support").cast("bigint").alias("support"))
+
+
+def _scores(counts: DataFrame) -> DataFrame:
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+    out = counts.withColumns({"precision": ratio("tp", "n_pred"), "recall": ratio("tp", "support")})
+    both = F.col("precision") + F.col("recall")
+    return out.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), both), F.lit(0.0)))
+
+
 def per_class_prf(pred: DataFrame) -> DataFrame:
     """A10: precision, recall, F1 and support per class (0 where undefined)."""
-    cc = confusion_counts(pred)
-    support = cc.groupBy(F.col("label").alias("class")).agg(F.sum("n").alias("support"))
-    n_pred = cc.groupBy(F.col("pred").alias("class")).agg(F.sum("n").alias("n_pred"))
-    tp = cc.where(F.col("label") == F.col("pred")).select(F.col("label").alias("class"), F.col("n").alias("tp"))
-    classes = support.select("class").union(n_pred.select("class")).distinct()
-    j = classes.join(support, "class", "left").join(n_pred, "class", "left").join(tp, "class", "left").na.fill(0)
-    p = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("n_pred").cast("double")), F.lit(0.0))
-    r = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support").cast("double")), F.lit(0.0))
-    out = j.select(F.col("class").cast("int").alias("class"), p.alias("precision"), r.alias("recall"),
-                   F.col("support").cast("bigint").alias("support"))
-    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")),
-                    F.lit(0.0))
-    return out.withColumn("f1", f1)
+    return _scores(_class_counts(pred)).select("class", "precision", "recall", "support", "f1")
 
 
 def confusion_long(pred: DataFrame, classes: Sequence[int] | None = None) -> DataFrame:
@@ -63,21 +70,21 @@ def confusion_long(pred: DataFrame, classes: Sequence[int] | None = None) -> Dat
 
 
 def classification_report(pred: DataFrame) -> DataFrame:
-    """Per-class rows plus accuracy, macro avg and weighted avg rows."""
-    prf = per_class_prf(pred)
-    rows = prf.select(F.col("class").cast("string").alias("row_name"), "precision", "recall", "f1", "support")
-    acc = pred.agg(F.lit("accuracy").alias("row_name"), F.lit(None).cast("double").alias("precision"),
-                   F.lit(None).cast("double").alias("recall"),
-                   F.avg((F.col("pred") == F.col("label")).cast("double")).alias("f1"),
-                   F.count(F.lit(1)).alias("support"))
-    macro = prf.agg(F.lit("macro avg").alias("row_name"), F.avg("precision").alias("precision"),
-                    F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
-                    F.sum("support").cast("bigint").alias("support"))
-    wavg = lambda c: F.sum(F.col(c) * F.col("support")) / F.sum("support")
-    weighted = prf.agg(F.lit("weighted avg").alias("row_name"), wavg("precision").alias("precision"),
-                       wavg("recall").alias("recall"), wavg("f1").alias("f1"),
-                       F.sum("support").cast("bigint").alias("support"))
-    return rows.unionByName(acc).unionByName(macro).unionByName(weighted)
+    """Per-class rows plus accuracy, macro avg and weighted avg rows, all
+    from one pass: each class counts for its own row and for the three others."""
+    one, size = F.lit(1.0), F.col("support").cast("double")
+    rows = _scores(_class_counts(pred)).select("*", F.explode(F.array(*[
+        F.struct(name.alias("row_name"), weight.alias("weight")) for name, weight in (
+            (F.col("class").cast("string"), one), (F.lit("accuracy"), one), (F.lit("macro avg"), one), (F.lit("weighted avg"), size))
+    ])).alias("r")).select("*", "r.*")
+    mean = lambda c: F.try_divide(F.sum(F.col(c) * F.col("weight")), F.sum("weight"))
+    whole = F.col("row_name") == "accuracy"
+    out = rows.groupBy("row_name").agg(
+        mean("precision").alias("precision"), mean("recall").alias("recall"), mean("f1").alias("f1"),
+        F.sum("support").cast("bigint").alias("support"), F.try_divide(F.sum("tp").cast("double"), F.sum("support")).alias("share"))
+    return out.select(
+        "row_name", F.when(~whole, F.col("precision")).alias("precision"), F.when(~whole, F.col("recall")).alias("recall"),
+        F.when(whole, F.col("share")).otherwise(F.col("f1")).alias("f1"), "support")
 
 
 def mean_vector(df: DataFrame, keys: Sequence[str], arr: str) -> DataFrame:

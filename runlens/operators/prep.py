@@ -15,6 +15,8 @@ from runlens.operators.ranking import global_index, null_safe_join
 PAD_ID = 0
 UNK_ID = 1
 FIRST_WORD_ID = 2
+#: Marks of a pair, outside the range of word ids.
+CLS_ID, SEP_ID = -1, -2
 LABEL_MIN, LABEL_MAX = 0, 4
 #: Hex digits of the hash that form a bucket of a class.
 SPLIT_PREFIX = 3
@@ -191,30 +193,69 @@ def bag_of_words(counts: DataFrame, vocab: DataFrame, word: str = "word") -> Dat
     return counts.join(F.broadcast(vocab.select(word)), word)
 
 
+def token_ids(df: DataFrame, keys: Sequence[str], tokens: Column, vocab: DataFrame, name: str) -> DataFrame:
+    """Word ids of a token array (UNK_ID outside the vocabulary), one row per
+    row of ``df``; empty arrays come through the outer explode. (A map lookup
+    per token is not used: Spark map lookups scan the keys linearly.)"""
+    rows = df.select(*keys, F.posexplode_outer(tokens).alias("_pos", "word"))
+    rows = rows.join(F.broadcast(vocab.select("word", "word_id")), "word", "left")
+    got = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct(
+        F.col("_pos"), F.coalesce(F.col("word_id"), F.lit(UNK_ID)).alias("id"))))).alias("_s"))
+    return got.select(*keys, F.transform("_s", lambda s: s["id"]).alias(name))
+
+
+def _padded(ids: Column, length: Column) -> tuple[Column, Column]:
+    pad = F.array_repeat(F.lit(PAD_ID), (length - F.size(ids)).cast("int"))
+    return F.concat(ids, pad), F.concat(F.array_repeat(F.lit(1), F.size(ids)), pad)
+
+
 def encode_fixed_length(docs: DataFrame, tokens: str, vocab: DataFrame, max_length: int,
                         doc: str = "doc_id") -> DataFrame:
-    """The first ``max_length`` word ids of every document (UNK_ID for
-    words outside the vocabulary), padded with PAD_ID, plus the attention
-    mask. Token arrays are cut to ``max_length`` before they are exploded, so
-    the broadcast vocabulary join and the regroup see at most max_length
-    rows per document. (A map lookup per token is not used: Spark map
-    lookups scan the keys linearly.)"""
-    head = posexplode_rows(docs, [doc], F.slice(F.col(tokens), 1, max_length), "pos", "word")
-    head = head.join(F.broadcast(vocab.select("word", "word_id")), "word", "left")
-    ids = head.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(
-        F.col("pos"), F.coalesce(F.col("word_id"), F.lit(UNK_ID)).alias("id")))).alias("_s"))
-    ids = ids.select(doc, F.transform("_s", lambda s: s["id"]).alias("_ids"))
-    j = docs.select(doc).join(ids, doc, "left")
-    real = F.coalesce(F.col("_ids"), F.array().cast("array<int>"))
-    pad = F.array_repeat(F.lit(PAD_ID), F.lit(max_length) - F.size(real))
-    return j.select(doc, F.concat(real, pad).alias("input_ids"),
-                    F.concat(F.array_repeat(F.lit(1), F.size(real)), pad).alias("attention_mask"),
-                    F.size(real).alias("n_tokens"))
+    """The first ``max_length`` word ids of every document, padded with
+    PAD_ID, plus the attention mask. Token arrays are cut to ``max_length``
+    before they are exploded, so the broadcast vocabulary join and the regroup
+    see at most max_length rows per document."""
+    ids = token_ids(docs, [doc], F.slice(F.col(tokens), 1, max_length), vocab, "_ids")
+    input_ids, mask = _padded(F.col("_ids"), F.lit(max_length))
+    return ids.select(doc, input_ids.alias("input_ids"), mask.alias("attention_mask"), F.size("_ids").alias("n_tokens"))
+
+
+def encode_pairs(rows: DataFrame, keys: Sequence[str], first: str, second: str, vocab: DataFrame,
+                 max_length: int = 512) -> DataFrame:
+    """P12 with two texts: [CLS] first [SEP] second [SEP], padded to ``max_length``.
+
+    ``first`` and ``second`` are token arrays. If both don't fit, tokens go from
+    the end of the longer one until they do (longest first; on equal lengths from
+    the second)."""
+    room = F.lit(max_length - 3)
+    a, b = F.size(first), F.size(second)
+    half = F.floor(room / 2)
+    # the shorter keeps its length up to half of the room, the longer gets the rest; of an odd room the first gets one more
+    keep_a = F.when(a + b <= room, a).when(b <= half, room - b).when(a <= room - half, a).otherwise(room - half).cast("int")
+    keep_b = F.when(a + b <= room, b).when(b <= half, b).otherwise(room - keep_a).cast("int")
+    cut = rows.select(*keys, F.slice(F.col(first), F.lit(1), keep_a).alias("_a"), F.slice(F.col(second), F.lit(1), keep_b).alias("_b"))
+    cut = cut.withColumns({"_n": F.size("_a"), "_t": F.concat("_a", "_b")})
+    ids = token_ids(cut.withColumnRenamed("_n", "_first"), [*keys, "_first"], F.col("_t"), vocab, "_ids")
+    mark = lambda i: F.array(F.lit(i))
+    whole = F.concat(mark(CLS_ID), F.slice("_ids", F.lit(1), F.col("_first")), mark(SEP_ID),
+                     F.slice("_ids", F.col("_first") + 1, F.size("_ids")), mark(SEP_ID))
+    input_ids, mask = _padded(F.col("_whole"), F.lit(max_length))
+    return ids.withColumn("_whole", whole).select(
+        *keys, input_ids.alias("input_ids"), mask.alias("attention_mask"), F.size("_whole").alias("n_tokens"))
+
+
+def pad_batches(encoded: DataFrame, key: str, ids: str, batch_size: int) -> DataFrame:
+    """Consecutive batches of ``batch_size`` rows in key order; ids and masks
+    padded to the longest row of the batch, other columns untouched."""
+    idx = global_index(encoded, [F.col(key)], name="_rn")
+    b = idx.withColumn("batch_id", F.floor(F.col("_rn") / batch_size).cast("bigint"))
+    longest = b.groupBy("batch_id").agg(F.max(F.size(ids)).alias("padded_len"))
+    input_ids, mask = _padded(F.col(ids), F.col("padded_len"))
+    return b.join(longest, "batch_id").withColumns({"input_ids": input_ids, "attention_mask": mask}).drop("_rn")
 
 
 def batch_pad_lengths(df: DataFrame, key: str, length: Column, batch_size: int) -> DataFrame:
-    """Consecutive batches of ``batch_size`` rows in key order, each padded
-    to its longest member."""
+    """The lengths to which ``pad_batches`` pads, without ids."""
     idx = global_index(df, [F.col(key)], name="_rn")
     b = idx.withColumns({"batch_id": F.floor(F.col("_rn") / batch_size).cast("bigint"), "n_tokens": length})
     longest = b.groupBy("batch_id").agg(F.max("n_tokens").alias("padded_len"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import text as T
 from runlens.operators import prep as P
+from runlens.operators.user import map_batches
 from runlens.plans.registry import query
 from runlens.plans.sql_views import WORDS
 from runlens.sources import bindings as B
@@ -167,7 +168,7 @@ def p10(spark, d):
 FROM benchmark b JOIN documents d ON d.doc_id // 5 = b.item_id""")
 def p11(spark, d):
     docs = read_table(spark, d, "documents").select(
-        (F.col("doc_id") / 5).cast("bigint").alias("item_id"), (F.col("doc_id") % 5).cast("int").alias("c"), "text")
+        F.expr("doc_id div 5").alias("item_id"), (F.col("doc_id") % 5).cast("int").alias("c"), "text")
     wide = docs.groupBy("item_id").pivot("c", [0, 1, 2, 3, 4]).agg(F.first("text"))
     wide = wide.withColumnsRenamed({str(i): f"c{i}" for i in range(5)})
     bench = read_table(spark, d, "benchmark")
@@ -206,6 +207,69 @@ def p13(spark, d):
     return P.batch_pad_lengths(docs, "doc_id", F.col("_len"), BATCH).select("doc_id", "batch_id", "n_tokens", "padded_len")
 
 
+PAIR_LENGTH = 512
+_PAIR_SQL = rf"""{_VOCAB_SQL},
+pairs AS (SELECT b.item_id, CAST(d.doc_id % 5 AS INTEGER) AS choice, regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}_]{{2,}}') AS a,
+  regexp_extract_all(lower(d.text), '[\p{{L}}\p{{N}}_]{{2,}}') AS b, {PAIR_LENGTH - 3} AS room, {(PAIR_LENGTH - 3) // 2} AS half
+  FROM benchmark b JOIN documents d ON d.doc_id // 5 = b.item_id),
+sized AS (SELECT *, CASE WHEN len(a) + len(b) <= room THEN len(a) WHEN len(b) <= half THEN room - len(b)
+  WHEN len(a) <= room - half THEN len(a) ELSE room - half END AS ka FROM pairs),
+cut AS (SELECT item_id, choice, a[1:ka] AS a, b[1:CASE WHEN len(a) + len(b) <= room OR len(b) <= half THEN len(b) ELSE room - ka END] AS b FROM sized),
+flat AS (SELECT item_id, choice, 0 AS side, unnest(a) AS word, generate_subscripts(a, 1) AS pos FROM cut
+  UNION ALL SELECT item_id, choice, 1, unnest(b), generate_subscripts(b, 1) FROM cut),
+ids AS (SELECT item_id, choice, string_agg(',' || coalesce(v.word_id, 1), '' ORDER BY pos) FILTER (side = 0) AS ia,
+  string_agg(',' || coalesce(v.word_id, 1), '' ORDER BY pos) FILTER (side = 1) AS ib, count(*) AS n
+  FROM flat f LEFT JOIN vocab v ON v.word = f.word GROUP BY item_id, choice),
+enc AS (SELECT c.item_id, c.choice, coalesce(n, 0) + 3 AS n, '-1' || coalesce(ia, '') || ',-2' || coalesce(ib, '') || ',-2'
+  || repeat(',0', CAST({PAIR_LENGTH} - 3 - coalesce(n, 0) AS BIGINT)) AS ids FROM cut c LEFT JOIN ids i ON i.item_id = c.item_id AND i.choice = c.choice)
+"""
+
+
+@query("p12_pair_encode", f"""WITH {_PAIR_SQL}
+SELECT item_id, string_agg(ids, '|' ORDER BY choice) AS input_ids, string_agg(CAST(n AS VARCHAR), '|' ORDER BY choice) AS n_tokens
+FROM enc GROUP BY item_id""")
+def p12_pairs(spark, d):
+    vocab = P.vocabulary(P.word_frequencies(B.words(spark, d)), size=VOCAB_SIZE)
+    toks = lambda c: F.regexp_extract_all(F.lower(c), F.lit(B.WORD_PATTERN), 0)
+    docs = read_table(spark, d, "documents").select(
+        F.expr("doc_id div 5").alias("item_id"), (F.col("doc_id") % 5).cast("int").alias("choice"), toks("text").alias("b"))
+    bench = read_table(spark, d, "benchmark").select("item_id", toks("text").alias("a"))
+    enc = P.encode_pairs(bench.join(docs, "item_id"), ["item_id", "choice"], "a", "b", vocab, PAIR_LENGTH)
+    enc = enc.select("item_id", "choice", F.struct(F.array_join("input_ids", ",").alias("ids"), F.col("n_tokens").alias("n")).alias("e"))
+    five = P.regroup_choices(enc, "item_id", "choice", "e")  # back to one row per example
+    return five.select("item_id", F.array_join(F.transform("choices", lambda e: e["ids"]), "|").alias("input_ids"),
+                       F.array_join(F.transform("choices", lambda e: e["n"].cast("string")), "|").alias("n_tokens"))
+
+
+@query("p13_padded_batches", f"""WITH {_VOCAB_SQL},
+tok AS (SELECT w.doc_id, w.pos, coalesce(v.word_id, 1) AS id FROM words w LEFT JOIN vocab v ON v.word = w.word WHERE w.pos < {MAX_LENGTH}),
+agg AS (SELECT doc_id, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS ids FROM tok GROUP BY doc_id),
+b AS (SELECT d.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_tokens, coalesce(ids, '') AS ids,
+  (row_number() OVER (ORDER BY d.doc_id) - 1) // {BATCH} AS batch_id FROM documents d LEFT JOIN agg ON agg.doc_id = d.doc_id),
+p AS (SELECT *, max(n_tokens) OVER (PARTITION BY batch_id) AS padded_len FROM b)
+SELECT doc_id, CAST(batch_id AS BIGINT) AS batch_id, n_tokens, padded_len, n_tokens AS mask_sum,
+  CASE WHEN n_tokens = 0 THEN substr(repeat(',0', padded_len), 2) ELSE ids || repeat(',0', padded_len - n_tokens) END AS input_ids FROM p""")
+def p13_padded(spark, d):
+    vocab = P.vocabulary(P.word_frequencies(B.words(spark, d)), size=VOCAB_SIZE)
+    docs = read_table(spark, d, "documents").select(
+        "doc_id", F.slice(F.regexp_extract_all(F.lower("text"), F.lit(B.WORD_PATTERN), 0), 1, MAX_LENGTH).alias("tokens"))
+    ids = P.token_ids(docs, ["doc_id"], F.col("tokens"), vocab, "ids")
+    out = P.pad_batches(ids, "doc_id", "ids", BATCH)
+    return out.select("doc_id", "batch_id", F.size("ids").alias("n_tokens"), "padded_len",
+                      F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"),
+                      F.array_join("input_ids", ",").alias("input_ids"))
+
+
+def _capitals(batch):
+    return batch.assign(n_capitals=batch["text"].fillna("").str.count("[A-Z]").astype("int64"))[["doc_id", "n_capitals"]]
+
+
+@query("u01_user_map", "SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Z]')) AS BIGINT) AS n_capitals FROM documents")
+def u01(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    return map_batches(docs, _capitals, "doc_id bigint, n_capitals bigint")
+
+
 @query("p14_seeded_sample", f"""(SELECT doc_id, 'first' AS selection FROM documents ORDER BY doc_id LIMIT {SAMPLE_N})
 UNION ALL (SELECT doc_id, 'random' FROM documents ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT {SAMPLE_N})""")
 def p14(spark, d):

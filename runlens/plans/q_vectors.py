@@ -14,6 +14,7 @@ from runlens.functions import vec as V
 from runlens.functions.arrays import explode_rows, posexplode_rows
 from runlens.operators import metrics as M
 from runlens.operators import attribution as AT
+from runlens.operators.user import metric_callbacks
 from runlens.plans.registry import query
 from runlens.plans.sql_views import PAIRS, STRATEGIES, VECTORS, WORDS
 from runlens.sources import bindings as B
@@ -216,6 +217,17 @@ def a12(spark, d):
     return out.select("row_name", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
+@query("u02_metric_callback", f"""WITH {_PRED_SQL}
+SELECT 'accuracy' AS metric, round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS value FROM pred
+UNION ALL SELECT 'mean_gap', round(avg(abs(pred - label)::DOUBLE), 6) FROM pred""")
+def u02(spark, d):
+    p = M.predictions(B.vectors(spark, d), F.slice("vec", 1, N_CLASSES))
+    rows = metric_callbacks(p, {
+        "accuracy": lambda x: M.accuracy(x).select(F.col("accuracy").alias("value")),
+        "mean_gap": lambda x: x.agg(F.avg(F.abs(F.col("pred") - F.col("label"))).alias("value"))})
+    return rows.select("metric", r6(F.col("value")).alias("value"))
+
+
 @query("a16_mean_vector", f"""WITH {ELEMS}
 SELECT label, pos, round(avg(v), 6) AS mean FROM elems GROUP BY label, pos""")
 def a16(spark, d):

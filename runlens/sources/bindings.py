@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from runlens.operators.ranking import null_safe_join
 from runlens.sources.tables import read_table
 
 # Word pattern shared by every tokenising operator (letters, digits, underscore,
@@ -19,26 +20,26 @@ from runlens.sources.tables import read_table
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
-def runs(spark: SparkSession, sf_dir: str, skew_safe: bool = False) -> DataFrame:
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result table: one row per (run, epoch) evaluation.
 
     run_name <- customer of the order, epoch <- position of the order within
     the customer's orders by date, metric <- total price, alpha <- priority,
     temperature <- status, ord <- order key (unique, the file-order tie-break).
 
-    A real results table carries its epochs; this adapter derives them. The
-    default numbers them with a per-customer window (customers have at most a
-    few dozen orders); ``skew_safe=True`` uses ``global_index`` instead, which
-    spreads a customer holding a large share of the orders over many tasks.
+    A real results table carries its epochs; this adapter derives them. Counts
+    per (customer, day) become each day's first epoch by a prefix sum over that
+    small table; orders are numbered only within a day, so a customer with a
+    large share of the orders is spread over many tasks.
     """
     o = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus")
-    if skew_safe:
-        from runlens.operators.ranking import global_index
-        o = global_index(o, ["o_orderdate", "o_orderkey"], partition_by=["o_custkey"], name="_i")
-        epoch = F.col("_i") + 1
-    else:
-        epoch = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    day = ["o_custkey", "o_orderdate"]
+    earlier = Window.partitionBy("o_custkey").orderBy("o_orderdate").rowsBetween(Window.unboundedPreceding, -1)
+    days = o.groupBy(*day).agg(F.count(F.lit(1)).alias("n")).select(
+        *day, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    o = null_safe_join(o, days, day)
+    epoch = F.col("before") + F.row_number().over(Window.partitionBy(*day).orderBy("o_orderkey"))
     return o.select(
         F.concat(F.lit("run_"), F.col("o_custkey").cast("string")).alias("run_name"),
         epoch.cast("int").alias("epoch"),
