@@ -8,6 +8,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +96,59 @@ def pareto_front_grid(df: DataFrame, maximize: str, grid_max: str, grid_min: str
     return j.where(~dominated).drop("_cell", "_better")
 
 
+def pareto_front(df: DataFrame, maximize: Sequence[str], minimize: Sequence[str] = (), block: int = 2048) -> DataFrame:
+    """N07 for any numeric objectives: rows that no row dominates (identical rows
+    don't dominate each other; rows with a null or NaN objective are left out).
+
+    Whether a row is dominated depends on its objectives alone. Each task keeps
+    the best of its distinct objective tuples; what is left meets block against
+    block, every pair of blocks in a task of its own; the rows of the surviving
+    tuples are the result."""
+    names = [*maximize, *minimize]
+    signs = np.array([1.0] * len(maximize) + [-1.0] * len(minimize))
+    ok = F.lit(True)
+    for c in names:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    rows = df.where(ok).withColumn("_x", F.array(*[F.col(c).cast("double") for c in names]))
+
+    def best_rows(x: np.ndarray) -> np.ndarray:
+        """Numbers of the rows (distinct, larger is better) that no other row dominates."""
+        best: list[int] = []
+        for i in np.argsort(-x.sum(axis=1), kind="stable").tolist():  # what dominates a row has a larger sum
+            if not ((x[best] >= x[i]).all(axis=1) & (x[best] != x[i]).any(axis=1)).any():
+                best.append(i)
+        return np.array(best, np.int64)
+
+    def local(batches):
+        kept = np.empty((0, len(names)))
+        for batch in batches:
+            if len(batch):
+                kept = np.unique(np.vstack([kept, np.array(batch["_x"].tolist(), float) * signs]), axis=0)
+                kept = kept[best_rows(kept)]
+        yield pd.DataFrame({"_x": pd.Series(list(kept * signs), dtype=object)})
+
+    left = rows.select("_x").distinct().mapInPandas(local, "_x array<double>")
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"b": [part["b"].iloc[0]], "xs": [(np.array(part["_x"].tolist(), float) * signs).tobytes()]})
+
+    n = max(1, -(-left.count() // block))
+    blocks = left.withColumn("b", F.pmod(F.xxhash64("_x"), F.lit(n)).cast("int")).groupBy("b").applyInPandas(pack, "b int, xs binary")
+    meet = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(
+        blocks.select(F.col("b").alias("o"), F.col("xs").alias("ys")), "o").repartition(n * n, "b", "o")
+
+    def beaten(batches):
+        for batch in batches:
+            for xs, ys in zip(batch["xs"], batch["ys"], strict=True):
+                x, y = (np.frombuffer(v).reshape(-1, len(names)) for v in (xs, ys))
+                lost = np.array([((y >= r).all(axis=1) & (y != r).any(axis=1)).any() for r in x], bool)
+                yield pd.DataFrame({"_x": pd.Series(list(x[lost] * signs), dtype=object)})
+
+    lost = meet.mapInPandas(beaten, "_x array<double>").distinct()
+    front = left.distinct().join(lost, "_x", "left_anti")
+    return rows.join(front, "_x", "left_semi").drop("_x")
+
+
 def composite_select(df: DataFrame, acc: str, sim: str, params: str, time: str, key: str,
                      requirements: Mapping[str, float], n: int = 5,
                      weights: Sequence[float] = COMPOSITE_WEIGHTS) -> DataFrame:

@@ -260,14 +260,13 @@ def p13_padded(spark, d):
                       F.array_join("input_ids", ",").alias("input_ids"))
 
 
-def _capitals(batch):
-    return batch.assign(n_capitals=batch["text"].fillna("").str.count("[A-Z]").astype("int64"))[["doc_id", "n_capitals"]]
-
-
 @query("u01_user_map", "SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Z]')) AS BIGINT) AS n_capitals FROM documents")
 def u01(spark, d):
+    def capitals(batch):
+        return batch.assign(n_capitals=batch["text"].fillna("").str.count("[A-Z]").astype("int64"))[["doc_id", "n_capitals"]]
+
     docs = read_table(spark, d, "documents").select("doc_id", "text")
-    return map_batches(docs, _capitals, "doc_id bigint, n_capitals bigint")
+    return map_batches(docs, capitals, "doc_id bigint, n_capitals bigint")
 
 
 @query("p14_seeded_sample", f"""(SELECT doc_id, 'first' AS selection FROM documents ORDER BY doc_id LIMIT {SAMPLE_N})

@@ -116,6 +116,20 @@ def n07(spark, d):
         "p_partkey", "p_retailprice", "score", "p_size")
 
 
+_REAL_SQL = """pm AS (SELECT p_partkey, p_retailprice / CAST(2000 AS DOUBLE) AS accuracy,
+  ((p_partkey * 7919) % 1000) / CAST(1000 AS DOUBLE) AS similarity, CAST(p_size AS DOUBLE) AS cost FROM part)"""
+
+
+@query("n07_pareto_real", f"""WITH {_REAL_SQL}
+SELECT * FROM pm x WHERE NOT EXISTS (SELECT 1 FROM pm y WHERE y.accuracy >= x.accuracy AND y.similarity >= x.similarity
+  AND y.cost <= x.cost AND (y.accuracy > x.accuracy OR y.similarity > x.similarity OR y.cost < x.cost))""")
+def n07_real(spark, d):
+    p = read_table(spark, d, "part").select(
+        "p_partkey", (F.col("p_retailprice") / 2000.0).alias("accuracy"),
+        ((F.col("p_partkey") * 7919) % 1000 / 1000.0).alias("similarity"), F.col("p_size").cast("double").alias("cost"))
+    return S.pareto_front(p, ["accuracy", "similarity"], ["cost"])
+
+
 _N08_REQ = {"max_params": 40, "min_accuracy": 0.5, "min_similarity": 0.3, "max_time": 30}
 
 

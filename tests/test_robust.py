@@ -112,3 +112,45 @@ def test_knn_ties(spark):
     query = spark.createDataFrame([(1000, [1.0, 2.0]), (1001, [0.0, 0.0])], "k int, v array<double>")
     for block in (64, 8192):
         assert {r.k: r.pred for r in knn_classify(query, train, "k", "v", "l", 5, block).collect()} == {1000: 0, 1001: 0}
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_pareto_front_of_real_objectives(spark, block):
+    from runlens.operators.stats import pareto_front
+    rng = random.Random(2)
+    rows = [(i, rng.random(), rng.random(), float(rng.randint(1, 9))) for i in range(300)]
+    rows += [(900, *rows[5][1:]), (901, None, 1.0, 0.0), (902, float("nan"), 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "i int, a double, b double, c double")
+    real = [r for r in rows if r[0] < 901]
+    want = sorted(r[0] for r in real if not any(
+        y[1] >= r[1] and y[2] >= r[2] and y[3] <= r[3] and y[1:] != r[1:] for y in real))
+    assert sorted(r.i for r in pareto_front(df.repartition(4), ["a", "b"], ["c"], block).collect()) == want
+
+
+def test_pair_truncation_is_longest_first(spark):
+    vocab = spark.createDataFrame([(f"w{i}", i + 2) for i in range(400)], "word string, word_id int")
+    rng = random.Random(3)
+    rows = [(i, [f"w{rng.randrange(450)}" for _ in range(rng.randint(0, 30))], [f"w{rng.randrange(450)}" for _ in range(rng.randint(0, 30))])
+            for i in range(120)]
+    got = {r.i: r for r in P.encode_pairs(spark.createDataFrame(rows, "i int, a array<string>, b array<string>"), ["i"], "a", "b", vocab, 24).collect()}
+    for i, a, b in rows:
+        a, b = list(a), list(b)
+        while len(a) + len(b) > 21:
+            (a if len(a) > len(b) else b).pop()
+        ids = lambda ws: [int(w[1:]) + 2 if int(w[1:]) < 400 else P.UNK_ID for w in ws]
+        want = [P.CLS_ID, *ids(a), P.SEP_ID, *ids(b), P.SEP_ID]
+        assert got[i].input_ids == want + [P.PAD_ID] * (24 - len(want)) and sum(got[i].attention_mask) == got[i].n_tokens == len(want)
+
+
+def test_a_hot_customer_keeps_its_epochs(spark, tmp_path):
+    import datetime
+
+    from runlens.sources.bindings import runs
+    rng = random.Random(4)
+    rows = [(i, 1 if i % 5 < 3 else rng.randint(2, 9) if i % 7 else None, datetime.date(2024, 1, 1 + rng.randrange(20)), 1.0 * i, "p", "F") for i in range(500)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double, o_orderpriority string, o_orderstatus string"
+                          ).write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.ord: r.epoch for r in runs(spark, str(tmp_path)).collect()}
+    for cust in {r[1] for r in rows}:
+        order = sorted((r[2], r[0]) for r in rows if r[1] == cust)
+        assert [got[k] for _, k in order] == list(range(1, len(order) + 1))
