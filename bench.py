@@ -21,6 +21,8 @@ HEADLINE = [
     "j01_resume_anti", "j04_strategy_compare", "s05_checkpoint_catalog", "p08_stratified_split",
     "p12_fixed_length_encode", "p15_bow_counts", "v03_kl_loss", "v07_patient_loss", "v16_cosine",
     "v23_integrated_gradients", "a12_classification_report", "n07_pareto", "m05_batch_score",
+    "s06_append_results", "s09_report_lines", "t01_incremental_ingest", "a15_running_best", "w07_chain_degradation",
+    "p13_batch_pad", "v12_token_filter",
 ]
 
 

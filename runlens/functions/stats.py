@@ -1,66 +1,55 @@
-"""Student-t distribution helpers as Arrow-batched pandas UDFs.
+"""Student's t distribution for whole degrees of freedom.
 
-Spark has no t distribution; the t statistic and degrees of freedom are
-computed by aggregates, and only these scalar transforms run in Python, on
-the one-row results of those aggregates."""
+With theta = atan(t / sqrt(df)) the probability of |T| <= t is a finite sum in
+sin(theta) and cos(theta) (two closed forms, for even and for odd degrees). The
+p-value is that sum as a column expression; only quantiles, which need a
+search, run in an Arrow-batched pandas UDF, on one-row results of aggregates."""
 
 from __future__ import annotations
 
 import math
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny, eps = 1e-300, 1e-16
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 10000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
-
-
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    bt = math.exp(lbt)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return bt * _betacf(a, b, x) / a
-    return 1.0 - bt * _betacf(b, a, 1.0 - x) / b
+def two_sided_p(t: Column, df: Column) -> Column:
+    """P(|T| > |t|); null without a statistic or a degree of freedom."""
+    df = df.cast("int")
+    theta = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
+    sin, cos = F.sin(theta), F.cos(theta)
+    even = df % 2 == 0
+    odd = F.when(even, 0).otherwise(1)
+    # each term is the one before it times cos^2 and (2k - 1)/(2k), or 2k/(2k + 1)
+    steps = F.when(df >= 4, F.sequence(F.lit(1), F.floor((df - 2) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+    terms = F.aggregate(
+        F.when(df == 3, F.array().cast("array<int>")).otherwise(steps),
+        F.struct(F.when(even, F.lit(1.0)).otherwise(cos).alias("term"), F.when(even, F.lit(1.0)).otherwise(cos).alias("sum")),
+        lambda a, k: F.struct((a["term"] * cos * cos * (2 * k - 1 + odd) / (2 * k + odd)).alias("term"),
+                              (a["sum"] + a["term"] * cos * cos * (2 * k - 1 + odd) / (2 * k + odd)).alias("sum")))["sum"]
+    within = F.when(even, sin * terms).when(df == 1, 2 * theta / math.pi).otherwise(2 / math.pi * (theta + sin * terms))
+    return F.when((df >= 1) & ~F.isnan(t), 1 - within)
+
+
+def t_within(t: float, df: int) -> float:
+    """P(|T| <= |t|)."""
+    theta = math.atan(abs(t) / math.sqrt(df))
+    sin, cos = math.sin(theta), math.cos(theta)
+    if df == 1:
+        return 2 * theta / math.pi
+    odd = df % 2
+    term = total = cos if odd else 1.0
+    for k in range(1, (df - 2) // 2 + 1):
+        term *= cos * cos * (2 * k - 1 + odd) / (2 * k + odd)
+        total += term
+    return 2 / math.pi * (theta + sin * total) if odd else sin * total
 
 
 def t_cdf(t: float, df: float) -> float:
-    x = df / (df + t * t)
-    tail = 0.5 * betainc(df / 2.0, 0.5, x)
-    return 1.0 - tail if t > 0 else tail
-
-
-def t_two_sided_p(t: float, df: float) -> float:
-    return betainc(df / 2.0, 0.5, df / (df + t * t))
+    half = t_within(t, int(df)) / 2
+    return 0.5 + half if t > 0 else 0.5 - half
 
 
 def t_ppf(q: float, df: float) -> float:
@@ -91,11 +80,6 @@ def _nan_safe(f, *xs):
     return f(*xs)
 
 
-@F.pandas_udf(DoubleType())
-def t_pvalue_udf(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([_nan_safe(t_two_sided_p, a, b) for a, b in zip(t, df)], dtype="float64")
-
-
 @F.pandas_udf(DoubleType())
 def t_quantile_udf(q: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([_nan_safe(t_ppf, a, b) for a, b in zip(q, df)], dtype="float64")

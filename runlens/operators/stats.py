@@ -1,7 +1,7 @@
 """Experiment statistics: gain tables, paired tests, effect sizes, intervals,
 dataset profiles, Pareto frontiers, composite selection, agreement between
 methods, regressions and decision rules. Moments come from aggregates; only
-the t distribution runs in a scalar pandas UDF."""
+the t quantile runs in a scalar pandas UDF."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.functions.stats import t_pvalue_udf, t_quantile_udf
+from runlens.functions.stats import t_quantile_udf, two_sided_p
 
 # Fixed weights of the composite model score (accuracy, similarity, size, time).
 COMPOSITE_WEIGHTS = (0.4, 0.3, 0.2, 0.1)
@@ -32,7 +32,7 @@ def paired_t(gains: DataFrame, gain: str = "gain") -> DataFrame:
     m = gains.agg(F.count(gain).alias("n"), F.avg(gain).alias("_m"), F.stddev_samp(gain).alias("_s"))
     t = F.try_divide(F.col("_m"), F.col("_s") / F.sqrt(F.col("n")))
     out = m.select("n", t.alias("t"), (F.col("n") - 1).alias("df"))
-    return out.withColumn("p_value", t_pvalue_udf(F.col("t"), F.col("df").cast("double")))
+    return out.withColumn("p_value", two_sided_p(F.col("t"), F.col("df")))
 
 
 def effect_size(gains: DataFrame, baseline: str = "baseline", treated: str = "distilled",

@@ -55,10 +55,14 @@ def n02(spark, d):
     return t.select("n", r6(F.col("t")).alias("t"), "df")
 
 
-@query("n02_paired_t_pvalue")
+# Seven datasets, six degrees of freedom: P(|T| <= t) = sin x (1 + cos^2 x / 2 + 3 cos^4 x / 8), x = atan(t / sqrt 6).
+@query("n02_paired_t_pvalue", f"""WITH {_GAIN_SQL},
+s AS (SELECT count(gain) AS n, avg(gain) / (stddev_samp(gain) / sqrt(count(gain))) AS t, count(gain) - 1 AS df FROM g2),
+a AS (SELECT *, atan(abs(t) / sqrt(6.0)) AS x FROM s)
+SELECT n, round(t, 6) AS t, df, round(1 - sin(x) * (1 + cos(x) * cos(x) / 2 + 3 * cos(x) * cos(x) * cos(x) * cos(x) / 8), 6) AS p_value FROM a""")
 def n02p(spark, d):
-    """Two-sided p-value of the paired test (no SQL equivalent: t distribution)."""
-    return S.paired_t(_gains(spark, d)).select("n", "t", "df", "p_value")
+    """Two-sided p-value of the paired test."""
+    return S.paired_t(_gains(spark, d)).select("n", r6(F.col("t")).alias("t"), "df", r6(F.col("p_value")).alias("p_value"))
 
 
 @query("n03_effect_size", f"""WITH {_GAIN_SQL}

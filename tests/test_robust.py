@@ -154,3 +154,19 @@ def test_a_hot_customer_keeps_its_epochs(spark, tmp_path):
     for cust in {r[1] for r in rows}:
         order = sorted((r[2], r[0]) for r in rows if r[1] == cust)
         assert [got[k] for _, k in order] == list(range(1, len(order) + 1))
+
+
+def test_p_values_by_numeric_integration(spark):
+    from runlens.functions.stats import t_cdf, two_sided_p
+
+    def tail(t, n):  # midpoint rule of the density, t = tan(x) * sqrt(n)
+        c = math.gamma((n + 1) / 2) / math.gamma(n / 2) / math.sqrt(math.pi)
+        a, m = math.atan(t / math.sqrt(n)), 20_000
+        return 2 * c * sum(math.cos(a + (math.pi / 2 - a) * (i + 0.5) / m) ** (n - 1) for i in range(m)) * (math.pi / 2 - a) / m
+
+    rows = [(t, n) for n in (1, 2, 3, 4, 5, 6, 7, 30, 31) for t in (0.0, 0.7, 2.5)]
+    df = spark.createDataFrame(rows, "t double, n int").withColumn("p", two_sided_p(-F.col("t"), F.col("n")))
+    for r in df.collect():
+        assert r.p == pytest.approx(tail(r.t, r.n), abs=1e-6), r
+        assert 2 * (1 - t_cdf(r.t, r.n)) == pytest.approx(r.p, abs=1e-12)
+    assert spark.createDataFrame([(1.0, 0), (None, 5), (float("nan"), 5)], "t double, n int").select(two_sided_p(F.col("t"), F.col("n")).alias("p")).distinct().collect() == [(None,)]
