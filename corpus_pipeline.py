@@ -16,7 +16,7 @@ from runlens.sources.tables import read_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Calibrated probability below which no language is accepted.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
