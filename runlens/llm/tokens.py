@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import os
 import re
+import threading
+import time
 from array import array
 from itertools import chain
 
@@ -24,7 +26,9 @@ _EXOTIC = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎    　​﻿" + ""
 _SAFE = re.compile(rf"(?<=[^ \n{_EXOTIC}])(?=[ \n][^ \n{_EXOTIC}])")
 _RUNS = ("  ", " \n", "\n ", "\n\n")
 #: Parts per generation of the cache: a full one becomes the old one, which is asked once more before it goes.
-CACHE = 700_000
+CACHE = 500_000
+#: Seconds without a text after which a worker gives the cache's memory back.
+IDLE = 5.0
 #: Longer parts are not kept.
 CACHED_CHARS = 64
 
@@ -53,6 +57,8 @@ class Encoder:
         self._kind = "H" if self.dtype.itemsize == 2 else "I"
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._used = time.monotonic()
+        threading.Thread(target=self._release, daemon=True).start()
         self._marks = dict(zip(",.", self._ids([",", "."]), strict=True))
         self._model, self._letters, self._direct = self._tokenizer.model, _byte_letters(), None
         whole = self._ids([f" {w}" for w in PROBES])
@@ -61,6 +67,13 @@ class Encoder:
                 self._direct = form
                 break
 
+    def _release(self) -> None:
+        """Python workers outlive a task: empty the cache once other work has begun."""
+        while True:
+            time.sleep(IDLE)
+            if time.monotonic() - self._used > IDLE:
+                self._new, self._old = {}, {}
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self._kind, e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -79,6 +92,7 @@ class Encoder:
         """Ids of a whole text as little-endian integers of ``dtype``; null is empty."""
         if not text:
             return b""
+        self._used = time.monotonic()
         if text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS) or any(c in text for c in _EXOTIC):
             # other white space or runs of it: cut at the safe places only
             first, *parts = _SAFE.split(text)
