@@ -275,6 +275,27 @@ def test_quality_rejects_noise_and_keeps_prose(spark):
     assert perplexity.quality(frame(spark, [])).count() == 0
 
 
+def test_quality_hears_word_order_in_any_script(spark):
+    rng = random.Random(8)
+    greek = [chr(0x3B1 + i) for i in range(17)]
+    own = ["".join(rng.choice(greek) for _ in range(6)) for _ in range(400)]
+    follow = {w: rng.sample(own, 4) for w in own}
+
+    def prose(n):
+        out = [rng.choice(own)]
+        while len(out) < n:
+            out.append(rng.choice(follow[out[-1]]))
+        return out
+
+    rows = [(i, " ".join(prose(100)), "el") for i in range(300)]
+    rows += [(900, " ".join("".join(rng.choice(greek) for _ in range(6)) for _ in range(100)), "el"), (901, " ".join(rng.choice(own) for _ in range(100)), "el"),
+             (902, " ".join(w for w in prose(50) for _ in range(2)), "el")]
+    got = {r.doc_id: r for r in perplexity.quality(frame(spark, rows)).collect()}
+    assert all(got[i].kept or got[i].base_failed for i in range(300)) and sum(got[i].kept for i in range(300)) > 280
+    assert not any(got[i].kept or got[i].base_failed for i in (900, 901, 902))
+    assert len({r.upper_band for r in got.values()}) < 4
+
+
 # languages
 
 def test_languages(spark):
