@@ -296,6 +296,16 @@ def test_quality_hears_word_order_in_any_script(spark):
     assert len({r.upper_band for r in got.values()}) < 4
 
 
+def test_quality_of_a_rare_length(spark):
+    rng = random.Random(9)
+    rows = [(i, words(rng, rng.randint(60, 70)), "a") for i in range(300)]
+    rows += [(900, " ".join("".join(rng.choice("bcdfghjklm") for _ in range(9)) for _ in range(2000)), "a"), (901, words(rng, 2000), "a")]
+    # the same noise under other tags doesn't excuse it
+    rows += [(1000 + i, " ".join("".join(rng.choice("bcdfghjklm") for _ in range(9)) for _ in range(60)), k) for i in range(40) for k in (None, "b")]
+    got = {r.doc_id: r for r in perplexity.quality(frame(spark, rows)).collect()}
+    assert not got[900].kept and not got[900].base_failed and got[901].kept
+
+
 # languages
 
 def test_languages(spark):
