@@ -306,6 +306,16 @@ def test_quality_of_a_rare_length(spark):
     assert not got[900].kept and not got[900].base_failed and got[901].kept
 
 
+def test_quality_keeps_a_large_source_of_tables(spark):
+    rng = random.Random(10)
+    heads = [word(rng) for _ in range(60)]
+    rows = [(i, words(rng, rng.randint(40, 120)), "a") for i in range(300)]
+    rows += [(1000 + i, "\n".join(f"| {rng.choice(heads)} | {rng.choice(heads)} | {rng.choice(heads)} |" for _ in range(25)), "a") for i in range(100)]
+    got = {r.doc_id: r for r in perplexity.quality(frame(spark, rows)).collect()}
+    assert sum(got[r[0]].base_failed for r in rows) < 5
+    assert all(got[r[0]].kept or got[r[0]].base_failed for r in rows)
+
+
 # languages
 
 def test_languages(spark):
