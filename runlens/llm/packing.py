@@ -1,12 +1,13 @@
 """Packing into fixed sequences: cutting stock by column generation.
 
 Documents longer than a sequence are cut into full sequences and a rest. Lengths
-are counted by Spark into classes (multiples of ``QUANTUM`` tokens, rounded up),
-a table bounded by the sequence length. On that histogram the cutting-stock
+are counted by Spark into classes, a table bounded by the sequence length: exact
+up to ``EXACT`` tokens, above rounded up by less than a 64th. On that histogram the cutting-stock
 linear program is solved by column generation: the basis starts with one class
 per pattern, the duals price classes, a knapsack dynamic program finds the
 pattern worth most at these prices, and it enters the basis until none is worth
-more than one sequence. Pattern counts are rounded down; what is left, less than
+more than ``GAP`` above one sequence, which bounds the distance from the optimum.
+Pattern counts are rounded down; what is left, less than
 one sequence per pattern, is filled largest class first. Both steps only see
 counts, never documents.
 
@@ -26,14 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import column, materialise, ship
 from runlens.llm.tokens import crc32_u4, encoder
 
-#: Tokens by which lengths are classed: the padding of a piece is below it.
-QUANTUM = 16
+#: Lengths that are classes of their own.
+EXACT = 256
+#: Share by which the linear program may miss its optimum.
+GAP = 1e-3
 #: Hash buckets in which the pieces of a class are numbered.
 BUCKETS = 1024
 
@@ -61,14 +64,14 @@ def knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float
     return float(best[capacity]), counts
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, most: int = 5000) -> list[tuple[np.ndarray, float]]:
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, most: int = 5000, gap: float = 1e-7) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often each is used in an optimal fractional solution."""
     m = len(sizes)
     columns = np.diag(capacity // sizes).astype(float)
     inverse, used = np.diag(1 / np.diag(columns)), demand / np.diag(columns)
     for _ in range(most):
         value, counts = knapsack(inverse.sum(axis=0), sizes, capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + gap:
             break
         step = inverse @ counts
         grows = step > 1e-9
@@ -85,11 +88,11 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, most
     return [(columns[:, j].astype(np.int64), float(used[j])) for j in range(m)]
 
 
-def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[Pattern]:
+def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-7) -> list[Pattern]:
     """Patterns and whole numbers of uses that hold the demand exactly."""
     out: list[Pattern] = []
     left = demand.copy()
-    for counts, used in column_generation(sizes, demand, capacity):
+    for counts, used in column_generation(sizes, demand, capacity, gap=gap):
         whole = int(used + 1e-9)
         held = counts > 0
         whole = min([whole, *(left[held] // counts[held])])  # rounding of floats must not use a piece twice
@@ -147,6 +150,12 @@ def cut_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col
     return rows.mapInArrow(cut, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
 
+def length_class(length: Column, capacity: int) -> Column:
+    """The length itself up to ``EXACT``; above, the next multiple of its power of two's 64th, at most a sequence."""
+    step = F.pow(F.lit(2), F.length(F.bin(length - 1)) - 7).cast("long")
+    return F.when(length <= EXACT, length).otherwise(F.least(F.ceil(length / step) * step, F.lit(capacity))).cast("int")
+
+
 def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, id_col: str = "doc_id",
          text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids
@@ -155,7 +164,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, i
     ship(spark)
     pieces = cut_pieces(docs, tokenizer, length, end_id, id_col, text_col, keep_ids)
     pieces = pieces.withColumns({
-        "class": F.ceil(F.col("length") / QUANTUM).cast("int"),
+        "class": length_class(F.col("length"), length),
         "bucket": F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int")})
     pieces = materialise(pieces if keep_ids else pieces.drop("ids"), "pack-pieces")
 
@@ -163,7 +172,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, i
     histogram = sorted((r["class"], r["n"]) for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect())  # one row per class
     sizes = np.array([c for c, _ in histogram], np.int64)
     demand = np.array([n for _, n in histogram], np.int64)
-    plan = slots(sizes, patterns(sizes, demand, length // QUANTUM)) if histogram else []
+    plan = slots(sizes, patterns(sizes, demand, length, GAP)) if histogram else []
     table = spark.createDataFrame(plan, "class int, first long, end long, sequence long, per long")
 
     before = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

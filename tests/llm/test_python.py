@@ -135,6 +135,19 @@ def test_pack_empty(spark, tmp_path):
     assert tokenfile.read_checksums(index).count() == 0
 
 
+def test_pack_fills_sequences_with_short_texts(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["the"] * rng.randint(0, 29)) or None) for i in range(4000)]
+    for size in (256, 100):  # 100 is no power of two
+        got = packing.pack(frame(spark, rows), public_tokenizers.path("word_bpe_49k.json"), size).toPandas()
+        used = got.groupby("sequence_id").length.sum()
+        assert used.max() <= size and len(got) == len(rows)
+        assert used.sum() > 0.98 * size * len(used)
+    long = [(i, " ".join(["the"] * rng.randint(200, 999))) for i in range(300)]
+    got = packing.pack(frame(spark, long), public_tokenizers.path("word_bpe_49k.json"), 700).toPandas()
+    assert got.groupby("sequence_id").length.sum().max() <= 700
+
+
 def test_column_generation_is_near_the_bound():
     rng = np.random.default_rng(5)
     sizes = np.unique(rng.integers(1, 129, 60))
