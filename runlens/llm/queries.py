@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, langid, mixing, oddsketch, packing, perplexity, pii, shards, tokenfile, vafile
+from runlens.llm import chat, divergence, langid, mixing, oddsketch, packing, pagetext, perplexity, pii, shards, spelling, tokenfile, vafile
 from runlens.llm.common import materialise, word_count
 from runlens.session import scratch_path
 from runlens.sources.tables import read_table
@@ -196,3 +196,90 @@ def op8_lstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined(base), 256).alias("base_sha256"),
                         joined(F.col("pii_spans")).alias("spans"))
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@query("op11_quadtree_divergence", rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), terms AS (
+  SELECT d, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), '{UPPER}', '{UPPER.lower()}') AS term FROM docs
+), kept AS (
+  SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM terms GROUP BY lang, term HAVING count(DISTINCT d) >= 3
+), langs AS (
+  SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(n) AS total FROM kept GROUP BY lang
+), seen AS (
+  SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+  SELECT lang, source, coalesce(sum(s.n), 0) AS total FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN seen s USING (lang, source) GROUP BY lang, source
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(s.n, 0) AS n, 1 + 1000000000 * (coalesce(s.n, 0) + 1) // (g.total + l.v) AS p,
+    1 + 1000000000 * (k.n + 1) // (l.total + l.v) AS q
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN seen s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(any_value(f.value), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) f
+    ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  GROUP BY a.lang, a.source, b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+WHERE part = 'pair' OR rank <= 200
+""")
+def op11_quadtree_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_letter_kd_variants", rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END) AS c
+    FROM range(256) r(i))
+), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{UPPER.lower()}') AS run FROM documents
+), counted AS (
+  SELECT run, count(*) AS n, hex(encode(id || ':' || run)) AS bytes FROM runs WHERE length(run) >= 6 GROUP BY id, run
+), hashed AS (
+  SELECT run, n, xor(list_reduce([4294967295::BIGINT] || list_transform(range(length(bytes) // 2), lambda i: ('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT),
+    lambda c, x: xor(c // 256, crc.steps[xor(c, x) % 256 + 1])), 4294967295) AS h
+  FROM counted, crc
+), cut AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), gaps AS (
+  SELECT word, n, length(word) AS size, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+  UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON g.rest = w.word
+  UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON g.rest = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS best_n FROM near GROUP BY word
+), named AS (
+  SELECT b.word, b.n_near, b.best_n, min(x.other) AS best FROM best b JOIN near x ON x.word = b.word AND x.other_n = b.best_n GROUP BY ALL
+), formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.best_n >= 5 * w.n THEN b.best END AS form,
+    CASE WHEN b.best_n >= 5 * w.n THEN b.best_n END AS form_n
+  FROM words w LEFT JOIN named b ON b.word = w.word
+), chain AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL
+), roots AS (
+  SELECT c.word, c.root FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NULL
+)
+SELECT f.word, f.form, r.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n FROM formed f JOIN roots r ON r.word = f.word
+""")
+def op12_letter_kd_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(read_table(spark, sf_dir, "documents"), delete_every=199))
+
+
+@query("op13_max_subsequence_text")
+def op13_max_subsequence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
