@@ -1,16 +1,23 @@
 """Exact k-nearest-neighbour classification (Euclidean, uniform vote).
 
-Queries and training rows are packed into blocks of bounded size by a hash of
-the key; every query block meets every training block in a task of its own, which
-keeps the k best rows of that block per query. Ranks and votes are merged by a
-window limit and aggregates, so no row of either side passes through the driver
-and no pair is ever a row. Neighbour ties go to the smaller training key, vote
-ties to the smaller label. Rows with a null key, label or vector take no part.
+Training rows lie in cells around pivots (a bounded sample of them), each cell in rings
+by the distance to its pivot, each ring in blocks of bounded size, so that a hot cell is
+many blocks. For a query at distance d from a pivot, rows of a ring [lo, hi] are at
+least max(d - hi, lo - d) away. A query first meets its nearest rings until they hold k rows;
+the k-th of these bounds its radius, and then it meets the other rings that may hold a row
+within. Queries of a block are packed too, so a meeting is one matrix product in a task of
+its own, and no pair is ever a row. Ranks and votes are merged by a window limit and aggregates;
+the driver sees the pivots and one row per ring.
+
+Neighbour ties go to the smaller training key, vote ties to the smaller label. Rows with a null key, label or vector,
+or a null or non-finite component, take no part; vectors of another length are no neighbours. Query keys are unique.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -18,55 +25,178 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.session import scratch_path, ship
+
 QUERY_BATCH = 128   # queries scored together against a block (bounds numpy memory)
+QUERY_BLOCK = 2048  # queries packed together
+PIVOTS, RINGS = 256, 16
+AT = ["dim", "cell", "ring", "salt"]
+AT_TYPES = "dim int, cell int, ring int, salt int"
+#: Share of the vectors' lengths by which a distance to a pivot may be off.
+SLACK = 1e-6
+
+
+def _points(df: DataFrame, key: str, vec: str, label: str | None) -> DataFrame:
+    v = F.col(vec).cast("array<double>")
+    rows = df.select(F.col(key).cast("bigint").alias("k"), v.alias("v"), (F.col(label) if label else F.lit(0)).cast("bigint").alias("l")).dropna()
+    return rows.where(F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < math.inf))).withColumn("dim", F.size("v"))
+
+
+def _once(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _pivots(train: DataFrame, rows: int) -> dict[int, np.ndarray]:
+    """Per vector length, some of the training vectors: at most ``PIVOTS`` in all, and one of each length."""
+    few = min(PIVOTS, max(1, math.isqrt(rows) // 2))
+    sample = train.orderBy(F.xxhash64("k"), "k").limit(few).select("v").collect()
+    rest = train.groupBy("dim").agg(F.min_by("v", "k").alias("v")).collect()  # a row per length
+    out: dict[int, list] = {}
+    for r in sample:
+        out.setdefault(len(r["v"]), []).append(r["v"])
+    for r in rest:
+        out.setdefault(len(r["v"]), [r["v"]])
+    return {dim: np.array(vs, float).reshape(len(vs), dim) for dim, vs in out.items()}
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    square = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2.0 * x @ pivots.T
+    return np.sqrt(np.maximum(square, 0))
+
+
+def _of_batch(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per vector length: the rows of a batch and their vectors."""
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        flat = batch.column("v").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+        yield int(dim), at, flat.reshape(len(at), dim)
+
+
+def _to_cells(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for dim, at, x in _of_batch(batch):
+            d = _distances(x, pivots[dim])
+            cell = d.argmin(axis=1)
+            rows = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(at)), cell])],
+                                             names=[*rows.schema.names, "cell", "d"])
+
+
+def _pack(key: tuple, part: pd.DataFrame, extra: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({**{c: [v] for c, v in zip([*AT, *extra], key, strict=True)}, "ks": [part["k"].to_numpy(np.int64).tobytes()],
+                         "ls": [part["l"].to_numpy(np.int64).tobytes()], "vs": [np.array(part["v"].tolist(), float).tobytes()]})
+
+
+def _blocks(train: DataFrame, pivots: dict[int, np.ndarray], block_rows: int) -> tuple[DataFrame, list]:
+    """Packed blocks of training rows, and one row per ring: its rows, blocks and distances to the pivot."""
+    cells = _once(train.mapInArrow(partial(_to_cells, pivots=pivots), "k long, v array<double>, l long, dim int, cell int, d double"), "knn-cells")
+    sizes = cells.groupBy("dim", "cell").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.count(F.lit(1)).alias("n"))
+    rings = F.least(F.lit(RINGS), F.ceil(F.col("n") / block_rows))
+    ring = F.when(F.col("d1") > F.col("d0"), F.least(rings - 1, F.floor((F.col("d") - F.col("d0")) / (F.col("d1") - F.col("d0")) * rings))).otherwise(0)
+    ringed = cells.join(sizes, ["dim", "cell"]).withColumn("ring", ring.cast("int"))
+    directory = ringed.groupBy("dim", "cell", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    directory = _once(directory.withColumn("salts", F.ceil(F.col("n") / block_rows).cast("int")), "knn-rings")
+    salted = ringed.select("k", "v", "l", "dim", "cell", "ring").join(directory.select("dim", "cell", "ring", "salts"), ["dim", "cell", "ring"]).withColumn(
+        "salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int"))
+    blocks = salted.groupBy(*AT).applyInPandas(lambda key, part: _pack(key, part, []), f"{AT_TYPES}, ks binary, ls binary, vs binary")
+    return _once(blocks, "knn-blocks"), directory.collect()
+
+
+def _route(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], directory: dict[int, tuple], k: int, first: bool) -> Iterator[pa.RecordBatch]:
+    """A row per query and block that it meets: in the first round the nearest rings that hold k rows, in the
+    second the other ones within its radius."""
+    for batch in batches:
+        for dim, at, x in _of_batch(batch):
+            if dim not in directory:
+                continue
+            cell, ring, n, salts, lo, hi = directory[dim]
+            d = _distances(x, pivots[dim])[:, cell]
+            size = np.sqrt((x * x).sum(axis=1))[:, None] + np.sqrt((pivots[dim] ** 2).sum(axis=1))[cell]
+            least = np.maximum(np.maximum(d - hi, lo - d), 0) - SLACK * size
+            order = np.argsort(np.maximum(least, 0) + 1e-12 * d, axis=1, kind="stable")
+            held = np.cumsum(n[order], axis=1) - n[order]
+            near = np.zeros(least.shape, bool)
+            np.put_along_axis(near, order, held < k, axis=1)
+            if first:
+                met = near
+            else:
+                radius = batch.column("radius").take(pa.array(at)).to_numpy(zero_copy_only=False).astype(float)
+                met = ~near & ~(least > radius[:, None])  # no radius: fewer than k rows so far
+            q, r = np.nonzero(met)
+            again = salts[r]
+            q, r = np.repeat(q, again), np.repeat(r, again)
+            salt = np.arange(len(q)) - np.repeat(np.cumsum(again) - again, again)
+            rows = batch.take(pa.array(at[q]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(q), dim, np.int32)), *(pa.array(c.astype(np.int32)) for c in (cell[r], ring[r], salt)),
+                 rows.column("k"), rows.column("l"), rows.column("v")], names=[*AT, "k", "l", "v"])
+
+
+def _score(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for m in batch.to_pylist():
+            q_keys, t_keys, t_labels = (np.frombuffer(m[c], np.int64) for c in ("qs", "ks", "ls"))
+            q_vecs = np.frombuffer(m["xs"]).reshape(len(q_keys), -1)
+            t_vecs = np.frombuffer(m["vs"]).reshape(len(t_keys), -1)
+            t_sq, kk = (t_vecs * t_vecs).sum(axis=1), min(k, len(t_keys))
+            out: list[tuple[np.ndarray, ...]] = []
+            for at in range(0, len(q_keys), QUERY_BATCH):
+                q = q_vecs[at:at + QUERY_BATCH]
+                q_sq = (q * q).sum(axis=1)[:, None]
+                near = q_sq + t_sq - 2.0 * q @ t_vecs.T
+                # all rows that rounding may hide behind the k-th are measured exactly, ties included
+                limit = np.partition(near, kk - 1, axis=1)[:, kk - 1] + 1e-9 * (q_sq[:, 0] + t_sq.max())
+                for i in range(len(q)):
+                    rows = np.flatnonzero(near[i] <= limit[i])
+                    dist = np.sqrt(((t_vecs[rows] - q[i]) ** 2).sum(axis=1))
+                    best = np.lexsort((t_keys[rows], dist))[:kk]
+                    out.append((np.full(kk, q_keys[at + i]), dist[best], t_keys[rows[best]], t_labels[rows[best]], np.full(kk, len(t_keys))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)],
+                                             names=["query_key", "dist", "train_key", "train_label", "met"])
 
 
-def _blocks(df: DataFrame, key: str, vec: str, label: str | None, rows_per_block: int, name: str) -> tuple[DataFrame, int]:
-    """Rows of (name, keys, labels, vectors), packed; and how many blocks there are."""
-    rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(vec).cast("array<double>").alias("v"),
-                     (F.col(label) if label else F.lit(0)).cast("bigint").alias("l")).dropna()
-    n = max(1, -(-rows.count() // rows_per_block))
+def _meet(routed: DataFrame, blocks: DataFrame, chunks: int, k: int) -> DataFrame:
+    """k candidates per query and block met."""
+    chunked = routed.withColumn("chunk", F.pmod(F.xxhash64("k"), F.lit(chunks)).cast("int"))
+    asked = chunked.groupBy(*AT, "chunk").applyInPandas(
+        lambda key, part: _pack(key, part, ["chunk"]), f"{AT_TYPES}, chunk int, ks binary, ls binary, vs binary")
+    asked = asked.select(*AT, "chunk", F.col("ks").alias("qs"), F.col("vs").alias("xs"))
+    tasks = max(chunks, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = blocks.join(asked, AT).repartition(tasks, *AT, "chunk")
+    return met.mapInArrow(partial(_score, k=k), "query_key long, dist double, train_key long, train_label long, met long")
 
-    def pack(at: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({name: [at[0]], f"{name}_k": [part["k"].to_numpy(np.int64).tobytes()],
-                             f"{name}_l": [part["l"].to_numpy(np.int64).tobytes()],
-                             f"{name}_v": [np.array(part["v"].tolist(), float).tobytes()]})
 
-    schema = f"{name} int, {name}_k binary, {name}_l binary, {name}_v binary"
-    return rows.withColumn(name, F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")).groupBy(name).applyInPandas(pack, schema), n
+def nearest(queries: DataFrame, train: DataFrame, key: str, vec: str, label: str, k: int = 5, block_rows: int = 8192) -> DataFrame:
+    """(query_key, dist, train_key, train_label, met): candidates among which each query's k nearest are;
+    ``met`` is the size of the block a candidate comes from."""
+    ship(queries.sparkSession)
+    asked, known = _points(queries, key, vec, None), _points(train, key, vec, label)
+    rows = known.count()
+    if not rows:
+        return queries.sparkSession.createDataFrame([], "query_key long, dist double, train_key long, train_label long, met long")
+    pivots = _pivots(known, rows)
+    blocks, rings = _blocks(known, pivots, block_rows)
+    directory = {}
+    for dim in pivots:
+        own = [r for r in rings if r["dim"] == dim]
+        directory[dim] = tuple(np.array([r[c] for r in own]) for c in ("cell", "ring", "n", "salts", "lo", "hi"))
+    chunks = max(1, -(-asked.count() // QUERY_BLOCK))
+    routed = f"{AT_TYPES}, k long, l long, v array<double>"
+    route = lambda first: partial(_route, pivots=pivots, directory=directory, k=k, first=first)
+    close = _once(_meet(asked.mapInArrow(route(True), routed), blocks, chunks, k), "knn-close")
+    ranked = close.withColumn("r", F.row_number().over(Window.partitionBy("query_key").orderBy("dist", "train_key"))).where(F.col("r") == k)
+    bounded = asked.join(ranked.select(F.col("query_key").alias("k"), F.col("dist").alias("radius")), "k", "left")
+    far = _meet(bounded.mapInArrow(route(False), routed), blocks, chunks, k)
+    return close.unionByName(far)
 
 
 def knn_classify(queries: DataFrame, train: DataFrame, key: str, vec: str, label: str, k: int = 5,
                  block_rows: int = 8192) -> DataFrame:
     """Predicted label per query row: (key, pred)."""
-    asked, n_asked = _blocks(queries, key, vec, None, block_rows, "q")
-    known, n_known = _blocks(train, key, vec, label, block_rows, "t")
-    meet = known.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))).join(asked, "q")
-    meet = meet.repartition(max(1, n_asked * n_known), "q", "t")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for m in batch.to_pylist():
-                q_keys, t_keys, t_labels = (np.frombuffer(m[c], np.int64) for c in ("q_k", "t_k", "t_l"))
-                q_vecs = np.frombuffer(m["q_v"]).reshape(len(q_keys), -1)
-                t_vecs = np.frombuffer(m["t_v"]).reshape(len(t_keys), -1)
-                t_sq, kk = (t_vecs * t_vecs).sum(axis=1), min(k, len(t_keys))
-                out: list[tuple[np.ndarray, ...]] = []
-                for at in range(0, len(q_keys), QUERY_BATCH):
-                    q = q_vecs[at:at + QUERY_BATCH]
-                    q_sq = (q * q).sum(axis=1)[:, None]
-                    near = q_sq + t_sq - 2.0 * q @ t_vecs.T
-                    # all rows that rounding may hide behind the k-th are measured exactly, ties included
-                    limit = np.partition(near, kk - 1, axis=1)[:, kk - 1] + 1e-9 * (q_sq[:, 0] + t_sq.max())
-                    for i in range(len(q)):
-                        rows = np.flatnonzero(near[i] <= limit[i])
-                        dist = np.sqrt(((t_vecs[rows] - q[i]) ** 2).sum(axis=1))
-                        best = np.lexsort((t_keys[rows], dist))[:kk]
-                        out.append((np.full(kk, q_keys[at + i]), dist[best], t_keys[rows[best]], t_labels[rows[best]]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)],
-                                                 names=["query_key", "dist", "train_key", "train_label"])
-
-    cands = meet.mapInArrow(score, "query_key bigint, dist double, train_key bigint, train_label bigint")
+    cands = nearest(queries, train, key, vec, label, k, block_rows)
     w = Window.partitionBy("query_key").orderBy("dist", "train_key")  # k candidates per block per query
     nn = cands.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     votes = nn.groupBy("query_key", "train_label").agg(F.count(F.lit(1)).alias("_c"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,10 +90,16 @@ def classification_report(pred: DataFrame) -> DataFrame:
 
 
 def mean_vector(df: DataFrame, keys: Sequence[str], arr: str) -> DataFrame:
-    """Element-wise mean vector per group in long form (keys, pos, mean);
-    a partial aggregate per (group, position) before the shuffle."""
-    long = posexplode_rows(df, keys, arr, "pos", "x")
-    return long.groupBy(*keys, "pos").agg(F.avg("x").alias("mean"))
+    """Element-wise mean vector per group in long form (keys, pos, mean), by array-valued
+    sums: a row stays a row until the shuffle. Null elements don't count; vectors of several
+    lengths are summed apart and meet as sums."""
+    present = F.transform(arr, lambda x: F.when(x.isNull(), 0.0).otherwise(1.0))
+    values = F.transform(arr, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    rows = df.where(F.size(arr) > 0).select(*keys, F.size(arr).alias("_size"), array_to_vector(F.concat(values, present)).alias("_v"))
+    sums = rows.groupBy(*keys, "_size").agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias("_s"))
+    both = F.arrays_zip(F.slice("_s", F.lit(1), F.col("_size")).alias("x"), F.slice("_s", F.col("_size") + 1, F.col("_size")).alias("n"))
+    long = posexplode_rows(sums, keys, both, "pos", "_e")
+    return long.groupBy(*keys, "pos").agg(F.try_divide(F.sum("_e.x"), F.sum("_e.n")).alias("mean"))
 
 
 # ------------------------------------------------------------------ losses
@@ -133,24 +141,27 @@ def patient_loss(student: DataFrame, teacher: DataFrame, mapping: DataFrame) ->
     ``student``: (ex, s_idx, s_state); ``teacher``: (ex, t_idx, t_state);
     ``mapping``: (strategy, s_idx, t_idx), bounded by the layer counts."""
     j = student.join(F.broadcast(mapping), "s_idx").join(teacher, ["ex", "t_idx"])
-    sq = F.aggregate(F.zip_with(V.l2_normalize("s_state"), V.l2_normalize("t_state"), lambda a, b: (a - b) * (a - b)),
-                     F.lit(0.0), lambda acc, x: acc + x) / F.size("s_state")
-    per_pair = j.groupBy("strategy", "s_idx").agg(F.avg(sq).alias("mse"))
+    return _mapped_loss(j.select("strategy", "s_idx", V.l2_normalize("s_state").alias("a"), V.l2_normalize("t_state").alias("b")), F.size("a"))
+
+
+def _mapped_loss(states: DataFrame, size) -> DataFrame:
+    sq = F.aggregate(F.zip_with("a", "b", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x) / size
+    per_pair = states.groupBy("strategy", "s_idx").agg(F.avg(sq).alias("mse"))
     return per_pair.groupBy("strategy").agg(F.sum("mse").alias("loss"))
 
 
 def patient_loss_from_vectors(v: DataFrame, teacher_layers: int, student_layers: int, dim: int) -> DataFrame:
     """V07 on the vectors binding: teacher states are row i reshaped to
     teacher_layers x dim, student states the first student_layers x dim values
-    of row i + 1."""
-    teacher = posexplode_rows(v, [F.col("vec_id").alias("ex")], V.reshape("vec", teacher_layers, dim),
-                              "t_idx", "t_state")
-    student = posexplode_rows(v, [(F.col("vec_id") - 1).alias("ex")],
-                              V.reshape(F.slice("vec", 1, student_layers * dim), student_layers, dim),
-                              "s_idx", "s_state")
+    of row i + 1. The vectors are joined whole; mapped layers are cut out of the pair."""
+    teacher = v.select(F.col("vec_id").alias("ex"), F.col("vec").alias("t"))
+    student = v.select((F.col("vec_id") - 1).alias("ex"), F.col("vec").alias("s"))
     sizes = v.sparkSession.range(1).select(F.lit(student_layers).alias("student_layers"))
-    mapping = layer_map(sizes, "student_layers", teacher_layers).drop("student_layers")
-    return patient_loss(student, teacher, mapping)
+    mapping = layer_map(sizes, "student_layers", teacher_layers).drop("student_layers").collect()  # layers x strategies rows
+    pairs = F.array(*[F.struct(*[F.lit(m[c]).alias(c) for c in ("strategy", "s_idx", "t_idx")]) for m in mapping])
+    state = lambda c, i: V.l2_normalize(F.slice(c, F.col(i) * dim + 1, F.lit(dim)))
+    j = teacher.join(student, "ex").select("t", "s", F.inline(pairs)).select("strategy", "s_idx", state("s", "s_idx").alias("a"), state("t", "t_idx").alias("b"))
+    return _mapped_loss(j, dim)
 
 
 def combined_loss(kd: DataFrame, ce, pt, alphas: Sequence[float], betas: Sequence[float]) -> DataFrame:

@@ -14,13 +14,15 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel, RegexTokenizer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.operators.metrics import classification_report
+from runlens.operators.prep import vocabulary, word_frequencies
 
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -33,10 +35,42 @@ def fit_logistic(train: DataFrame, test: DataFrame, features: str, label: str,
                  c: float = 1.0, max_iter: int = 1000) -> DataFrame:
     """Multinomial logistic regression with an L2 penalty equivalent to
     C = 1 on summed losses (Spark averages the loss: regParam = 1 / (C * n))."""
+    return _logistic(train, features, label, c, max_iter).fit(train).transform(test)
+
+
+def _logistic(train: DataFrame, features: str, label: str, c: float, max_iter: int) -> LogisticRegression:
+    """The penalty is on the weights as they are, not on those of standardised features; a small
+    tolerance, so that the solution can be certified."""
+    return LogisticRegression(featuresCol=features, labelCol=label, maxIter=max_iter, tol=1e-8, standardization=False,
+                              regParam=1.0 / (c * max(train.count(), 1)), elasticNetParam=0.0, family="multinomial")
+
+
+def logistic_certificate(train: DataFrame, features: str, label: str, c: float = 1.0, max_iter: int = 1000,
+                         tolerance: float = 1e-4) -> DataFrame:
+    """Proof that ``fit_logistic`` found the optimum, from one pass over the training rows:
+    (label, pos, moment, optimal).
+
+    The loss is strictly convex in the weights, so they are optimal where its gradient is zero:
+    sum(x * p) + w / C = sum(x * y) per class and feature (the penalised loss times n). ``moment`` is the right
+    side, the feature's sum over the class's rows; ``optimal`` says that the left side equals it, to
+    ``tolerance`` per training row. Feature ``pos`` -1 is the intercept, without a penalty."""
+    model = _logistic(train, features, label, c, max_iter).fit(train)
+    weights, classes, width = model.coefficientMatrix.toArray(), model.numClasses, model.numFeatures
+    x = F.concat(F.array(F.lit(1.0)), vector_to_array(features))
+    # a row per class: the features weighed by the class's probability, and those of the class's own rows
+    scored = model.transform(train).select(F.col(label).cast("int").alias("y"), x.alias("x"), vector_to_array("probability").alias("p"))
+    each = scored.select("y", "x", F.posexplode("p").alias("label", "q"))
+    each = each.withColumn("own", (F.col("y") == F.col("label")).cast("double"))
+    parts = each.select("label", array_to_vector(F.concat(
+        F.transform("x", lambda v: v * F.col("q")), F.transform("x", lambda v: v * F.col("own")))).alias("v"))
+    summed = parts.groupBy("label").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("s"))
     n = train.count()
-    lr = LogisticRegression(featuresCol=features, labelCol=label, maxIter=max_iter,
-                            regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, family="multinomial")
-    return lr.fit(train).transform(test)
+    pull = train.sparkSession.createDataFrame(  # the model: classes x features
+        [(k, [0.0, *(float(w) / c for w in weights[k])]) for k in range(classes)], "label int, pull array<double>")
+    side = F.arrays_zip(F.slice("s", 1, width + 1).alias("left"), F.slice("s", width + 2, width + 1).alias("right"), "pull")
+    long = summed.join(F.broadcast(pull), "label").select("label", F.posexplode(side).alias("pos", "e"))
+    gap = F.abs(F.col("e.left") + F.col("e.pull") - F.col("e.right"))
+    return long.select("label", (F.col("pos") - 1).alias("pos"), F.col("e.right").alias("moment"), (gap <= tolerance * n).alias("optimal"))
 
 
 def fit_forest(train: DataFrame, test: DataFrame, features: str, label: str,
@@ -55,15 +89,18 @@ def bow_baseline(train: DataFrame, test: DataFrame, text: str, label: str, vocab
                  c: float = 1.0, max_iter: int = 1000) -> DataFrame:
     """Tokenise -> count vectors over the top ``vocab_size`` words ->
     logistic regression (penalty as in ``fit_logistic``), as one pipeline."""
-    n = train.count()
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=WORD_PATTERN, gaps=False, toLowercase=True),
-        CountVectorizer(inputCol="_words", outputCol="_bow", vocabSize=vocab_size),
-        LogisticRegression(featuresCol="_bow", labelCol=label, maxIter=max_iter, regParam=1.0 / (c * max(n, 1))),
-    ])
+    pipe = Pipeline(stages=[*bow_stages(train, text, vocab_size), _logistic(train, "_bow", label, c, max_iter)])
     return pipe.fit(train).transform(test)
 
 
+def bow_stages(train: DataFrame, text: str, vocab_size: int = 5000) -> list:
+    """Tokeniser and count vectors over the training texts' most frequent words (on ties the smaller word first)."""
+    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=WORD_PATTERN, gaps=False, toLowercase=True)
+    freq = word_frequencies(words.transform(train).select(F.explode("_words").alias("word")))
+    vocab = [r["word"] for r in vocabulary(freq, size=vocab_size).orderBy("word_id").collect()]  # vocab_size words
+    return [words, CountVectorizerModel.from_vocabulary(vocab, inputCol="_words", outputCol="_bow")]
+
+
 def linear_scorer_weights(n_models: int, n_classes: int, dim: int) -> np.ndarray:
     """Weights of the linear scorers used to exercise batched scoring:
     W[m, c, i] = (((i * (c + 1) + m) mod 7) - 3) / 4."""

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from runlens.functions.arrays import posexplode_rows
 from runlens.functions.text import parse_label
-from runlens.operators.ranking import global_index, null_safe_join
+from runlens.operators.positions import number_rows
+from runlens.operators.ranking import null_safe_join
 
 PAD_ID = 0
 UNK_ID = 1
@@ -131,7 +132,7 @@ def split_summary(df: DataFrame, split: str = "split", label: str = "label") ->
 
 def row_index(df: DataFrame, partition_by: Sequence[str], order: Sequence[str], name: str = "index") -> DataFrame:
     """Dense 0-based index restarting per partition value."""
-    return global_index(df, list(order), partition_by=list(partition_by), name=name)
+    return number_rows(df, list(order), partition_by=list(partition_by), name=name)
 
 
 def grid_minus_done(grid: Mapping[str, Sequence], done: DataFrame) -> DataFrame:
@@ -155,6 +156,12 @@ def explode_choices(df: DataFrame, key: str, context: str, candidates: Sequence[
     return out.where(F.col("candidate").isNotNull())
 
 
+def join_choices(examples: DataFrame, candidates: DataFrame, key: str, context: str, choice: str, candidate: str) -> DataFrame:
+    """P11 where the candidates are rows already (``key``, ``choice``, ``candidate``): each with its example's context."""
+    found = candidates.where(F.col(candidate).isNotNull()).select(key, F.col(choice).alias("choice"), F.col(candidate).alias("candidate"))
+    return examples.select(key, F.col(context).alias("context")).join(found, key)
+
+
 def regroup_choices(df: DataFrame, key: str, choice: str, value: str, name: str = "choices") -> DataFrame:
     """P11 inverse: back to one row per example with the values in choice order
     (groups are bounded by the number of choices)."""
@@ -196,11 +203,16 @@ def bag_of_words(counts: DataFrame, vocab: DataFrame, word: str = "word") -> Dat
 def token_ids(df: DataFrame, keys: Sequence[str], tokens: Column, vocab: DataFrame, name: str) -> DataFrame:
     """Word ids of a token array (UNK_ID outside the vocabulary), one row per
     row of ``df``; empty arrays come through the outer explode. (A map lookup
-    per token is not used: Spark map lookups scan the keys linearly.)"""
-    rows = df.select(*keys, F.posexplode_outer(tokens).alias("_pos", "word"))
+    per token is not used: Spark map lookups scan the keys linearly.)
+
+    Rows are told apart by the keys and a hash of their tokens; rows alike in both have the
+    same ids, are encoded once, counted by their first positions and repeated."""
+    rows = df.select(*keys, tokens.alias("_tokens")).withColumn("_row", F.xxhash64("_tokens"))
+    rows = rows.select(*keys, "_row", F.posexplode_outer("_tokens").alias("_pos", "word"))
     rows = rows.join(F.broadcast(vocab.select("word", "word_id")), "word", "left")
-    got = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct(
-        F.col("_pos"), F.coalesce(F.col("word_id"), F.lit(UNK_ID)).alias("id"))))).alias("_s"))
+    ids = F.collect_set(F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), F.coalesce(F.col("word_id"), F.lit(UNK_ID)).alias("id"))))
+    got = rows.groupBy(*keys, "_row").agg(F.array_sort(ids).alias("_s"), F.count_if(F.coalesce(F.col("_pos"), F.lit(0)) == 0).alias("_n"))
+    got = got.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
     return got.select(*keys, F.transform("_s", lambda s: s["id"]).alias(name))
 
 
@@ -244,22 +256,26 @@ def encode_pairs(rows: DataFrame, keys: Sequence[str], first: str, second: str,
         *keys, input_ids.alias("input_ids"), mask.alias("attention_mask"), F.size("_whole").alias("n_tokens"))
 
 
+def _batches(df: DataFrame, key: str, size: Column, batch_size: int) -> DataFrame:
+    """Rows numbered in key order (rows of one key by their other columns), cut into batches, with the longest size of each."""
+    order = [key, *[c for c in df.columns if c != key and c != "_size"]]
+    numbered = number_rows(df.withColumn("_size", size), order, name="_rn")
+    batch = F.floor(F.col("_rn") / batch_size).cast("bigint")
+    # a batch has batch_size rows
+    return numbered.withColumn("batch_id", batch).withColumn("padded_len", F.max("_size").over(Window.partitionBy("batch_id"))).drop("_rn")
+
+
 def pad_batches(encoded: DataFrame, key: str, ids: str, batch_size: int) -> DataFrame:
     """Consecutive batches of ``batch_size`` rows in key order; ids and masks
     padded to the longest row of the batch, other columns untouched."""
-    idx = global_index(encoded, [F.col(key)], name="_rn")
-    b = idx.withColumn("batch_id", F.floor(F.col("_rn") / batch_size).cast("bigint"))
-    longest = b.groupBy("batch_id").agg(F.max(F.size(ids)).alias("padded_len"))
+    b = _batches(encoded, key, F.size(ids), batch_size).drop("_size")
     input_ids, mask = _padded(F.col(ids), F.col("padded_len"))
-    return b.join(longest, "batch_id").withColumns({"input_ids": input_ids, "attention_mask": mask}).drop("_rn")
+    return b.withColumns({"input_ids": input_ids, "attention_mask": mask})
 
 
 def batch_pad_lengths(df: DataFrame, key: str, length: Column, batch_size: int) -> DataFrame:
     """The lengths to which ``pad_batches`` pads, without ids."""
-    idx = global_index(df, [F.col(key)], name="_rn")
-    b = idx.withColumns({"batch_id": F.floor(F.col("_rn") / batch_size).cast("bigint"), "n_tokens": length})
-    longest = b.groupBy("batch_id").agg(F.max("n_tokens").alias("padded_len"))
-    return b.join(longest, "batch_id").drop("_rn")
+    return _batches(df, key, length, batch_size).withColumnRenamed("_size", "n_tokens")
 
 
 def sliding_chunks(df: DataFrame, key: str, tokens: str, size: int, stride: int, first_only: bool = False) -> DataFrame:

@@ -1,13 +1,10 @@
-"""Argmax, top-n and positional indexing without single-task windows.
+"""Argmax and top-n without single-task windows (numbers and carries are in ``positions``).
 
 * ``best_per_group`` aggregates ``max(struct(...))``: the partial aggregate runs
   before the shuffle (Spark sorts each task's rows for a struct buffer), so a
   group holding a third of all rows sends one struct per task.
 * ``last_two_per_group`` keeps two rows per group with a window limit that Spark
   also places before the shuffle.
-* ``global_index`` numbers rows 0..n-1 in a total order (optionally restarting
-  per group) from a range-partitioned sort plus per-task offsets, so neither a
-  global order nor a hot group funnels into one task.
 
 Null groups are groups like any other; joins on group keys are null-safe.
 """
@@ -20,10 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cols(xs: Sequence[str | Column]) -> list[Column]:
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
-
-
 def has_value(c: Column) -> Column:
     """Neither null nor NaN."""
     return c.isNotNull() & ~F.isnan(c.cast("double"))
@@ -78,78 +71,16 @@ def last_two_per_group(df: DataFrame, key: str, order: Sequence[str], value: str
     the shuffle, so each task forwards at most two rows per group (a hot group
     costs two rows per task), and the final limit and the pivot to one row run
     after a single exchange. Output: key, n_top (1 or 2), last_<order...>,
-    last_value, prev_value (null when the group has one row)."""
+    prev_<order...>, last_value, prev_value (null when the group has one row)."""
     w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
     top = df.select(key, *order, value, F.row_number().over(w).alias("_rn")).where(F.col("_rn") <= 2)
     at = lambda r, c: F.max(F.when(F.col("_rn") == r, F.col(c)))
     return top.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_top"),
-        *[at(1, c).alias(f"last_{c}") for c in order],
+        *[at(n, c).alias(f"{which}_{c}") for n, which in ((1, "last"), (2, "prev")) for c in order],
         at(1, value).alias("last_value"), at(2, value).alias("prev_value"))
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """The n first rows in a total order: a bounded top-k per task, then a merge."""
     return df.orderBy(*order).limit(n)
-
-
-def _tagged_range_sorted(df: DataFrame, keys: Sequence[Column], mono: bool = True) -> DataFrame:
-    """Rows range-partitioned and sorted on ``keys``, tagged with their task
-    number (and a per-task increasing id), materialised with a reliable
-    checkpoint in the shared ``spark.checkpoint.dir``.
-
-    The positional operators read these rows twice (per-task summary, then
-    the rows themselves). Range boundaries come from sampling seeded by RDD
-    ids, so two evaluations of the same plan may cut the key range
-    differently; the checkpoint fixes one partitioning for both reads and for
-    any recomputation after an executor loss."""
-    from runlens.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_task", F.spark_partition_id())
-    if mono:
-        tagged = tagged.withColumn("_mono", F.monotonically_increasing_id())
-    return tagged.checkpoint(eager=True)
-
-
-def global_index(df: DataFrame, order: Sequence[str | Column], partition_by: Sequence[str] = (),
-                 name: str = "idx") -> DataFrame:
-    """0-based consecutive index in the total order ``order`` restarting per
-    ``partition_by`` value (like ``row_number() - 1``) without a single-task window.
-
-    Rows are range-partitioned and sorted on (partition_by, order); every task
-    numbers its rows locally; a small table of per-(task, group) counts gives
-    each block its offset. The order must be total (include a unique key).
-    """
-    keys = _cols([*partition_by, *order])
-    tagged = _tagged_range_sorted(df, keys)
-    blocks = tagged.groupBy("_task", *partition_by).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
-    w = Window.partitionBy(*partition_by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    blocks = blocks.select("_task", *partition_by, "_offset", "_first")
-    out = null_safe_join(tagged, blocks if partition_by else F.broadcast(blocks), ["_task", *partition_by])
-    return out.withColumn(name, F.col("_offset") + F.col("_mono") - F.col("_first")).drop(
-        "_task", "_mono", "_offset", "_first")
-
-
-def running_max_before(df: DataFrame, group: str, order: Sequence[str], value: str,
-                       name: str = "prev_best") -> DataFrame:
-    """Maximum of ``value`` over all earlier rows of the same group in the total
-    order ``order`` (null for a group's first row), without a per-group window.
-
-    A segmented scan: rows are range-partitioned and sorted on (group, order),
-    so a hot group spans many tasks. A table of one maximum per (task, group),
-    run over the tasks of a group, gives each block what the group reached
-    before; inside a block a window over (task, group) does. Null and NaN values
-    raise no maximum; the null group is a group."""
-    keys = [F.col(group), *[F.col(c) for c in order]]
-    tagged = _tagged_range_sorted(df, keys, mono=False)
-    value_ = F.when(has_value(F.col(value)), F.col(value))
-    before = Window.partitionBy(group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = tagged.groupBy("_task", group).agg(F.max(value_).alias("_max")).select(
-        "_task", group, F.max("_max").over(before).alias("_carry"))
-    inside = Window.partitionBy("_task", group).orderBy(*[F.col(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    seeded = null_safe_join(tagged, blocks, ["_task", group])
-    return seeded.withColumn(name, F.greatest("_carry", F.max(value_).over(inside)).cast(df.schema[value].dataType)).drop("_task", "_carry")

@@ -13,15 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.operators.ranking import (
-    best_per_group,
-    global_index,
-    has_value,
-    last_two_per_group,
-    null_safe_join,
-    running_max_before,
-    top_n,
-)
+from runlens.operators.positions import frequency_quantiles, number_rows, running_max_before, with_previous
+from runlens.operators.ranking import best_per_group, has_value, last_two_per_group, null_safe_join, top_n
 
 # Fixed values of the analysis rules (must equal the reference's behaviour).
 CONVERGENCE_THRESHOLD = 0.001
@@ -40,52 +33,28 @@ def final_epoch_rows(df: DataFrame, epoch: str = "epoch") -> DataFrame:
 
 def multi_row_groups(df: DataFrame, key: str) -> DataFrame:
     """keep the groups that have more than one row (aggregate + semi join,
-    no per-group window)."""
+    no per-group window); the null group is a group."""
     multi = df.groupBy(key).count().where(F.col("count") > 1).select(key)
-    return df.join(multi, key, "left_semi")
+    return null_safe_join(df, multi, [key], "left_semi")
 
 
 # ---------------------------------------------------------- aggregations (A)
 
-def exact_quantiles(values: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
-    """Exact, linearly interpolated quantiles (pandas/``quantile_cont`` rule)
-    from a distributed positional index; only 2 rows per probability meet in
-    the final aggregate."""
-    n = values.select(F.count(column)).scalar()
-    indexed = global_index(values.select(column).where(F.col(column).isNotNull()), [column], name="_i")
-    pos = {q: (n - 1) * F.lit(float(q)) for q in probs}
-    keep = None
-    for q in probs:
-        c = (F.col("_i") == F.floor(pos[q])) | (F.col("_i") == F.ceil(pos[q]))
-        keep = c if keep is None else keep | c
-    picked = indexed.where(keep)
-    aggs = []
-    for q in probs:
-        lo = F.max(F.when(F.col("_i") == F.floor(pos[q]), F.col(column)))
-        hi = F.max(F.when(F.col("_i") == F.ceil(pos[q]), F.col(column)))
-        frac = pos[q] - F.floor(pos[q])
-        aggs.append((lo + (hi - lo) * frac).alias(f"q{int(round(q * 100)):02d}"))
-    return picked.agg(*aggs)
-
-
 def run_profile(df: DataFrame, run: str = "run_name") -> DataFrame:
-    """Rows, distinct runs and describe() of rows-per-run."""
-    per_run = df.groupBy(run).agg(F.count(F.lit(1)).cast("double").alias("rows_per_run"))
-    stats = per_run.agg(
-        F.sum("rows_per_run").cast("bigint").alias("n_rows"),
-        F.count(F.lit(1)).alias("n_runs"),
-        F.mean("rows_per_run").alias("mean"),
-        F.stddev_samp("rows_per_run").alias("std"),
-        F.min("rows_per_run").alias("min"),
-        F.max("rows_per_run").alias("max"),
-    )
-    qs = exact_quantiles(per_run, "rows_per_run", [0.25, 0.5, 0.75])
-    return stats.select("*", *[qs.select(q).scalar().alias(q) for q in ("q25", "q50", "q75")])
+    """Rows, distinct runs and describe() of rows-per-run, in one scan: all of it
+    follows from how many runs have how many rows."""
+    per_run = df.groupBy(run).agg(F.count(F.lit(1)).cast("double").alias("rows"))
+    freq = per_run.groupBy("rows").agg(F.count(F.lit(1)).alias("runs"))
+    n, total = F.sum("runs"), F.sum(F.col("rows") * F.col("runs"))
+    spread = F.sum(F.col("rows") * F.col("rows") * F.col("runs")) - total * total / n  # whole numbers: no cancellation below 2^53
+    stats = [total.cast("bigint").alias("n_rows"), n.alias("n_runs"), (total / n).alias("mean"),
+             F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1))).alias("std"), F.min("rows").alias("min"), F.max("rows").alias("max")]
+    return frequency_quantiles(freq, "rows", "runs", [0.25, 0.5, 0.75], ["q25", "q50", "q75"], stats)
 
 
 def best_overall(df: DataFrame, metric: str = "metric", tiebreak: str = "ord") -> DataFrame:
-    """The single best row; the first row in file order on ties."""
-    return top_n(df, [F.col(metric).desc(), F.col(tiebreak).asc()], 1)
+    """The single best row; the first row in file order on ties. Null and NaN can't win."""
+    return top_n(df.where(has_value(F.col(metric))), [F.col(metric).desc(), F.col(tiebreak).asc()], 1)
 
 
 def best_per(df: DataFrame, keys: Sequence[str], metric: str = "metric", tiebreak: str = "ord") -> DataFrame:
@@ -155,25 +124,25 @@ def convergence_status(df: DataFrame, run: str = "run_name", epoch: str = "epoch
     status = (F.when(delta > threshold, STATUS_IMPROVING)
               .when(F.abs(delta) < threshold, STATUS_CONVERGED)
               .otherwise(STATUS_OVERFITTING))
-    return lt.select(run, F.col(f"last_{epoch}").alias("last_epoch"),
+    return lt.select(run, F.col(f"last_{epoch}").alias("last_epoch"), F.col(f"prev_{epoch}").alias("prev_epoch"),
                      F.col("last_value").alias("last_metric"), F.col("prev_value").alias("prev_metric"),
                      delta.alias("delta"), status.alias("status"))
 
 
 def leaderboard(df: DataFrame, metric: str, tiebreak: str, name: str = "rank") -> DataFrame:
-    """1-based rank by metric descending, earlier row first on ties,
-    numbered without a single-task window."""
-    out = global_index(df, [F.col(metric).desc(), F.col(tiebreak).asc()], name="_r")
-    return out.withColumn(name, F.col("_r") + 1).drop("_r")
+    """1-based rank by metric descending, earlier row first on ties, null and NaN
+    behind all others; numbered without a single-task window."""
+    rated = df.withColumn("_rated", F.when(has_value(F.col(metric)), F.col(metric)))
+    out = number_rows(rated, ["-_rated", tiebreak], name="_r")
+    return out.withColumn(name, F.col("_r") + 1).drop("_r", "_rated")
 
 
 def learning_curves(df: DataFrame, run: str, epoch: str, ord_col: str, params: Sequence[str]) -> DataFrame:
-    """Multi-epoch runs with the hyperparameters of each run's first row."""
-    first = df.groupBy(run).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(F.struct(F.col(epoch), F.col(ord_col), *[F.col(p) for p in params])).alias("_first"))
-    first = first.where(F.col("_n") > 1).select(run, *[F.col(f"_first.{p}").alias(f"{p}_first") for p in params])
-    return df.join(first, run)
+    """Multi-epoch runs with the hyperparameters of each run's first row (the null run is a run)."""
+    fields = [F.col(c).alias(f"_{i}") for i, c in enumerate([epoch, ord_col, *params])]
+    first = df.groupBy(run).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*fields)).alias("_first"))
+    first = first.where(F.col("_n") > 1).select(run, *[F.col(f"_first._{i + 2}").alias(f"{p}_first") for i, p in enumerate(params)])
+    return null_safe_join(df, first, [run])
 
 
 def param_impact(df: DataFrame, group: str, x: str, metric: str, epoch: str = "epoch") -> DataFrame:
@@ -190,20 +159,14 @@ def adaptive_top_n(df: DataFrame, metric: str, tiebreak: str, lo: int = 3, hi: i
     """n = min(hi, max(lo, rows // 3)) largest rows. n is at most ``hi``,
     so the candidates are a bounded top-``hi`` before the count is applied."""
     n = F.least(F.lit(hi), F.greatest(F.lit(lo), F.floor(df.select(F.count(F.lit(1))).scalar() / 3)))
-    head = top_n(df, [F.col(metric).desc(), F.col(tiebreak).asc()], hi)
+    head = top_n(df.where(has_value(F.col(metric))), [F.col(metric).desc(), F.col(tiebreak).asc()], hi)
     w = Window.orderBy(F.col(metric).desc(), F.col(tiebreak).asc())  # at most `hi` rows
     return head.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def chain_degradation(df: DataFrame, chain: str, order: Sequence[str], metric: str) -> DataFrame:
-    """Change of the metric from the previous stage and from the root.
-
-    Stages are numbered by ``global_index`` (no per-chain window); the previous
-    stage and the root are equi-joins on (chain, stage), a unique key."""
-    idx = global_index(df, list(order), partition_by=[chain], name="_i")
-    prev = idx.select(chain, (F.col("_i") + 1).alias("_i"), F.col(metric).alias("_prev"))
-    root = idx.where(F.col("_i") == 0).select(chain, F.col(metric).alias("_root"))
-    j = null_safe_join(null_safe_join(idx, prev, [chain, "_i"], "left"), root, [chain])
+    """Change of the metric from the previous stage and from the root, in one read of the rows."""
+    j = with_previous(df, chain, order, metric, "_prev", "_root", "_i")
     return j.select(*df.columns, (F.col("_i") + 1).cast("int").alias("stage"),
                     (F.col(metric) - F.col("_prev")).alias("delta_prev"),
                     (F.col(metric) - F.col("_root")).alias("delta_root"))
@@ -212,8 +175,8 @@ def chain_degradation(df: DataFrame, chain: str, order: Sequence[str], metric: s
 # ------------------------------------------------------------- joins (J)
 
 def resume_anti(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Work items not already evaluated."""
-    return todo.join(done.select(*keys), list(keys), "left_anti")
+    """Work items not already evaluated; a null key equals a null key."""
+    return null_safe_join(todo, done.select(*keys), keys, "left_anti")
 
 
 def tier2_semi(rows: DataFrame, selected: DataFrame, key: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.stats import t_quantile_udf, two_sided_p
+from runlens.operators.ranking import null_safe_join
+from runlens.session import scratch_path
 
 # Fixed weights of the composite model score (accuracy, similarity, size, time).
 COMPOSITE_WEIGHTS = (0.4, 0.3, 0.2, 0.1)
@@ -51,18 +53,18 @@ def mean_ci(gains: DataFrame, gain: str = "gain", level: float = 0.95) -> DataFr
 
 
 def dataset_profile(df: DataFrame, dataset: str, length: str, cls: str) -> DataFrame:
-    """Size, mean text length and the std of class counts per dataset."""
+    """Size, mean text length and the std of class counts per dataset (the null dataset is one)."""
     sizes = df.groupBy(dataset).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(length).alias("mean_len"))
     cc = df.groupBy(dataset, cls).agg(F.count(F.lit(1)).alias("_c"))
     std = cc.groupBy(dataset).agg(F.stddev_samp("_c").alias("class_count_std"))
-    return sizes.join(std, dataset)
+    return null_safe_join(sizes, std, [dataset])
 
 
 def class_entropy(df: DataFrame, dataset: str, cls: str) -> DataFrame:
-    """Number of classes and the natural-log entropy of class shares."""
+    """Number of classes and the natural-log entropy of class shares (the null dataset is one)."""
     cc = df.groupBy(dataset, cls).agg(F.count(F.lit(1)).alias("_c"))
     tot = cc.groupBy(dataset).agg(F.sum("_c").alias("_t"))
-    p = cc.join(tot, dataset).withColumn("_p", F.col("_c") / F.col("_t"))
+    p = null_safe_join(cc, tot, [dataset]).withColumn("_p", F.col("_c") / F.col("_t"))
     return p.groupBy(dataset).agg(F.count(F.lit(1)).alias("n_classes"),
                                   (-F.sum(F.col("_p") * F.log(F.col("_p")))).alias("entropy"))
 
@@ -96,6 +98,12 @@ def pareto_front_grid(df: DataFrame, maximize: str, grid_max: str, grid_min: str
     return j.where(~dominated).drop("_cell", "_better")
 
 
+def _once(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pareto_front(df: DataFrame, maximize: Sequence[str], minimize: Sequence[str] = (), block: int = 2048) -> DataFrame:
     """N07 for any numeric objectives: rows that no row dominates (identical rows
     don't dominate each other; rows with a null or NaN objective are left out).
@@ -127,7 +135,8 @@ def pareto_front(df: DataFrame, maximize: Sequence[str], minimize: Sequence[str]
                 kept = kept[best_rows(kept)]
         yield pd.DataFrame({"_x": pd.Series(list(kept * signs), dtype=object)})
 
-    left = rows.select("_x").distinct().mapInPandas(local, "_x array<double>")
+    # written once: evaluated again, rows could fall to other tasks and another local front result
+    left = _once(rows.select("_x").distinct().mapInPandas(local, "_x array<double>"), "pareto-local").distinct()
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"b": [part["b"].iloc[0]], "xs": [(np.array(part["_x"].tolist(), float) * signs).tobytes()]})
@@ -145,7 +154,7 @@ def pareto_front(df: DataFrame, maximize: Sequence[str], minimize: Sequence[str]
                 yield pd.DataFrame({"_x": pd.Series(list(x[lost] * signs), dtype=object)})
 
     lost = meet.mapInPandas(beaten, "_x array<double>").distinct()
-    front = left.distinct().join(lost, "_x", "left_anti")
+    front = left.join(lost, "_x", "left_anti")
     return rows.join(front, "_x", "left_semi").drop("_x")
 
 

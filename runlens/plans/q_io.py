@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 from runlens.operators import runs as R
 from runlens.plans import report as REP
 from runlens.plans.registry import query
-from runlens.plans.sql_views import PATHS, RUNS
+from runlens.plans.sql_views import PATHS, RUNS, STRATEGIES
 from runlens.session import scratch_path
 from runlens.sources import bindings as B
 from runlens.sources import io as IO
+from runlens.sources import results as RES
 from runlens.sources.tables import read_table
 from runlens.streaming.ingest import ingest_once
 
@@ -128,10 +129,10 @@ def s05_rejects(spark, d):
 def s06(spark, d):
     runs = B.runs(spark, d).select("run_name", "epoch", "metric", "ord")
     path = scratch_path(spark, "s06-results")
-    IO.append_results(runs.where(F.col("epoch") % 2 == 1), path, ["run_name", "epoch"], ["ord"])
-    IO.append_results(runs, path, ["run_name", "epoch"], ["ord"])   # only the even epochs are new
-    IO.append_results(runs, path, ["run_name", "epoch"], ["ord"])   # a re-run appends nothing
-    return spark.read.parquet(path)
+    RES.append_results(runs.where(F.col("epoch") % 2 == 1), path, ["run_name", "epoch"], ["ord"])
+    RES.append_results(runs, path, ["run_name", "epoch"], ["ord"])   # only the even epochs are new
+    RES.append_results(runs, path, ["run_name", "epoch"], ["ord"])   # a re-run appends nothing
+    return RES.read_results(spark, path, runs.schema)
 
 
 @query("s07_tsv_sink", """SELECT d.doc_id AS "index", d.text, l.quality AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
@@ -141,7 +142,7 @@ def s07(spark, d):
     IO.write_delimited(lab, path, sep="\t")
     schema = T.StructType([T.StructField("index", T.LongType()), T.StructField("text", T.StringType()),
                            T.StructField("label", T.IntegerType())])
-    return IO.read_delimited(spark, path, schema, sep="\t")
+    return IO.read_delimited(spark, path, schema, sep="\t", multi_line=True)  # texts have line breaks
 
 
 @query("s08_example_documents", "SELECT conv_id, turn, role, text, CAST(length(text) AS INTEGER) AS n_chars FROM conversations")
@@ -153,44 +154,85 @@ def s08(spark, d):
     return spark.read.schema(schema).json(path).select("conv_id", "turn", "role", "text", "n_chars")
 
 
+_LOSS = "metric / 4"  # the stand-in of a loss
+
+_FMT4 = "printf('%.4f', round({}, 4))".format
+
+
 @query("s09_report_lines", f"""WITH {RUNS},
-best_run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_name ORDER BY metric DESC, ord) AS rn FROM runs) WHERE rn = 1),
+lossy AS (SELECT *, {_LOSS} AS loss FROM runs),
+best_run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_name ORDER BY metric DESC, ord) AS rn FROM lossy) WHERE rn = 1),
 best_epoch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY metric DESC, ord) AS rn FROM runs) WHERE rn = 1),
-best AS (SELECT * FROM runs ORDER BY metric DESC, ord LIMIT 1),
+best AS (SELECT * FROM lossy ORDER BY metric DESC, ord LIMIT 1),
 per_run AS (SELECT *, CAST(row_number() OVER (ORDER BY metric DESC, ord) AS INTEGER) AS o FROM best_run),
 every AS (SELECT *, CAST(row_number() OVER (ORDER BY metric DESC, ord) AS INTEGER) AS o FROM runs),
-alphas AS (SELECT alpha, avg(metric) AS m FROM runs GROUP BY alpha),
-temps AS (SELECT temperature, avg(metric) AS m FROM runs GROUP BY temperature),
+final AS (SELECT * FROM runs WHERE epoch = (SELECT max(epoch) FROM runs)),
+alphas AS (SELECT alpha, avg(metric) AS m FROM final GROUP BY alpha),
+temps AS (SELECT temperature, avg(metric) AS m FROM final GROUP BY temperature),
 r AS (SELECT *, row_number() OVER (PARTITION BY run_name ORDER BY epoch DESC, ord DESC) AS rn FROM runs),
-conv AS (SELECT a.run_name, b.metric AS prev, a.metric AS last, a.metric - b.metric AS delta,
-  CASE WHEN a.metric - b.metric > CAST(0.001 AS DOUBLE) THEN 'Still improving'
-       WHEN abs(a.metric - b.metric) < CAST(0.001 AS DOUBLE) THEN 'Converged' ELSE 'Overfitting' END AS status,
+conv AS (SELECT a.run_name, b.metric AS prev, a.metric AS last, a.metric - b.metric AS delta, b.epoch AS prev_epoch, a.epoch AS last_epoch,
+  CASE WHEN a.metric - b.metric > CAST(0.001 AS DOUBLE) THEN '{R.STATUS_IMPROVING}'
+       WHEN abs(a.metric - b.metric) < CAST(0.001 AS DOUBLE) THEN '{R.STATUS_CONVERGED}' ELSE '{R.STATUS_OVERFITTING}' END AS status,
   CAST(row_number() OVER (ORDER BY a.run_name) AS INTEGER) AS o
   FROM r a JOIN r b ON a.run_name = b.run_name AND b.rn = 2 WHERE a.rn = 1),
 convc AS (SELECT status, count(*) AS c FROM conv GROUP BY status)
 SELECT 1 AS section_no, 'overview' AS section, 0 AS ord, printf('Total evaluations: %d', (SELECT count(*) FROM runs)) AS line
 UNION ALL SELECT 1, 'overview', 1, printf('Runs: %d', (SELECT count(DISTINCT run_name) FROM runs))
-UNION ALL SELECT 1, 'overview', 2, printf('Best metric: %s (%s, epoch %d)', printf('%.4f', round(metric, 4)), run_name, epoch) FROM best
-UNION ALL SELECT 2, 'best_per_run', o, printf('%d. %s epoch %d: %s', o, run_name, epoch, printf('%.4f', round(metric, 4))) FROM per_run
-UNION ALL SELECT 3, 'best_per_epoch', epoch, printf('epoch %d: %s alpha=%s temperature=%s: %s', epoch, run_name, alpha, temperature, printf('%.4f', round(metric, 4))) FROM best_epoch
-UNION ALL SELECT 4, 'alpha_effect', CAST(row_number() OVER (ORDER BY m DESC, alpha) AS INTEGER), printf('alpha=%s: %s', alpha, printf('%.4f', round(m, 4))) FROM alphas
-UNION ALL SELECT 5, 'temperature_effect', CAST(row_number() OVER (ORDER BY m DESC, temperature) AS INTEGER), printf('temperature=%s: %s', temperature, printf('%.4f', round(m, 4))) FROM temps
-UNION ALL SELECT 6, 'all_evaluations', o, printf('%d. %s epoch %d alpha=%s temperature=%s: %s', o, run_name, epoch, alpha, temperature, printf('%.4f', round(metric, 4))) FROM every
-UNION ALL SELECT 7, 'convergence', o, printf('%s: %s -> %s, change %s (%s)', run_name, printf('%.4f', round(prev, 4)), printf('%.4f', round(last, 4)), printf('%.4f', round(delta, 4)), status) FROM conv
+UNION ALL SELECT 1, 'overview', 2, printf('Best metric: %s (%s, epoch %d, loss %s)', {_FMT4("metric")}, run_name, epoch, {_FMT4("loss")}) FROM best
+UNION ALL SELECT 2, 'best_per_run', o, printf('%d. %s epoch %d: %s, loss %s', o, run_name, epoch, {_FMT4("metric")}, {_FMT4("loss")}) FROM per_run
+UNION ALL SELECT 3, 'best_per_epoch', epoch, printf('epoch %d: %s alpha=%s temperature=%s: %s', epoch, run_name, alpha, temperature, {_FMT4("metric")}) FROM best_epoch
+UNION ALL SELECT 4, 'alpha_effect', CAST(row_number() OVER (ORDER BY m DESC, alpha) AS INTEGER), printf('alpha=%s: %s', alpha, {_FMT4("m")}) FROM alphas
+UNION ALL SELECT 5, 'temperature_effect', CAST(row_number() OVER (ORDER BY m DESC, temperature) AS INTEGER), printf('temperature=%s: %s', temperature, {_FMT4("m")}) FROM temps
+UNION ALL SELECT 6, 'all_evaluations', o, printf('%d. %s epoch %d alpha=%s temperature=%s: %s', o, run_name, epoch, alpha, temperature, {_FMT4("metric")}) FROM every
+UNION ALL SELECT 7, 'convergence', o, printf('%s: epoch %d %s -> epoch %d %s, change %s (%s)', run_name, prev_epoch, {_FMT4("prev")}, last_epoch, {_FMT4("last")},
+  printf('%+.4f', round(delta, 4)), status) FROM conv
 UNION ALL SELECT 8, 'convergence_summary', CAST(row_number() OVER (ORDER BY status) AS INTEGER), printf('%s: %d', status, c) FROM convc""")
 def s09(spark, d):
-    path = scratch_path(spark, "s09-lines")
-    REP.report_lines(B.runs(spark, d)).write.parquet(path)  # computed once, for the report and for the result
+    table, path = scratch_path(spark, "s09-runs"), scratch_path(spark, "s09-lines")
+    B.runs(spark, d).withColumn("loss", F.expr(_LOSS)).write.parquet(table)  # the results table that a report reads
+    REP.report_lines(spark.read.parquet(table)).write.parquet(path)  # computed once, for the report and for the result
     lines = spark.read.parquet(path)
     REP.write_report(lines, scratch_path(spark, "s09-report"))
     return lines
 
 
+@query("s09_comparison_lines", f"""WITH {STRATEGIES},
+rows AS (SELECT *, CAST(l_orderkey * 10 + size AS BIGINT) AS ord FROM strategies),
+base AS (SELECT max(metric) AS base FROM rows WHERE strategy = 'vanilla' AND size = 6),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy, size ORDER BY metric DESC, ord) AS rn FROM rows
+  WHERE beta = 'F' AND strategy IN ('last', 'skip')) WHERE rn = 1),
+sized AS (SELECT *, printf('size %d: %s (ord %d), vs baseline %s (%s%%)', size, {_FMT4("metric")}, ord, printf('%+.4f', round(metric - base, 4)),
+  printf('%+.2f', round((metric - base) / base * 100, 2))) AS line FROM best, base),
+betas AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY beta ORDER BY metric DESC, ord) AS rn FROM rows WHERE strategy = 'skip') WHERE rn = 1),
+common AS (SELECT a.size, a.metric AS a, b.metric AS b, a.metric - b.metric AS diff,
+  CASE WHEN a.metric > b.metric THEN 'LAST' WHEN a.metric < b.metric THEN 'SKIP' ELSE 'TIE' END AS winner
+  FROM best a JOIN best b ON a.size = b.size AND a.strategy = 'last' AND b.strategy = 'skip'),
+reach AS (SELECT min(size) AS s FROM best, base WHERE strategy = 'last' AND metric >= base)
+SELECT 1 AS section_no, 'baseline' AS section, 0 AS ord, printf('vanilla size 6: %s', {_FMT4("base")}) AS line FROM base WHERE base IS NOT NULL
+UNION ALL SELECT 2, 'best_last', -size, line FROM sized WHERE strategy = 'last'
+UNION ALL SELECT 3, 'best_skip', -size, line FROM sized WHERE strategy = 'skip'
+UNION ALL SELECT 4, 'best_per_beta', CAST(row_number() OVER (ORDER BY beta) AS INTEGER), printf('beta=%s: size %d: %s (ord %d)', beta, size, {_FMT4("metric")}, ord) FROM betas
+UNION ALL SELECT 5, 'comparison', -size, printf('size %d: LAST %s, SKIP %s, difference %s (%s%%), winner %s', size, {_FMT4("a")}, {_FMT4("b")},
+  printf('%+.4f', round(diff, 4)), printf('%+.2f', round(diff / b * 100, 2)), winner) FROM common
+UNION ALL SELECT 6, 'findings', 0, printf('best LAST model: size %d (%s)', size, {_FMT4("metric")}) FROM (
+  SELECT * FROM best WHERE strategy = 'last' ORDER BY metric DESC, size LIMIT 1)
+UNION ALL SELECT 6, 'findings', 1, printf('wins: LAST %d, SKIP %d, ties %d', count(*) FILTER (WHERE winner = 'LAST'),
+  count(*) FILTER (WHERE winner = 'SKIP'), count(*) FILTER (WHERE winner = 'TIE')) FROM common
+UNION ALL SELECT 6, 'findings', 2, printf('smallest LAST size that reaches the baseline: %d (%s%% smaller)', s, printf('%.1f', (12 - s) / CAST(12 AS DOUBLE) * 100))
+  FROM reach WHERE s IS NOT NULL""")
+def s09_comparison(spark, d):
+    rows = B.strategies(spark, d).withColumn("ord", F.col("l_orderkey") * 10 + F.col("size"))
+    return REP.comparison_lines(rows, "last", "skip", "vanilla", 6, "F")
+
+
 @query("s10_optional_union", "SELECT event_id, user_id, event_type, value FROM events")
 def s10(spark, d):
     events = read_table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
     missing = IO.optional_source(spark, scratch_path(spark, "s10-missing"), events.schema)
-    return events.unionByName(missing)
+    path = scratch_path(spark, "s10-present")
+    events.where(F.col("event_type") == "error").write.parquet(path)
+    present = IO.optional_source(spark, path, events.schema)
+    return events.where(F.col("event_type") != "error").unionByName(missing).unionByName(present)
 
 
 @query("t01_incremental_ingest", "SELECT event_id, user_id, event_type, value FROM events")
@@ -204,4 +246,4 @@ def t01(spark, d):
     # A later delivery repeats part of the first one and brings the rest.
     events.where(F.col("event_type").isin("error", "click")).write.parquet(f"{inbox}/batch=2")
     ingest_once(spark, inbox, out, ckpt, schema, ["event_id"])
-    return spark.read.schema(schema).parquet(out)
+    return RES.read_results(spark, out, schema)

@@ -1,6 +1,7 @@
-"""Queries for DataFrame-level modelling (M01-M07). Trained models have no
-SQL equivalent, so these carry no oracle (rows-only check) except M05, whose
-linear scorers are reproduced in SQL."""
+"""Queries for DataFrame-level modelling (M01-M07). Metrics of trained classifiers have no
+SQL equivalent (rows-only check); that the logistic models are optimal is certified by aggregates
+whose data side SQL computes, least squares are solved in SQL too, and the summary is run on the
+linear scorers that SQL reproduces."""
 
 from __future__ import annotations
 
@@ -36,6 +37,25 @@ def m01(spark, d):
     return _report_cols(MD.evaluate(MD.fit_logistic(train, test, "features", "label"), "label", "logreg"))
 
 
+def _train_sql(rows: str, key: str, label: str, frac: float = 0.2) -> str:
+    """The training part of a stratified split of the table ``rows``."""
+    return f"""cnt AS (SELECT {label}, count(*) AS n FROM {rows} GROUP BY {label}),
+q1 AS (SELECT *, n * ceil({frac} * sum(n) OVER ()) / sum(n) OVER () AS cont, ceil({frac} * sum(n) OVER ()) AS ndraw FROM cnt),
+q2 AS (SELECT *, floor(cont) AS fl, cont - floor(cont) AS rem FROM q1),
+quota AS (SELECT {label}, fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, {label}) <= ndraw - sum(fl) OVER () THEN 1 ELSE 0 END AS q_test FROM q2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY md5('{SEED}:' || CAST({key} AS VARCHAR)), {key}) - 1 AS r FROM {rows}),
+train AS (SELECT ranked.* FROM ranked JOIN quota USING ({label}) WHERE r >= q_test)"""
+
+
+@query("m01_certificate", f"""WITH {VECTORS}, {_train_sql("vectors", "vec_id", "label")},
+elems AS (SELECT label, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS pos, unnest(vec) AS v FROM train)
+SELECT label, pos, round(sum(v), 6) AS moment, true AS optimal FROM elems GROUP BY label, pos
+UNION ALL SELECT label, -1, CAST(count(*) AS DOUBLE), true FROM train GROUP BY label""")
+def m01_certificate(spark, d):
+    train, _ = _vector_split(spark, d)
+    return MD.logistic_certificate(train, "features", "label").withColumn("moment", F.round("moment", 6))
+
+
 @query("m02_random_forest")
 def m02(spark, d):
     train, test = _vector_split(spark, d)
@@ -54,6 +74,21 @@ def m04(spark, d):
     return _report_cols(MD.evaluate(MD.bow_baseline(train, test, "text", "label"), "label", "bow_logreg"))
 
 
+@query("m04_certificate", rf"""WITH lab AS (SELECT d.doc_id, d.text, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+{_train_sql("lab", "doc_id", "quality")},
+toks AS (SELECT quality, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS word FROM train),
+vocab AS (SELECT word FROM toks GROUP BY word ORDER BY count(*) DESC, word LIMIT 5000)
+SELECT c.quality AS label, v.word, CAST((SELECT count(*) FROM toks t WHERE t.word = v.word AND t.quality = c.quality) AS DOUBLE) AS moment, true AS optimal
+FROM vocab v, (SELECT DISTINCT quality FROM train) c
+UNION ALL SELECT quality, NULL, CAST(count(*) AS DOUBLE), true FROM train GROUP BY quality""")
+def m04_certificate(spark, d):
+    train, _ = _doc_split(spark, d)
+    words, counts = MD.bow_stages(train, "text")
+    certified = MD.logistic_certificate(counts.transform(words.transform(train)), "_bow", "label")
+    names = spark.createDataFrame(list(enumerate(counts.vocabulary)), "pos int, word string")
+    return certified.join(F.broadcast(names), "pos", "left").select("label", "word", F.round("moment", 6).alias("moment"), "optimal")  # vocabulary-sized
+
+
 _M05_SQL = f"""WITH {VECTORS}, {ELEMS_SQL},
 w AS (SELECT CAST(m AS INTEGER) AS m, CAST(c AS INTEGER) AS c, CAST(i AS INTEGER) AS i,
   ((((i * (c + 1) + m) % 7) - 3) / 4.0)::DOUBLE AS w FROM range(0, {N_SCORERS}) a(m), range(0, {N_CLASSES}) b(c), range(0, {DIM}) x(i)),
@@ -93,13 +128,38 @@ def m06(spark, d):
                       "rank")
 
 
-@query("m07_ols_drivers")
+@query("m06_scorer_summary", f"""WITH acc AS ({_M05_SQL})
+SELECT model, accuracy, round(accuracy - (SELECT accuracy FROM acc WHERE model = 'scorer_0'), 6) AS improvement,
+  CAST(row_number() OVER (ORDER BY accuracy DESC, model) AS INTEGER) AS rank FROM acc""")
+def m06_scorers(spark, d):
+    scored = MD.batch_score(B.vectors(spark, d), "vec", "label", "vec_id", MD.linear_scorer_weights(N_SCORERS, N_CLASSES, DIM),
+                            [f"scorer_{m}" for m in range(N_SCORERS)])
+    acc = MD.score_summary(scored).withColumn("accuracy", F.round("accuracy", 6))
+    return MD.model_summary(acc, "scorer_0").withColumn("improvement", F.round("improvement", 6))
+
+
+_DRIVERS = ("size", "avg_length", "toxic_share")
+_M07_SUMS = ", ".join([*(f"avg(x{i}) AS m{i}" for i in (1, 2, 3)), "avg(y) AS my",
+                       *(f"regr_count(y, x1) * covar_pop(x{i}, x{j}) AS s{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j),
+                       *(f"regr_count(y, x1) * covar_pop(x{i}, y) AS t{i}" for i in (1, 2, 3))])
+
+
+@query("m07_ols_drivers", f"""WITH g AS (SELECT CAST(count(*) AS DOUBLE) AS x1, avg(n_chars) AS x2, avg(toxic) AS x3, avg(quality) AS y
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang, source),
+s AS (SELECT {_M07_SUMS} FROM g),
+b AS (SELECT *, s11 * (s22 * s33 - s23 * s23) - s12 * (s12 * s33 - s23 * s13) + s13 * (s12 * s23 - s22 * s13) AS det,
+  t1 * (s22 * s33 - s23 * s23) - s12 * (t2 * s33 - s23 * t3) + s13 * (t2 * s23 - s22 * t3) AS d1,
+  s11 * (t2 * s33 - t3 * s23) - t1 * (s12 * s33 - s23 * s13) + s13 * (s12 * t3 - t2 * s13) AS d2,
+  s11 * (s22 * t3 - s23 * t2) - s12 * (s12 * t3 - t2 * s13) + t1 * (s12 * s23 - s22 * s13) AS d3 FROM s),
+c AS (SELECT '{_DRIVERS[0]}' AS feature, d1 / det AS coefficient FROM b UNION ALL SELECT '{_DRIVERS[1]}', d2 / det FROM b
+  UNION ALL SELECT '{_DRIVERS[2]}', d3 / det FROM b UNION ALL SELECT 'intercept', my - (d1 * m1 + d2 * m2 + d3 * m3) / det FROM b)
+SELECT feature, round(coefficient, 6) AS coefficient, CAST(row_number() OVER (ORDER BY abs(coefficient) DESC, feature) AS INTEGER) AS rank FROM c""")
 def m07(spark, d):
     lab = B.labelled(spark, d)
     g = lab.groupBy("lang", "source").agg(
         F.count(F.lit(1)).cast("double").alias("size"), F.avg("n_chars").alias("avg_length"),
         F.avg("toxic").alias("toxic_share"), F.avg("quality").alias("gain"))
-    return MD.ols_drivers(g, ["size", "avg_length", "toxic_share"], "gain")
+    return MD.ols_drivers(g, _DRIVERS, "gain").withColumn("coefficient", F.round("coefficient", 6))
 
 
 @query("m03_knn", f"""WITH {VECTORS},

@@ -165,16 +165,12 @@ def p10(spark, d):
 
 
 @query("p11_choice_explode", """SELECT b.item_id, CAST(d.doc_id % 5 AS INTEGER) AS choice, b.text AS context, d.text AS candidate
-FROM benchmark b JOIN documents d ON d.doc_id // 5 = b.item_id""")
+FROM benchmark b JOIN documents d ON d.doc_id // 5 = b.item_id WHERE d.text IS NOT NULL""")
 def p11(spark, d):
     docs = read_table(spark, d, "documents").select(
         F.expr("doc_id div 5").alias("item_id"), (F.col("doc_id") % 5).cast("int").alias("c"), "text")
-    wide = docs.groupBy("item_id").pivot("c", [0, 1, 2, 3, 4]).agg(F.first("text"))
-    wide = wide.withColumnsRenamed({str(i): f"c{i}" for i in range(5)})
-    bench = read_table(spark, d, "benchmark")
-    j = bench.join(wide, "item_id")
-    return P.explode_choices(j, "item_id", "text", [f"c{i}" for i in range(5)]).select(
-        "item_id", F.col("choice").cast("int").alias("choice"), "context", "candidate")
+    bench = read_table(spark, d, "benchmark").select("item_id", F.col("text").alias("context"))
+    return P.join_choices(bench, docs, "item_id", "context", "c", "text").select("item_id", "choice", "context", "candidate")
 
 
 _VOCAB_SQL = f"""{WORDS},

@@ -71,7 +71,7 @@ SELECT CAST(sum(c) AS BIGINT) AS n_rows, count(*) AS n_runs, round(avg(c), 6) AS
        min(c) AS min, max(c) AS max, round(quantile_cont(c, 0.25), 6) AS q25, round(quantile_cont(c, 0.5), 6) AS q50,
        round(quantile_cont(c, 0.75), 6) AS q75 FROM per""")
 def a01(spark, d):
-    p = R.run_profile(B.runs(spark, d))
+    p = R.run_profile(B.runs_by_id(spark, d), "run_id")
     return p.select("n_rows", "n_runs", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"),
                     "min", "max", *[r6(F.col(q)).alias(q) for q in ("q25", "q50", "q75")])
 
@@ -85,8 +85,8 @@ def a02(spark, d):
 SELECT run_name, epoch, alpha, temperature, metric, ord FROM (
   SELECT *, row_number() OVER (PARTITION BY run_name ORDER BY metric DESC, ord) AS rn FROM runs) WHERE rn = 1""")
 def a03_run(spark, d):
-    return R.best_per(B.runs(spark, d), ["run_name"]).select(
-        "run_name", "epoch", "alpha", "temperature", "metric", "ord")
+    return R.best_per(B.runs_by_id(spark, d), ["run_id"]).select(
+        B.run_name(), "epoch", "alpha", "temperature", "metric", "ord")
 
 
 @query("a03_best_per_epoch", f"""WITH {RUNS}
@@ -193,8 +193,8 @@ SELECT ord, run_name, epoch, metric,
   coalesce(metric > max(metric) OVER (PARTITION BY run_name ORDER BY epoch, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_new_best
 FROM runs""")
 def a15(spark, d):
-    out = R.running_best(B.runs(spark, d), "run_name", ["epoch", "ord"], "metric")
-    return out.select("ord", "run_name", "epoch", "metric", "prev_best", "is_new_best")
+    out = R.running_best(B.runs_by_id(spark, d), "run_id", ["epoch", "ord"], "metric")
+    return out.select("ord", B.run_name(), "epoch", "metric", "prev_best", "is_new_best")
 
 
 # ------------------------------------------------------------------ W
@@ -206,7 +206,8 @@ SELECT a.run_name, a.epoch AS last_epoch, a.metric AS last_metric, b.metric AS p
        WHEN abs(a.metric - b.metric) < CAST(0.001 AS DOUBLE) THEN 'Converged' ELSE 'Overfitting' END AS status
 FROM r a JOIN r b ON a.run_name = b.run_name AND b.rn = 2 WHERE a.rn = 1""")
 def w01(spark, d):
-    return R.convergence_status(B.runs(spark, d))
+    status = R.convergence_status(B.runs_by_id(spark, d), "run_id")
+    return status.select(B.run_name(), "last_epoch", "last_metric", "prev_metric", "delta", "status")
 
 
 @query("w02_leaderboard", """SELECT s_suppkey, s_name, s_acctbal,
@@ -256,8 +257,8 @@ SELECT ord, run_name, CAST(row_number() OVER w AS INTEGER) AS stage, metric,
   round(metric - lag(metric) OVER w, 6) AS delta_prev, round(metric - first_value(metric) OVER w, 6) AS delta_root
 FROM runs WINDOW w AS (PARTITION BY run_name ORDER BY epoch, ord)""")
 def w07(spark, d):
-    out = R.chain_degradation(B.runs(spark, d), "run_name", ["epoch", "ord"], "metric")
-    return out.select("ord", "run_name", "stage", "metric", r6(F.col("delta_prev")).alias("delta_prev"),
+    out = R.chain_degradation(B.runs_by_id(spark, d), "run_id", ["epoch", "ord"], "metric")
+    return out.select("ord", B.run_name(), "stage", "metric", r6(F.col("delta_prev")).alias("delta_prev"),
                       r6(F.col("delta_root")).alias("delta_root"))
 
 
@@ -373,8 +374,8 @@ conv AS (SELECT a.run_name, a.metric - b.metric AS last_delta,
   FROM r a JOIN r b ON a.run_name = b.run_name AND b.rn = 2 WHERE a.rn = 1)
 SELECT best.run_name, best_epoch, best_metric, last_delta, status FROM best LEFT JOIN conv ON best.run_name = conv.run_name""")
 def flagship(spark, d):
-    runs = B.runs(spark, d)
-    best = R.best_per(runs, ["run_name"]).select(
-        "run_name", F.col("epoch").alias("best_epoch"), F.col("metric").alias("best_metric"))
-    conv = R.convergence_status(runs).select("run_name", F.col("delta").alias("last_delta"), "status")
-    return best.join(conv, "run_name", "left")
+    runs = B.runs_by_id(spark, d)
+    best = R.best_per(runs, ["run_id"]).select(
+        "run_id", F.col("epoch").alias("best_epoch"), F.col("metric").alias("best_metric"))
+    conv = R.convergence_status(runs, "run_id").select("run_id", F.col("delta").alias("last_delta"), "status")
+    return best.join(conv, "run_id", "left").select(B.run_name(), "best_epoch", "best_metric", "last_delta", "status")

@@ -12,6 +12,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -87,3 +88,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/runlens-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever they run (once per application)."""
+    context = spark.sparkContext
+    if getattr(context, "_runlens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    # Spark serves this file to executors from the driver as long as the application runs
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="runlens-code-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "runlens.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    z.write(full, os.path.join("runlens", os.path.relpath(full, root)))
+    context.addPyFile(path)
+    context._runlens_shipped = True

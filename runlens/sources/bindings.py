@@ -8,10 +8,10 @@ DuckDB check runs on identical inputs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.operators.ranking import null_safe_join
+from runlens.operators.positions import number_rows
 from runlens.sources.tables import read_table
 
 # Word pattern shared by every tokenising operator (letters, digits, underscore,
@@ -20,29 +20,23 @@ from runlens.sources.tables import read_table
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result table: one row per (run, epoch) evaluation.
+def runs_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result table: one row per (run, epoch) evaluation, runs by number.
 
-    run_name <- customer of the order, epoch <- position of the order within
+    run_id <- customer of the order, epoch <- position of the order within
     the customer's orders by date, metric <- total price, alpha <- priority,
     temperature <- status, ord <- order key (unique, the file-order tie-break).
 
-    A real results table carries its epochs; this adapter derives them. Counts
-    per (customer, day) become each day's first epoch by a prefix sum over that
-    small table; orders are numbered only within a day, so a customer with a
-    large share of the orders is spread over many tasks.
+    A real results table carries its epochs; this adapter derives them with
+    ``number_rows``: one exchange by customer, which aggregates, windows and joins by
+    ``run_id`` share, and a customer with many orders is spread over blocks.
     """
     o = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus")
-    day = ["o_custkey", "o_orderdate"]
-    earlier = Window.partitionBy("o_custkey").orderBy("o_orderdate").rowsBetween(Window.unboundedPreceding, -1)
-    days = o.groupBy(*day).agg(F.count(F.lit(1)).alias("n")).select(
-        *day, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    o = null_safe_join(o, days, day)
-    epoch = F.col("before") + F.row_number().over(Window.partitionBy(*day).orderBy("o_orderkey"))
+        "o_custkey", "o_orderdate", "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
+    o = number_rows(o, ["o_orderdate", "o_orderkey"], partition_by=["o_custkey"], name="n")
     return o.select(
-        F.concat(F.lit("run_"), F.col("o_custkey").cast("string")).alias("run_name"),
-        epoch.cast("int").alias("epoch"),
+        F.col("o_custkey").alias("run_id"),
+        (F.col("n") + 1).cast("int").alias("epoch"),
         F.col("o_totalprice").alias("metric"),
         F.col("o_orderpriority").alias("alpha"),
         F.col("o_orderstatus").alias("temperature"),
@@ -50,6 +44,15 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_name(run_id: str = "run_id") -> Column:
+    return F.concat(F.lit("run_"), F.col(run_id).cast("string")).alias("run_name")
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``runs_by_id`` with the runs' names."""
+    return runs_by_id(spark, sf_dir).select(run_name(), "epoch", "metric", "alpha", "temperature", "ord")
+
+
 def strategy_of(flag: Column) -> Column:
     return (F.when(flag == "A", "skip").when(flag == "R", "last").otherwise("vanilla"))
 

@@ -1,5 +1,5 @@
 """Sources and sinks: delimited text, split-partitioned tables, JSON
-documents, checkpoint catalogs and an idempotent append-only results table.
+documents and checkpoint catalogs (the results table is in ``results``).
 
 Readers take explicit schemas (no inference pass over the data); writers are
 plain DataFrame writers, so both scale with the number of files and tasks.
@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from runlens.operators.ranking import first_per_key
-
 # RFC-4180 style quoting: quotes doubled, fields with separators, quotes or
 # line breaks quoted, whitespace kept as is.
 _CSV_WRITE = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
@@ -23,18 +21,20 @@ _CSV_READ = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
              "ignoreTrailingWhiteSpace": "false", "mode": "FAILFAST"}
 
 
-def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = True, mode: str = "error") -> None:
-    """CSV/TSV sink of the chosen columns (no index column)."""
+def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = True, mode: str = "error",
+                    rows_per_file: int = 50_000) -> None:
+    """CSV/TSV sink of the chosen columns (no index column). Files are bounded, as a file
+    whose fields hold line breaks is read by one task."""
     (df.write.mode(mode).options(**_CSV_WRITE).option("sep", sep).option("header", str(header).lower())
+     .option("maxRecordsPerFile", rows_per_file)
      .option("emptyValue", '""').csv(path))
 
 
 def read_delimited(spark: SparkSession, path: str, schema: StructType, sep: str = ",", header: bool = True,
-                   multi_line: bool = True) -> DataFrame:
-    """CSV scan with header, doubled quotes, embedded separators and line
-    breaks, under an explicit schema. Empty fields read as null, like
-    ``pandas.read_csv``. ``multi_line`` admits line breaks in fields, at one task
-    per file; without it files are split."""
+                   multi_line: bool = False) -> DataFrame:
+    """CSV scan with header, doubled quotes and embedded separators, under an
+    explicit schema. Empty fields read as null, like ``pandas.read_csv``. Files are split
+    at line breaks; ``multi_line`` admits line breaks in fields, at one task per file."""
     return (spark.read.schema(schema).options(**_CSV_READ).option("sep", sep).option("multiLine", str(multi_line).lower())
             .option("header", str(header).lower()).csv(path))
 
@@ -95,24 +95,6 @@ def checkpoint_catalog(paths: DataFrame, path: str = "path") -> tuple[DataFrame,
     return parsed, paths.where(~ok)
 
 
-def new_rows(df: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """The first row per key (by ``order``) of those keys that ``existing`` lacks; null keys are keys."""
-    rows, known = first_per_key(df, keys, order), existing.select(*[F.col(k).alias(f"_old_{k}") for k in keys])
-    same = F.lit(True)
-    for k in keys:
-        same = same & rows[k].eqNullSafe(known[f"_old_{k}"])
-    return rows.join(known, same, "left_anti")
-
-
-def append_results(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = ()) -> None:
-    """S06 + J01: append only rows whose keys are not yet in the table at
-    ``path`` (created on first use); of several rows of one key the first by
-    ``order`` is kept. Re-running the same batch appends nothing, so a crashed
-    evaluation can simply be restarted."""
-    existing = optional_source(df.sparkSession, path, df.schema)
-    new_rows(df, existing, keys, order).write.mode("append").parquet(path)
-
-
 def write_documents(df: DataFrame, path: str, partition_by: str, mode: str = "error") -> None:
     """One JSON document per row, UTF-8, a directory per partition value."""
     df.write.mode(mode).partitionBy(partition_by).json(path)

@@ -1,11 +1,14 @@
 """Preparation operators: label parsing, text cleaning traps, exact split
 sizes, resume idempotence."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from runlens.functions import text as T
 from runlens.operators import prep as P
+from runlens.operators.positions import number_rows
 from runlens.session import scratch_path
+from runlens.sources.results import append_results, read_results
 from runlens.sources import io as IO
 
 
@@ -54,9 +57,8 @@ def test_stratified_split_labelled_sizes(spark):
 
 
 def test_global_index_dense(spark):
-    from runlens.operators.ranking import global_index
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), (F.col("id") % 3).alias("g"))
-    out = global_index(df.repartition(5), ["v"], partition_by=["g"], name="i")
+    out = number_rows(df.repartition(5), ["v"], partition_by=["g"], name="i")
     for r in out.groupBy("g").agg(F.min("i"), F.max("i"), F.count("*"), F.countDistinct("i")).collect():
         assert r[1] == 0 and r[2] == r[3] - 1 and r[3] == r[4]
 
@@ -64,9 +66,9 @@ def test_global_index_dense(spark):
 def test_append_results_idempotent(spark):
     path = scratch_path(spark, "test-append")
     df = spark.createDataFrame([("r1", 1, 0.5), ("r1", 2, 0.6)], "run_name string, epoch int, m double")
-    IO.append_results(df, path, ["run_name", "epoch"])
-    IO.append_results(df, path, ["run_name", "epoch"])
-    assert spark.read.parquet(path).count() == 2
+    append_results(df, path, ["run_name", "epoch"])
+    append_results(df, path, ["run_name", "epoch"])
+    assert read_results(spark, path, df.schema).count() == 2
 
 
 def test_checkpoint_catalog_parses_and_rejects(spark):
@@ -87,21 +89,26 @@ def _hot_frame(spark):
         F.col("id").alias("o"), ((F.col("id") * 7919) % 100003).cast("double").alias("v")).repartition(7)
 
 
-def test_positional_operators_match_windows_on_hot_group(spark):
+@pytest.mark.parametrize("rows", [1 << 20, 3000])
+def test_positional_operators_match_windows_on_hot_group(spark, monkeypatch, rows):
     from pyspark.sql import Window
 
-    from runlens.operators.ranking import global_index, running_max_before
+    from runlens.operators import positions
+    monkeypatch.setattr(positions, "ROWS", rows)
     df = _hot_frame(spark)
     w = Window.partitionBy("g").orderBy("o")
-    a = running_max_before(df, "g", ["o"], "v")
+    a = positions.running_max_before(df, "g", ["o"], "v")
     b = df.withColumn("prev_best", F.max("v").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    gi = global_index(df, ["o"], partition_by=["g"], name="i")
+    gi = number_rows(df, ["o"], partition_by=["g"], name="i")
     rb = df.withColumn("i", F.row_number().over(w) - 1)
     assert gi.exceptAll(rb).count() == 0 and rb.exceptAll(gi).count() == 0
-    g0 = global_index(df, [F.col("v").desc(), F.col("o")], name="i")
+    g0 = number_rows(df, ["-v", "o"], name="i")
     r0 = df.withColumn("i", F.row_number().over(Window.orderBy(F.col("v").desc(), "o")) - 1)
     assert g0.exceptAll(r0).count() == 0
+    p = positions.with_previous(df, "g", ["o"], "v")
+    q = df.select("*", F.lag("v").over(w).alias("previous"), F.first("v").over(w).alias("first"), (F.row_number().over(w) - 1).alias("number"))
+    assert p.exceptAll(q).count() == 0 and q.exceptAll(p).count() == 0
 
 
 def test_runs_binding_equals_a_window_per_run(spark, sf_dir):

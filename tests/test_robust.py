@@ -11,16 +11,18 @@ from runlens.functions import vec as V
 from runlens.operators import metrics as M
 from runlens.operators import prep as P
 from runlens.operators import runs as R
-from runlens.operators.ranking import best_per_group, global_index, running_max_before
+from runlens.operators.positions import number_rows, running_max_before
+from runlens.operators.ranking import best_per_group
 from runlens.plans import report as REP
 from runlens.session import scratch_path
 from runlens.sources import io as IO
+from runlens.sources.results import append_results, read_results
 
 
 def test_null_groups_are_numbered(spark):
     rows = [("a", 1), ("a", 2), (None, 3), (None, 4)]
     df = spark.createDataFrame(rows, "g string, o int")
-    assert sorted((r.g or "", r.o, r.i) for r in global_index(df, ["o"], partition_by=["g"], name="i").collect()) == [
+    assert sorted((r.g or "", r.o, r.i) for r in number_rows(df, ["o"], partition_by=["g"], name="i").collect()) == [
         ("", 3, 0), ("", 4, 1), ("a", 1, 0), ("a", 2, 1)]
     chain = R.chain_degradation(df.withColumn("m", F.col("o") * 1.0), "g", ["o"], "m").collect()
     assert sorted((r.g or "", r.stage, r.delta_prev, r.delta_root) for r in chain if r.stage == 2) == [("", 2, 1.0, 1.0), ("a", 2, 1.0, 1.0)]
@@ -74,8 +76,8 @@ def test_append_keeps_the_first_row_and_null_keys_once(spark):
     path = scratch_path(spark, "append")
     df = spark.createDataFrame([("r", 1, 0.9, 7), ("r", 1, 0.1, 3), (None, 1, 0.5, 1)], "run string, epoch int, metric double, ord int")
     for _ in range(3):
-        IO.append_results(df.repartition(3), path, ["run", "epoch"], ["ord"])
-    assert sorted((r.run or "", r.metric) for r in spark.read.parquet(path).collect()) == [("", 0.5), ("r", 0.1)]
+        append_results(df.repartition(3), path, ["run", "epoch"], ["ord"])
+    assert sorted((r.run or "", r.metric) for r in read_results(spark, path, df.schema).collect()) == [("", 0.5), ("r", 0.1)]
 
 
 def test_pearson_of_constant_and_offset_vectors(spark):
@@ -103,7 +105,7 @@ def test_report_lists_every_run(spark):
     for r in lines.orderBy("section_no", "ord").collect():
         by.setdefault(r.section, []).append(r.line)
     assert len(by["best_per_run"]) == len(by["convergence"]) == 15 and len(by["all_evaluations"]) == 30 and len(by["best_per_epoch"]) == 2
-    assert by["best_per_run"][0] == "1. run_14 epoch 2: 14.2000" and by["convergence"][0] == "run_0: 0.1000 -> 0.2000, change 0.1000 (Still improving)"
+    assert by["best_per_run"][0] == "1. run_14 epoch 2: 14.2000" and by["convergence"][0] == "run_0: epoch 1 0.1000 -> epoch 2 0.2000, change +0.1000 (Still improving)"
 
 
 def test_knn_ties(spark):
@@ -114,6 +116,35 @@ def test_knn_ties(spark):
         assert {r.k: r.pred for r in knn_classify(query, train, "k", "v", "l", 5, block).collect()} == {1000: 0, 1001: 0}
 
 
+@pytest.mark.parametrize("block", [16, 8192])
+def test_knn_against_all_distances(spark, block):
+    from runlens.operators.knn import knn_classify, nearest
+    rng = random.Random(8)
+    centres = [[rng.gauss(0, 30) for _ in range(6)] for _ in range(12)]
+
+    def row(i):
+        c = centres[0] if i % 3 == 0 else rng.choice(centres)  # a hot cluster
+        return i, [x + rng.gauss(0, 1) for x in c], rng.randint(0, 3)
+
+    train = [row(i) for i in range(700)] + [(800, [1.0, 2.0], 3), (801, [1.0, 2.5], 2), (802, [], 1), (803, None, 1), (804, [float("nan")] * 6, 1),
+                                            (805, [None] * 6, 1), (None, centres[0], 1), (806, centres[1], None), (807, [float("inf")] * 6, 1)]
+    query = [(10_000 + i, row(i)[1]) for i in range(120)] + [(20_000, [1.0, 2.2]), (20_001, [1.0, 2.0, 3.0]), (20_002, []), (20_003, None), (20_004, [0.0] * 6)]
+    t = spark.createDataFrame(train, "k long, v array<double>, l int")
+    q = spark.createDataFrame(query, "k long, v array<double>")
+    fine = lambda v: v is not None and all(x is not None and math.isfinite(x) for x in v)
+    want = {}
+    for i, v in query:
+        near = sorted((math.dist(v, w), k, lab) for k, w, lab in train if k is not None and lab is not None and fine(w) and len(w) == len(v))[:5] if fine(v) else []
+        votes = [lab for _, _, lab in near]
+        if votes:
+            want[i] = min(set(votes), key=lambda lab: (-votes.count(lab), lab))
+    assert {r.k: r.pred for r in knn_classify(q, t, "k", "v", "l", 5, block).collect()} == want
+    if block == 16:  # rows met, of all pairs of a query and a training row
+        met = nearest(q, t, "k", "v", "l", 5, block).groupBy("query_key").agg(F.sum("met") / 5).collect()
+        assert sum(r[1] for r in met) < 0.5 * 120 * 700
+    assert knn_classify(q, t.limit(0), "k", "v", "l").count() == 0 and knn_classify(q.limit(0), t, "k", "v", "l").count() == 0
+
+
 @pytest.mark.parametrize("block", [7, 2048])
 def test_pareto_front_of_real_objectives(spark, block):
     from runlens.operators.stats import pareto_front
