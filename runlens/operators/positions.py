@@ -73,9 +73,10 @@ def _nested(cuts: list[float]) -> tuple[list[float], list[list[float]]]:
     return [f[0] for f in fine], fine
 
 
-def cut_blocks(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, dict[int, int]]:
-    """``df`` with ``_block``, ascending along ``order``, and the rows of each block."""
-    total = df.count()
+def cut_blocks(df: DataFrame, order: Sequence[str], at_most: int | None = None) -> tuple[DataFrame, dict[int, int]]:
+    """``df`` with ``_block``, ascending along ``order``, and the rows of each block.
+    A table known to have ``at_most`` so many rows is not counted if that is one block."""
+    total = at_most if at_most is not None and at_most <= ROWS else df.count()
     out, sizes = df.withColumn("_block", F.lit(0).cast("long")), {0: total}
     live = {0}  # blocks whose rows agree in all columns before
     for name in order if total > ROWS else ():
@@ -129,9 +130,10 @@ def _along(group: Sequence[str], order: Sequence[str], sizes: dict[int, int]):
     return Window.partitionBy(*group, *(["_block"] if len(sizes) > 1 or not group else [])).orderBy(*sort_columns(order))
 
 
-def number_rows(df: DataFrame, order: Sequence[str], partition_by: Sequence[str] = (), name: str = "idx") -> DataFrame:
+def number_rows(df: DataFrame, order: Sequence[str], partition_by: Sequence[str] = (), name: str = "idx",
+                at_most: int | None = None) -> DataFrame:
     """0-based number of each row in ``order``, from 0 again for every ``partition_by`` value."""
-    blocks, sizes = cut_blocks(df, order)
+    blocks, sizes = cut_blocks(df, order, at_most)
     out = blocks.withColumn(name, (F.row_number().over(_along(partition_by, order, sizes)) - 1).cast("long"))
     if len(sizes) > 1:
         if partition_by:

@@ -56,12 +56,13 @@ def report_lines(runs: DataFrame) -> DataFrame:
                       F.format_string("Total evaluations: %d", "n"), F.format_string("Runs: %d", "k"))
     best = F.format_string("Best metric: %s (%s, epoch %d%s)", _fmt4(F.col("metric")), F.col("run_name"), F.col("epoch"), loss)
     rated = runs.withColumn("_rated", F.when(has_value(F.col("metric")), F.col("metric")))
-    every = number_rows(rated, ["-_rated", "ord"], name="_i").withColumn("_i", F.col("_i") + 1)
+    rows = runs.count()
+    every = number_rows(rated, ["-_rated", "ord"], name="_i", at_most=rows).withColumn("_i", F.col("_i") + 1)
     first = F.min(F.struct("_i", "epoch", "metric", "loss")).alias("s")
     per_run = every.where("_rated IS NOT NULL").groupBy("run_name").agg(first).select("run_name", "s.*")
-    per_run = number_rows(per_run, ["_i"], name="_p").withColumn("_p", F.col("_p") + 1)
+    per_run = number_rows(per_run, ["_i"], name="_p", at_most=rows).withColumn("_p", F.col("_p") + 1)
     status = R.convergence_status(runs)
-    conv = number_rows(status, ["run_name"], name="_i").withColumn("_i", F.col("_i") + 1)
+    conv = number_rows(status, ["run_name"], name="_i", at_most=rows).withColumn("_i", F.col("_i") + 1)
     counts = status.groupBy("status").count()
     final = R.final_epoch_rows(runs)
     return _all([

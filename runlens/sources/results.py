@@ -6,7 +6,7 @@ same table one is first; the other drops the keys that came in meanwhile and tri
 again. Readers only read folders the log names: a writer that dies leaves nothing visible.
 
 A bitmap of the hashed keys of every data file (``SLOTS`` bits in words of 64) lies
-beside the data. An append asks it which files can hold one of its keys and reads
+beside the data. An append writes its batch, asks the bitmaps which files can hold one of its keys and reads
 the keys of these files only; a batch of few keys touches few files, whatever the
 table's size. Rows of a batch are dealt to files by ranges of the key's hash, so that a
 file's bits lie together.
@@ -47,6 +47,7 @@ class Commit:
     number: int
     folder: str
     batch: str
+    mapped: str  # "1" if the folder has bitmaps
 
 
 def commits(spark: SparkSession, path: str) -> list[Commit]:
@@ -60,19 +61,23 @@ def commits(spark: SparkSession, path: str) -> list[Commit]:
 
 def read_results(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The table: the folders that the log names."""
-    folders = [f"{path}/{c.folder}" for c in commits(spark, path) if c.folder]
+    folders = [f"{path}/{c.folder}" for c in commits(spark, path)]
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def touched_files(spark: SparkSession, path: str, since: Sequence[Commit], keys_of: DataFrame, keys: Sequence[str]) -> list[str]:
-    """The data files of these batches that may hold one of the keys."""
-    folders = [f"{path}/_keys/{c.folder}" for c in since if c.folder]
-    if not folders:
-        return []
-    asked = keys_of.select(_slot(keys).alias("s")).groupBy(F.expr("s div 64").alias("word")).agg(F.bit_or(_bit(F.col("s"))).alias("asked"))
-    known = spark.read.schema("file string, word long, bits long").parquet(*folders)
+_BITMAP = "file string, word long, bits long"
+
+
+def touched_files(spark: SparkSession, path: str, since: Sequence[Commit], folder: str) -> list[str]:
+    """The data files (or folders without bitmaps) of these batches that may hold a key of the batch in ``folder``."""
+    mapped = [f"{path}/_keys/{c.folder}" for c in since if c.mapped]
+    unmapped = [f"{path}/{c.folder}" for c in since if not c.mapped]
+    if not mapped:
+        return unmapped
+    asked = spark.read.schema(_BITMAP).parquet(f"{path}/_keys/{folder}").groupBy("word").agg(F.bit_or("bits").alias("asked"))
+    known = spark.read.schema(_BITMAP).parquet(*mapped)
     hit = known.join(F.broadcast(asked), "word").where(F.col("bits").bitwiseAND(F.col("asked")) != 0)  # at most SLOTS / 64 words
-    return sorted(r["file"] for r in hit.select("file").distinct().collect())
+    return unmapped + sorted(r["file"] for r in hit.select("file").distinct().collect())
 
 
 class Append:
@@ -80,36 +85,35 @@ class Append:
 
     def __init__(self, rows: DataFrame, path: str, keys: Sequence[str], batch: str = ""):
         self.spark, self.path, self.keys, self.batch, self.schema = rows.sparkSession, path, list(keys), batch, rows.schema
-        self.rows, self.seen, self.folder, self.read = rows, 0, "", []
+        self.rows, self.seen, self.folder, self.read, self.mapped = rows, 0, "", [], ""
 
     def prepare(self, check: bool = True) -> bool:
         """Drop the keys that the batches since the last look hold, write the rest; False if the batch id is in the log already.
-        ``check=False`` for rows whose keys are known to be new."""
+        ``check=False`` for rows whose keys are known to be new; they get no bitmaps."""
         log = commits(self.spark, self.path)
         if self.batch and any(c.batch == self.batch for c in log):
             self._forget()
             return False
         since = [c for c in log if c.number > self.seen] if check else []
-        self.read = touched_files(self.spark, self.path, since, self.rows, self.keys)
-        new = self.rows
+        if not self.folder:
+            self._write(self.rows, check)  # evaluated once; as it is the batch, unless a key of it is known
+        self.read = touched_files(self.spark, self.path, since, self.folder) if since else []
         if self.read:
             known = self.spark.read.schema(self.schema).parquet(*self.read).select(*self.keys)
-            new = null_safe_join(new, known, self.keys, "left_anti")
-        if self.read or not self.folder:
-            self._write(new)
+            self._write(null_safe_join(self.rows, known, self.keys, "left_anti"), check)
         self.seen = max((c.number for c in log), default=0)
         return True
 
-    def _write(self, new: DataFrame) -> None:
+    def _write(self, new: DataFrame, mapped: bool) -> None:
         before, self.folder = self.folder, f"batch-{uuid.uuid4().hex}"
         at = f"{self.path}/{self.folder}"
         new.write.parquet(at)
-        written = self.spark.read.schema(self.schema).parquet(at)
-        s = F.col("s")
-        bits = written.select(F.col("_metadata.file_path").alias("file"), _slot(self.keys).alias("s")).groupBy(
-            "file", F.expr("s div 64").alias("word")).agg(F.bit_or(_bit(s)).alias("bits"))
-        bits.coalesce(1 + written.rdd.getNumPartitions() // 64).write.parquet(f"{self.path}/_keys/{self.folder}")
-        self.rows = written
+        self.rows = self.spark.read.schema(self.schema).parquet(at)
+        if mapped:
+            slots = self.rows.select(F.col("_metadata.file_path").alias("file"), _slot(self.keys).alias("s"))
+            bits = slots.groupBy("file", F.expr("s div 64").alias("word")).agg(F.bit_or(_bit(F.col("s"))).alias("bits"))
+            bits.write.parquet(f"{self.path}/_keys/{self.folder}")
+        self.mapped = "1" if mapped else ""
         if before:
             self._delete(before)
 
@@ -122,7 +126,7 @@ class Append:
             if "AlreadyExists" in str(e.java_exception.getClass().getName()) or fs.exists(at):
                 return False
             raise
-        out.write(bytearray(f"{self.folder}\t{self.batch}".encode()))
+        out.write(bytearray(f"{self.folder}\t{self.batch}\t{self.mapped}".encode()))
         out.close()
         return True
 
