@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-import runlens
+from runlens.session import scratch_path, ship
 
-from runlens.session import scratch_path
+__all__ = ["WORD", "column", "free", "group_key", "materialise", "ship", "without", "word_count"]
 
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,23 +53,3 @@ def word_count(text: Column) -> Column:
 def group_key(c: Column) -> Column:
     """A non-null string key that keeps null apart from every value."""
     return F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n"))
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever they run (once per application)."""
-    context = spark.sparkContext
-    if getattr(context, "_runlens_shipped", False):
-        return
-    root = os.path.dirname(runlens.__file__)
-    # Spark serves this file to executors from the driver as long as the application runs
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="runlens-code-"))
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = os.path.join(folder, "runlens.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for at, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(at, name)
-                    z.write(full, os.path.join("runlens", os.path.relpath(full, root)))
-    context.addPyFile(path)
-    context._runlens_shipped = True

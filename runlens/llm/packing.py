@@ -3,10 +3,10 @@
 Documents longer than a sequence are cut into full sequences and a rest. Lengths
 are counted by Spark into classes, a table bounded by the sequence length: exact
 up to ``EXACT`` tokens, above rounded up by less than a 64th. On that histogram the cutting-stock
-linear program is solved by column generation: the basis starts with one class
-per pattern, the duals price classes, a knapsack dynamic program finds the
-pattern worth most at these prices, and it enters the basis until none is worth
-more than ``GAP`` above one sequence, which bounds the distance from the optimum.
+linear program is solved by column generation: the basis starts with the patterns of a
+greedy filling, the duals price classes, a knapsack dynamic program finds the
+pattern worth most at these prices, and it enters the basis until the solution is
+proven to be within ``GAP`` of the optimum.
 Pattern counts are rounded down; what is left, less than
 one sequence per pattern, is filled largest class first. Both steps only see
 counts, never documents.
@@ -33,44 +33,81 @@ from pyspark.sql import functions as F
 from runlens.llm.common import column, materialise, ship
 from runlens.llm.tokens import crc32_u4, encoder
 
-#: Lengths that are classes of their own.
-EXACT = 256
-#: Share by which the linear program may miss its optimum.
-GAP = 1e-3
-#: Hash buckets in which the pieces of a class are numbered.
-BUCKETS = 1024
+#: Classes above this length are a 64th of it apart at most; up to it every length is one.
+EXACT = 128
+#: Share by which the linear program may miss its optimum, and the columns it may take for that.
+GAP, MOST = 0.005, 2000
+#: Rows that a bucket, in which the pieces of a class are numbered, should hold; buckets at least.
+BUCKET_ROWS, BUCKETS = 1 << 16, 1024
 
 Pattern = tuple[np.ndarray, int]
 
 
 def knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Best value and counts of an unbounded knapsack."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        fits = np.searchsorted(sizes, c, side="right")  # sizes ascend
-        if fits:
-            worth = best[c - sizes[:fits]] + value[:fits]
-            i = int(worth.argmax())
-            if worth[i] > best[c] + 1e-12:
-                best[c], choice[c] = worth[i], i
-    counts, c = np.zeros(len(sizes), np.int64), capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            counts[choice[c]] += 1
-            c -= sizes[choice[c]]
-    return float(best[capacity]), counts
-
-
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, most: int = 5000, gap: float = 1e-7) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often each is used in an optimal fractional solution."""
+    """Best value and counts of an unbounded knapsack.
+
+    Item by item: the best filling with up to k copies of a size s is, along each residue of s,
+    a running maximum of what was reached before, less what the copies are worth."""
+    counts = np.zeros(len(sizes), np.int64)
+    by_size = np.argsort(sizes, kind="stable")
+    reached = np.maximum.accumulate(np.r_[0.0, value[by_size]])[:-1]
+    useful = by_size[value[by_size] > reached]  # the others are worth no more than a smaller one
+    best, steps = np.zeros(capacity + 1), []
+    for i in useful:
+        s, v = int(sizes[i]), float(value[i])
+        rows = -(-(capacity + 1) // s)
+        grid = np.full(rows * s, -np.inf)
+        grid[:capacity + 1] = best
+        grid = grid.reshape(rows, s)
+        paid = v * np.arange(rows)[:, None]
+        best = (np.maximum.accumulate(grid - paid, axis=0) + paid).ravel()[:capacity + 1]
+        steps.append(best)
+    c = capacity
+    for k in range(len(useful) - 1, -1, -1):
+        before, s = steps[k - 1] if k else np.zeros(capacity + 1), int(sizes[useful[k]])
+        while c >= s and steps[k][c] > before[c] + 1e-12:
+            counts[useful[k]] += 1
+            c -= s
+    return float(value @ counts), counts
+
+
+def greedy_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
+    """Patterns (columns) that the largest classes left over make, one class used up by each: a first
+    solution of the linear program."""
+    m, left, columns = len(sizes), demand.astype(float), []
+    alive = np.ones(m, bool)
+    while alive.any():
+        room, counts = capacity, np.zeros(m)
+        for i in np.flatnonzero(alive)[::-1]:
+            counts[i] = room // sizes[i]
+            room -= int(counts[i]) * int(sizes[i])
+        held = counts > 0
+        left[held] -= counts[held] * (left[held] / counts[held]).min()
+        spent = np.flatnonzero(held & (left <= 1e-9 * demand))
+        columns.append(counts)
+        for i in spent[1:]:  # used up at the same time: a pattern of its own, not used yet
+            alone = np.zeros(m)
+            alone[i] = capacity // sizes[i]
+            columns.append(alone)
+        alive[spent] = False
+    return np.array(columns).T
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, most: int = MOST, gap: float = 1e-7) -> list[tuple[np.ndarray, float]]:
+    """Patterns and how often each is used in a fractional solution at most ``gap`` above the optimum.
+
+    The optimum is at least the volume of all pieces, and at least the solution's size over the value
+    of the best pattern at its prices; ``most`` bounds the columns that enter."""
     m = len(sizes)
-    columns = np.diag(capacity // sizes).astype(float)
-    inverse, used = np.diag(1 / np.diag(columns)), demand / np.diag(columns)
+    columns = greedy_basis(sizes, demand, capacity)
+    inverse = np.linalg.inv(columns)
+    used = np.maximum(inverse @ demand, 0)
+    least = float(sizes @ demand) / capacity
     for _ in range(most):
-        value, counts = knapsack(inverse.sum(axis=0), sizes, capacity)
+        if used.sum() <= least * (1 + gap):
+            break
+        value, counts = knapsack(np.maximum(inverse.sum(axis=0), 0), sizes, capacity)
+        least = max(least, used.sum() / max(value, 1))
         if value <= 1 + gap:
             break
         step = inverse @ counts
@@ -85,7 +122,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, most
         row = inverse[out] / step[out]
         inverse -= np.outer(step, row)
         inverse[out] = row
-    return [(columns[:, j].astype(np.int64), float(used[j])) for j in range(m)]
+    return [(np.rint(columns[:, j]).astype(np.int64), float(used[j])) for j in range(m)]
 
 
 def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-7) -> list[Pattern]:
@@ -101,7 +138,7 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float =
             left -= counts * whole
     while left.any():  # largest class that still fits, again and again
         room, counts = capacity, np.zeros_like(left)
-        for i in range(len(sizes) - 1, -1, -1):
+        for i in np.flatnonzero(left)[::-1]:
             counts[i] = min(left[i], room // sizes[i])
             room -= counts[i] * sizes[i]
         held = counts > 0
@@ -163,10 +200,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, i
     spark = docs.sparkSession
     ship(spark)
     pieces = cut_pieces(docs, tokenizer, length, end_id, id_col, text_col, keep_ids)
-    pieces = pieces.withColumns({
-        "class": length_class(F.col("length"), length),
-        "bucket": F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int")})
+    pieces = pieces.withColumn("class", length_class(F.col("length"), length))
     pieces = materialise(pieces if keep_ids else pieces.drop("ids"), "pack-pieces")
+    buckets = max(BUCKETS, -(-pieces.count() // BUCKET_ROWS))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
 
     counts = materialise(pieces.groupBy("class", "bucket").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     histogram = sorted((r["class"], r["n"]) for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect())  # one row per class

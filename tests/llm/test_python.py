@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -162,6 +163,34 @@ def test_column_generation_is_near_the_bound():
     assert (value, counts.tolist()) == (pytest.approx(1.1), [2, 1])
 
 
+@pytest.mark.parametrize("draw", ["even", "skewed", "few"])
+def test_planning_takes_seconds(draw):
+    rng = np.random.default_rng(6)
+    lengths = {"even": rng.integers(1, 4096, 100_000), "skewed": np.minimum(rng.lognormal(6, 1, 100_000).astype(int) + 1, 4095),
+               "few": rng.integers(1, 4096, 900)}[draw]
+    step = np.maximum(1, 2 ** (np.ceil(np.log2(lengths)).astype(int) - 7))
+    sizes, demand = np.unique(-(-lengths // step) * step, return_counts=True)
+    assert len(sizes) > 300
+    begun = time.process_time()
+    plan = packing.patterns(sizes, demand, 4096, packing.GAP)
+    assert time.process_time() - begun < 5
+    assert np.array_equal(sum(c * n for c, n in plan), demand) and all((c * sizes).sum() <= 4096 for c, _ in plan)
+    assert lengths.sum() > 0.98 * 4096 * sum(n for _, n in plan)
+
+
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_knapsack_against_all_fillings(size):
+    rng = np.random.default_rng(size)
+    for _ in range(20):
+        sizes = np.unique(rng.integers(1, 30, size))
+        value = rng.random(len(sizes)).round(2)
+        best = [0.0] * 61
+        for c in range(1, 61):
+            best[c] = max([best[c - 1], *(best[c - s] + v for s, v in zip(sizes, value, strict=True) if s <= c)])
+        got, counts = packing.knapsack(value, sizes, 60)
+        assert got == pytest.approx(best[60]) and counts @ sizes <= 60 and counts @ value == pytest.approx(got)
+
+
 # near duplicates
 
 def brute_components(rows, n, percent):
