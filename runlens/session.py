@@ -85,9 +85,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint location."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/runlens-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique folder under the shared checkpoint location; it lives as long as the driver's Python process."""
+    own = f"{ensure_checkpoint_dir(spark).rstrip('/')}/runlens-scratch/{spark.sparkContext.applicationId}"
+    if own not in _SCRATCH:
+        _SCRATCH.add(own)
+        atexit.register(_forget, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SCRATCH: set[str] = set()
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    """Delete an application's scratch folder, if the application is still there to do it."""
+    try:
+        context = spark.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # stopped before: the folder stays, as after a crash
+        pass
 
 
 def ship(spark: SparkSession) -> None:
