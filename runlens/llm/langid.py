@@ -5,8 +5,8 @@ Features are character n-grams (1 to 3) of the lower-cased text, hashed into
 document frequency. Document frequencies are counted by Spark over all training
 rows. The weights are fitted by follow-the-regularised-leader (proximal, with
 per-weight rates) under an elastic net, which leaves most weights at zero, on a
-bounded sample of labelled rows: at most ``SAMPLE`` rows, shared out evenly among
-at most ``LABELS`` labels, taken in seeded hash order, whole texts. A fifth of the
+bounded sample of labelled rows: at most ``SAMPLE`` rows, shared out evenly among all
+labels that occur, but at least ``LEAST`` of each, taken in seeded hash order, whole texts. A fifth of the
 sample is kept from the fit and sets the temperature that calibrates the scores.
 
 The share of a text makes the score a mean over its n-grams, so a prediction is
@@ -14,7 +14,8 @@ one pass over the text and a table look-up per n-gram.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter, and
 all texts if nothing could be learned; rows with a null id are never learned from
-and are not held out; null labels are not learned from; ties in probability go to
+and are not held out; null labels are not learned from; rows equal in id, label and text count once in the
+sample; ties in probability go to
 the label that is smaller in code point order; an empty table gives no rows;
 other columns are ignored.
 """
@@ -35,7 +36,11 @@ from runlens.llm.mixing import seeded_order
 
 FEATURES = 1 << 16
 ORDERS = 3
-SAMPLE, LABELS = 3000, 64
+SAMPLE, LEAST = 3000, 10
+#: Labels up to which the weights are held as a table; of more, only the weights that are not zero.
+DENSE = 64
+#: Hex digits of the hash by which rows are counted before the sample is cut.
+PREFIX = 5
 #: Brings the values of a text to a length of about one.
 SCALE = 16.0
 #: Rate, its smoothing, and the two penalties of the elastic net.
@@ -68,15 +73,26 @@ def has_letter(text: str | None) -> bool:
 @dataclass
 class Model:
     labels: list[str]
-    table: np.ndarray  # FEATURES x labels: scale x idf x weight
+    table: np.ndarray | None  # FEATURES x labels: scale x idf x weight
     bias: np.ndarray
     temperature: float
+    sparse: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # of many labels: row starts, labels and weights
+
+    def _sums(self, s: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            starts, of, weight = self.sparse
+            counts = np.bincount(s, minlength=FEATURES)
+            at = np.flatnonzero(counts)
+            sizes = starts[at + 1] - starts[at]
+            i = np.arange(sizes.sum()) + np.repeat(starts[at] - np.cumsum(sizes) + sizes, sizes)
+            return np.bincount(of[i], weights=weight[i] * np.repeat(counts[at], sizes), minlength=len(self.labels))
+        return self.table[s].sum(axis=0, dtype=np.float64) if len(s) < FEATURES else np.bincount(s, minlength=FEATURES) @ self.table
 
     def probabilities(self, text: str) -> np.ndarray:
         total, n = np.zeros(len(self.labels)), 0
         for s in slots(text):
             n += len(s)
-            total += self.table[s].sum(axis=0, dtype=np.float64) if len(s) < FEATURES else np.bincount(s, minlength=FEATURES) @ self.table
+            total += self._sums(s)
         return softmax((total / max(n, 1) + self.bias) / self.temperature)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -140,7 +156,11 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, seed: i
             a, b = high - golden * (high - low), low + golden * (high - low)
             low, high = (low, b) if loss(a) < loss(b) else (a, high)
         temperature = float(np.exp((low + high) / 2))
-    return Model(labels, (SCALE * idf[:, None] * w[:FEATURES]).astype(np.float32), w[FEATURES], temperature)
+    if len(labels) <= DENSE:
+        return Model(labels, (SCALE * idf[:, None] * w[:FEATURES]).astype(np.float32), w[FEATURES], temperature)
+    at, of = np.nonzero(w[:FEATURES])
+    starts = np.searchsorted(at, np.arange(FEATURES + 1))
+    return Model(labels, None, w[FEATURES], temperature, (starts, of, (SCALE * idf[at] * w[at, of]).astype(np.float32)))
 
 
 def held_out(ident: Column) -> Column:
@@ -170,14 +190,20 @@ def train(docs: DataFrame) -> Model:
     df[table.column("feature").to_numpy()] = table.column("n").to_numpy()
     idf = np.log((1 + df[FEATURES]) / (1 + df[:FEATURES])) + 1
 
-    # the sample: per label the first rows in hash order
-    labels = [r["lang"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(LABELS).collect()]
+    # the sample: per label the first rows in hash order. Counts per label and hash prefix tell in which prefix the
+    # share of a label ends, so only rows up to there are numbered
+    rows = rows.withColumn("b", F.substring("h", 1, PREFIX))
+    counts = rows.groupBy("lang", "b").agg(F.count(F.lit(1)).alias("n"))
+    labels = counts.select("lang").distinct().count()
     if not labels:
-        return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros(0), 1.0)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    cuts = rows.where(F.col("lang").isin(labels)).select("lang", "h").withColumn("place", place).where(
-        F.col("place") <= SAMPLE // len(labels)).groupBy("lang").agg(F.max("h").alias("cut"))
-    picked = rows.join(F.broadcast(cuts), "lang").where(F.col("h") <= F.col("cut"))  # a row per label
+        return Model([], None, np.zeros(0), 1.0)
+    share = max(LEAST, SAMPLE // labels)
+    before = Window.partitionBy("lang").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = counts.withColumn("above", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("above") < share).groupBy("lang").agg(F.max("b").alias("end"))
+    near = rows.join(F.broadcast(ends), "lang").where(F.col("b") <= F.col("end"))  # a row per label, less than the model has
+    near = near.select("lang", "h", F.sha2("text", 256).alias("t"), "text").dropDuplicates(["lang", "h", "t"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    picked = near.withColumn("place", place).where(F.col("place") <= share)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,14 +16,16 @@ merges. Blocks are dealt by a hash of the id, so copies of one vector spread.
 Score ties go to the smaller id; equal ids keep separate places as candidates.
 Defined results: vectors that are null, empty or hold null or non-finite
 components take no part, as query or candidate; rows without an id neither;
-a component beyond +-``LIMIT`` counts as +-``LIMIT``, so that sums are exact;
-only vectors of the same length are compared; a query row repeated as a whole
+components are whole numbers up to +-``WIDEST`` (beyond, they count as that), scores are exact
+and end at the limits of a long; vectors with a component beyond +-``LIMIT`` have no cells, they
+are compared exactly, as queries and as candidates; only vectors of the same length are compared; a query row repeated as a whole
 gives its result once; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,8 +39,9 @@ from runlens.llm.common import column, materialise, ship
 CELLS = 32
 #: Vectors per block (and queries per query block), on average.
 BLOCK = 8192
-#: Largest absolute value of a component.
-LIMIT = 1 << 20
+#: Largest absolute value of a component up to which sums of products are exact in doubles, and of any component.
+LIMIT, WIDEST = 1 << 20, 9_200_000_000_000_000_000
+LONGEST = (1 << 63) - 1
 #: Queries whose bounds are held at a time.
 CHUNK = 128
 
@@ -46,17 +49,15 @@ CHUNK = 128
 def integer_components(vector: Column, scale: int = 64) -> Column:
     """floor(scale * x) of every component; null unless all are finite."""
     x = F.transform(vector, lambda v: v.cast("double"))
-    # floor of a double comparison stays double until it is clamped
-    whole = F.transform(x, lambda v: F.least(F.greatest(F.floor(F.least(F.greatest(v * scale, F.lit(-2.0 * LIMIT)), F.lit(2.0 * LIMIT))),
-                                                        F.lit(-LIMIT)), F.lit(LIMIT)).cast("int"))
+    whole = F.transform(x, lambda v: F.floor(F.least(F.greatest(v * scale, F.lit(-float(WIDEST))), F.lit(float(WIDEST)))).cast("long"))
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return F.when((F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True)), whole)
 
 
-def _pack(keys: list[str], schema: str):
+def _pack(keys: list[str], schema: str, dtype: type):
     """Rows of a group as one row of packed arrays."""
     def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
-        exact = np.array(rows["v"].tolist(), np.int32)
+        exact = np.array(rows["v"].tolist(), dtype)
         return pd.DataFrame({**{k: [x] for k, x in zip(keys, key, strict=True)}, "ids": [rows["id"].to_numpy(np.int64).tobytes()],
                              "exact": [exact.tobytes()], "n": [len(rows)]})
 
@@ -102,6 +103,22 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, exact: np.ndarray,
             yield first + j, by_id[rows], scores
 
 
+def search_exactly(queries: np.ndarray, query_ids: np.ndarray, exact: np.ndarray, ids: np.ndarray,
+                   k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The same for components of any size: every score, in Python's integers where a long is too short."""
+    dim, largest = exact.shape[1], int(np.abs(exact).max())
+    wide = None
+    for j in range(len(queries)):
+        if largest * int(np.abs(queries[j]).max()) * dim <= LONGEST:
+            scores = exact @ queries[j]
+        else:
+            wide = exact.astype(object) if wide is None else wide
+            scores = wide @ queries[j].astype(object)
+        rows = np.flatnonzero(ids != query_ids[j])
+        rows = np.array(sorted(rows.tolist(), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
+        yield j, rows, np.array([max(-LONGEST - 1, min(LONGEST, int(s))) for s in scores[rows]], np.int64)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
           scale: int = 64, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of all other rows."""
@@ -109,49 +126,65 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     ship(spark)
     rows = vectors.select(column(vectors, id_col).cast("long").alias("id"), is_query.alias("q"),
                           integer_components(column(vectors, vector_col), scale).alias("v"))
-    rows = materialise(rows.where("v is not null and id is not null").withColumn("dim", F.size("v")), "va-vectors")
-    sizes = {r["dim"]: r for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("q"), 1)).alias("nq")).collect()}
+    far = F.exists("v", lambda x: F.abs(x) > LIMIT)
+    rows = materialise(rows.where("v is not null and id is not null").withColumns({"dim": F.size("v"), "wide": far}), "va-vectors")
+    sizes = {(r["dim"], r["wide"]): r["n"] for r in rows.groupBy("dim", "wide").agg(F.count(F.lit(1)).alias("n")).collect()}
+    queries = {r["dim"]: r["n"] for r in rows.where("q").groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     schema = "query_id long, rank int, vec_id long, score long"
-    if not any(r["nq"] for r in sizes.values()):
+    if not queries:
         return spark.createDataFrame([], schema)
 
-    found = None
-    for dim, r in sorted(sizes.items()):  # vector lengths: one, as a rule
-        if not r["nq"]:
+    parts: dict[int, DataFrame] = {}
+    asked_of: dict[int, DataFrame] = {}
+    for (dim, wide), n in sorted(sizes.items()):  # vector lengths: one, as a rule
+        if dim not in queries:
             continue
-        own = rows.where(F.col("dim") == dim)
+        nq = queries[dim]
+        own = rows.where((F.col("dim") == dim) & (F.col("wide") == wide))
         # the grid: one row per component
-        grid = own.agg(*[F.struct(F.min(F.col("v")[i]), F.max(F.col("v")[i])).alias(f"c{i}") for i in range(dim)]).first()
-        low = np.array([g[0] for g in grid], np.int64)
-        width = np.maximum(-(-(np.array([g[1] for g in grid], np.int64) - low + 1) // CELLS), 1)
-
-        def blocks(part: DataFrame, n: int, name: str) -> DataFrame:
-            pack, out = _pack([name], f"{name} long, ids binary, exact binary, n long")
+        low = width = np.zeros(0, np.int64)
+        if not wide:
+            grid = own.agg(*[F.struct(F.min(F.col("v")[i]), F.max(F.col("v")[i])).alias(f"c{i}") for i in range(dim)]).first()
+            low = np.array([g[0] for g in grid], np.int64)
+            width = np.maximum(-(-(np.array([g[1] for g in grid], np.int64) - low + 1) // CELLS), 1)
+        kind = np.int64 if wide else np.int32
+
+        def blocks(part: DataFrame, n: int, name: str, dtype: type) -> DataFrame:
+            pack, out = _pack([name], f"{name} long, ids binary, exact binary, n long", dtype)
             return part.withColumn(name, F.pmod(F.xxhash64("id", "v"), F.lit(-(-n // block))).cast("long")).groupBy(name).applyInPandas(pack, out)
 
-        def add_cells(batches, low=low, width=width, dim=dim):
+        def add_cells(batches, low=low, width=width, dim=dim, wide=wide):
             for b in batches:
-                b["cells"] = [approximate(np.frombuffer(e, np.int32).reshape(-1, dim), low, width).tobytes() for e in b["exact"]]
+                b["cells"] = [b"" if wide else approximate(np.frombuffer(e, np.int32).reshape(-1, dim), low, width).tobytes() for e in b["exact"]]
                 yield b
 
-        va = materialise(blocks(own.select("id", "v"), r["n"], "block").mapInPandas(
+        n_blocks, n_asked = -(-n // block), -(-nq // block)
+        va = materialise(blocks(own.select("id", "v"), n, "block", kind).mapInPandas(
             add_cells, "block long, ids binary, exact binary, n long, cells binary"), "va-file")
-        asked = own.where("q").select("id", "v").distinct()
-        asked = blocks(asked, r["nq"], "asked").select("asked", F.col("ids").alias("query_ids"), F.col("exact").alias("queries"))
-        meetings = va.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(-(-r["nq"] // block) - 1).cast("long"))))
-        # one meeting per row; dealt evenly, whatever the sizes of the files
-        meetings = meetings.join(materialise(asked, "va-queries"), "asked").repartition(
-            max(1, -(-r["n"] // block) * -(-r["nq"] // block)), "asked", "block")
-
-        def search(batches: Iterator[pa.RecordBatch], low=low, width=width, dim=dim) -> Iterator[pa.RecordBatch]:
+        if dim not in asked_of:  # written once: queries keep their numbers
+            asked = blocks(rows.where((F.col("dim") == dim) & F.col("q")).select("id", "v").distinct(), nq, "asked", np.int64)
+            asked_of[dim] = materialise(asked.select("asked", F.col("ids").alias("query_ids"), F.col("exact").alias("queries")), "va-queries")
+        # one meeting per row, dealt by both numbers
+        up_to = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+        meetings = va.withColumn("asked", up_to(n_asked)).join(asked_of[dim].withColumn("block", up_to(n_blocks)), ["asked", "block"])
+        meetings = meetings.repartition(max(1, n_blocks * n_asked), "asked", "block")
+
+        def search(batches: Iterator[pa.RecordBatch], low=low, width=width, dim=dim, wide=wide, kind=kind) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for m in b.to_pylist():
                     ids, qids = np.frombuffer(m["ids"], np.int64), np.frombuffer(m["query_ids"], np.int64)
-                    exact = np.frombuffer(m["exact"], np.int32).reshape(-1, dim)
-                    queries = np.frombuffer(m["queries"], np.int32).reshape(-1, dim)
-                    cells = np.frombuffer(m["cells"], np.uint8).reshape(-1, dim)
+                    exact = np.frombuffer(m["exact"], kind).reshape(-1, dim)
+                    queries = np.frombuffer(m["queries"], np.int64).reshape(-1, dim)
+                    far = (np.abs(queries) > LIMIT).any(axis=1) | wide
+                    of_near, of_far = np.flatnonzero(~far), np.flatnonzero(far)
+                    found = []
+                    if len(of_near):
+                        cells = np.frombuffer(m["cells"], np.uint8).reshape(-1, dim)
+                        found += [(of_near[j], at, s) for j, at, s in search_block(queries[of_near], qids[of_near], exact, cells, ids, low, width, k)]
+                    if len(of_far):
+                        found += [(of_far[j], at, s) for j, at, s in search_exactly(queries[of_far], qids[of_far], exact.astype(np.int64), ids, k)]
                     q, row, score = [], [], []
-                    for j, at, s in search_block(queries, qids, exact, cells, ids, low, width, k):
+                    for j, at, s in found:
                         q.append(np.full(len(at), j))
                         row.append(at)
                         score.append(s)
@@ -160,8 +193,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                         [pa.array(qids[q]), pa.array((m["asked"] << 32) + q), pa.array(ids[row]), pa.array(score)],
                         names=["query_id", "query", "vec_id", "score"])
 
-        part = meetings.mapInArrow(search, "query_id long, query long, vec_id long, score long")
-        best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
-        part = part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        found = part if found is None else found.unionByName(part)
+        part = meetings.mapInArrow(search, "query_id long, query long, vec_id long, score long").withColumn("dim", F.lit(dim))
+        parts[dim] = parts[dim].unionByName(part) if dim in parts else part
+    best = Window.partitionBy("dim", "query").orderBy(F.col("score").desc(), "vec_id")
+    found = reduce(DataFrame.unionByName, parts.values())
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return found.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")])

@@ -48,16 +48,28 @@ def test_top_k(spark, block):
     got = [tuple(r) for r in vafile.top_k(df, F.col("vec_id") % 20 == 0, 20, block=block).collect()]
 
     def whole(v):
-        return tuple(max(-vafile.LIMIT, min(vafile.LIMIT, math.floor(64 * x))) for x in v)
+        return tuple(max(-vafile.WIDEST, min(vafile.WIDEST, math.floor(64 * x) if abs(x) < 1e300 else int(x))) for x in v)
 
     valid = [(i, whole(v)) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
     for i, q in {(i, v) for i, v in valid if i % 20 == 0}:
         best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in valid if j != i and len(v) == len(q))[:20]
-        want += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(best)]
+        want += [(i, rank + 1, j, max(-vafile.LONGEST - 1, min(vafile.LONGEST, -s))) for rank, (s, j) in enumerate(best)]
     assert sorted(got) == sorted(want)
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1.0, 0.0]), (1, [20000.0, 0.0]), (2, [30000.0, 0.0]), (20, [1e6, -3.0]), (3, [1e15, 2.0]), (4, [-1e15, 2.0]), (40, [1e14, 1e14])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in vafile.top_k(df, F.col("vec_id") % 20 == 0, 2).orderBy("query_id", "rank").collect()]
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    want = []
+    for i in (0, 20, 40):
+        best = sorted((-sum(a * b for a, b in zip(whole[i], v, strict=True)), j) for j, v in whole.items() if j != i)[:2]
+        want += [(i, r + 1, j, min(vafile.LONGEST, -s)) for r, (s, j) in enumerate(best)]
+    assert got == want
+
+
 def test_top_k_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vafile.top_k(df, F.col("vec_id") % 20 == 0).count() == 0
@@ -168,7 +180,7 @@ def test_planning_takes_seconds(draw):
     rng = np.random.default_rng(6)
     lengths = {"even": rng.integers(1, 4096, 100_000), "skewed": np.minimum(rng.lognormal(6, 1, 100_000).astype(int) + 1, 4095),
                "few": rng.integers(1, 4096, 900)}[draw]
-    step = np.maximum(1, 2 ** (np.ceil(np.log2(lengths)).astype(int) - 7))
+    step = np.maximum(1, np.exp2(np.ceil(np.log2(lengths)) - 7)).astype(int)
     sizes, demand = np.unique(-(-lengths // step) * step, return_counts=True)
     assert len(sizes) > 300
     begun = time.process_time()
@@ -360,6 +372,28 @@ def test_quality_keeps_a_large_source_of_tables(spark):
 
 # languages
 
+def test_every_label_is_learned(spark):
+    rng = random.Random(21)
+    names = [f"l{i:02d}" for i in range(70)]
+    own = {n: [chr(0x3400 + 40 * i + j) for j in range(12)] for i, n in enumerate(names)}
+    rows = [(i, "".join(rng.choice(own[n]) for _ in range(60)), n) for i, n in enumerate(names * 12)]
+    rows += [(10_000 + i, "".join(rng.choice(own["l00"]) for _ in range(60)), "l00") for i in range(300)]  # a frequent one
+    got = langid.identify(frame(spark, rows)).where(langid.held_out(F.col("doc_id"))).collect()
+    assert {r.lang_pred for r in got} == {r.lang for r in got} and len({r.lang for r in got}) == 70
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.98 * len(got)
+
+
+def test_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    rng = random.Random(22)
+    rows = [(1, f"text {i % 4000}", "a") for i in range(9000)] + [(i, words(rng, 5), "b") for i in range(50)] + [(2, "the same", "c")] * 500
+    seen = []
+    monkeypatch.setattr(langid, "SAMPLE", 90)
+    monkeypatch.setattr(langid, "fit", lambda data, idf: seen.extend(data) or langid.Model([], None, np.zeros(0), 1.0))
+    assert not any(zlib.crc32(str(i).encode()) % 4 == 2 for i in (1, 2))
+    langid.identify(frame(spark, rows)).count()
+    assert collections.Counter(r[0] for r in seen) == {"a": 30, "b": min(30, sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(50))), "c": 1}
+
+
 def test_languages(spark):
     rng = random.Random(7)
     own = {k: [word(rng) for _ in range(60)] for k in ("aa", "bb", "cc")}
@@ -485,6 +519,47 @@ def test_windows_agree_at_their_edges():
 
 # the pipeline
 
+def test_language_stage_on_foreign_and_wrongly_tagged_texts(spark, sf_dir):
+    import corpus_pipeline as c
+    rng = random.Random(31)
+    foreign = ["και το να είναι δεν για με που από στο της του ένα αυτό θα μας ήταν έχει".split(),
+               "ja on ei että hän mutta kuin tämä olla minä sinä voida tulla saada pitää ihminen vuosi päivä aika".split(),
+               "się nie jest przez był które oraz także może została czy bardzo tylko już między według roku wszystkie".split()]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.collect()
+    planted = [(90_000 + i, " ".join(rng.choice(foreign[i % 3]) for _ in range(120)), "en", "planted", 0) for i in range(30)]
+    long = [r for r in rows if r.lang and r.text and len(r.text.split()) > 60][:200]
+    wrong = [(91_000 + i, r.text, "de" if r.lang != "de" else "fr", "wrong", 0) for i, r in enumerate(long[:40])]
+    other = [(92_000, None, "en", "x", 0), (92_001, "", "en", "x", 0), (92_002, "12 34 ###", "en", "x", 0), (None, long[0].text, None, None, None)]
+    table = docs.unionByName(spark.createDataFrame(planted + wrong + other, docs.schema)).withColumn("_words", F.lit(1)).withColumn("Score", F.lit("x"))
+    out = c.language(spark, table, sf_dir)
+    assert out.columns == list(c.COLUMNS)
+    got = {r.doc_id: r for r in out.collect()}
+    assert sum(i in got for i, *_ in planted) <= 2
+    assert sum(got[91_000 + i].lang == r.lang for i, r in enumerate(long[:40]) if 91_000 + i in got) >= 36
+    assert not {92_000, 92_001, 92_002} & set(got) and got[None].lang == long[0].lang
+    assert sum(r.doc_id in got for r in long) >= 0.98 * len(long)
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    import corpus_pipeline as c
+    rng = random.Random(32)
+    a, b = words(rng, 80), words(rng, 80)
+    rows = [(1, a, "en", "s", 5), (1, a, "en", "s", 5), (None, b, None, None, None), (2, b, "en", None, 1), (3, None, "en", "s", 0), (4, "", None, "s", 0),
+            (5, "mail me at someone@example.com or +1 555 123 4567 " + words(rng, 60), "en", "s", 0), (6, words(rng, 20_000), "en", "long", 0)]
+    rows += [(10 + i, words(rng, 50), "en", "s", 0) for i in range(30)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for part in (rows, []):
+        docs = spark.createDataFrame([(*r, "x", 1) for r in part], schema + ", Node string, _size int")
+        for name, stage in c.STAGES:
+            docs = stage(spark, docs, sf_dir)
+            held = docs.collect()
+            if name != c.STAGES[-1][0]:
+                assert docs.columns == list(c.COLUMNS)
+                docs = spark.createDataFrame(held, schema)
+        assert bool(held) == bool(part)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as c
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
