@@ -17,7 +17,7 @@ Score ties go to the smaller id; equal ids keep separate places as candidates.
 Defined results: vectors that are null, empty or hold null or non-finite
 components take no part, as query or candidate; rows without an id neither;
 components are whole numbers up to +-``WIDEST`` (beyond, they count as that), scores are exact
-and end at the limits of a long; vectors with a component beyond +-``LIMIT`` have no cells, they
+and end at the limits of a long, where they tie; vectors with a component beyond +-``LIMIT`` have no cells, they
 are compared exactly, as queries and as candidates; only vectors of the same length are compared; a query row repeated as a whole
 gives its result once; an empty table gives no rows; other columns are ignored.
 """
@@ -113,10 +113,10 @@ def search_exactly(queries: np.ndarray, query_ids: np.ndarray, exact: np.ndarray
             scores = exact @ queries[j]
         else:
             wide = exact.astype(object) if wide is None else wide
-            scores = wide @ queries[j].astype(object)
+            scores = np.array([max(-LONGEST - 1, min(LONGEST, s)) for s in wide @ queries[j].astype(object)], np.int64)
         rows = np.flatnonzero(ids != query_ids[j])
-        rows = np.array(sorted(rows.tolist(), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
-        yield j, rows, np.array([max(-LONGEST - 1, min(LONGEST, int(s))) for s in scores[rows]], np.int64)
+        rows = np.array(sorted(rows.tolist(), key=lambda i: (-int(scores[i]), ids[i]))[:k], np.int64)
+        yield j, rows, scores[rows]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
