@@ -128,6 +128,22 @@ def test_shards_follow_the_mixture(spark):
     assert shards.interleave(frame(spark, []), 24).count() == 0
 
 
+def test_shards_rank_by_rank(spark):
+    import zlib
+    rng = random.Random(7)
+    rows = [(i if i % 50 else None, "é" * rng.randint(0, 9), rng.choice(["hot"] * 5 + ["b", "", "é", None])) for i in range(1500)]
+    sources, want = {}, []
+    for i, text, source in rows:
+        h = hashlib.md5(f"shard:{'' if i is None else i}".encode()).hexdigest()
+        sources.setdefault(source, []).append((h, (i is not None, i or 0), zlib.crc32(text.encode()), len(text.encode()) + 8, i))
+    for source, members in sources.items():
+        for rank, (_, _, crc, size, i) in enumerate(sorted(members)):
+            want.append(((2 * rank + 1) / (2 * len(members)), "n" if source is None else "v" + source, rank, i, size, crc))
+    want = [(p, 24 * p // len(want), *w[3:]) for p, w in enumerate(sorted(want, key=lambda w: (w[0], w[1].encode(), w[2])))]
+    got = sorted((r.position, r.shard, r.doc_id, r.size, r.text_crc32) for r in shards.interleave(frame(spark, rows), 24).collect())
+    assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want] and [g[2] for g in got] == [w[2] for w in want]
+
+
 def test_write_shards(spark, tmp_path):
     df = frame(spark, [(i, f"t{i}", "ab"[i % 2]) for i in range(50)])
     shards.write_shards(df, str(tmp_path / "out"), 4)

@@ -217,6 +217,8 @@ def brute_components(rows, n, percent):
     part = list(range(len(rows)))
     for i, a in enumerate(sets):
         for j in range(i):
+            if 100 * min(len(a), len(sets[j])) < percent * max(len(a), len(sets[j])):
+                continue  # the sizes alone rule it out
             common = len(a & sets[j])
             if a and sets[j] and 100 * common >= percent * (len(a) + len(sets[j]) - common):
                 old, new = part[i], part[j]
@@ -251,6 +253,13 @@ def test_near_duplicates(spark, monkeypatch, n, percent, block):
     assert base_text and got == brute_components(rows, n, percent)
 
 
+def test_near_duplicates_of_the_tables(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = collections.Counter(tuple(r) for r in oddsketch.near_duplicates(docs, 3, 85).collect())
+    assert got == brute_components(rows, 3, 85)
+
+
 def test_drop_near_duplicates(spark):
     rng = random.Random(9)
     a = words(rng, 50)
@@ -305,16 +314,70 @@ def test_base_counts():
         assert perplexity.base_counts(t) == brute(t), t
 
 
-def test_kneser_ney_sums_to_one():
+class BruteModel:
+    """The word model by its definition, on words as strings; "<" is the begin of a text."""
+
+    def __init__(self, texts):
+        triples = set()
+        for t in texts:
+            ws = ["<", "<", *t.split()]
+            triples |= set(zip(ws, ws[1:], ws[2:], strict=False))
+        self.c = collections.Counter((v, w) for _, v, w in triples)
+        self.follow, self.left = collections.defaultdict(list), collections.Counter(w for _, w in self.c)
+        for (v, _), n in self.c.items():
+            self.follow[v].append(n)
+        self.d, self.lower_d = (self.discounts(list(x.values())) for x in (self.c, self.left))
+
+    @staticmethod
+    def discounts(counts):
+        n = [max(sum(x == i for x in counts), 1) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        raw = [i - (i + 1) * y * n[i] / n[i - 1] for i in (1, 2, 3)]
+        return [0.0, *(d if 0.01 < d < i else i / 2 for i, d in enumerate(raw, 1))]
+
+    def lower(self, w):
+        rest = sum(self.lower_d[min(n, 3)] for n in self.left.values())
+        n = self.left[w]
+        return (max(n - self.lower_d[min(n, 3)], 0) + rest / (len(self.left) + 1)) / len(self.c)
+
+    def p(self, v, w):
+        if not self.follow[v]:
+            return self.lower(w)
+        total, n = sum(self.follow[v]), self.c[v, w]
+        return (max(n - self.d[min(n, 3)], 0) + sum(self.d[min(x, 3)] for x in self.follow[v]) * self.lower(w)) / total
+
+    def surprise(self, text):
+        ws = ["<", *text.split()]
+        return -sum(math.log(self.p(v, w)) for v, w in zip(ws, ws[1:], strict=False)) / (len(ws) - 1)
+
+    def tables(self, texts):
+        """What the operator is given for ``texts``."""
+        tag = np.array([7], np.uint64)
+        begin = perplexity.word_ids(["x"], tag)[2][0]
+        names = {"<": begin} | {w: perplexity.word_ids([w], tag)[3][0] for t in texts for w in t.split()}
+        pairs = {p for t in texts for p in zip(["<", *t.split()], t.split(), strict=False) if self.c[p]}
+        keys = perplexity.bigram_ids(*(np.array([names[p[i]] for p in pairs], np.uint64) for i in (0, 1)))
+        rows = [[sum(f), *(sum(min(x, 3) == k for x in f) for k in (1, 2, 3)), self.left[w]] for w in names for f in [self.follow[w]]]
+        totals = perplexity.Totals.of([sum(x == i for x in self.c.values()) for i in range(1, 5)], [sum(x == i for x in self.left.values()) for i in range(1, 5)],
+                                      len(self.c), len(self.left))
+        return {7: totals}, (keys, np.array([self.c[p] for p in pairs], np.int64)), (np.array(list(names.values()), np.uint64), np.array(rows, np.int64))
+
+
+def surprises(model, texts):
+    totals, pairs, rows = model.tables(texts)
+    return perplexity.log_perplexities(texts, np.full(len(texts), 7, np.uint64), np.zeros(len(texts), bool), totals, pairs, rows)
+
+
+def test_perplexity_equals_the_model_and_sums_to_one():
     rng = random.Random(5)
-    key = np.concatenate([perplexity.ngrams(words(rng, 300)) for _ in range(20)])
-    counts = {4: np.unique(key, return_counts=True)}
-    for m in (3, 2, 1):
-        counts[m] = np.unique(counts[m + 1][0] & np.uint32((1 << 5 * m) - 1), return_counts=True)
-    model = perplexity.KneserNey(counts)
-    for context in [*key[:20] & np.uint32(0x7FFF), np.uint32(31 << 10 | 31 << 5 | 31)]:
-        p = np.exp(model.log_prob(np.uint32(context << np.uint32(5)) | np.arange(32, dtype=np.uint32)))
-        assert p.sum() == pytest.approx(1, abs=1e-4) and p.min() > 0
+    common = [word(rng) for _ in range(40)]
+    model = BruteModel([" ".join(rng.choice(common) for _ in range(rng.randint(1, 30))) for _ in range(60)])
+    texts = [" ".join(rng.choice([*common, "neverseen", "zzz"]) for _ in range(rng.randint(1, 25))) for _ in range(40)]
+    assert surprises(model, texts) == pytest.approx([model.surprise(t) for t in texts])
+    for v in [*list(model.left)[:8], "neverseen"]:
+        follows = [*model.left, "qqunknown"]  # all words and one for the unknown
+        both = np.exp(-2 * np.array(surprises(model, [f"{v} {w}" for w in follows])))
+        assert both.sum() / math.exp(-surprises(model, [v])[0]) == pytest.approx(1)
 
 
 def test_quality_rejects_noise_and_keeps_prose(spark):
