@@ -73,23 +73,24 @@ def _nested(cuts: list[float]) -> tuple[list[float], list[list[float]]]:
     return [f[0] for f in fine], fine
 
 
-def cut_blocks(df: DataFrame, order: Sequence[str], at_most: int | None = None) -> tuple[DataFrame, dict[int, int]]:
-    """``df`` with ``_block``, ascending along ``order``, and the rows of each block.
+def cut_blocks(df: DataFrame, order: Sequence[str], at_most: int | None = None, rows: int | None = None) -> tuple[DataFrame, dict[int, int]]:
+    """``df`` with ``_block``, ascending along ``order``, and the rows of each block (``rows`` or ``ROWS`` as a rule).
     A table known to have ``at_most`` so many rows is not counted if that is one block."""
-    total = at_most if at_most is not None and at_most <= ROWS else df.count()
+    rows = rows or ROWS
+    total = at_most if at_most is not None and at_most <= rows else df.count()
     out, sizes = df.withColumn("_block", F.lit(0).cast("long")), {0: total}
     live = {0}  # blocks whose rows agree in all columns before
-    for name in order if total > ROWS else ():
-        if name != order[0] and not any(sizes[b] > 2 * ROWS for b in live):
+    for name in order if total > rows else ():
+        if name != order[0] and not any(sizes[b] > 2 * rows for b in live):
             break
         c = F.col(_plain(name))
         tied = (F.count(c) == 0) | ((F.count(c) == F.count(F.lit(1))) & F.min(c).eqNullSafe(F.max(c)))
         open_ = live
         for key in _numbers(df, name):
-            hot = {b for b in open_ if sizes[b] > (2 * ROWS if len(sizes) > 1 else ROWS)}
+            hot = {b for b in open_ if sizes[b] > (2 * rows if len(sizes) > 1 else rows)}
             if not hot:
                 break
-            want = min(BLOCKS, max(-(-sizes[b] // ROWS) for b in hot))
+            want = min(BLOCKS, max(-(-sizes[b] // rows) for b in hot))
             fractions = [i / want for i in range(1, want)]
             found = out.where(F.col("_block").isin(*hot)).groupBy("_block").agg(
                 F.percentile_approx(key, fractions, max(10_000, 8 * want)).alias("cuts")).collect()

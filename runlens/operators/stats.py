@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.stats import t_quantile_udf, two_sided_p
-from runlens.operators.ranking import null_safe_join
-from runlens.session import scratch_path
+from runlens.operators.positions import cut_blocks
+from runlens.operators.ranking import has_value, null_safe_join
+from runlens.session import scratch_path, ship
 
 # Fixed weights of the composite model score (accuracy, similarity, size, time).
 COMPOSITE_WEIGHTS = (0.4, 0.3, 0.2, 0.1)
@@ -104,58 +105,71 @@ def _once(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _best_rows(x: np.ndarray) -> np.ndarray:
+    """The rows (larger is better) that no other row dominates, each once."""
+    x = np.unique(x, axis=0) if x.shape[1] else x[:1]
+    best: list[int] = []
+    for i in np.argsort(-x.sum(axis=1), kind="stable").tolist():  # what dominates a row has a larger sum
+        if not (x[best] >= x[i]).all(axis=1).any():
+            best.append(i)
+    return x[best]
+
+
 def pareto_front(df: DataFrame, maximize: Sequence[str], minimize: Sequence[str] = (), block: int = 2048) -> DataFrame:
     """N07 for any numeric objectives: rows that no row dominates (identical rows
     don't dominate each other; rows with a null or NaN objective are left out).
 
     Whether a row is dominated depends on its objectives alone. Each task keeps
-    the best of its distinct objective tuples; what is left meets block against
-    block, every pair of blocks in a task of its own; the rows of the surviving
-    tuples are the result."""
+    the best of its distinct objective tuples; what is left is cut into blocks along
+    the objectives, best first. A tuple can only be dominated by one of its own block or of an earlier
+    one, and of the earlier ones, which are no worse in the first objective, only the others count: each
+    block needs the front of the other objectives over all blocks before it. These fronts come from a scan
+    in log2(blocks) rounds, in each of which a block meets one other. Every front is written once."""
     names = [*maximize, *minimize]
-    signs = np.array([1.0] * len(maximize) + [-1.0] * len(minimize))
+    d = len(names)
     ok = F.lit(True)
     for c in names:
-        ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    rows = df.where(ok).withColumn("_x", F.array(*[F.col(c).cast("double") for c in names]))
-
-    def best_rows(x: np.ndarray) -> np.ndarray:
-        """Numbers of the rows (distinct, larger is better) that no other row dominates."""
-        best: list[int] = []
-        for i in np.argsort(-x.sum(axis=1), kind="stable").tolist():  # what dominates a row has a larger sum
-            if not ((x[best] >= x[i]).all(axis=1) & (x[best] != x[i]).any(axis=1)).any():
-                best.append(i)
-        return np.array(best, np.int64)
+        ok = ok & has_value(F.col(c))
+    signed = [F.col(c).cast("double") * F.lit(1.0 if i < len(maximize) else -1.0) + F.lit(0.0) for i, c in enumerate(names)]  # no -0.0
+    rows = df.where(ok).withColumns({f"_s{i}": x for i, x in enumerate(signed)})
+    axes = [f"_s{i}" for i in range(d)]
+    shape = ", ".join(f"{a} double" for a in axes)
+    others = axes[1:]
+    ship(df.sparkSession)
+    best = _best_rows
 
     def local(batches):
-        kept = np.empty((0, len(names)))
-        for batch in batches:
-            if len(batch):
-                kept = np.unique(np.vstack([kept, np.array(batch["_x"].tolist(), float) * signs]), axis=0)
-                kept = kept[best_rows(kept)]
-        yield pd.DataFrame({"_x": pd.Series(list(kept * signs), dtype=object)})
-
-    # written once: evaluated again, rows could fall to other tasks and another local front result
-    left = _once(rows.select("_x").distinct().mapInPandas(local, "_x array<double>"), "pareto-local").distinct()
-
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"b": [part["b"].iloc[0]], "xs": [(np.array(part["_x"].tolist(), float) * signs).tobytes()]})
-
-    n = max(1, -(-left.count() // block))
-    blocks = left.withColumn("b", F.pmod(F.xxhash64("_x"), F.lit(n)).cast("int")).groupBy("b").applyInPandas(pack, "b int, xs binary")
-    meet = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(
-        blocks.select(F.col("b").alias("o"), F.col("xs").alias("ys")), "o").repartition(n * n, "b", "o")
-
-    def beaten(batches):
+        kept = np.empty((0, d))
         for batch in batches:
-            for xs, ys in zip(batch["xs"], batch["ys"], strict=True):
-                x, y = (np.frombuffer(v).reshape(-1, len(names)) for v in (xs, ys))
-                lost = np.array([((y >= r).all(axis=1) & (y != r).any(axis=1)).any() for r in x], bool)
-                yield pd.DataFrame({"_x": pd.Series(list(x[lost] * signs), dtype=object)})
-
-    lost = meet.mapInPandas(beaten, "_x array<double>").distinct()
-    front = left.join(lost, "_x", "left_anti")
-    return rows.join(front, "_x", "left_semi").drop("_x")
+            kept = best(np.vstack([kept, batch[axes].to_numpy(float)]))
+        yield pd.DataFrame(kept, columns=axes)
+
+    left = _once(rows.select(*axes).distinct().mapInPandas(local, shape), "pareto-local").distinct()
+    blocks, sizes = cut_blocks(left, [f"-{a}" for a in axes], rows=block)
+    own = _once(blocks.groupBy("_block").applyInPandas(
+        lambda key, part: pd.DataFrame(best(part[axes].to_numpy(float)), columns=axes).assign(_block=key[0]), f"{shape}, _block long"), "pareto-blocks")
+    if len(sizes) > 1:
+        place = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(sorted(sizes))), "_i long, _block long"))  # a row per block
+        own = own.join(place, "_block").drop("_block")
+        flat = "_i long, _none int" + "".join(f", {a} double" for a in others)
+
+        def others_best(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(best(part[others].to_numpy(float)), columns=others).assign(_i=key[0], _none=0)[["_i", "_none", *others]]
+
+        before = _once(own.withColumns({"_i": F.col("_i") + 1, "_none": F.lit(0)}).groupBy("_i").applyInPandas(others_best, flat), "pareto-scan")
+        step = 1
+        while step < len(sizes):
+            both = before.unionByName(before.withColumn("_i", F.col("_i") + step)).where(F.col("_i") < len(sizes))
+            before = _once(both.groupBy("_i").applyInPandas(others_best, flat), "pareto-scan")
+            step *= 2
+
+        def undominated(mine: pd.DataFrame, earlier: pd.DataFrame) -> pd.DataFrame:
+            x, y = mine[others].to_numpy(float), earlier[others].to_numpy(float)
+            free = [i for i in range(len(x)) if not (y >= x[i]).all(axis=1).any()]
+            return mine[axes].iloc[free]
+
+        own = own.groupBy("_i").cogroup(before.groupBy("_i")).applyInPandas(undominated, shape)
+    return rows.join(own.select(*axes), axes, "left_semi").drop(*axes)
 
 
 def composite_select(df: DataFrame, acc: str, sim: str, params: str, time: str, key: str,

@@ -145,7 +145,7 @@ def test_knn_against_all_distances(spark, block):
     assert knn_classify(q, t.limit(0), "k", "v", "l").count() == 0 and knn_classify(q.limit(0), t, "k", "v", "l").count() == 0
 
 
-@pytest.mark.parametrize("block", [7, 2048])
+@pytest.mark.parametrize("block", [3, 7, 2048])
 def test_pareto_front_of_real_objectives(spark, block):
     from runlens.operators.stats import pareto_front
     rng = random.Random(2)
