@@ -4,17 +4,16 @@ A text is cut at single spaces and newlines between two characters that are not
 white space. The pre-tokenizers of both supported kinds (byte-level with a
 leading space, and words with white space dropped) always cut there, so the ids
 of the parts, encoded alone, joined, are the ids of the whole text. Parts are
-kept in a bounded cache of two generations; ids come from the ``tokenizers``
+kept in a cache of two generations, each bounded by its bytes; ids come from the ``tokenizers``
 library only. A part of plain letters is one pre-token, so the tokenizer's model
-is asked for it directly, if probes show that it agrees with the whole tokenizer.
+is asked for it directly, if probes show that it agrees with the whole tokenizer. Letters
+and the signs behind them are cut apart too, if probes show that for these signs.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import threading
-import time
 from array import array
 from itertools import chain
 
@@ -25,15 +24,18 @@ _EXOTIC = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎    　​﻿" + ""
     map(chr, range(0x2000, 0x200B)))
 _SAFE = re.compile(rf"(?<=[^ \n{_EXOTIC}])(?=[ \n][^ \n{_EXOTIC}])")
 _RUNS = ("  ", " \n", "\n ", "\n\n")
-#: Parts per generation of the cache: a full one becomes the old one, which is asked once more before it goes.
-CACHE = 500_000
-#: Seconds without a text after which a worker gives the cache's memory back.
-IDLE = 5.0
+#: Bytes per generation of the cache: a full one becomes the old one, which is asked once more before it goes.
+CACHE = 80 << 20
+#: What an entry takes besides its characters and ids: two objects and a place in the table.
+ENTRY = 150
+#: Different runs of signs behind words that are remembered.
+TAILS = 10_000
 #: Longer parts are not kept.
 CACHED_CHARS = 64
 
 
 #: Words that the model must encode as the tokenizer does before it is asked directly.
+_SIGNED = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 PROBES = ("a", "I", "the", "The", "UPPER", "camelCase", "Überall", "straße", "élan", "ÉCOLE", "ñandú", "ciónes", "œuvre", "żółw", "xqzjvw" * 4)
 
 
@@ -57,9 +59,8 @@ class Encoder:
         self._kind = "H" if self.dtype.itemsize == 2 else "I"
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
-        self._used = time.monotonic()
-        threading.Thread(target=self._release, daemon=True).start()
-        self._marks = dict(zip(",.", self._ids([",", "."]), strict=True))
+        self._size = 0
+        self._tails: dict[str, bytes | None] = {}
         self._model, self._letters, self._direct = self._tokenizer.model, _byte_letters(), None
         whole = self._ids([f" {w}" for w in PROBES])
         for form in ((" ", False), (" ", True), ("", False), ("", True)):
@@ -67,13 +68,6 @@ class Encoder:
                 self._direct = form
                 break
 
-    def _release(self) -> None:
-        """Python workers outlive a task: empty the cache once other work has begun."""
-        while True:
-            time.sleep(IDLE)
-            if time.monotonic() - self._used > IDLE:
-                self._new, self._old = {}, {}
-
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self._kind, e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -92,15 +86,14 @@ class Encoder:
         """Ids of a whole text as little-endian integers of ``dtype``; null is empty."""
         if not text:
             return b""
-        self._used = time.monotonic()
         if text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS) or any(c in text for c in _EXOTIC):
             # other white space or runs of it: cut at the safe places only
             first, *parts = _SAFE.split(text)
             parts = [p[1:] if p[0] == " " else p for p in parts]
         else:
             first, *parts = text.replace("\n", " \n").split(" ")
-        if len(self._new) > CACHE:
-            self._new, self._old = {}, self._new
+        if self._size > CACHE:
+            self._new, self._old, self._size = {}, self._new, 0
         ids = list(map(self._new.get, parts))
         if None in ids:
             at = [i for i, known in enumerate(ids) if known is None]
@@ -109,18 +102,36 @@ class Encoder:
                 ids[i] = got[parts[i]]
         return self._ids([first])[0] + b"".join(ids)
 
+    def _tail(self, signs: str) -> bytes | None:
+        """The ids of signs behind a word, or None if they depend on the word."""
+        if signs not in self._tails:
+            if len(self._tails) >= TAILS:
+                self._tails = {}
+            alone = self._ids([" the", " Haus", " été"])
+            behind = self._ids([w + signs for w in (" the", " Haus", " été")])
+            tails = {whole[len(word):] if whole.startswith(word) else None for word, whole in zip(alone, behind, strict=True)}
+            self._tails[signs] = tails.pop() if len(tails) == 1 else None
+        return self._tails[signs]
+
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """The ids of parts; all but long parts are kept."""
+        """The ids of parts; all but long parts and words behind rare signs are kept."""
         got = {p: ids for p in missing if (ids := self._old.get(p)) is not None}
-        # letters and a comma or full stop behind them are cut apart anyway
-        stems = {p: p[:-1] for p in missing if p not in got and p[-1:] in self._marks and p[:-1].isalpha() and max(p) < "\u0250"}
-        known = {s: ids for s in stems.values() if (ids := self._new.get(s) or self._old.get(s))}
-        fresh = {stems.get(p, p) for p in missing if p not in got} - known.keys()
-        fresh = [p for p in fresh if p not in got]
-        got |= self._words(fresh)
-        for p, s in stems.items():
-            got[p] = (known.get(s) or got[s]) + self._marks[p[-1]]
-        self._new |= {p: ids for p, ids in got.items() if len(p) <= CACHED_CHARS}
+        signed = {}
+        for p in missing:
+            if p not in got and (m := _SIGNED.fullmatch(p)) and max(p) < "\u0250" and (tail := self._tail(m[2])) is not None:
+                signed[p] = m[1], tail, m[2] in ",."
+        known = {s: ids for s, *_ in signed.values() if (ids := self._new.get(s) or self._old.get(s))}
+        fresh = {signed[p][0] if p in signed else p for p in missing if p not in got} - known.keys()
+        words = self._words([p for p in fresh if p not in got])
+        known |= words
+        known |= got
+        got |= {p: ids for p, ids in words.items() if p not in signed}
+        for p, (word, tail, _) in signed.items():
+            got[p] = known[word] + tail
+        for p, ids in got.items():
+            if len(p) <= CACHED_CHARS and p not in self._new and (p not in signed or signed[p][2]):
+                self._new[p] = ids
+                self._size += ENTRY + len(p) + len(ids)
         return got
 
 

@@ -32,7 +32,7 @@ def words(rng, n):
 
 
 ODD = ["", None, " ", "\n\n", "  a  b \n\n c", "a<|endoftext|> b", "it's we'll  x", "tab\tsep , . x", "é́x", "日本語 テキスト。\n\n\nx ", "x,. y., z'",
-       "12,3 4.5, ßa, Éa.", "a\x85 b", "a \x1c b", "Σας ΟΔΟΣ, İx", "ab, ab ab.", ". , ,", "a　b", "y" * 100 + " " + "y" * 100 + ",", "a\nb, c\nb."]
+       "12,3 4.5, ßa, Éa.", "de%%% êeux*** ouier### x&&&. (a b) c) «d» e… don' it's' a-b- c--, d_ e_* f!? g#1 h'' ÿ} été.) ß,,", "a\x85 b", "a \x1c b", "Σας ΟΔΟΣ, İx", "ab, ab ab.", ". , ,", "a　b", "y" * 100 + " " + "y" * 100 + ",", "a\nb, c\nb."]
 
 
 # exact top-k
@@ -80,7 +80,8 @@ def test_top_k_empty(spark):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_tokenizer(name, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE", 50)
+    monkeypatch.setattr(tokens, "CACHE", 8_000)
+    monkeypatch.setattr(tokens, "TAILS", 9)
     encode, rng = tokens.Encoder(public_tokenizers.path(name)), random.Random(2)
     assert encode._direct is not None
     for text in ODD + [words(rng, 80) for _ in range(20)]:
