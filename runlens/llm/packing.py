@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import column, materialise, ship
-from runlens.llm.tokens import crc32_u4, encoder
+from runlens.llm.tokens import CACHE, crc32_u4, encoder
 
 #: Classes above this length are a 64th of it apart at most; up to it every length is one.
 EXACT = 128
@@ -160,13 +160,13 @@ def slots(sizes: np.ndarray, plan: list[Pattern]) -> list[tuple[int, int, int, i
     return rows
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col: str, text_col: str, keep_ids: bool, cache: int = CACHE) -> DataFrame:
     """Encode whole texts and cut them: one row per piece."""
     rows = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, cache)
         end = np.array([end_id], encode.dtype).tobytes()
         for batch in batches:
             of, start, size, crc, total, raw = [], [], [], [], [], []
@@ -194,12 +194,13 @@ def length_class(length: Column, capacity: int) -> Column:
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, id_col: str = "doc_id",
-         text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+         text_col: str = "text", keep_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids
-    as little-endian unsigned 32-bit integers, if kept): one row per piece."""
+    as little-endian unsigned 32-bit integers, if kept): one row per piece. ``cache``: bytes of
+    known words that a worker may keep, twice."""
     spark = docs.sparkSession
     ship(spark)
-    pieces = cut_pieces(docs, tokenizer, length, end_id, id_col, text_col, keep_ids)
+    pieces = cut_pieces(docs, tokenizer, length, end_id, id_col, text_col, keep_ids, cache)
     pieces = pieces.withColumn("class", length_class(F.col("length"), length))
     pieces = materialise(pieces if keep_ids else pieces.drop("ids"), "pack-pieces")
     buckets = max(BUCKETS, -(-pieces.count() // BUCKET_ROWS))

@@ -24,10 +24,10 @@ _EXOTIC = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎    　​﻿" + ""
     map(chr, range(0x2000, 0x200B)))
 _SAFE = re.compile(rf"(?<=[^ \n{_EXOTIC}])(?=[ \n][^ \n{_EXOTIC}])")
 _RUNS = ("  ", " \n", "\n ", "\n\n")
-#: Bytes per generation of the cache: a full one becomes the old one, which is asked once more before it goes.
+#: Bytes per generation of the cache, as a rule: a full one becomes the old one, which is asked once more before it goes.
 CACHE = 80 << 20
 #: What an entry takes besides its characters and ids: two objects and a place in the table.
-ENTRY = 150
+ENTRY = 190
 #: Different runs of signs behind words that are remembered.
 TAILS = 10_000
 #: Longer parts are not kept.
@@ -59,7 +59,7 @@ class Encoder:
         self._kind = "H" if self.dtype.itemsize == 2 else "I"
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
-        self._size = 0
+        self._size, self.cache = 0, CACHE
         self._tails: dict[str, bytes | None] = {}
         self._model, self._letters, self._direct = self._tokenizer.model, _byte_letters(), None
         whole = self._ids([f" {w}" for w in PROBES])
@@ -92,7 +92,7 @@ class Encoder:
             parts = [p[1:] if p[0] == " " else p for p in parts]
         else:
             first, *parts = text.replace("\n", " \n").split(" ")
-        if self._size > CACHE:
+        if self._size > self.cache:
             self._new, self._old, self._size = {}, self._new, 0
         ids = list(map(self._new.get, parts))
         if None in ids:
@@ -138,10 +138,11 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = CACHE) -> Encoder:
     """One encoder per Python worker and file."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].cache = cache
     return _ENCODERS[path]
 
 

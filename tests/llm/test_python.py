@@ -80,7 +80,7 @@ def test_top_k_empty(spark):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_tokenizer(name, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE", 8_000)
+    monkeypatch.setattr(tokens, "CACHE", 9_000)
     monkeypatch.setattr(tokens, "TAILS", 9)
     encode, rng = tokens.Encoder(public_tokenizers.path(name)), random.Random(2)
     assert encode._direct is not None
