@@ -60,8 +60,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, end_id=2)
+    """Pieces of sequences of 4096 tokens. The workers have other stages behind them, so they keep fewer words."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, end_id=2, cache=16 << 20)
 
 
 STAGES = [
