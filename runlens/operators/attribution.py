@@ -20,8 +20,15 @@ PIECE_SPLIT = 8  # words longer than this are split into a head and a ## piece
 PIECE_HEAD = 6
 
 
-def pair_metrics(pairs: DataFrame, k: int = 10, t: str = "t_vec", s: str = "s_vec") -> DataFrame:
-    """Per example: cosine similarity, Pearson correlation and top-k overlap."""
+def pair_metrics(pairs: DataFrame, k: int = 10, t: str = "t_vec", s: str = "s_vec", mask: str | None = None,
+                     include_padding: bool = True) -> DataFrame:
+    """Per example: cosine similarity, Pearson correlation and top-k overlap. Scores of padding
+    tokens count too, unless ``include_padding`` is off: then those whose ``mask`` is not 1 are left out."""
+    if not include_padding:
+        if mask is None:
+            raise ValueError("a mask says which tokens are padding")
+        real = lambda c: F.transform(F.filter(F.arrays_zip(F.col(c).alias("x"), F.col(mask).alias("m")), lambda e: e["m"] == 1), lambda e: e["x"])
+        pairs = pairs.withColumns({t: real(t), s: real(s)})
     return pairs.select(
         "example_id", "t_label",
         V.cosine(t, s).alias("cosine_similarity"),

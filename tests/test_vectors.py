@@ -116,3 +116,16 @@ def test_token_filter_edge_cases(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(toks)], "pos int, token string")
     kept = [r.token for r in AT.filter_tokens(df, "token").orderBy("pos").collect()]
     assert kept == ["7", "(x)", "ok"]
+
+
+def test_padding_counts_unless_left_out(spark):
+    from runlens.operators.attribution import pair_metrics
+    rows = [(1, 0, [0.9, 0.1, -0.5, 7.0, 7.0], [0.8, 0.3, -0.4, -7.0, 7.0], [1, 1, 1, 0, 0]), (2, 0, [1.0, 2.0], [2.0, 1.0], [1, 1])]
+    df = spark.createDataFrame(rows, "example_id int, t_label int, t_vec array<double>, s_vec array<double>, mask array<int>")
+    whole = {r.example_id: r for r in pair_metrics(df, 2).collect()}
+    real = {r.example_id: r for r in pair_metrics(df, 2, mask="mask", include_padding=False).collect()}
+    short = {r.example_id: r for r in pair_metrics(spark.createDataFrame([(1, 0, rows[0][2][:3], rows[0][3][:3])],
+                                                                        "example_id int, t_label int, t_vec array<double>, s_vec array<double>"), 2).collect()}
+    assert real[1] == short[1] and real[2] == whole[2] and whole[1].top10_overlap != 0 and abs(whole[1].correlation - real[1].correlation) > 0.1
+    with pytest.raises(ValueError):
+        pair_metrics(df, include_padding=False)
