@@ -140,11 +140,11 @@ def number_rows(df: DataFrame, order: Sequence[str], partition_by: Sequence[str]
         if partition_by:
             before = Window.partitionBy(*partition_by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
             starts = blocks.groupBy(*partition_by, "_block").agg(F.count(F.lit(1)).alias("_n")).select(
-                *partition_by, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+                *partition_by, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_block_start"))
         else:
             running = [(b, sum(sizes[a] for a in sizes if a < b)) for b in sizes]
-            starts = F.broadcast(df.sparkSession.createDataFrame(running, "_block long, _start long"))
-        out = null_safe_join(out, starts, [*partition_by, "_block"]).withColumn(name, F.col(name) + F.col("_start"))
+            starts = F.broadcast(df.sparkSession.createDataFrame(running, "_block long, _block_start long"))
+        out = null_safe_join(out, starts, [*partition_by, "_block"]).withColumn(name, F.col(name) + F.col("_block_start"))
     return out.select(*df.columns, name)
 
 
@@ -158,8 +158,8 @@ def running_max_before(df: DataFrame, group: str, order: Sequence[str], value: s
     if len(sizes) > 1:
         before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
         carry = blocks.groupBy(group, "_block").agg(F.max(held).alias("_max")).select(
-            group, "_block", F.max("_max").over(before).alias("_carry"))
-        out = null_safe_join(out, carry, [group, "_block"]).withColumn(name, F.greatest("_carry", name))
+            group, "_block", F.max("_max").over(before).alias("_block_max"))
+        out = null_safe_join(out, carry, [group, "_block"]).withColumn(name, F.greatest("_block_max", name))
     return out.select(*df.columns, F.col(name).cast(df.schema[value].dataType).alias(name))
 
 
@@ -177,11 +177,11 @@ def with_previous(df: DataFrame, group: str, order: Sequence[str], value: str, p
         key = F.struct(*[F.col(o) for o in order], F.col(value).alias("_value"))
         carry = blocks.groupBy(group, "_block").agg(
             F.count(F.lit(1)).alias("_n"), F.min(key).alias("_head"), F.max(key).alias("_tail")).select(
-            group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-            F.lag("_tail._value").over(of_group).alias("_before"), F.first("_head._value").over(of_group).alias("_root"))
+            group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_block_start"),
+            F.lag("_tail._value").over(of_group).alias("_block_before"), F.first("_head._value").over(of_group).alias("_block_root"))
         out = null_safe_join(out, carry, [group, "_block"]).withColumns({
-            previous: F.when(F.col(number) == 0, F.col("_before")).otherwise(F.col(previous)),
-            first: F.col("_root"), number: F.col(number) + F.col("_start")})
+            previous: F.when(F.col(number) == 0, F.col("_block_before")).otherwise(F.col(previous)),
+            first: F.col("_block_root"), number: F.col(number) + F.col("_block_start")})
     return out.select(*df.columns, previous, first, number)
 
 

@@ -48,6 +48,20 @@ def test_numbers_equal_one_window(spark, monkeypatch, order):
         assert {(r.k, r.i) for r in got.collect()} == {(r.k, r.i) for r in want.collect()}
 
 
+def test_chains_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(P, "ROWS", 60)
+    rng = random.Random(8)
+    rows = [(g, rng.randrange(40), i, float(rng.randrange(100))) for i, g in enumerate(["hot"] * 400 + [None] * 150 + ["a"] * 60 + ["b"] * 7)]
+    df = spark.createDataFrame(rows, "g string, epoch int, ord int, m double").repartition(4)
+    w = Window.partitionBy("g").orderBy("epoch", "ord")
+    want = df.select("ord", F.row_number().over(w).alias("stage"), (F.col("m") - F.lag("m").over(w)).alias("p"), (F.col("m") - F.first("m").over(w)).alias("r"),
+                     F.max("m").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("best"))
+    got = R.chain_degradation(df, "g", ["epoch", "ord"], "m").select("ord", "stage", "delta_prev", "delta_root")
+    assert {tuple(r) for r in got.collect()} == {tuple(r)[:4] for r in want.collect()}
+    best = R.running_best(df, "g", ["epoch", "ord"], "m").select("ord", "prev_best")
+    assert {tuple(r) for r in best.collect()} == {(r.ord, r.best) for r in want.collect()}
+
+
 def test_blocks_of_little_and_nothing(spark):
     df = spark.createDataFrame([], WIDE)
     assert P.number_rows(df, ["k"]).count() == 0 and P.with_previous(df, "g", ["k"], "x").count() == 0
