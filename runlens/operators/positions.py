@@ -8,7 +8,8 @@ values, so a recomputed task cuts as the first one did, and nothing is
 sorted or stored beforehand. Rows are then worked on inside (group, block),
 one exchange and one read, and what crosses a block's border comes from a table with
 one row per (group, block): its rows, its first, last or largest value, summed up along
-the group. A table of up to ``ROWS`` rows is one block and needs no such table.
+the group. A table of up to ``ROWS`` rows is one block and needs no such table. Groups of
+up to ``ROWS`` rows are not cut: only larger ones, which a count per group finds, lie in blocks.
 
 An order is a list of column names, ``-name`` for descending; nulls come first when
 ascending and last when descending, as in Spark. It must be total for numbers to be
@@ -126,6 +127,22 @@ def _sizes(blocks: DataFrame, tied: Column) -> tuple[dict[int, int], set[int]]:
     return {r["_block"]: r["n"] for r in rows}, {r["_block"] for r in rows if r["tied"]}
 
 
+def cut_groups(df: DataFrame, group: Sequence[str], order: Sequence[str], at_most: int | None = None) -> tuple[DataFrame, dict[int, int]]:
+    """``cut_blocks`` for work inside groups: a group of up to ``ROWS`` rows lies whole in one block (-1 beside
+    larger ones), and if there are no others the table counts as one block and nothing is looked up.
+    The driver sees one row per larger group, of which there are at most rows / ``ROWS``."""
+    total = at_most if at_most is not None and at_most <= ROWS else df.count()
+    large = []
+    if total > ROWS:
+        large = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > ROWS).select(*group).collect()
+    if not large:
+        return df.withColumn("_block", F.lit(0).cast("long")), {0: total}
+    blocks, sizes = cut_blocks(df, order, at_most)
+    marked = df.sparkSession.createDataFrame([(*r, True) for r in large], T.StructType([*df.select(*group).schema.fields, T.StructField("_large", T.BooleanType())]))
+    out = null_safe_join(blocks, F.broadcast(marked), group, "left")
+    return out.select(*df.columns, F.when(F.col("_large"), F.col("_block")).otherwise(-1).alias("_block")), sizes
+
+
 def _along(group: Sequence[str], order: Sequence[str], sizes: dict[int, int]):
     """Window over a group's rows inside a block."""
     return Window.partitionBy(*group, *(["_block"] if len(sizes) > 1 or not group else [])).orderBy(*sort_columns(order))
@@ -134,7 +151,7 @@ def _along(group: Sequence[str], order: Sequence[str], sizes: dict[int, int]):
 def number_rows(df: DataFrame, order: Sequence[str], partition_by: Sequence[str] = (), name: str = "idx",
                 at_most: int | None = None) -> DataFrame:
     """0-based number of each row in ``order``, from 0 again for every ``partition_by`` value."""
-    blocks, sizes = cut_blocks(df, order, at_most)
+    blocks, sizes = cut_groups(df, partition_by, order, at_most) if partition_by else cut_blocks(df, order, at_most)
     out = blocks.withColumn(name, (F.row_number().over(_along(partition_by, order, sizes)) - 1).cast("long"))
     if len(sizes) > 1:
         if partition_by:
@@ -151,7 +168,7 @@ def number_rows(df: DataFrame, order: Sequence[str], partition_by: Sequence[str]
 def running_max_before(df: DataFrame, group: str, order: Sequence[str], value: str, name: str = "prev_best") -> DataFrame:
     """Maximum of ``value`` over all earlier rows of the group (null for its first row);
     null and NaN values raise no maximum."""
-    blocks, sizes = cut_blocks(df, order)
+    blocks, sizes = cut_groups(df, [group], order)
     held = F.when(has_value(F.col(value)), F.col(value))
     earlier = _along([group], order, sizes).rowsBetween(Window.unboundedPreceding, -1)
     out = blocks.withColumn(name, F.max(held).over(earlier))
@@ -168,7 +185,7 @@ def with_previous(df: DataFrame, group: str, order: Sequence[str], value: str, p
     """Per row of a group: the ``value`` of the row before, of the group's first row, and its 0-based number."""
     if any(o.startswith("-") for o in order):
         raise ValueError("with_previous takes an ascending order")
-    blocks, sizes = cut_blocks(df, order)
+    blocks, sizes = cut_groups(df, [group], order)
     w = _along([group], order, sizes)
     out = blocks.withColumns({previous: F.lag(value).over(w), first: F.first(value).over(w), number: (F.row_number().over(w) - 1).cast("long")})
     if len(sizes) > 1:

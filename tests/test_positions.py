@@ -62,6 +62,19 @@ def test_chains_over_blocks(spark, monkeypatch):
     assert {tuple(r) for r in best.collect()} == {(r.ord, r.best) for r in want.collect()}
 
 
+def test_only_large_groups_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(P, "ROWS", 60)
+    df = spark.createDataFrame([(g, i) for i, g in enumerate(["hot"] * 200 + ["a"] * 60 + [None] * 50)], "g string, k int")
+    blocks, sizes = P.cut_groups(df, ["g"], ["k"])
+    seen = {(r.g, r._block) for r in blocks.select("g", "_block").distinct().collect()}
+    assert {b for g, b in seen if g != "hot"} == {-1} and sum(g == "hot" for g, _ in seen) >= 3 and blocks.count() == 310
+    small = df.where("g <> 'hot' OR g IS NULL")
+    assert len(P.cut_groups(small, ["g"], ["k"])[1]) == 1
+    # rows of groups that all fit need one exchange
+    numbered = P.number_rows(small, ["k"], ["g"])._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in numbered and "_block" not in numbered
+
+
 def test_blocks_of_little_and_nothing(spark):
     df = spark.createDataFrame([], WIDE)
     assert P.number_rows(df, ["k"]).count() == 0 and P.with_previous(df, "g", ["k"], "x").count() == 0
