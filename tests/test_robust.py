@@ -116,6 +116,24 @@ def test_knn_ties(spark):
         assert {r.k: r.pred for r in knn_classify(query, train, "k", "v", "l", 5, block).collect()} == {1000: 0, 1001: 0}
 
 
+def test_knn_without_structure_sends_back_little(spark):
+    from runlens.operators.knn import nearest
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(32)], 0) for i in range(460)]
+    frame = lambda part: spark.createDataFrame(part, "k long, v array<double>, l int")
+    got = nearest(frame(rows[:60]), frame(rows[60:]), "k", "v", "l", 5, 16)
+    found: dict[int, list] = {}
+    for r in got.collect():
+        found.setdefault(r.query_key, []).append((r.dist, r.train_key))
+    for k, v, _ in rows[:60]:
+        assert [t for _, t in sorted(found[k])[:5]] == [t for _, t in sorted((math.dist(v, w), t) for t, w, _ in rows[60:])[:5]]
+        assert len(found[k]) == len(set(found[k]))
+    # all blocks are met (25 at least), but only rows within the radius of the first round come back
+    assert sum(map(len, found.values())) < 60 * 25 * 5 / 2
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" in plan  # the second round is a join without keys: no vectors travel per meeting
+
+
 @pytest.mark.parametrize("block", [16, 8192])
 def test_knn_against_all_distances(spark, block):
     from runlens.operators.knn import knn_classify, nearest
