@@ -149,9 +149,12 @@ def _along(group: Sequence[str], order: Sequence[str], sizes: dict[int, int]):
 
 
 def number_rows(df: DataFrame, order: Sequence[str], partition_by: Sequence[str] = (), name: str = "idx",
-                at_most: int | None = None) -> DataFrame:
-    """0-based number of each row in ``order``, from 0 again for every ``partition_by`` value."""
-    blocks, sizes = cut_groups(df, partition_by, order, at_most) if partition_by else cut_blocks(df, order, at_most)
+                at_most: int | None = None, rows: int | None = None) -> DataFrame:
+    """0-based number of each row in ``order``, from 0 again for every ``partition_by`` value.
+    ``rows``: of a block, where rows are wide; without ``partition_by`` only."""
+    if partition_by and rows:
+        raise ValueError("groups are cut into blocks of the usual size")
+    blocks, sizes = cut_groups(df, partition_by, order, at_most) if partition_by else cut_blocks(df, order, at_most, *([rows] if rows else []))
     out = blocks.withColumn(name, (F.row_number().over(_along(partition_by, order, sizes)) - 1).cast("long"))
     if len(sizes) > 1:
         if partition_by:

@@ -12,6 +12,7 @@ from runlens.functions.arrays import posexplode_rows
 from runlens.functions.text import parse_label
 from runlens.operators.positions import number_rows
 from runlens.operators.ranking import null_safe_join
+from runlens.session import scratch_path
 
 PAD_ID = 0
 UNK_ID = 1
@@ -19,6 +20,8 @@ FIRST_WORD_ID = 2
 #: Marks of a pair, outside the range of word ids.
 CLS_ID, SEP_ID = -1, -2
 LABEL_MIN, LABEL_MAX = 0, 4
+#: Rows with ids that one task numbers together: they are sorted whole, so the usual block would hold gigabytes.
+WIDE_ROWS = 1 << 14
 #: Hex digits of the hash that form a bucket of a class.
 SPLIT_PREFIX = 3
 
@@ -256,10 +259,10 @@ def encode_pairs(rows: DataFrame, keys: Sequence[str], first: str, second: str,
         *keys, input_ids.alias("input_ids"), mask.alias("attention_mask"), F.size("_whole").alias("n_tokens"))
 
 
-def _batches(df: DataFrame, key: str, size: Column, batch_size: int) -> DataFrame:
+def _batches(df: DataFrame, key: str, size: Column, batch_size: int, rows: int | None = None) -> DataFrame:
     """Rows numbered in key order (rows of one key by their other columns), cut into batches, with the longest size of each."""
     order = [key, *[c for c in df.columns if c != key and c != "_size"]]
-    numbered = number_rows(df.withColumn("_size", size), order, name="_rn")
+    numbered = number_rows(df.withColumn("_size", size), order, name="_rn", rows=rows)
     batch = F.floor(F.col("_rn") / batch_size).cast("bigint")
     # a batch has batch_size rows
     return numbered.withColumn("batch_id", batch).withColumn("padded_len", F.max("_size").over(Window.partitionBy("batch_id"))).drop("_rn")
@@ -267,8 +270,12 @@ def _batches(df: DataFrame, key: str, size: Column, batch_size: int) -> DataFram
 
 def pad_batches(encoded: DataFrame, key: str, ids: str, batch_size: int) -> DataFrame:
     """Consecutive batches of ``batch_size`` rows in key order; ids and masks
-    padded to the longest row of the batch, other columns untouched."""
-    b = _batches(encoded, key, F.size(ids), batch_size).drop("_size")
+    padded to the longest row of the batch, other columns untouched. The rows are written once, as
+    cutting them into blocks of ``WIDE_ROWS`` reads them several times."""
+    path = scratch_path(encoded.sparkSession, "pad-batches")
+    encoded.write.parquet(path)
+    stored = encoded.sparkSession.read.schema(encoded.schema).parquet(path)
+    b = _batches(stored, key, F.size(ids), batch_size, WIDE_ROWS).drop("_size")
     input_ids, mask = _padded(F.col(ids), F.col("padded_len"))
     return b.withColumns({"input_ids": input_ids, "attention_mask": mask})
 

@@ -120,3 +120,26 @@ def test_runs_binding_equals_a_window_per_run(spark, sf_dir):
     a = runs(spark, sf_dir).select("ord", "epoch")
     b = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.row_number().over(w).alias("epoch"))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_batches_of_wide_rows_are_cut_into_small_blocks(spark, monkeypatch):
+    from runlens.operators import positions
+    monkeypatch.setattr(P, "WIDE_ROWS", 40, raising=False)
+    seen = []
+    cut = positions.cut_blocks
+
+    def watched(*args):
+        found = cut(*args)
+        seen.append(max(found[1].values()))
+        return found
+
+    monkeypatch.setattr(positions, "cut_blocks", watched)
+    rows = [(i // 2, [i % 7] * (i % 11)) for i in range(500)]
+    got = P.pad_batches(spark.createDataFrame(rows, "k long, ids array<int>").repartition(5), "k", "ids", 8).collect()
+    assert max(seen) <= 80  # twice the wanted size at most, not the whole table
+    want = sorted(rows)
+    by: dict[int, list] = {}
+    for i, (k, ids) in enumerate(want):
+        by.setdefault(i // 8, []).append((k, ids))
+    assert sorted((r.batch_id, r.k, r.ids, r.padded_len, r.input_ids) for r in got) == sorted(
+        (b, k, ids, max(len(x) for _, x in part), ids + [0] * (max(len(x) for _, x in part) - len(ids))) for b, part in by.items() for k, ids in part)
