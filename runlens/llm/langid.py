@@ -231,15 +231,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = spark.sparkContext.broadcast(train(docs.select(
         column(docs, id_col).alias("doc_id"), column(docs, text_col).cast("string").alias("text"), column(docs, lang_col).alias("lang"))))
     kept = docs.select(*[column(docs, c) for c in without(docs, ("lang_pred", "score"))])
-    held = free(docs, "_text")
+    # a string column is read where it is, so that no batch holds its texts twice
+    plain_text = text_col in kept.columns and isinstance(kept.schema[text_col].dataType, StringType)
+    held = text_col if plain_text else free(docs, "_text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.value.predict(t.as_py()) for t in batch.column(held)]
-            plain = batch.drop_columns([held])
+            plain = batch if plain_text else batch.drop_columns([held])
             yield pa.RecordBatch.from_arrays(
                 [*plain.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=[*plain.schema.names, "lang_pred", "score"])
 
     schema = StructType([*kept.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
-    return kept.withColumn(held, column(docs, text_col).cast("string")).mapInArrow(predict, schema)
+    rows = kept if plain_text else kept.withColumn(held, column(docs, text_col).cast("string"))
+    return rows.mapInArrow(predict, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import column, materialise, ship
-from runlens.llm.tokens import CACHE, crc32_u4, encoder
+from runlens.llm.tokens import CACHE, crc32_u4, encoder, forget
 
 #: Classes above this length are a 64th of it apart at most; up to it every length is one.
 EXACT = 128
@@ -160,7 +160,8 @@ def slots(sizes: np.ndarray, plan: list[Pattern]) -> list[tuple[int, int, int, i
     return rows
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col: str, text_col: str, keep_ids: bool, cache: int = CACHE) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col: str, text_col: str, keep_ids: bool, cache: int = CACHE,
+               keep_encoder: bool = True) -> DataFrame:
     """Encode whole texts and cut them: one row per piece."""
     rows = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -183,6 +184,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(of, pa.int32())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total)),
                  pa.array(raw, pa.binary())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        if not keep_encoder:
+            forget(tokenizer)
 
     return rows.mapInArrow(cut, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
@@ -194,13 +197,13 @@ def length_class(length: Column, capacity: int) -> Column:
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, id_col: str = "doc_id",
-         text_col: str = "text", keep_ids: bool = False, cache: int = CACHE) -> DataFrame:
+         text_col: str = "text", keep_ids: bool = False, cache: int = CACHE, keep_encoder: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids
     as little-endian unsigned 32-bit integers, if kept): one row per piece. ``cache``: bytes of
-    known words that a worker may keep, twice."""
+    known words that a worker may keep, twice; without ``keep_encoder`` it keeps nothing beyond a task."""
     spark = docs.sparkSession
     ship(spark)
-    pieces = cut_pieces(docs, tokenizer, length, end_id, id_col, text_col, keep_ids, cache)
+    pieces = cut_pieces(docs, tokenizer, length, end_id, id_col, text_col, keep_ids, cache, keep_encoder)
     pieces = pieces.withColumn("class", length_class(F.col("length"), length))
     pieces = materialise(pieces if keep_ids else pieces.drop("ids"), "pack-pieces")
     buckets = max(BUCKETS, -(-pieces.count() // BUCKET_ROWS))

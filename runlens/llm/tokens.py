@@ -146,6 +146,11 @@ def encoder(path: str, cache: int = CACHE) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget(path: str) -> None:
+    """Drop a worker's encoder with its caches, for workers that have other work behind them."""
+    _ENCODERS.pop(path, None)
+
+
 def crc32_u4(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     import zlib

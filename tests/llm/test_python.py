@@ -648,3 +648,23 @@ def test_pipeline(spark, sf_dir):
     assert kept["pack"].length.sum() == total
     assert kept["pack"].groupby("sequence_id").length.sum().max() <= 4096
     assert c.run(spark, sf_dir).count() == len(kept["pack"])
+
+
+def test_a_worker_keeps_no_encoder_of_the_pipeline(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = frame(spark, [(i, f"some words {i}, and others", "en", "s") for i in range(40)]).coalesce(1)
+
+    size = lambda keep: sorted(r.length for r in packing.cut_pieces(docs, path, 4096, 2, "doc_id", "text", False, 1 << 20, keep).collect())
+    assert size(True) == size(False)
+    tokens.encoder(path, 1 << 20)
+    tokens.forget(path)
+    tokens.forget(path)
+    assert path not in tokens._ENCODERS
+
+
+def test_texts_travel_once(spark):
+    docs = frame(spark, [(i, "ein Satz mit Worten" if i % 2 else "some words in a row", "de" if i % 2 else "en", "s") for i in range(60)])
+    plan = langid.identify(docs)
+    assert "__text" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    other = langid.identify(docs.withColumn("text", F.col("text").cast("binary")))
+    assert sorted((r.doc_id, r.lang_pred) for r in plan.collect()) == sorted((r.doc_id, r.lang_pred) for r in other.collect())
