@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from runlens.session import scratch_path, ship
 
 QUERY_BATCH = 128   # queries scored together against a block (bounds numpy memory)
-QUERY_BLOCK = 4096  # queries packed together
+QUERY_BLOCK = 8192  # queries packed together
 ROUTE_BATCH = 1024  # queries routed together (bounds the queries x rings tables)
 PIVOTS, RINGS = 256, 16
 AT = ["dim", "cell", "ring", "salt"]
@@ -152,7 +152,7 @@ def _pack_far(key: tuple, part: pd.DataFrame, pivots: dict[int, np.ndarray], dir
         least, near = _least_and_near(x[rows], pivots[dim], directory[dim], k)
         bits[:, rows] = (~near & ~(least > radius[rows, None])).T  # no radius: fewer than k rows so far
     rings = np.flatnonzero(bits.any(axis=1))
-    return pd.DataFrame({"rings": [(rings + first[dim]).tolist()], "qs": [part["k"].to_numpy(np.int64).tobytes()], "xs": [x.tobytes()],
+    return pd.DataFrame({"dim": [dim], "chunk": [int(key[1])], "rings": [(rings + first[dim]).tolist()], "qs": [part["k"].to_numpy(np.int64).tobytes()], "xs": [x.tobytes()],
                          "radii": [radius.tobytes()], "bits": [np.packbits(bits[rings], axis=1).tobytes()]})
 
 
@@ -219,12 +219,12 @@ def _meet_far(asked: DataFrame, blocks: DataFrame, pivots: dict[int, np.ndarray]
     known = asked.where(F.col("dim").isin(*directory)).withColumn("chunk", F.pmod(F.xxhash64("k"), F.lit(chunks)).cast("int"))
     pack = partial(_pack_far, pivots=pivots, directory=directory, first=first, k=k)
     packed = known.repartition(chunks, "dim", "chunk").groupBy("dim", "chunk").applyInPandas(
-        lambda key, part: pack(key, part), "rings array<int>, qs binary, xs binary, radii binary, bits binary")
+        lambda key, part: pack(key, part), "dim int, chunk int, rings array<int>, qs binary, xs binary, radii binary, bits binary")
     packed = _once(packed, "knn-queries")
-    # no keys: stored blocks are read by the tasks of each pack, not shuffled
-    pairs = packed.join(numbered.select("no", "ks", "ls", "vs"), F.array_contains("rings", F.col("no")))
-    place = (F.array_position("rings", F.col("no")) - 1).cast("int").alias("place")
-    return pairs.select("rings", place, "qs", "xs", "radii", "bits", "ks", "ls", "vs").mapInArrow(partial(_score, k=k), CANDIDATES)
+    met = packed.select("dim", "chunk", F.posexplode("rings").alias("place", "no"))
+    sent = met.join(numbered.select("no", "ks", "ls", "vs"), "no")
+    pairs = sent.join(packed.hint("shuffle_hash"), ["dim", "chunk"])
+    return pairs.select("rings", "place", "qs", "xs", "radii", "bits", "ks", "ls", "vs").mapInArrow(partial(_score, k=k), CANDIDATES)
 
 
 def nearest(queries: DataFrame, train: DataFrame, key: str, vec: str, label: str, k: int = 5, block_rows: int = 8192) -> DataFrame:
