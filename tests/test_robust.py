@@ -217,3 +217,23 @@ def test_p_values_by_numeric_integration(spark):
         assert r.p == pytest.approx(tail(r.t, r.n), abs=1e-6), r
         assert 2 * (1 - t_cdf(r.t, r.n)) == pytest.approx(r.p, abs=1e-12)
     assert spark.createDataFrame([(1.0, 0), (None, 5), (float("nan"), 5)], "t double, n int").select(two_sided_p(F.col("t"), F.col("n")).alias("p")).distinct().collect() == [(None,)]
+
+
+def test_bow_rows_are_spread_before_the_fit(spark, monkeypatch):
+    """Iterations read even files of vectors, not the plan that made the training rows (here one part)."""
+    from runlens.operators import models as MD
+
+    texts = [(f"good fine {'word' * (i % 3)} t{i % 7}", 1) if i % 2 else (f"bad poor {'word' * (i % 2)} t{i % 5}", 0) for i in range(60)]
+    rows = spark.createDataFrame(texts, "text string, label int").coalesce(1)
+    seen, plain = [], MD._logistic
+
+    def logistic(train, *rest):
+        seen.append(train)
+        return plain(train, *rest)
+
+    monkeypatch.setattr(MD, "_logistic", logistic)
+    scored = MD.bow_baseline(rows, rows, "text", "label", vocab_size=20, max_iter=50).collect()
+    assert len(scored) == 60 and all(r["prediction"] == r["label"] for r in scored)
+    assert seen[0].inputFiles() and seen[0].count() == 60
+    sizes = [r["n"] for r in seen[0].groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 1 and max(sizes) <= 60 / len(sizes) + 8
