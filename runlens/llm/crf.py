@@ -25,8 +25,8 @@ class Tagger:
             self.p |= {f"x_{d}": init(width, 4 * hidden), f"h_{d}": init(hidden, 4 * hidden), f"b_{d}": np.zeros(4 * hidden, np.float32)}
             self.p[f"b_{d}"][hidden:2 * hidden] = 1  # remember at first
 
-    # one direction; time runs forwards in what it gets
-    def _run(self, x: np.ndarray, d: str):
+    # one direction; time runs forwards in what it gets; what a step back needs is kept only for one
+    def _run(self, x: np.ndarray, d: str, keep: bool = True):
         n, steps, _ = x.shape
         h = c = np.zeros((n, self.hidden), np.float32)
         pre = x @ self.p[f"x_{d}"] + self.p[f"b_{d}"]
@@ -41,7 +41,8 @@ class Tagger:
             th = np.tanh(c)
             h = o * th
             outs[:, t] = h
-            kept.append((i, f, o, g, th, last_h, last_c))
+            if keep:
+                kept.append((i, f, o, g, th, last_h, last_c))
         return outs, kept
 
     def _back(self, x: np.ndarray, d: str, kept, d_out: np.ndarray, grad: dict) -> np.ndarray:
@@ -64,7 +65,7 @@ class Tagger:
     def emissions(self, codes: np.ndarray) -> np.ndarray:
         """Label scores of every character: (windows, characters, labels)."""
         x = self.p["embed"][codes]
-        both = np.concatenate([self._run(x, "f")[0], self._run(x[:, ::-1], "b")[0][:, ::-1]], axis=2)
+        both = np.concatenate([self._run(x, "f", False)[0], self._run(x[:, ::-1], "b", False)[0][:, ::-1]], axis=2)
         return both @ self.p["out"] + self.p["out_b"]
 
     def _chain(self, e: np.ndarray, length: np.ndarray | None = None):

@@ -668,3 +668,18 @@ def test_texts_travel_once(spark):
     assert "__text" not in plan._jdf.queryExecution().optimizedPlan().toString()
     other = langid.identify(docs.withColumn("text", F.col("text").cast("binary")))
     assert sorted((r.doc_id, r.lang_pred) for r in plan.collect()) == sorted((r.doc_id, r.lang_pred) for r in other.collect())
+
+
+def test_emissions_keep_no_steps():
+    """Scoring holds the outputs of its windows, not every gate of every step."""
+    import tracemalloc
+
+    tagger, codes = Tagger(64, 9), np.random.default_rng(1).integers(0, 64, (256, 96))
+    x = tagger.p["embed"][codes]
+    both = np.concatenate([tagger._run(x, "f")[0], tagger._run(x[:, ::-1], "b")[0][:, ::-1]], axis=2)
+    tracemalloc.start()
+    got = tagger.emissions(codes)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, both @ tagger.p["out"] + tagger.p["out_b"])
+    assert most < 26 << 20
