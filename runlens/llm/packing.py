@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import column, materialise, ship
-from runlens.llm.tokens import CACHE, crc32_u4, encoder, forget
+from runlens.llm.tokens import CACHE, crc32_u4, encode_column, encoder, forget
 
 #: Classes above this length are a 64th of it apart at most; up to it every length is one.
 EXACT = 128
@@ -171,8 +171,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col
         end = np.array([end_id], encode.dtype).tobytes()
         for batch in batches:
             of, start, size, crc, total, raw = [], [], [], [], [], []
-            for k, text in enumerate(batch.column("text")):
-                ids = np.frombuffer(encode(text.as_py()) + end, encode.dtype)
+            for k, coded in enumerate(encode_column(encode, batch.column("text"))):
+                ids = np.frombuffer(coded + end, encode.dtype)
                 for at in range(0, len(ids), length):
                     piece = ids[at:at + length]
                     of.append(k)

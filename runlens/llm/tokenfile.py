@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import column, materialise, ship
-from runlens.llm.tokens import crc32_u4, encoder
+from runlens.llm.tokens import crc32_u4, encode_column, encoder
 
 #: Sequences per record batch.
 BATCH = 128
@@ -141,8 +141,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, length: int =
             if out is None:
                 out = SequenceWriter(name, length, encode.dtype)
             at, n = [], []
-            for text in batch.column("text"):
-                ids = encode(text.as_py()) + end
+            for ids in encode_column(encode, batch.column("text")):
+                ids += end
                 at.append(out.written)
                 n.append(len(ids) // encode.dtype.itemsize)
                 out.add(ids)

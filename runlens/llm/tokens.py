@@ -15,9 +15,11 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters that some engine takes for white space, besides space and newline.
 _EXOTIC = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎    　​﻿" + "".join(
@@ -30,6 +32,8 @@ CACHE = 80 << 20
 ENTRY = 190
 #: Different runs of signs behind words that are remembered.
 TAILS = 10_000
+#: Characters of the texts that are encoded together (or one longer text).
+GROUP = 1 << 22
 #: Longer parts are not kept.
 CACHED_CHARS = 64
 
@@ -62,6 +66,7 @@ class Encoder:
         self._size, self.cache = 0, CACHE
         self._tails: dict[str, bytes | None] = {}
         self._model, self._letters, self._direct = self._tokenizer.model, _byte_letters(), None
+        self._space = {"": "", " ": " ".translate(self._letters)}
         whole = self._ids([f" {w}" for w in PROBES])
         for form in ((" ", False), (" ", True), ("", False), ("", True)):
             if [self._of_model(w, *form) for w in PROBES] == whole:
@@ -72,35 +77,64 @@ class Encoder:
         return [array(self._kind, e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _of_model(self, word: str, lead: str, lower: bool) -> bytes:
-        raw = lead + (word.lower() if lower else word)
-        return array(self._kind, [t.id for t in self._model.tokenize(raw.encode().decode("latin-1").translate(self._letters))]).tobytes()
+        raw = (lead + (word.lower() if lower else word)).encode()
+        # the letters of ASCII stand for themselves
+        raw = self._space[lead] + raw[len(lead):].decode() if word.isascii() else raw.decode("latin-1").translate(self._letters)
+        return array(self._kind, [t.id for t in self._model.tokenize(raw)]).tobytes()
 
     def _words(self, parts: list[str]) -> dict[str, bytes]:
-        direct = [p for p in parts if self._direct and p.isalpha() and max(p) < "\u0250" and p.lower().isalpha()]
+        direct = [p for p in parts if self._direct and p.isalpha() and (p.isascii() or (max(p) < "\u0250" and p.lower().isalpha()))]
         got = {p: self._of_model(p, *self._direct) for p in direct}
         rest = [p for p in parts if p not in got]
-        got |= zip(rest, self._ids([p if p[0] == "\n" else " " + p for p in rest]), strict=True)
+        if rest:
+            got |= zip(rest, self._ids([p if p[0] == "\n" else " " + p for p in rest]), strict=True)
         return got
 
-    def __call__(self, text: str | None) -> bytes:
-        """Ids of a whole text as little-endian integers of ``dtype``; null is empty."""
-        if not text:
-            return b""
+    def _parts(self, text: str) -> tuple[str, list[str] | None, str]:
+        """The first part, and the others: as a list, or as a string that has them behind spaces."""
         if text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS) or any(c in text for c in _EXOTIC):
             # other white space or runs of it: cut at the safe places only
             first, *parts = _SAFE.split(text)
-            parts = [p[1:] if p[0] == " " else p for p in parts]
-        else:
-            first, *parts = text.replace("\n", " \n").split(" ")
-        if self._size > self.cache:
-            self._new, self._old, self._size = {}, self._new, 0
-        ids = list(map(self._new.get, parts))
+            return first, [p[1:] if p[0] == " " else p for p in parts], ""
+        first, space, rest = text.replace("\n", " \n").partition(" ")
+        return first, None, space + rest
+
+    def __call__(self, text: str | None) -> bytes:
+        """Ids of a whole text as little-endian integers of ``dtype``; null is empty."""
+        return self.all([text])[0]
+
+    def all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of every text; a part is looked up once for all of them."""
+        firsts, lists, joined, n = [], [], [], []
+        for text in texts:
+            first, parts, rest = self._parts(text) if text else ("", None, "")
+            firsts.append(first)
+            if parts is None:
+                joined.append(rest)
+                n.append((True, rest.count(" ")))
+            else:
+                lists += parts
+                n.append((False, len(parts)))
+        # the first part of the split lies before the first space
+        words = pc.split_pattern(pa.array(["".join(joined)]), " ").values[1:]
+        words = pa.concat_arrays([words, pa.array(lists, pa.string())]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        ids = list(map(self._new.get, distinct))
         if None in ids:
             at = [i for i, known in enumerate(ids) if known is None]
-            got = self._learn({parts[i] for i in at})
+            got = self._learn([distinct[i] for i in at])
             for i in at:
-                ids[i] = got[parts[i]]
-        return self._ids([first])[0] + b"".join(ids)
+                ids[i] = got[distinct[i]]
+        found = pa.array(ids, pa.large_binary()).take(words.indices)
+        # where parts begin in the bytes of all of them
+        _, begin, data = found.buffers()
+        begin = np.frombuffer(begin, np.int64)[found.offset:found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
+        data = memoryview(data) if data else memoryview(b"")
+        at, out = {True: 0, False: len(found) - len(lists)}, []
+        for first, (kind, size) in zip(self._ids(firsts), n, strict=True):
+            out.append(first + data[begin[at[kind]]:begin[at[kind] + size]])
+            at[kind] += size
+        return out
 
     def _tail(self, signs: str) -> bytes | None:
         """The ids of signs behind a word, or None if they depend on the word."""
@@ -113,26 +147,33 @@ class Encoder:
             self._tails[signs] = tails.pop() if len(tails) == 1 else None
         return self._tails[signs]
 
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """The ids of parts; all but long parts and words behind rare signs are kept."""
-        got = {p: ids for p in missing if (ids := self._old.get(p)) is not None}
-        signed = {}
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """The ids of different parts; all but long parts and words behind rare signs are kept."""
+        new, old = self._new, self._old
+        got, signed, fresh = {}, {}, []
         for p in missing:
-            if p not in got and (m := _SIGNED.fullmatch(p)) and max(p) < "\u0250" and (tail := self._tail(m[2])) is not None:
+            if (ids := old.get(p)) is not None:
+                got[p] = ids
+            elif not p.isalpha() and (m := _SIGNED.fullmatch(p)) and (p.isascii() or max(p) < "\u0250") and (tail := self._tail(m[2])) is not None:
                 signed[p] = m[1], tail, m[2] in ",."
-        known = {s: ids for s, *_ in signed.values() if (ids := self._new.get(s) or self._old.get(s))}
-        fresh = {signed[p][0] if p in signed else p for p in missing if p not in got} - known.keys()
-        words = self._words([p for p in fresh if p not in got])
-        known |= words
-        known |= got
-        got |= {p: ids for p, ids in words.items() if p not in signed}
-        for p, (word, tail, _) in signed.items():
-            got[p] = known[word] + tail
+            else:
+                fresh.append(p)
+        known = {s: ids for s in {s for s, *_ in signed.values()} if (ids := new.get(s) or old.get(s))}
+        words = self._words([*{*fresh, *(s for s, *_ in signed.values())} - known.keys() - got.keys()])
+        got |= words
+        for p, (word, tail, kept) in signed.items():
+            ids = (known.get(word) or got[word]) + tail
+            if kept:
+                got[p] = ids
+            else:
+                signed[p] = ids
         for p, ids in got.items():
-            if len(p) <= CACHED_CHARS and p not in self._new and (p not in signed or signed[p][2]):
+            if len(p) <= CACHED_CHARS and p not in self._new:
+                if self._size > self.cache:
+                    self._new, self._old, self._size = {}, self._new, 0
                 self._new[p] = ids
                 self._size += ENTRY + len(p) + len(ids)
-        return got
+        return got | {p: ids for p, ids in signed.items() if p not in got}
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -146,6 +187,18 @@ def encoder(path: str, cache: int = CACHE) -> Encoder:
     return _ENCODERS[path]
 
 
+def encode_column(encode: Encoder, texts: pa.Array) -> Iterator[bytes]:
+    """Ids of every text of a column, in its order; texts of about ``GROUP`` characters in all are in memory at a time."""
+    group, chars = [], 0
+    for text in texts:
+        group.append(text.as_py())
+        chars += len(group[-1] or "")
+        if chars >= GROUP:
+            yield from encode.all(group)
+            group, chars = [], 0
+    yield from encode.all(group)
+
+
 def forget(path: str) -> None:
     """Drop a worker's encoder with its caches, for workers that have other work behind them."""
     _ENCODERS.pop(path, None)

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,24 @@ def test_encoder_equals_the_tokenizer(name, monkeypatch):
         assert np.frombuffer(encode(text), encode.dtype).tolist() == plain, text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_of_a_group_look_a_part_up_once(name, monkeypatch):
+    rng, asked = random.Random(5), []
+    monkeypatch.setattr(tokens, "GROUP", 3_000)
+    encode = tokens.Encoder(public_tokenizers.path(name))
+    encode.cache = 2_000
+    texts = [*ODD, *(words(rng, 60) + " ouier### xqz&&&." for _ in range(30)), *ODD, "x" * 9000, None, "end"]
+    plain = [encode._tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(ids, encode.dtype).tolist() for ids in tokens.encode_column(encode, pa.array(texts))] == plain
+    assert encode._size <= encode.cache + 2 * (tokens.ENTRY + 9 * tokens.CACHED_CHARS)
+    assert list(tokens.encode_column(encode, pa.array([], pa.string()))) == []
+    # words behind signs that are not kept, too
+    learn = encode._learn
+    monkeypatch.setattr(encode, "_learn", lambda missing: asked.extend(missing) or learn(missing))
+    encode.all(["a haus### b", "c haus###", "haus### haus###"] * 50)
+    assert collections.Counter(asked)["haus###"] == 1
+
+
 def edge_documents(rng, n=60):
     rows = [(i, words(rng, rng.randint(1, 60))) for i in range(n)] + [(1000 + i, t) for i, t in enumerate(ODD)]
     return rows + [(2000, words(rng, 9000)), (5, "again"), (5, "again"), (None, "no id"), (None, None)]
