@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ CACHED_CHARS = 64
 
 
 #: Words that the model must encode as the tokenizer does before it is asked directly.
-_SIGNED = re.compile(r"([^\W\d_]+)([^\w\s']+)")
+_SIGNED = re.compile(r"(\n?[^\W\d_]+)([^\w\s']+)")
 PROBES = ("a", "I", "the", "The", "UPPER", "camelCase", "Überall", "straße", "élan", "ÉCOLE", "ñandú", "ciónes", "œuvre", "żółw", "xqzjvw" * 4)
 
 
@@ -72,20 +72,35 @@ class Encoder:
             if [self._of_model(w, *form) for w in PROBES] == whole:
                 self._direct = form
                 break
+        #: what a newline before a word adds to the word's ids without a space, or None if it depends on the word
+        self._line, lower = self._ids(["\n"])[0], bool(self._direct and self._direct[1])
+        if self._ids([f"\n{w}" for w in PROBES]) != [self._line + self._of_model(w, "", lower) for w in PROBES]:
+            self._line = None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self._kind, e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _of_model(self, word: str, lead: str, lower: bool) -> bytes:
-        raw = (lead + (word.lower() if lower else word)).encode()
-        # the letters of ASCII stand for themselves
-        raw = self._space[lead] + raw[len(lead):].decode() if word.isascii() else raw.decode("latin-1").translate(self._letters)
-        return array(self._kind, [t.id for t in self._model.tokenize(raw)]).tobytes()
-
-    def _words(self, parts: list[str]) -> dict[str, bytes]:
-        direct = [p for p in parts if self._direct and p.isalpha() and (p.isascii() or (max(p) < "\u0250" and p.lower().isalpha()))]
-        got = {p: self._of_model(p, *self._direct) for p in direct}
-        rest = [p for p in parts if p not in got]
+        raw = lead + (word.lower() if lower else word)
+        return array(self._kind, [t.id for t in self._model.tokenize(raw.encode().decode("latin-1").translate(self._letters))]).tobytes()
+
+    def _words(self, parts: Iterable[str]) -> dict[str, bytes]:
+        got, rest = {}, []
+        if self._direct:
+            (lead, lower), line = self._direct, self._line
+            space, tokenize, kind = self._space[lead], self._model.tokenize, self._kind
+            for p in parts:
+                if p.isascii() and p.isalpha():
+                    # the letters of ASCII stand for themselves
+                    got[p] = array(kind, [t.id for t in tokenize(space + (p.lower() if lower else p))]).tobytes()
+                elif p.isalpha() and max(p) < "\u0250" and p.lower().isalpha():
+                    got[p] = self._of_model(p, lead, lower)
+                elif line is not None and p[0] == "\n" and (word := p[1:]).isalpha() and max(word) < "\u0250" and word.lower().isalpha():
+                    got[p] = line + self._of_model(word, "", lower)
+                else:
+                    rest.append(p)
+        else:
+            rest += parts
         if rest:
             got |= zip(rest, self._ids([p if p[0] == "\n" else " " + p for p in rest]), strict=True)
         return got
@@ -118,7 +133,7 @@ class Encoder:
         # the first part of the split lies before the first space
         words = pc.split_pattern(pa.array(["".join(joined)]), " ").values[1:]
         words = pa.concat_arrays([words, pa.array(lists, pa.string())]).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(self._new.get, distinct))
         if None in ids:
             at = [i for i, known in enumerate(ids) if known is None]
@@ -141,8 +156,8 @@ class Encoder:
         if signs not in self._tails:
             if len(self._tails) >= TAILS:
                 self._tails = {}
-            alone = self._ids([" the", " Haus", " été"])
-            behind = self._ids([w + signs for w in (" the", " Haus", " été")])
+            words = (" the", " Haus", " été", "\nthe", "\nÉté")
+            alone, behind = self._ids(list(words)), self._ids([w + signs for w in words])
             tails = {whole[len(word):] if whole.startswith(word) else None for word, whole in zip(alone, behind, strict=True)}
             self._tails[signs] = tails.pop() if len(tails) == 1 else None
         return self._tails[signs]
@@ -159,7 +174,7 @@ class Encoder:
             else:
                 fresh.append(p)
         known = {s: ids for s in {s for s, *_ in signed.values()} if (ids := new.get(s) or old.get(s))}
-        words = self._words([*{*fresh, *(s for s, *_ in signed.values())} - known.keys() - got.keys()])
+        words = self._words({*fresh, *(s for s, *_ in signed.values())} - known.keys() - got.keys())
         got |= words
         for p, (word, tail, kept) in signed.items():
             ids = (known.get(word) or got[word]) + tail

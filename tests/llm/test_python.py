@@ -101,6 +101,11 @@ def test_texts_of_a_group_look_a_part_up_once(name, monkeypatch):
     assert [np.frombuffer(ids, encode.dtype).tolist() for ids in tokens.encode_column(encode, pa.array(texts))] == plain
     assert encode._size <= encode.cache + 2 * (tokens.ENTRY + 9 * tokens.CACHED_CHARS)
     assert list(tokens.encode_column(encode, pa.array([], pa.string()))) == []
+    # words behind a newline, too, without the whole tokenizer
+    lines = [f"a\n{w}{signs} b" for w in (*tokens.PROBES, "don't", "x1") for signs in ("", ",", ".", "&&&")]
+    plain = [encode._tokenizer.encode(t, add_special_tokens=False).ids for t in lines]
+    assert [np.frombuffer(encode(t), encode.dtype).tolist() for t in lines] == plain
+    assert encode._line is not None
     # words behind signs that are not kept, too
     learn = encode._learn
     monkeypatch.setattr(encode, "_learn", lambda missing: asked.extend(missing) or learn(missing))
