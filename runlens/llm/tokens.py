@@ -32,8 +32,8 @@ CACHE = 80 << 20
 ENTRY = 190
 #: Different runs of signs behind words that are remembered.
 TAILS = 10_000
-#: Characters of the texts that are encoded together (or one longer text).
-GROUP = 1 << 22
+#: Bytes of a generation of the cache per character of the texts that are encoded together (or one longer text).
+GROUP = 20
 #: Longer parts are not kept.
 CACHED_CHARS = 64
 
@@ -203,12 +203,12 @@ def encoder(path: str, cache: int = CACHE) -> Encoder:
 
 
 def encode_column(encode: Encoder, texts: pa.Array) -> Iterator[bytes]:
-    """Ids of every text of a column, in its order; texts of about ``GROUP`` characters in all are in memory at a time."""
+    """Ids of every text of a column, in its order; texts are encoded in groups, smaller ones if the cache is small."""
     group, chars = [], 0
     for text in texts:
         group.append(text.as_py())
         chars += len(group[-1] or "")
-        if chars >= GROUP:
+        if chars * GROUP >= encode.cache:
             yield from encode.all(group)
             group, chars = [], 0
     yield from encode.all(group)
