@@ -62,7 +62,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens. The workers have other stages behind and before them, so they keep
     fewer words, and none beyond a task."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, end_id=2, cache=16 << 20, keep_encoder=False)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, end_id=2, cache=8 << 20, keep_encoder=False)
 
 
 STAGES = [

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from runlens.llm.common import column, free, ship, without
+from runlens.llm.common import column, free, ship, slices, without
 from runlens.llm.mixing import seeded_order
 
 FEATURES = 1 << 16
@@ -236,7 +236,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     held = text_col if plain_text else free(docs, "_text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.value.predict(t.as_py()) for t in batch.column(held)]
             plain = batch if plain_text else batch.drop_columns([held])
             yield pa.RecordBatch.from_arrays(

@@ -214,7 +214,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, i
     sizes = np.array([c for c, _ in histogram], np.int64)
     demand = np.array([n for _, n in histogram], np.int64)
     plan = slots(sizes, patterns(sizes, demand, length, GAP)) if histogram else []
-    table = spark.createDataFrame(plan, "class int, first long, end long, sequence long, per long")
+    # from Arrow: rows of Python would take workers of another kind, which stay beside those that encode
+    names = ("class", "first", "end", "sequence", "per")
+    table = spark.createDataFrame(pa.table(
+        {x: pa.array([row[i] for row in plan], pa.int64() if i else pa.int32()) for i, x in enumerate(names)}))
 
     before = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("class", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

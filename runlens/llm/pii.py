@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
-from runlens.llm.common import column, free, ship, without
+from runlens.llm.common import column, free, ship, slices, without
 from runlens.llm.crf import Tagger
 from runlens.llm.mixing import seeded_order
 
@@ -299,12 +299,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(seeded_order(column(docs, id_col), "pii").alias("h"), text.alias("text"))
     model = spark.sparkContext.broadcast(train(rows.where(F.col("text").rlike("[0-9@]"))))
     kept = docs.select(*[column(docs, c) for c in without(docs, ("pii_spans",))])
-    held = free(docs, "_text")
+    # a string column is read where it is, so that no batch holds its texts twice
+    plain_text = text_col in kept.columns and isinstance(kept.schema[text_col].dataType, StringType)
+    held = text_col if plain_text else free(docs, "_text")
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(held).to_pylist()
+        for batch in slices(batches):
+            texts = [t or "" for t in batch.column(held).to_pylist()]
             base = [base_spans(t) for t in texts]
             extra = model_spans(texts, model.value) if model.value else [[] for _ in texts]
             spans = []
@@ -312,12 +314,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 more = [s for s in more if not any(s[0] < b[2] and b[0] < s[2] for b in own)]
                 spans.append([{"kind": KINDS[k], "start": a, "end": b, "base": is_base}
                               for a, k, b, is_base in sorted([(*s, True) for s in own] + [(*s, False) for s in more])])
-            plain = batch.drop_columns([held])
+            plain = batch if plain_text else batch.drop_columns([held])
             yield pa.RecordBatch.from_arrays([*plain.columns, pa.array(spans, pa.list_(item))], names=[*plain.schema.names, "pii_spans"])
 
     span = StructType().add("kind", StringType()).add("start", IntegerType()).add("end", IntegerType()).add("base", BooleanType())
     schema = StructType([*kept.schema.fields]).add("pii_spans", ArrayType(span))
-    return kept.withColumn(held, text).mapInArrow(tag, schema)
+    rows = kept if plain_text else kept.withColumn(held, text)
+    return rows.mapInArrow(tag, schema)
 
 
 def mask(text: Column, spans: Column) -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from runlens.llm import components, langid, oddsketch, packing, perplexity, pii, tokenfile, tokens, vafile
+from runlens.llm import common, components, langid, oddsketch, packing, perplexity, pii, tokenfile, tokens, vafile
 from runlens.llm.crf import Tagger
 
 SYLLABLES = "an be ce do el fa go hi in jo ka lu mo ne or pa qu re si tu un va we xo ya zo".split()
@@ -694,6 +694,32 @@ def test_texts_travel_once(spark):
     assert sorted((r.doc_id, r.lang_pred) for r in plan.collect()) == sorted((r.doc_id, r.lang_pred) for r in other.collect())
 
 
+def test_masked_texts_travel_once(spark):
+    docs = frame(spark, [(i, f"{'some words ' * i}1.2.3.{i}" if i else None, "en", "s") for i in range(20)])
+    plan = pii.find(docs)
+    assert "__text" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    other = pii.find(docs.withColumn("text", F.col("text").cast("binary")))
+    assert sorted((r.doc_id, str(r.pii_spans)) for r in plan.collect()) == sorted((r.doc_id, str(r.pii_spans)) for r in other.collect())
+
+
+def test_slices_are_small_and_whole():
+    rows = [{"a": "x" * (i % 50) * 100, "b": i} for i in range(1000)]
+    batches = [pa.RecordBatch.from_pylist(rows), pa.RecordBatch.from_pylist(rows[:0], pa.schema([("a", pa.string()), ("b", pa.int64())])),
+               pa.RecordBatch.from_pylist([{"a": "y" * 200_000, "b": 1}])]
+    got = list(common.slices(batches, 100_000))
+    assert [r for b in got for r in b.to_pylist()] == [r for b in batches for r in b.to_pylist()]
+    assert max(b.nbytes for b in got[:-1]) < 150_000
+
+
+def test_packing_makes_no_rows_in_python(spark, monkeypatch):
+    """Their workers would stay beside those of the encoding step."""
+    docs = frame(spark, [(i, "some words " * (i + 1), "en", "s") for i in range(40)])
+    path, sc = public_tokenizers.path("word_bpe_49k.json"), type(spark.sparkContext)
+    monkeypatch.setattr(sc, "parallelize", lambda *a, **k: pytest.fail("rows of Python"))
+    got = packing.pack(docs, path, 64, 2).collect()
+    assert sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0)
+
+
 def test_emissions_keep_no_steps():
     """Scoring holds the outputs of its windows, not every gate of every step."""
     import tracemalloc
