@@ -20,7 +20,6 @@ interchangeable; an empty table gives an empty index; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,21 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import column, materialise, ship
+from runlens.llm.common import column, file_system, materialise, ship
 from runlens.llm.tokens import crc32_u4, encode_column, encoder
 
 #: Sequences per record batch.
 BATCH = 128
 
 
-def _open(path: str):
-    """File system and path in it; any scheme that Arrow knows."""
-    from pyarrow import fs
-
-    path = re.sub(r"^file:/+", "/", path)
-    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
-
-
 def schema(length: int, dtype: np.dtype) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
 
@@ -52,7 +43,7 @@ class SequenceWriter:
 
     def __init__(self, path: str, length: int, dtype: np.dtype):
         self._schema, self._length, self._dtype = schema(length, dtype), length, dtype
-        self._fs, self._path = _open(path)
+        self._fs, self._path = file_system(path)
         self._fs.create_dir(self._path.rpartition("/")[0], recursive=True)
         self._sink = self._fs.open_output_stream(self._path + ".part")
         self._writer = pa.ipc.new_file(self._sink, self._schema)
@@ -92,7 +83,7 @@ class SequenceReader:
     """Random access to the stream of one file."""
 
     def __init__(self, path: str):
-        fs, inner = _open(path)
+        fs, inner = file_system(path)
         self._file = pa.ipc.open_file(pa.memory_map(inner) if fs.type_name == "local" else fs.open_input_file(inner))
         self._length = self._file.schema.field("ids").type.list_size
         self._last: tuple[int, np.ndarray] = (-1, np.empty(0))

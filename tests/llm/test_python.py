@@ -72,6 +72,40 @@ def test_top_k_of_large_components(spark):
     assert got == want
 
 
+def test_top_k_tasks_do_not_grow_with_pairs_of_blocks(spark):
+    rng = np.random.default_rng(2)
+    vectors = np.concatenate([rng.integers(-40, 41, (2400, 6)), np.tile([[30, 30, 30, 30, 30, 30]], (300, 1))])  # many equal ones
+    df = spark.createDataFrame([(i, (v / 64).tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = vafile.top_k(df, F.lit(True), 3, block=16)  # 169 blocks, which all rows ask
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"partitioning\(asked[^)]*, (\d+)\)", plan)]
+    assert dealt and max(dealt) <= vafile.SHARES * max(-(-len(vectors) // vafile.LEAST), vafile.WAVES * spark.sparkContext.defaultParallelism)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    scores = vectors @ vectors.T
+    np.fill_diagonal(scores, -10**9)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :3]
+    assert got.keys() == set(range(len(vectors)))
+    for q, rows in got.items():
+        assert sorted(rows) == [(r + 1, v, scores[q, v]) for r, v in enumerate(best[q].tolist())], q
+
+
+def test_top_k_in_either_precision():
+    rng = np.random.default_rng(3)
+    for top in (40, 400_000):  # sums that fit single precision, and that don't
+        exact = rng.integers(-top, top + 1, (500, 9))
+        ids, low, queries = np.sort(rng.integers(0, 300, 500)), exact.min(axis=0), exact[:300]
+        width = np.maximum(-(-(exact.max(axis=0) - low + 1) // vafile.CELLS), 1)
+        best = vafile.Best(300, 4)
+        for first in range(0, 500, 50):
+            own = slice(first, first + 50)
+            vafile.search_block(queries, np.arange(300), np.arange(300), exact[own], vafile.approximate(exact[own], low, width), ids[own], low, width, best)
+        for j, q in enumerate(queries):
+            want = sorted((-int(s), i) for s, i in zip(exact @ q, ids.tolist(), strict=True) if i != j)[:4]
+            assert list(zip((-best.scores[j]).tolist(), best.ids[j].tolist(), strict=True)) == want
+
+
 def test_top_k_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vafile.top_k(df, F.col("vec_id") % 20 == 0).count() == 0
